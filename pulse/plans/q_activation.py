@@ -1 +1,218 @@
-"""Registered queries."""
+"""Registered activation/engagement queries (events mart) and their oracle SQL."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pulse.functions.dates import month_bounds
+from pulse.functions.filters import Dim
+from pulse.operators import activation as act
+from pulse.plans.catalog import register
+from pulse.plans.params import P1, P1_CAT, P1_F0, P2
+from pulse.plans.sqltext import EVENTS_MART, between, calendar, d, lst, order_where, user_where, with_mart
+
+UW = user_where(P1)
+D1, D2 = P1.date_from, P1.date_to
+EXT_START = D1 - timedelta(days=P1.days * 6)
+
+
+def _dau_sql(spec, a, b, uw=None):
+    uw = user_where(spec) if uw is None else uw
+    return f"""
+dau_by_day AS (SELECT cast(s.session_date AS date) AS day, count(DISTINCT s.user_id) AS dau
+  FROM ms s JOIN mu u ON u.user_id = s.user_id
+  WHERE {between('s.session_date', a, b)}{uw} GROUP BY 1)"""
+
+
+@register("dau_daily", "activation", with_mart(EVENTS_MART, _dau_sql(P1, D1, D2),
+                                               "SELECT day, dau FROM dau_by_day"), mart="events")
+def dau_daily(m):
+    return act.dau_daily(m, P1)
+
+
+@register("dau_daily_extended", "activation", with_mart(EVENTS_MART, _dau_sql(P1, EXT_START, D2) + f""",
+cal AS ({calendar(EXT_START, D2)})""", """
+SELECT c.day AS day, cast(coalesce(d.dau, 0) AS bigint) AS dau FROM cal c LEFT JOIN dau_by_day d USING (day)"""),
+          mart="events")
+def dau_daily_extended(m):
+    return act.dau_daily_extended(m, P1, EXT_START, D2)
+
+
+def _last7(spec):
+    return _dau_sql(spec, spec.date_from, spec.date_to) + """,
+last7 AS (SELECT coalesce(avg(dau), 0.0) AS dau_7d_avg FROM (SELECT * FROM dau_by_day ORDER BY day DESC LIMIT 7) t)"""
+
+
+def _mau(spec):
+    ms_, nxt = month_bounds(spec.date_to)
+    return f"""
+mau AS (SELECT count(DISTINCT s.user_id) AS mau FROM ms s JOIN mu u ON u.user_id = s.user_id
+  WHERE date_trunc('month', s.session_date) = date_trunc('month', cast({d(spec.date_to)} AS timestamp)){user_where(spec)})"""
+
+
+@register("dau_7d_avg", "activation", with_mart(EVENTS_MART, _last7(P1), "SELECT dau_7d_avg FROM last7"),
+          mart="events")
+def dau_7d_avg(m):
+    return act.dau_7d_avg(m, P1)
+
+
+@register("mau", "activation", with_mart(EVENTS_MART, _mau(P2), "SELECT mau FROM mau"), mart="events")
+def mau(m):
+    return act.mau(m, P2)
+
+
+@register("stickiness", "activation", with_mart(EVENTS_MART, _last7(P2) + "," + _mau(P2), """
+SELECT l.dau_7d_avg AS dau_7d_avg, m.mau AS mau,
+  CASE WHEN m.mau > 0 THEN l.dau_7d_avg / m.mau ELSE 0.0 END AS stickiness
+FROM last7 l CROSS JOIN mau m"""), mart="events")
+def stickiness(m):
+    return act.stickiness(m, P2)
+
+
+def _activation(spec):
+    return f"""
+first_order AS (
+  SELECT u.user_id, cast(u.created_at AS date) AS signup_day, min(cast(o.order_date AS date)) AS first_order_day
+  FROM mu u LEFT JOIN mo o ON o.user_id = u.user_id
+  WHERE {between('u.created_at', spec.date_from, spec.date_to)}{user_where(spec)}
+  GROUP BY 1, 2),
+activation AS (SELECT coalesce(avg(CASE WHEN first_order_day IS NOT NULL AND first_order_day <= signup_day + 7
+                                   THEN cast(1 AS double) ELSE cast(0 AS double) END), 0.0) AS activation_7d
+               FROM first_order)"""
+
+
+@register("activation_7d", "activation", with_mart(EVENTS_MART, _activation(P1), "SELECT activation_7d FROM activation"),
+          mart="events")
+def activation_7d(m):
+    return act.activation_7d(m, P1)
+
+
+_PD1, _PD2 = P1.previous_window()
+
+
+@register("active_users_vs_prev", "activation", with_mart(EVENTS_MART, f"""
+r AS (SELECT
+  (SELECT count(*) FROM mu u WHERE 1=1{UW}) AS total_users_all,
+  (SELECT count(DISTINCT s.user_id) FROM ms s JOIN mu u ON u.user_id = s.user_id
+     WHERE {between('s.session_date', D1, D2)}{UW}) AS active_users,
+  (SELECT count(DISTINCT s.user_id) FROM ms s JOIN mu u ON u.user_id = s.user_id
+     WHERE {between('s.session_date', _PD1, _PD2)}{UW}) AS active_users_prev,
+  (SELECT coalesce(avg(dau), 0.0) FROM (
+     SELECT cast(s.session_date AS date) AS day, count(DISTINCT s.user_id) AS dau
+     FROM ms s JOIN mu u ON u.user_id = s.user_id WHERE {between('s.session_date', D1, D2)}{UW} GROUP BY 1) x) AS avg_dau)""", f"""
+SELECT total_users_all, active_users, active_users_prev,
+  CASE WHEN total_users_all > 0 THEN cast(active_users AS double) / total_users_all ELSE 0.0 END AS share_active,
+  avg_dau, {d(_PD1)} AS prev_d1, {d(_PD2)} AS prev_d2,
+  active_users - active_users_prev AS delta_abs,
+  CASE WHEN active_users_prev > 0 THEN cast(active_users - active_users_prev AS double) / active_users_prev
+       WHEN active_users > 0 THEN 1.0 ELSE 0.0 END AS delta_pct,
+  greatest(total_users_all - active_users, 0) AS inactive_users
+FROM r"""), mart="events")
+def active_users_vs_prev(m):
+    return act.active_users_vs_prev(m, P1)
+
+
+def _bins_sql(spec, start, end, period):
+    return with_mart(EVENTS_MART, f"""
+bins AS (
+  SELECT cast(gs AS date) AS bin_start, cast(gs AS date) + {period - 1} AS bin_end
+  FROM generate_series(cast({d(start)} AS timestamp), cast({d(end)} AS timestamp), INTERVAL {period} DAY) AS g(gs))""", f"""
+SELECT b.bin_start AS day, cast(count(DISTINCT s.user_id) AS bigint) AS value
+FROM bins b
+LEFT JOIN ms s ON cast(s.session_date AS date) BETWEEN b.bin_start AND b.bin_end
+LEFT JOIN mu u ON u.user_id = s.user_id
+WHERE 1=1{user_where(spec)}
+GROUP BY 1""")
+
+
+@register("active_users_by_bins", "activation", _bins_sql(P1, EXT_START, D2, P1.days), mart="events")
+def active_users_by_bins(m):
+    return act.active_users_by_bins(m, P1, EXT_START, D2, P1.days)
+
+
+# Weekly bins over a range that is not a multiple of 7 (last bin runs past the end), no user lists.
+_WB_START, _WB_END = P1.date_from - timedelta(days=10), P1.date_to
+
+
+@register("active_users_by_bins_unfiltered", "activation", _bins_sql(P1_F0, _WB_START, _WB_END, 7), mart="events")
+def active_users_by_bins_unfiltered(m):
+    return act.active_users_by_bins(m, P1_F0, _WB_START, _WB_END, 7)
+
+
+def _dim_daily(spec, activity="session_date"):
+    return f"""
+cal AS ({calendar(spec.date_from, spec.date_to)}),
+total_daily AS (SELECT cast(s.{activity} AS date) AS day, count(DISTINCT s.user_id) AS value
+  FROM ms s JOIN mu u ON u.user_id = s.user_id
+  WHERE {between('s.' + activity, spec.date_from, spec.date_to)}{user_where(spec)} GROUP BY 1),
+by_dim AS (SELECT cast(s.{activity} AS date) AS day, coalesce(cast(u.city AS varchar), 'UNKNOWN') AS series,
+    count(DISTINCT s.user_id) AS value
+  FROM ms s JOIN mu u ON u.user_id = s.user_id
+  WHERE {between('s.' + activity, spec.date_from, spec.date_to)}{user_where(spec)} GROUP BY 1, 2)"""
+
+
+@register("dau_by_dim", "activation", with_mart(EVENTS_MART, _dim_daily(P1_F0) + """,
+series_list AS (SELECT DISTINCT series FROM by_dim)""", """
+SELECT c.day AS day, 'Total' AS series, cast(coalesce(t.value, 0) AS bigint) AS value
+FROM cal c LEFT JOIN total_daily t USING (day)
+UNION ALL
+SELECT c.day AS day, s.series AS series, cast(coalesce(b.value, 0) AS bigint) AS value
+FROM cal c CROSS JOIN series_list s LEFT JOIN by_dim b ON b.day = c.day AND b.series = s.series"""), mart="events")
+def dau_by_dim(m):
+    return act.dau_by_dim(m, P1_F0)
+
+
+@register("dau_by_dim_summed_total", "activation", with_mart(EVENTS_MART, _dim_daily(P1_F0) + """,
+total AS (SELECT day, 'Total' AS series, sum(value) AS value FROM by_dim GROUP BY 1),
+combined AS (SELECT * FROM by_dim UNION ALL SELECT * FROM total),
+series_list AS (SELECT DISTINCT series FROM combined)""", """
+SELECT c.day AS day, s.series AS series, cast(coalesce(x.value, 0) AS bigint) AS value
+FROM cal c CROSS JOIN series_list s LEFT JOIN combined x ON x.day = c.day AND x.series = s.series"""), mart="events")
+def dau_by_dim_summed_total(m):
+    return act.dau_by_dim_summed_total(m, P1_F0)
+
+
+def _by_user_dim(spec):
+    return f"""
+active_users AS (SELECT DISTINCT s.user_id FROM ms s JOIN mu u ON u.user_id = s.user_id
+                 WHERE {between('s.session_date', spec.date_from, spec.date_to)}{user_where(spec)}),
+by_dim AS (SELECT coalesce(cast(u.city AS varchar), 'UNKNOWN') AS dim, count(DISTINCT a.user_id) AS active_users
+           FROM active_users a JOIN mu u ON u.user_id = a.user_id GROUP BY 1)"""
+
+
+@register("active_users_by_user_dim", "activation", with_mart(EVENTS_MART, _by_user_dim(P1_F0),
+                                                               "SELECT dim, active_users FROM by_dim"), mart="events")
+def active_users_by_user_dim(m):
+    return act.active_users_by_user_dim(m, P1_F0, Dim.CITY)
+
+
+_UWC = user_where(P1_CAT)
+
+
+@register("active_users_by_first_order_dim", "activation", with_mart(EVENTS_MART, f"""
+active_users AS (SELECT DISTINCT s.user_id FROM ms s JOIN mu u ON u.user_id = s.user_id
+                 WHERE {between('s.session_date', D1, D2)}{_UWC}),
+first_order AS (
+  SELECT a.user_id, coalesce(cast(v.category AS varchar), 'Sin compra') AS dim
+  FROM active_users a
+  LEFT JOIN LATERAL (
+    SELECT o.order_id, o.order_status, o.vendor_id, o.order_date FROM mo o
+    WHERE o.user_id = a.user_id AND {between('o.order_date', D1, D2)}
+    ORDER BY o.order_date ASC, o.order_id ASC LIMIT 1) o ON TRUE
+  LEFT JOIN mv v ON v.vendor_id = o.vendor_id
+  WHERE 1=1{order_where(P1_CAT)})""", """
+SELECT dim, count(DISTINCT user_id) AS active_users FROM first_order GROUP BY 1"""), mart="events")
+def active_users_by_first_order_dim(m):
+    return act.active_users_by_first_order_dim(m, P1_CAT, Dim.CATEGORY)
+
+
+@register("active_users_share_top8", "activation", with_mart(EVENTS_MART, _by_user_dim(P1_F0) + """,
+kept AS (SELECT dim, active_users FROM by_dim ORDER BY active_users DESC, dim ASC NULLS LAST LIMIT 7),
+den AS (SELECT sum(active_users) AS denom FROM kept)""", """
+SELECT 'Total' AS dim, cast(coalesce(sum(active_users), 0) AS bigint) AS active_users, 100.0 AS share_pct FROM by_dim
+UNION ALL
+SELECT k.dim, k.active_users,
+  round_even(100.0 * k.active_users / CASE WHEN d.denom > 0 THEN cast(d.denom AS double) ELSE 1.0 END, 1) AS share_pct
+FROM kept k CROSS JOIN den d"""), mart="events")
+def active_users_share_top8(m):
+    return act.active_users_share_top8(m, P1_F0, Dim.CITY)
