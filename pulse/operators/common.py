@@ -5,9 +5,8 @@ Scale notes
 * Sessions are reduced to distinct ``(user_id, day)`` pairs *before* they meet the
   users table.  A user with a third of all sessions then contributes at most one row
   per day to the join, and every distinct count becomes a plain count.
-* Orders are pre-aggregated to ``(user, vendor, day, status)`` cells before the joins
-  (map-side partial aggregation), so a hot user or vendor is collapsed before any
-  shuffle.  Every sales metric (counts, money sums) is additive over these cells.
+* Order metrics are additive (counts, decimal sums), so every order aggregate runs
+  with a map-side partial phase; hot join keys are left to AQE skew-join splitting.
 * No side is hinted for broadcast unless its size is bounded by the parameters
   (calendar days, selected value lists, one-row aggregates).  Dimension tables
   (users, vendors) are left to AQE, which converts a join to broadcast only after
@@ -51,48 +50,41 @@ def active_pairs(m: Marts, spec: FilterSpec, d1: date, d2: date, keep_cols: tupl
     return pairs.join(u, "user_id")
 
 
-def order_cells(m: Marts, d1: date, d2: date, extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Orders in [d1, d2] collapsed to (user_id, vendor_id, day, order_status) cells.
-
-    Columns: n (orders), amount (sum order_total), commission (sum), all exact.
-    """
-    keys = ["user_id", "vendor_id", day("order_date").alias("day"), "order_status", *extra_keys]
-    return (m.orders.filter(in_days("order_date", d1, d2))
-            .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(money("order_total")).alias("amount"),
-                 F.sum(money("commission")).alias("commission")))
-
-
-def order_base(m: Marts, spec: FilterSpec, vendor_join: str = "inner", status_filter: bool = True,
-               vendor_cols: tuple[str, ...] = ("category",)) -> DataFrame:
-    """Order cells joined to users (inner) and vendors, with all filters.
+def order_base(m: Marts, spec: FilterSpec, vendor_join: str = "inner", status_filter: bool = True) -> DataFrame:
+    """Orders in range joined to users (inner) and vendors, with all list filters.
 
     ``vendor_join='inner'`` is the KPI/sales shape (orders without a vendor vanish);
-    ``'left'`` is the operations shape (they stay unless a category list is set).
+    ``'left'`` keeps them (unless a category list is set).  Columns: order_id,
+    user_id, vendor_id, day, order_status, order_total, commission, city,
+    acquisition_channel, device, category, v_city, rating.
+
+    The fact side is joined first and aggregated after: the aggregate's partial
+    (map-side) phase collapses rows before its shuffle, and a hot user or vendor
+    key in a sort-merge join is split by AQE's skew-join handling.
     """
-    cells = order_cells(m, spec.date_from, spec.date_to)
+    o = (m.orders.filter(in_days("order_date", spec.date_from, spec.date_to))
+         .select("order_id", "user_id", "vendor_id", day("order_date").alias("day"), "order_status",
+                 money("order_total").alias("order_total"), money("commission").alias("commission")))
     u = users_f(m, spec).select("user_id", "city", "acquisition_channel", "device")
-    out = cells.join(u, "user_id")
-    v = m.vendors.select("vendor_id", *[F.col(c).alias(f"v_{c}") for c in vendor_cols])
-    out = out.join(v, "vendor_id", vendor_join)
-    out = out.withColumnRenamed("v_category", "category") if "category" in vendor_cols else out
-    pred = spec.order_predicate(status="order_status" if status_filter else None)
-    return where(out, pred)
+    v = m.vendors.select("vendor_id", F.col("category").cast("string").alias("category"),
+                         F.col("city").alias("v_city"), "rating")
+    out = o.join(u, "user_id").join(v, "vendor_id", vendor_join)
+    return where(out, spec.order_predicate(status="order_status" if status_filter else None))
+
 
+def order_metrics() -> list:
+    """orders_total/completed/cancelled, gmv and commission (completed only) over order rows.
 
-def sales_aggs(cells_n="n", amount="amount", commission="commission") -> list:
-    """The standard order metrics over order cells."""
-    n = F.col(cells_n)
+    Money sums stay decimal until the final cast to double.
+    """
     st = F.col("order_status")
+    zero = F.lit(0).cast("decimal(28,2)")
     return [
-        F.sum(n).cast("bigint").alias("orders_total"),
-        F.sum(F.when(st == COMPLETED, n).otherwise(0)).cast("bigint").alias("orders_completed"),
-        F.sum(F.when(st == CANCELLED, n).otherwise(0)).cast("bigint").alias("orders_cancelled"),
-        F.coalesce(F.sum(F.when(st == COMPLETED, F.col(amount))), F.lit(0).cast("decimal(28,2)"))
-         .cast("double").alias("gmv"),
-        F.coalesce(F.sum(F.when(st == COMPLETED, F.col(commission))), F.lit(0).cast("decimal(28,2)"))
-         .cast("double").alias("commission"),
+        F.count(F.lit(1)).cast("bigint").alias("orders_total"),
+        F.count_if(st == COMPLETED).cast("bigint").alias("orders_completed"),
+        F.count_if(st == CANCELLED).cast("bigint").alias("orders_cancelled"),
+        F.coalesce(F.sum(F.when(st == COMPLETED, F.col("order_total"))), zero).cast("double").alias("gmv"),
+        F.coalesce(F.sum(F.when(st == COMPLETED, F.col("commission"))), zero).cast("double").alias("commission"),
     ]
 
 
