@@ -1 +1,16 @@
-"""Registered queries."""
+"""Registered source queries: filter option lists of the events mart."""
+
+from __future__ import annotations
+
+from pulse.operators import catalog_ops
+from pulse.plans.catalog import register
+from pulse.plans.sqltext import EVENTS_MART, with_mart
+
+
+@register("filter_options", "sources", with_mart(EVENTS_MART, "", """
+SELECT DISTINCT 'city' AS dimension, cast(city AS varchar) AS value FROM mu
+UNION ALL SELECT DISTINCT 'channel', cast(acquisition_channel AS varchar) FROM mu
+UNION ALL SELECT DISTINCT 'device', cast(device AS varchar) FROM mu
+UNION ALL SELECT DISTINCT 'category', cast(category AS varchar) FROM mv"""), mart="events")
+def filter_options(m):
+    return catalog_ops.filter_options(m)
