@@ -1 +1,274 @@
-"""Registered queries."""
+"""Registered churn queries: feature table, preprocessing and risk metrics (SQL-checkable on
+the deterministic score), plus the model queries (Spark ML, rows-only checks)."""
+
+from __future__ import annotations
+
+from datetime import date, datetime, timedelta
+
+from pulse.operators.churn import metrics as cm
+from pulse.operators.churn import prep
+from pulse.operators.churn.features import CATEGORICAL, ID, LABEL, NUMERIC, churn_features, deterministic_score
+from pulse.plans.catalog import register
+from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
+                                HIGH_RISK_THRESHOLD)
+from pulse.sources.tables import Tables
+
+PREV_AS_OF = date(1999, 7, 1)
+RUN_TS = datetime(2000, 1, 1, 6, 0, 0)
+
+
+def _features(spark, sf_dir, as_of=CHURN_AS_OF):
+    return churn_features(Tables(spark, sf_dir), as_of, CHURN_SHORT_DAYS, CHURN_LONG_DAYS, CHURN_LABEL_DAYS)
+
+
+def _scored(spark, sf_dir, as_of=CHURN_AS_OF):
+    return deterministic_score(_features(spark, sf_dir, as_of))
+
+
+def _ts(d: date) -> str:
+    return f"timestamp '{d.isoformat()} 00:00:00'"
+
+
+def _features_sql(as_of: date) -> str:
+    s90 = _ts(as_of - timedelta(days=CHURN_SHORT_DAYS))
+    s365 = _ts(as_of - timedelta(days=CHURN_LONG_DAYS))
+    lab = _ts(as_of + timedelta(days=CHURN_LABEL_DAYS))
+    a = _ts(as_of)
+    return f"""
+SELECT c.c_custkey AS customer_id,
+  CASE WHEN c.c_custkey % 50 <> 0 THEN c.c_mktsegment END AS city,
+  CASE WHEN c.c_acctbal < 0 THEN 'low' WHEN c.c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS segment,
+  CASE c.c_custkey % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'plus' ELSE 'pro' END AS plan_type,
+  cast(c.c_custkey % 2 AS bigint) AS has_mobile_app,
+  coalesce(t.tx_90d, 0) AS tx_90d, coalesce(t.tx_365d, 0) AS tx_365d,
+  coalesce(t.revenue_365d, cast(0 AS double)) AS revenue_365d,
+  t.revenue_365d / nullif(t.tx_365d, 0) AS aov_365d,
+  t.days_since_last_tx,
+  l.avg_discount_365d, coalesce(l.tickets_365d, 0) AS tickets_365d,
+  cast(CASE WHEN f.customer_id IS NULL THEN 1 ELSE 0 END AS int) AS churn
+FROM customer c
+LEFT JOIN (
+  SELECT o_custkey AS customer_id,
+    count(CASE WHEN o_orderdate > {s90} THEN 1 END) AS tx_90d,
+    count(CASE WHEN o_orderdate > {s365} THEN 1 END) AS tx_365d,
+    cast(sum(CASE WHEN o_orderdate > {s365} THEN cast(o_totalprice AS decimal(18,2)) END) AS double) AS revenue_365d,
+    cast(date_diff('day', cast(max(o_orderdate) AS date), DATE '{as_of.isoformat()}') AS bigint) AS days_since_last_tx
+  FROM orders WHERE o_orderdate <= {a} GROUP BY o_custkey) t ON t.customer_id = c.c_custkey
+LEFT JOIN (
+  SELECT o.o_custkey AS customer_id,
+    cast(sum(cast(l_discount AS decimal(9,4))) AS double) / count(*) AS avg_discount_365d,
+    count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS tickets_365d
+  FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey
+  WHERE o_orderdate <= {a} AND o_orderdate > {s365}
+  GROUP BY o.o_custkey) l ON l.customer_id = c.c_custkey
+LEFT JOIN (
+  SELECT DISTINCT o_custkey AS customer_id FROM orders
+  WHERE o_orderdate > {a} AND o_orderdate <= {lab}) f
+  ON f.customer_id = c.c_custkey"""
+
+
+FEATURES_SQL = _features_sql(CHURN_AS_OF)
+_SCORE = "round(least(coalesce(days_since_last_tx, 999), 999) / cast(1000 AS double), 3) AS churn_probability"
+SCORED_CTE = f"f AS ({FEATURES_SQL}),\nsc AS (SELECT *, {_SCORE} FROM f)"
+_NUM_LONG = "\nUNION ALL ".join(f"SELECT '{c}' AS feature, cast({c} AS double) AS value FROM f" for c in NUMERIC)
+_CAT_LONG = "\nUNION ALL ".join(f"SELECT '{c}' AS feature, cast({c} AS varchar) AS value FROM f" for c in CATEGORICAL)
+_MEDIANS = f"""
+nl AS ({_NUM_LONG}),
+nr AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn,
+         count(*) OVER (PARTITION BY feature) AS n FROM nl WHERE value IS NOT NULL),
+med AS (SELECT feature, (min(value) + max(value)) / 2 AS median FROM nr
+        WHERE rn = (n + 1) // 2 OR rn = n // 2 + 1 GROUP BY feature)"""
+_MODES = f"""
+cl AS ({_CAT_LONG}),
+cc AS (SELECT feature, value, count(*) AS n FROM cl WHERE value IS NOT NULL GROUP BY 1, 2),
+modes AS (SELECT feature, value AS mode FROM (
+  SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) AS rn FROM cc) x
+  WHERE rn = 1)"""
+_IMPUTED = ",\n".join([
+    f"imp AS (SELECT customer_id, churn, "
+    + ", ".join(f"coalesce(cast({c} AS double), (SELECT median FROM med WHERE feature = '{c}')) AS {c}" for c in NUMERIC)
+    + ", "
+    + ", ".join(f"coalesce(cast({c} AS varchar), (SELECT mode FROM modes WHERE feature = '{c}')) AS {c}"
+                for c in CATEGORICAL)
+    + " FROM f)"])
+_SPLIT = """
+sp AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY substr(md5(cast(customer_id AS varchar) || '|42'), 1, 15),
+         customer_id) AS _rn, count(*) OVER (PARTITION BY churn) AS _n FROM sc),
+split AS (SELECT * EXCLUDE (_rn, _n), _rn <= round(cast(0.2 AS double) * _n) AS is_test FROM sp)"""
+
+
+@register("churn_features", "churn", FEATURES_SQL)
+def q_churn_features(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+@register("impute_numeric_median", "churn", f"WITH f AS ({FEATURES_SQL}),{_MEDIANS}\nSELECT feature, median FROM med")
+def q_impute_numeric_median(spark, sf_dir):
+    return prep.numeric_medians(_features(spark, sf_dir), NUMERIC)
+
+
+@register("impute_categorical_mode", "churn", f"WITH f AS ({FEATURES_SQL}),{_MODES}\nSELECT feature, mode FROM modes")
+def q_impute_categorical_mode(spark, sf_dir):
+    return prep.categorical_modes(_features(spark, sf_dir), CATEGORICAL)
+
+
+@register("churn_imputed", "churn", f"WITH f AS ({FEATURES_SQL}),{_MEDIANS},{_MODES},\n{_IMPUTED}\nSELECT * FROM imp")
+def q_churn_imputed(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return prep.impute(f.select(ID, LABEL, *NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL)
+
+
+_ONE_HOT_UNION = "\nUNION ALL ".join(
+    f"SELECT customer_id, '{c}=' || {c} AS feature, cast(1 AS double) AS value FROM imp" for c in CATEGORICAL)
+
+
+@register("one_hot", "churn", f"WITH f AS ({FEATURES_SQL}),{_MEDIANS},{_MODES},\n{_IMPUTED}\n{_ONE_HOT_UNION}")
+def q_one_hot(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    imp = prep.impute(f.select(ID, LABEL, *NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL)
+    return prep.one_hot_long(imp, ID, CATEGORICAL, prep.vocabulary(imp, CATEGORICAL))
+
+
+@register("stratified_split", "churn", f"WITH {SCORED_CTE},{_SPLIT}\nSELECT customer_id, churn, is_test FROM split")
+def q_stratified_split(spark, sf_dir):
+    return prep.stratified_split(_features(spark, sf_dir), ID, LABEL).select(ID, LABEL, "is_test")
+
+
+@register("class_weights", "churn", f"""WITH {SCORED_CTE},{_SPLIT},
+tr AS (SELECT churn, count(*) AS n FROM split WHERE NOT is_test GROUP BY 1)
+SELECT churn, n, cast((SELECT sum(n) FROM tr) AS double) / ((SELECT count(*) FROM tr) * n) AS weight FROM tr""")
+def q_class_weights(spark, sf_dir):
+    split = prep.stratified_split(_features(spark, sf_dir), ID, LABEL)
+    return prep.class_weights(split.filter(~split["is_test"]), LABEL)
+
+
+def _test_scored(spark, sf_dir):
+    sc = prep.stratified_split(_scored(spark, sf_dir), ID, LABEL)
+    return sc.filter(sc["is_test"])
+
+
+_TEST = f"WITH {SCORED_CTE},{_SPLIT},\nts AS (SELECT * FROM split WHERE is_test)"
+
+
+@register("roc_auc", "churn", _TEST + """,
+rk AS (SELECT churn, rank() OVER (ORDER BY churn_probability) AS r,
+         count(*) OVER (PARTITION BY churn_probability) AS t FROM ts)
+SELECT CASE WHEN sum(churn) > 0 AND sum(1 - churn) > 0 THEN
+  cast(sum(CASE WHEN churn = 1 THEN 2 * r + t - 1 ELSE 0 END) - sum(churn) * (sum(churn) + 1) AS double)
+  / (2.0 * sum(churn) * sum(1 - churn)) ELSE cast('nan' AS double) END AS roc_auc
+FROM rk""")
+def q_roc_auc(spark, sf_dir):
+    return cm.roc_auc(_test_scored(spark, sf_dir))
+
+
+_CONF = """,
+cf AS (SELECT count(*) FILTER (WHERE churn = 1 AND churn_probability >= 0.5) AS tp,
+              count(*) FILTER (WHERE churn <> 1 AND churn_probability >= 0.5) AS fp,
+              count(*) FILTER (WHERE churn = 1 AND churn_probability < 0.5) AS fn,
+              count(*) FILTER (WHERE churn <> 1 AND churn_probability < 0.5) AS tn FROM ts)"""
+
+
+@register("f1_at_half", "churn", _TEST + _CONF + """
+SELECT CASE WHEN tp + fn = 0 OR fp + tn = 0 THEN cast('nan' AS double)
+            WHEN 2 * tp + fp + fn > 0 THEN cast(2 * tp AS double) / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM cf""")
+def q_f1_at_half(spark, sf_dir):
+    return cm.f1_at_half(_test_scored(spark, sf_dir))
+
+
+def _div(n, d):
+    return f"CASE WHEN ({d}) > 0 THEN cast({n} AS double) / ({d}) ELSE 0.0 END"
+
+
+@register("classification_report", "churn", _TEST + _CONF + f""",
+m AS (SELECT {_div('tp', 'tp + fp')} AS p1, {_div('tp', 'tp + fn')} AS r1, {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
+             {_div('tn', 'tn + fn')} AS p0, {_div('tn', 'tn + fp')} AS r0, {_div('2 * tn', '2 * tn + fn + fp')} AS f0,
+             tp + fn AS n1, tn + fp AS n0, tp + fn + tn + fp AS n, {_div('tp + tn', 'tp + fn + tn + fp')} AS acc FROM cf)
+SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, cast(n0 AS bigint) AS support FROM m
+UNION ALL SELECT '1', p1, r1, f1, n1 FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, acc, n FROM m
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM m
+UNION ALL SELECT 'weighted avg', (p1 * n1 + p0 * n0) / n, (r1 * n1 + r0 * n0) / n, (f1 * n1 + f0 * n0) / n, n FROM m""")
+def q_classification_report(spark, sf_dir):
+    return cm.classification_report(_test_scored(spark, sf_dir))
+
+
+def _stats_sql(src: str, p: str = "") -> str:
+    """CTEs {p}x, {p}xr, {p}xm, {p}xmode, {p}st: distribution stats of churn_probability in ``src``."""
+    return f"""
+{p}x AS (SELECT churn_probability AS x FROM {src} WHERE churn_probability IS NOT NULL),
+{p}xr AS (SELECT x, row_number() OVER (ORDER BY x) AS rn, count(*) OVER () AS n FROM {p}x),
+{p}xm AS (SELECT (min(x) + max(x)) / 2 AS median FROM {p}xr WHERE rn = (n + 1) // 2 OR rn = n // 2 + 1),
+{p}xmode AS (SELECT v AS mode FROM (SELECT round_even(x, 3) AS v, count(*) AS c FROM {p}x GROUP BY 1) t
+          ORDER BY c DESC, v ASC LIMIT 1),
+{p}xmean AS (SELECT cast(sum(cast(x AS decimal(38,18))) AS double) / count(*) AS mean FROM {p}x),
+{p}st AS (SELECT (SELECT mean FROM {p}xmean) AS mean, (SELECT median FROM {p}xm) AS median,
+         (SELECT mode FROM {p}xmode) AS mode,
+         CASE WHEN count(*) > 1 THEN sqrt(cast(sum(cast((x - (SELECT mean FROM {p}xmean)) * (x - (SELECT mean FROM {p}xmean))
+              AS decimal(38,18))) AS double) / (count(*) - 1)) ELSE 0.0 END AS std,
+         min(x) AS min, max(x) AS max, count(*) AS count FROM {p}x)"""
+
+
+@register("risk_distribution_stats", "churn", f"WITH {SCORED_CTE},{_stats_sql('sc')}\nSELECT * FROM st WHERE count > 0")
+def q_risk_distribution_stats(spark, sf_dir):
+    return cm.risk_distribution_stats(_scored(spark, sf_dir))
+
+
+def _prev_scores_sql(as_of: date) -> str:
+    return f"""
+SELECT c_custkey AS customer_id,
+  round(least(coalesce(cast(date_diff('day', cast(t.last_tx AS date), DATE '{as_of.isoformat()}') AS bigint), 999), 999)
+        / cast(1000 AS double), 3) AS churn_probability
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_tx FROM orders
+                         WHERE o_orderdate <= {_ts(as_of)} GROUP BY 1) t ON t.o_custkey = c_custkey"""
+
+
+@register("risk_stats_vs_previous", "churn", f"""WITH
+cur AS ({_prev_scores_sql(CHURN_AS_OF)}),
+prv AS ({_prev_scores_sql(PREV_AS_OF)}),
+{_stats_sql('cur', 'c_').strip()},
+{_stats_sql('prv', 'p_').strip()},
+cl AS (UNPIVOT (SELECT mean, median, mode, std, min, max, cast(count AS double) AS count FROM c_st)
+       ON mean, median, mode, std, min, max, count INTO NAME metric VALUE current),
+pl AS (UNPIVOT (SELECT mean, median, mode, std, min, max, cast(count AS double) AS count FROM p_st)
+       ON mean, median, mode, std, min, max, count INTO NAME metric VALUE previous)
+SELECT coalesce(cl.metric, pl.metric) AS metric, cl.current, pl.previous
+FROM cl FULL JOIN pl ON cl.metric = pl.metric""")
+def q_risk_stats_vs_previous(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    from pulse.operators.churn.features import last_order_score
+    return cm.risk_stats_vs_previous(last_order_score(t, CHURN_AS_OF), last_order_score(t, PREV_AS_OF))
+
+
+_STEPS = sorted(m * 10.0 ** k for k in range(-6, 7) for m in (1, 2, 5))
+
+
+@register("risk_histogram", "churn", f"""WITH {SCORED_CTE},
+rng AS (SELECT max(churn_probability) - min(churn_probability) AS span FROM sc),
+stp AS (SELECT CASE WHEN span > 0 THEN coalesce(
+          (SELECT min(s) FROM (SELECT unnest({_STEPS!r}::DOUBLE[]) AS s) c WHERE span / s <= 28), {_STEPS[-1]!r})
+        ELSE 1.0 END AS step FROM rng)
+SELECT floor(churn_probability / step) * step AS bin_start, floor(churn_probability / step) * step + step AS bin_end,
+  count(*) AS customers
+FROM sc CROSS JOIN stp WHERE churn_probability IS NOT NULL GROUP BY 1, 2""")
+def q_risk_histogram(spark, sf_dir):
+    return cm.risk_histogram(_scored(spark, sf_dir))
+
+
+@register("risk_kpis", "churn", f"""WITH {SCORED_CTE},{_stats_sql('sc')}
+SELECT count(*) AS users, count(*) FILTER (WHERE churn_probability >= {HIGH_RISK_THRESHOLD}) AS high_risk,
+  (SELECT mean FROM xmean) AS mean_risk, (SELECT median FROM xm) AS median_risk FROM sc""")
+def q_risk_kpis(spark, sf_dir):
+    return cm.risk_kpis(_scored(spark, sf_dir), HIGH_RISK_THRESHOLD)
+
+
+@register("risk_ranking", "churn", f"""WITH {SCORED_CTE}
+SELECT * FROM sc ORDER BY churn_probability DESC, customer_id ASC LIMIT 20""")
+def q_risk_ranking(spark, sf_dir):
+    return cm.risk_ranking(_scored(spark, sf_dir), 20)
+
+
+@register("alerts_top_n", "churn", f"""WITH {SCORED_CTE}
+SELECT customer_id, city, segment, plan_type, churn_probability, TIMESTAMP '{RUN_TS.isoformat(sep=' ')}' AS run_ts
+FROM sc ORDER BY churn_probability DESC, customer_id ASC LIMIT 500""")
+def q_alerts_top_n(spark, sf_dir):
+    return cm.alerts_top_n(_scored(spark, sf_dir), RUN_TS, 500)
