@@ -29,28 +29,32 @@ def _confusion(scored: DataFrame, label: str, prob: str, threshold: float = 0.5)
                       F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
-def roc_auc(scored: DataFrame, label: str = "churn", prob: str = "churn_probability") -> DataFrame:
-    """One row ``roc_auc``; NaN when only one class is present."""
-    s = scored.select(F.col(label).cast("int").alias("y"), F.col(prob).cast("double").alias("s")) \
+def roc_auc(scored: DataFrame, label: str = "churn", prob: str = "churn_probability",
+            group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """``roc_auc`` (one row, or one per group); NaN when only one class is present."""
+    g = list(group_cols)
+    s = scored.select(*g, F.col(label).cast("int").alias("y"), F.col(prob).cast("double").alias("s")) \
               .filter(F.col("s").isNotNull())
-    per_value = s.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    rng = per_value.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    per_value = s.groupBy(*g, "s").agg(F.count_if(F.col("y") == 1).alias("pos"),
+                                       F.count_if(F.col("y") != 1).alias("neg"))
+    rng = per_value.groupBy(*g).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     b = F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1))
-    bucketed = per_value.crossJoin(one_row(rng)).withColumn(
-        "b", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)).cast("int"))
-    # negatives in lower buckets: window over at most AUC_BUCKETS rows
-    per_bucket = bucketed.groupBy("b").agg(F.sum("neg").alias("bneg"))
-    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    lower = per_bucket.select("b", F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_lower"))
+    joined = per_value.crossJoin(one_row(rng)) if not g else per_value.join(F.broadcast(rng), g)
+    bucketed = joined.withColumn("b", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)).cast("int"))
+    # negatives in lower buckets: window over at most AUC_BUCKETS rows per group
+    per_bucket = bucketed.groupBy(*g, "b").agg(F.sum("neg").alias("bneg"))
+    wb = Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    lower = per_bucket.select(*g, "b", F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("neg_lower"))
     # negatives below inside the same bucket: window over the bucket's distinct scores
-    wi = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    wi = Window.partitionBy(*g, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     inner = bucketed.withColumn("neg_inner", F.coalesce(F.sum("neg").over(wi), F.lit(0)))
     # 2 * (sum of average ranks of positives) - n1 (n1 + 1) = sum pos * (2 * neg_below + neg)
-    num2 = (inner.join(F.broadcast(lower), "b")
+    num2 = (inner.join(lower, [*g, "b"])
+            .groupBy(*g)
             .agg(F.sum(F.col("pos") * (2 * (F.col("neg_lower") + F.col("neg_inner")) + F.col("neg"))).alias("num2"),
                  F.sum("pos").alias("n1"), F.sum("neg").alias("n0")))
-    return num2.select(F.when((F.col("n1") > 0) & (F.col("n0") > 0),
-                              F.col("num2").cast("double") / (F.lit(2.0) * F.col("n1") * F.col("n0")))
+    return num2.select(*g, F.when((F.col("n1") > 0) & (F.col("n0") > 0),
+                                  F.col("num2").cast("double") / (F.lit(2.0) * F.col("n1") * F.col("n0")))
                        .otherwise(F.lit(float("nan"))).alias("roc_auc"))
 
 

@@ -272,3 +272,54 @@ SELECT customer_id, city, segment, plan_type, churn_probability, TIMESTAMP '{RUN
 FROM sc ORDER BY churn_probability DESC, customer_id ASC LIMIT 500""")
 def q_alerts_top_n(spark, sf_dir):
     return cm.alerts_top_n(_scored(spark, sf_dir), RUN_TS, 500)
+
+
+# ---- Spark ML (rows-only checks: tree fitting is not SQL) ------------------------------------
+# The registered runs use 50 trees of depth 8 to keep the driver's check short; the
+# library default is the source's 500 trees.
+ML_TREES, ML_DEPTH = 50, 8
+_MODEL_CACHE: dict = {}
+
+
+def _model(spark, sf_dir):
+    from pulse.operators.churn.model import train_forest
+    key = (id(spark), sf_dir)
+    if key not in _MODEL_CACHE:
+        f = _features(spark, sf_dir)
+        _MODEL_CACHE[key] = train_forest(f, NUMERIC, CATEGORICAL, LABEL, ID, num_trees=ML_TREES, max_depth=ML_DEPTH)
+    return _MODEL_CACHE[key]
+
+
+@register("train_metrics", "churn", None)
+def q_train_metrics(spark, sf_dir):
+    from pulse.operators.churn.model import train_metrics
+    return train_metrics(spark, _model(spark, sf_dir))
+
+
+@register("score_customers", "churn", None)
+def q_score_customers(spark, sf_dir):
+    from pulse.operators.churn.model import score
+    return score(_model(spark, sf_dir), _features(spark, sf_dir))
+
+
+@register("model_risk_ranking", "churn", None)
+def q_model_risk_ranking(spark, sf_dir):
+    from pulse.operators.churn.model import score
+    return cm.risk_ranking(score(_model(spark, sf_dir), _features(spark, sf_dir)), 20)
+
+
+@register("feature_importance", "churn", None)
+def q_feature_importance(spark, sf_dir):
+    from pulse.operators.churn.model import permutation_importance
+    m = _model(spark, sf_dir)
+    split = prep.stratified_split(_features(spark, sf_dir), ID, LABEL)
+    return permutation_importance(m, split.filter(split["is_test"]).drop("is_test"), n_repeats=1)
+
+
+@register("retrain_on_filter", "churn", None)
+def q_retrain_on_filter(spark, sf_dir):
+    from pulse.operators.churn.model import retrain_on_filter
+    _, info = retrain_on_filter(_features(spark, sf_dir), {"segment": ["mid", "high"], "city": []},
+                                num_cols=NUMERIC, cat_cols=CATEGORICAL, label_col=LABEL, id_col=ID,
+                                num_trees=ML_TREES, max_depth=ML_DEPTH)
+    return info
