@@ -74,7 +74,8 @@ def find_table_by_columns(meta: DataFrame, table_hints: list[str], required: lis
     schema_rank = F.lit(len(schema_priority))
     for i, s in reversed(list(enumerate(schema_priority))):
         schema_rank = F.when(F.col("table_schema") == s, F.lit(i)).otherwise(schema_rank)
-    return (having.orderBy(hint_rank, schema_rank, "table_schema", "table_name")
+    return (having.withColumn("_hint", hint_rank).withColumn("_schema", schema_rank)
+            .orderBy("_hint", "_schema", "table_schema", "table_name")
             .select("table_schema", "table_name").limit(1))
 
 
