@@ -25,6 +25,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulse.session import materialize
+
 GRID = [i / 1000 for i in range(1001)]
 ACCURACY = 20000
 CAP = 200_000
@@ -36,11 +38,13 @@ def _bounds_frame(spark, bounds: dict, gtype: str, vtype: str) -> DataFrame:
     return spark.createDataFrame(rows, f"_g {gtype}, _lo {vtype}, _hi {vtype}, _below long")
 
 
-def order_statistics(df: DataFrame, group_col: str, value_col: str, ranks: dict) -> DataFrame:
+def order_statistics(df: DataFrame, group_col: str, value_col: str, ranks: dict,
+                     counts: dict | None = None) -> DataFrame:
     """Exact k-th smallest non-null ``value_col`` per group (1-based ranks).
 
     ``ranks`` maps group value -> list of wanted ranks.  Returns (group, k, value).
-    Ties are handled: the k-th smallest of a multiset.
+    Ties are handled: the k-th smallest of a multiset.  ``counts`` (non-null values
+    per group), when the caller has them, lets small groups skip the sketch pass.
     """
     spark = df.sparkSession
     if len(ranks) > MAX_GROUPS:
@@ -54,6 +58,8 @@ def order_statistics(df: DataFrame, group_col: str, value_col: str, ranks: dict)
     state = {g: {"lo": None, "hi": None, "below": 0} for g in ranks}
     done_const: dict = {}
     pending = set(ranks)
+    if counts is not None:
+        pending = {g for g in pending if counts.get(g, 0) > CAP}
     for _ in range(12):
         if not pending:
             break
@@ -137,8 +143,10 @@ def medians(df: DataFrame, cols: list[str]) -> DataFrame:
     Columns are stacked into a (feature, value) long form and solved together.
     """
     spark = df.sparkSession
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                         for c in cols])).alias("kv")).select("kv.feature", "kv.value")
+    long = materialize(
+        df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                      for c in cols])).alias("kv"))
+        .select("kv.feature", "kv.value").filter(F.col("value").isNotNull()))
     counts = {r["feature"]: r["n"] for r in
               long.filter(F.col("value").isNotNull()).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranks = {}
@@ -148,7 +156,7 @@ def medians(df: DataFrame, cols: list[str]) -> DataFrame:
             ranks[c] = sorted({(n + 1) // 2, n // 2 + 1})
     if not ranks:
         return spark.createDataFrame([(c, None) for c in cols], "feature string, median double")
-    st = order_statistics(long, "feature", "value", ranks)
+    st = order_statistics(long, "feature", "value", ranks, counts)
     med = st.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
     allf = spark.createDataFrame([(c,) for c in cols], "feature string")
     return allf.join(med, "feature", "left")

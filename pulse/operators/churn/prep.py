@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.stats import medians, order_statistics
 from pulse.operators.common import one_row
+from pulse.session import materialize
 
 
 def numeric_medians(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -96,14 +97,14 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction:
     at the threshold are ordered by id.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("_key", split_key(id_col, seed))
+    keyed = materialize(df.withColumn("_key", split_key(id_col, seed)))
     n_by = {r[label_col]: r["n"] for r in keyed.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     need = {lab: int(_round_half_up(test_fraction * n)) for lab, n in n_by.items()}
     ranks = {lab: [k] for lab, k in need.items() if k > 0}
     ltype = keyed.schema[label_col].dataType.simpleString()
     if not ranks:
         return keyed.drop("_key").withColumn("is_test", F.lit(False))
-    th = order_statistics(keyed, label_col, "_key", ranks).select(label_col, F.col("_key").alias("_t"))
+    th = order_statistics(keyed, label_col, "_key", ranks, n_by).select(label_col, F.col("_key").alias("_t"))
     # rows strictly below the threshold are in; ties at the threshold fill the remainder by id
     below = (keyed.join(F.broadcast(th), label_col).groupBy(label_col)
              .agg(F.count_if(F.col("_key") < F.col("_t")).alias("_lt")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulse.session import prepare
 from pulse.sources.marts import Marts, events_mart, sales_mart
+from pulse.sources.tables import Tables
 
 
 @dataclasses.dataclass(frozen=True)
@@ -27,9 +28,34 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
+# Lazy plans (not data) of the marts and raw tables, reused across queries of one
+# application and data folder, like prepared statements: building and analysing a
+# DataFrame costs driver time, and the plans do not change between queries.
+_PLANS: dict = {}
+
+
+def _key(spark: SparkSession, sf_dir: str, kind: str):
+    return (spark.sparkContext.applicationId, sf_dir, kind)
+
+
 def marts(spark: SparkSession, sf_dir: str, kind: str) -> Marts:
     prepare(spark)
-    return (events_mart if kind == "events" else sales_mart)(spark, sf_dir).live()
+    k = _key(spark, sf_dir, kind)
+    if k not in _PLANS:
+        _PLANS[k] = (events_mart if kind == "events" else sales_mart)(spark, sf_dir).live()
+    return _PLANS[k]
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    prepare(spark)
+    k = _key(spark, sf_dir, "tables")
+    if k not in _PLANS:
+        _PLANS[k] = Tables(spark, sf_dir)
+    return _PLANS[k]
+
+
+def clear_plans() -> None:
+    _PLANS.clear()
 
 
 def register(name: str, group: str, oracle: str | None, mart: str | None = None):

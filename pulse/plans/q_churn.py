@@ -8,17 +8,16 @@ from datetime import date, datetime, timedelta
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.operators.churn.features import CATEGORICAL, ID, LABEL, NUMERIC, churn_features, deterministic_score
-from pulse.plans.catalog import register
+from pulse.plans.catalog import marts, register, tables
 from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
                                 HIGH_RISK_THRESHOLD)
-from pulse.sources.tables import Tables
 
 PREV_AS_OF = date(1999, 7, 1)
 RUN_TS = datetime(2000, 1, 1, 6, 0, 0)
 
 
 def _features(spark, sf_dir, as_of=CHURN_AS_OF):
-    return churn_features(Tables(spark, sf_dir), as_of, CHURN_SHORT_DAYS, CHURN_LONG_DAYS, CHURN_LABEL_DAYS)
+    return churn_features(tables(spark, sf_dir), as_of, CHURN_SHORT_DAYS, CHURN_LONG_DAYS, CHURN_LABEL_DAYS)
 
 
 def _scored(spark, sf_dir, as_of=CHURN_AS_OF):
@@ -234,7 +233,7 @@ pl AS (UNPIVOT (SELECT mean, median, mode, std, min, max, cast(count AS double)
 SELECT coalesce(cl.metric, pl.metric) AS metric, cl.current, pl.previous
 FROM cl FULL JOIN pl ON cl.metric = pl.metric""")
 def q_risk_stats_vs_previous(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = tables(spark, sf_dir)
     from pulse.operators.churn.features import last_order_score
     return cm.risk_stats_vs_previous(last_order_score(t, CHURN_AS_OF), last_order_score(t, PREV_AS_OF))
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pulse.operators import experiments as ab
-from pulse.plans.catalog import register
+from pulse.plans.catalog import marts, register, tables
 from pulse.plans.sqltext import EVENTS_MART, with_mart
-from pulse.sources.tables import Tables
 
 _FACTS = """
 facts AS (
@@ -42,15 +41,14 @@ f AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant FROM
 
 @register("ab_test_summary", "experiments", _SUMMARY)
 def ab_test_summary(spark, sf_dir):
-    return ab.ab_test_summary(Tables(spark, sf_dir).events)
+    return ab.ab_test_summary(tables(spark, sf_dir).events)
 
 
 @register("ab_summary_by_dim", "experiments", with_mart(EVENTS_MART, _FACTS + """,
 f AS (SELECT x.*, CASE WHEN x.user_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant, u.acquisition_channel AS dim
       FROM facts x LEFT JOIN mu u ON u.user_id = x.user_id)""", _summary_select("variant, dim")))
 def ab_summary_by_dim(spark, sf_dir):
-    from pulse.sources.marts import events_mart
-    return ab.ab_summary_by_dim(Tables(spark, sf_dir).events, events_mart(spark, sf_dir).users,
+    return ab.ab_summary_by_dim(tables(spark, sf_dir).events, marts(spark, sf_dir, "events").users,
                                 "acquisition_channel")
 
 
@@ -63,4 +61,4 @@ SELECT a.metric, a.value AS control, b.value AS treatment, b.value - a.value AS
   CASE WHEN a.value <> 0 THEN (b.value - a.value) / a.value ELSE 0.0 END AS rel_lift
 FROM l a JOIN l b ON a.metric = b.metric AND a.variant = 'A' AND b.variant = 'B'""")
 def ab_lift(spark, sf_dir):
-    return ab.ab_lift(ab.ab_test_summary(Tables(spark, sf_dir).events))
+    return ab.ab_lift(ab.ab_test_summary(tables(spark, sf_dir).events))

@@ -67,3 +67,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def materialize(df):
+    """Cut the lineage of an input that a multi-pass algorithm reads several times.
+
+    With a shared checkpoint folder (``spark.checkpoint.dir``) the data is written
+    there (``checkpoint``), so passes survive lost executors without recomputing
+    the upstream joins; without one it is persisted (memory, spilling to disk).
+    """
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    out = df.persist()
+    out.count()
+    return out
