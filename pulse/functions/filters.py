@@ -143,3 +143,10 @@ def _and(parts: list[Column]) -> Column | None:
 def where(df, pred: Column | None):
     """Apply an optional predicate."""
     return df if pred is None else df.filter(pred)
+
+
+def filter_in(df, selections: dict):
+    """Row filter on a table: ``col IN (values)`` for each column that exists and whose
+    list is non-empty (empty list or missing column = no filter)."""
+    parts = [F.col(c).isin(list(v)) for c, v in selections.items() if v and c in df.columns]
+    return where(df, _and(parts))

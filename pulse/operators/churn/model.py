@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
+from pulse.functions.filters import filter_in
 from pulse.session import checkpoint_dir
 
 
@@ -167,9 +168,7 @@ def permutation_importance(model: ChurnModel, test: DataFrame, n_repeats: int =
 def retrain_on_filter(df: DataFrame, filters: dict[str, list[str]], **train_kw) -> tuple[ChurnModel, DataFrame]:
     """Train on the population passing ``filters`` (empty list = no filter) and report the
     metrics with the filters used (kept as the next run's "previous" population)."""
-    from functools import reduce
-    preds = [F.col(c).isin(v) for c, v in filters.items() if v and c in df.columns]
-    pop = df.filter(reduce(lambda a, b: a & b, preds)) if preds else df
+    pop = filter_in(df, filters)
     model = train_forest(pop, **train_kw)
     m = model.metrics
     info = df.sparkSession.createDataFrame(

@@ -151,3 +151,10 @@ def test_share_top8_others(spark):
     rows = {r["series"]: (r["share"], r["value"]) for r in share_top_n_others(df, "v", "series", 8).collect()}
     assert len(rows) == 9 and rows["Otros"][1] == 3.0  # s8 (2) + s9 (1)
     assert sum(s for s, _ in rows.values()) == pytest.approx(1.0)
+
+
+def test_filter_in_ignores_empty_and_missing(spark):
+    from pulse.functions.filters import filter_in
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "x")], "city string, segment string")
+    assert filter_in(df, {"city": [], "segment": ["x"], "plan_type": ["pro"]}).count() == 2
+    assert filter_in(df, {"city": ["a"]}).count() == 1
