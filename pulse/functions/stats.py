@@ -143,10 +143,12 @@ def medians(df: DataFrame, cols: list[str]) -> DataFrame:
     Columns are stacked into a (feature, value) long form and solved together.
     """
     spark = df.sparkSession
-    long = materialize(
-        df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                      for c in cols])).alias("kv"))
-        .select("kv.feature", "kv.value").filter(F.col("value").isNotNull()))
+    # The narrow projection is materialised once (passes re-read it); the long form is
+    # a cheap explode on top of it.
+    src = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    long = (src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
+                                           for c in cols])).alias("kv"))
+            .select("kv.feature", "kv.value").filter(F.col("value").isNotNull()))
     counts = {r["feature"]: r["n"] for r in
               long.filter(F.col("value").isNotNull()).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranks = {}
