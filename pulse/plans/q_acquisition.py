@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pulse.operators import acquisition as acq
 from pulse.plans.catalog import register
-from pulse.plans.params import P1, P1_CAT, P1_F2
+from pulse.plans.params import P1, P1_CAT, P1_F2, P4
 from pulse.plans.sqltext import EVENTS_MART, between, calendar, d, lst, user_where, with_mart
 
 UW = user_where(P1)
@@ -46,10 +46,10 @@ def new_users_vs_prev(m):
     return acq.new_users_vs_prev(m, P1)
 
 
-def _daily_sql(a, b):
+def _daily_sql(a, b, uw=UW):
     return f"""
 daily AS (SELECT cast(u.created_at AS date) AS day, count(*) AS new_users FROM mu u
-          WHERE {between('u.created_at', a, b)}{UW} GROUP BY 1),
+          WHERE {between('u.created_at', a, b)}{uw} GROUP BY 1),
 cal AS ({calendar(a, b)}),
 dense AS (SELECT c.day AS day, cast(coalesce(d.new_users, 0) AS bigint) AS new_users
           FROM cal c LEFT JOIN daily d USING (day))"""
@@ -61,6 +61,13 @@ def new_users_daily(m):
     return acq.new_users_daily(m, P1)
 
 
+@register("new_users_daily_empty_range", "acquisition",
+          with_mart(EVENTS_MART, _daily_sql(P4.date_from, P4.date_to, user_where(P4)), "SELECT day, new_users FROM dense"),
+          mart="events")
+def new_users_daily_empty_range(m):
+    return acq.new_users_daily(m, P4)
+
+
 @register("new_users_daily_extended", "acquisition", with_mart(EVENTS_MART, _daily_sql(EXT_START, D2),
                                                                "SELECT day, new_users FROM dense"), mart="events")
 def new_users_daily_extended(m):

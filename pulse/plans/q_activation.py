@@ -8,7 +8,7 @@ from pulse.functions.dates import month_bounds
 from pulse.functions.filters import Dim
 from pulse.operators import activation as act
 from pulse.plans.catalog import register
-from pulse.plans.params import P1, P1_CAT, P1_F0, P2
+from pulse.plans.params import P1, P1_CAT, P1_F0, P2, P4
 from pulse.plans.sqltext import EVENTS_MART, between, calendar, d, lst, order_where, user_where, with_mart
 
 UW = user_where(P1)
@@ -216,3 +216,14 @@ SELECT k.dim, k.active_users,
 FROM kept k CROSS JOIN den d"""), mart="events")
 def active_users_share_top8(m):
     return act.active_users_share_top8(m, P1_F0, Dim.CITY)
+
+
+@register("dau_by_dim_empty_range", "activation", with_mart(EVENTS_MART, _dim_daily(P4) + """,
+series_list AS (SELECT DISTINCT series FROM by_dim)""", """
+SELECT c.day AS day, 'Total' AS series, cast(coalesce(t.value, 0) AS bigint) AS value
+FROM cal c LEFT JOIN total_daily t USING (day)
+UNION ALL
+SELECT c.day AS day, s.series AS series, cast(coalesce(b.value, 0) AS bigint) AS value
+FROM cal c CROSS JOIN series_list s LEFT JOIN by_dim b ON b.day = c.day AND b.series = s.series"""), mart="events")
+def dau_by_dim_empty_range(m):
+    return act.dau_by_dim(m, P4)
