@@ -39,17 +39,20 @@ def _bounds_frame(spark, bounds: dict, gtype: str, vtype: str) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, group_col: str, value_col: str, ranks: dict,
-                     counts: dict | None = None) -> DataFrame:
+                     counts: dict | None = None, tiebreak_col: str | None = None) -> DataFrame:
     """Exact k-th smallest non-null ``value_col`` per group (1-based ranks).
 
     ``ranks`` maps group value -> list of wanted ranks.  Returns (group, k, value).
     Ties are handled: the k-th smallest of a multiset.  ``counts`` (non-null values
     per group), when the caller has them, lets small groups skip the sketch pass.
+    ``tiebreak_col`` orders equal values (the result then also carries it), so the
+    k-th row of the order (value, tiebreak) is returned.
     """
     spark = df.sparkSession
     if len(ranks) > MAX_GROUPS:
         raise ValueError("too many groups for window narrowing; use a per-group aggregate")
-    base = df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_x")).filter(F.col("_x").isNotNull())
+    tb = [F.col(tiebreak_col).alias("_tb")] if tiebreak_col else []
+    base = df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_x"), *tb).filter(F.col("_x").isNotNull())
     gtype = base.schema["_g"].dataType.simpleString()
     vtype = base.schema["_x"].dataType.simpleString()
     numeric = vtype in ("double", "float", "bigint", "int", "smallint", "tinyint") or vtype.startswith("decimal")
@@ -112,17 +115,27 @@ def order_statistics(df: DataFrame, group_col: str, value_col: str, ranks: dict,
         win = _window(base, state, set(rest), gtype, vtype)
         bf = _bounds_frame(spark, rest, gtype, vtype).select("_g", "_below")
         from pyspark.sql import Window
+        order = ["_x", "_tb"] if tiebreak_col else ["_x"]
         ranked = (win.join(F.broadcast(bf), "_g")
-                  .withColumn("_k", F.col("_below") + F.row_number().over(Window.partitionBy("_g").orderBy("_x"))))
+                  .withColumn("_k", F.col("_below") + F.row_number().over(Window.partitionBy("_g").orderBy(*order))))
         want = spark.createDataFrame([(g, int(k)) for g in rest for k in ranks[g]], f"_g {gtype}, _k long")
-        parts.append(ranked.join(F.broadcast(want), ["_g", "_k"]).select("_g", "_k", "_x"))
+        parts.append(ranked.join(F.broadcast(want), ["_g", "_k"]).select("_g", "_k", "_x", *(["_tb"] if tiebreak_col else [])))
     if done_const:
-        parts.append(spark.createDataFrame([(g, int(k), v) for g, v in done_const.items() for k in ranks[g]],
-                                           f"_g {gtype}, _k long, _x {vtype}"))
+        if tiebreak_col:
+            # all values equal: the k-th row is the k-th tiebreak value (bounded rank below)
+            sub = _window(base, state, set(done_const), gtype, vtype)
+            from pyspark.sql import Window as W
+            r = sub.withColumn("_k", F.row_number().over(W.partitionBy("_g").orderBy("_tb")))
+            want = spark.createDataFrame([(g, int(k)) for g in done_const for k in ranks[g]], f"_g {gtype}, _k long")
+            parts.append(r.join(F.broadcast(want), ["_g", "_k"]).select("_g", "_k", "_x", "_tb"))
+        else:
+            parts.append(spark.createDataFrame([(g, int(k), v) for g, v in done_const.items() for k in ranks[g]],
+                                               f"_g {gtype}, _k long, _x {vtype}"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.col("_g").alias(group_col), F.col("_k").alias("k"), F.col("_x").alias(value_col))
+    extra = [F.col("_tb").alias(tiebreak_col)] if tiebreak_col else []
+    return out.select(F.col("_g").alias(group_col), F.col("_k").alias("k"), F.col("_x").alias(value_col), *extra)
 
 
 def _window(base: DataFrame, state: dict, groups: set, gtype: str, vtype: str) -> DataFrame:
@@ -132,8 +145,9 @@ def _window(base: DataFrame, state: dict, groups: set, gtype: str, vtype: str) -
         return sub
     bf = _bounds_frame(base.sparkSession, bounded, gtype, vtype)
     j = sub.join(F.broadcast(bf), "_g", "left")
+    keep = [c for c in ("_g", "_x", "_tb") if c in base.columns]
     return j.filter(F.col("_lo").isNull() | ((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))) \
-            .select("_g", "_x")
+            .select(*keep)
 
 
 def medians(df: DataFrame, cols: list[str]) -> DataFrame:

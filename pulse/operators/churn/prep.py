@@ -92,33 +92,22 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction:
                      seed: int = 42) -> DataFrame:
     """Adds ``is_test``: per class, the round(test_fraction * n_class) rows first in seeded hash order.
 
-    The per-class threshold is the exact k-th smallest hash (order statistics by
-    window narrowing), so each class is cut with counts only; rows tied on the hash
-    at the threshold are ordered by id.
+    The per-class threshold is the exact k-th row in (hash, id) order (order
+    statistics by window narrowing), so each class is cut with counts only and one
+    comparison per row; ties on the hash are ordered by id.
     """
-    spark = df.sparkSession
     keyed = materialize(df.withColumn("_key", split_key(id_col, seed)))
     n_by = {r[label_col]: r["n"] for r in keyed.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     need = {lab: int(_round_half_up(test_fraction * n)) for lab, n in n_by.items()}
     ranks = {lab: [k] for lab, k in need.items() if k > 0}
-    ltype = keyed.schema[label_col].dataType.simpleString()
     if not ranks:
         return keyed.drop("_key").withColumn("is_test", F.lit(False))
-    th = order_statistics(keyed, label_col, "_key", ranks, n_by).select(label_col, F.col("_key").alias("_t"))
-    # rows strictly below the threshold are in; ties at the threshold fill the remainder by id
-    below = (keyed.join(F.broadcast(th), label_col).groupBy(label_col)
-             .agg(F.count_if(F.col("_key") < F.col("_t")).alias("_lt")))
-    want = spark.createDataFrame([(lab, k) for lab, k in need.items()], f"{label_col} {ltype}, _need long")
-    meta = th.join(below, label_col).join(want, label_col)  # one row per class
-    tagged = keyed.join(F.broadcast(meta), label_col, "left")
-    ties = tagged.filter(F.col("_key") == F.col("_t"))
-    from pyspark.sql import Window
-    tie_rank = ties.select(id_col, label_col, F.row_number().over(
-        Window.partitionBy(label_col).orderBy(id_col)).alias("_tr"))
-    out = tagged.join(tie_rank, [id_col, label_col], "left")
-    is_test = (F.col("_key") < F.col("_t")) | ((F.col("_key") == F.col("_t")) &
-                                               (F.col("_tr") <= F.col("_need") - F.col("_lt")))
-    return out.select(*df.columns, F.coalesce(is_test, F.lit(False)).alias("is_test"))
+    # k-th row of the order (hash, id) per class: everything up to it is the test set
+    th = (order_statistics(keyed, label_col, "_key", ranks, n_by, tiebreak_col=id_col)
+          .select(label_col, F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")).alias("_t")))
+    tagged = keyed.join(F.broadcast(th), label_col, "left")  # one row per class
+    is_test = F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")) <= F.col("_t")
+    return tagged.select(*df.columns, F.coalesce(is_test, F.lit(False)).alias("is_test"))
 
 
 def _round_half_up(x: float) -> float:

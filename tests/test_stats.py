@@ -33,3 +33,20 @@ def test_medians_match_numpy(spark, monkeypatch):
     med = {r["feature"]: r["median"] for r in stats.medians(df, ["x", "y"]).collect()}
     assert med["x"] == np.median(x)
     assert med["y"] == np.median(y)
+
+
+@pytest.mark.parametrize("cap", [30, 1_000_000])
+def test_order_statistics_with_tiebreak(spark, monkeypatch, cap):
+    monkeypatch.setattr(stats, "CAP", cap)
+    rng = np.random.default_rng(5)
+    vals = rng.integers(0, 4, size=600)             # heavy ties on the value
+    ids = rng.permutation(600)
+    rows = [("g", int(v), int(i)) for v, i in zip(vals, ids)] + [("c", 7, int(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, x long, id long")
+    ranks = {"g": [1, 123, 300, 600], "c": [1, 17]}
+    got = {(r["g"], r["k"]): (r["x"], r["id"]) for r in
+           stats.order_statistics(df, "g", "x", ranks, tiebreak_col="id").collect()}
+    order = sorted((int(v), int(i)) for v, i in zip(vals, ids))
+    for k in ranks["g"]:
+        assert got[("g", k)] == order[k - 1]
+    assert got[("c", 17)] == (7, 16)
