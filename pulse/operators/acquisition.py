@@ -136,13 +136,13 @@ def new_users_by_dim_true_total(m: Marts, spec: FilterSpec) -> DataFrame:
     return new_users_by_dim(m, spec, "true")
 
 
-def first_order_tags(m: Marts, spec: FilterSpec) -> DataFrame:
+def first_order_tags(m: Marts, spec: FilterSpec, users: DataFrame | None = None) -> DataFrame:
     """(user_id, fo_category, fo_status) of each user's first order in range.
 
     The vendor is left-joined, so a first order without a known vendor has a NULL
     category (reported as 'Sin compra').
     """
-    fo = first_order_in_range(m, spec.date_from, spec.date_to)
+    fo = first_order_in_range(m, spec.date_from, spec.date_to, users)
     v = m.vendors.select(F.col("vendor_id").alias("fo_vendor_id"), F.col("category").alias("fo_category"))
     return fo.join(v, "fo_vendor_id", "left").select(
         "user_id", F.col("fo_category").cast("string").alias("fo_category"),
@@ -159,7 +159,7 @@ def new_users_by_first_order_dim(m: Marts, spec: FilterSpec) -> DataFrame:
     if not dim.is_order_dim or not vals:
         return _total_only(m, spec)
     su = signups(m, spec).select("user_id", "day")
-    fo = first_order_tags(m, spec)
+    fo = first_order_tags(m, spec, su)
     tagged = su.join(fo, "user_id", "left").select(
         "user_id", "day", F.coalesce(first_order_series(dim), F.lit(NO_PURCHASE)).alias("series"))
     by_dim = (tagged.filter(F.col("series").isin(list(vals)))

@@ -209,7 +209,7 @@ def active_users_by_first_order_dim(m: Marts, spec: FilterSpec, dim: Dim | None
     if not dim.is_order_dim:
         return m.spark.createDataFrame([], "dim string, active_users bigint")
     active = _active_users(m, spec).join(users_f(m, spec).select("user_id"), "user_id")
-    tagged = active.join(first_order_tags(m, spec), "user_id", "left")
+    tagged = active.join(first_order_tags(m, spec, active), "user_id", "left")
     tagged = where(tagged, spec.order_predicate("fo_category", "fo_status"))
     return (tagged.select("user_id", F.coalesce(first_order_series(dim), F.lit(NO_PURCHASE)).alias("dim"))
             .groupBy("dim").agg(F.countDistinct("user_id").cast("bigint").alias("active_users")))
