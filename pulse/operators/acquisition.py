@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import NO_PURCHASE, TOTAL, bigint, delta_pct, ratio, round_half_even
-from pulse.functions.dates import bin_index, calendar, day, in_days, mmdd_label, with_days
+from pulse.functions.dates import bin_index, calendar, day, mmdd_label, with_days
 from pulse.functions.filters import USER_DIM_COLUMN, Dim, FilterSpec
 from pulse.operators.common import first_order_in_range, one_row, signups, users_f
 from pulse.sources.marts import Marts

@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.operators.churn.features import CATEGORICAL, ID, LABEL, NUMERIC, churn_features, deterministic_score
-from pulse.plans.catalog import marts, register, tables
+from pulse.plans.catalog import register, tables
 from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
                                 HIGH_RISK_THRESHOLD)
 

@@ -11,7 +11,6 @@ from pulse.operators.churn import prep
 from pulse.operators.churn.features import CATEGORICAL, ID, LABEL, NUMERIC, churn_features
 from pulse.sources.tables import Tables
 
-from conftest import SF_SMALL
 from datetime import date
 
 

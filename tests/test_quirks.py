@@ -4,7 +4,6 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from pulse.functions.filters import Dim, FilterSpec
 from pulse.operators import acquisition as acq
