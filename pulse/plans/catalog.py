@@ -54,6 +54,14 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _PLANS[k]
 
 
+def cached(spark: SparkSession, sf_dir: str, name: str, build):
+    """A derived table kept for the session (built by ``build()`` on first use)."""
+    k = _key(spark, sf_dir, name)
+    if k not in _PLANS:
+        _PLANS[k] = build()
+    return _PLANS[k]
+
+
 def clear_plans() -> None:
     _PLANS.clear()
 

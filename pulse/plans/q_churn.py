@@ -8,7 +8,8 @@ from datetime import date, datetime, timedelta
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.operators.churn.features import CATEGORICAL, ID, LABEL, NUMERIC, churn_features, deterministic_score
-from pulse.plans.catalog import register, tables
+from pulse.plans.catalog import cached, register, tables
+from pulse.session import materialize
 from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
                                 HIGH_RISK_THRESHOLD)
 
@@ -17,7 +18,14 @@ RUN_TS = datetime(2000, 1, 1, 6, 0, 0)
 
 
 def _features(spark, sf_dir, as_of=CHURN_AS_OF):
-    return churn_features(tables(spark, sf_dir), as_of, CHURN_SHORT_DAYS, CHURN_LONG_DAYS, CHURN_LABEL_DAYS)
+    """The churn feature table, materialised once per application and data folder.
+
+    Every churn query reads it (the source application loads its feature view once
+    and caches it); it is checkpointed to the cluster's checkpoint folder when one
+    is configured, else persisted.
+    """
+    return cached(spark, sf_dir, f"churn_features_{as_of.isoformat()}", lambda: materialize(
+        churn_features(tables(spark, sf_dir), as_of, CHURN_SHORT_DAYS, CHURN_LONG_DAYS, CHURN_LABEL_DAYS)))
 
 
 def _scored(spark, sf_dir, as_of=CHURN_AS_OF):
