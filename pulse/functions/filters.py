@@ -41,6 +41,19 @@ class Dim(str, Enum):
 # Canonical column that carries each dimension in the marts.
 USER_DIM_COLUMN = {Dim.CITY: "city", Dim.CHANNEL: "acquisition_channel", Dim.DEVICE: "device"}
 
+# The source application's breakdown/cross-filter labels and their dimensions.
+SOURCE_DIM_LABELS = {
+    "(ninguno)": Dim.NONE,
+    "Ciudad": Dim.CITY,
+    "Canal": Dim.CHANNEL,
+    "Device": Dim.DEVICE,
+    "Categoría (vendor)": Dim.CATEGORY,
+    "Categoría": Dim.CATEGORY,
+    "Category": Dim.CATEGORY,
+    "Order status": Dim.STATUS,
+    "Order Status": Dim.STATUS,
+}
+
 
 @dataclasses.dataclass(frozen=True)
 class FilterSpec:
@@ -62,6 +75,18 @@ class FilterSpec:
         if self.date_to < self.date_from:
             raise ValueError("date_to precedes date_from")
 
+    @classmethod
+    def from_params(cls, params: dict) -> "FilterSpec":
+        """Build from the source application's params dict (date_from, date_to, cities,
+        channels, devices, categories, statuses, series_dim label, show_total_series)."""
+        label = params.get("series_dim", "(ninguno)")
+        dim = SOURCE_DIM_LABELS.get(label, Dim(label) if label in {d.value for d in Dim} else Dim.NONE)
+        return cls(params["date_from"], params["date_to"],
+                   cities=params.get("cities") or (), channels=params.get("channels") or (),
+                   devices=params.get("devices") or (), categories=params.get("categories") or (),
+                   statuses=params.get("statuses") or (), series_dim=dim,
+                   show_total_series=bool(params.get("show_total_series", True)))
+
     # ---- dates -------------------------------------------------------------------------------
     @property
     def days(self) -> int:

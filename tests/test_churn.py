@@ -92,3 +92,18 @@ def test_histogram_nice_step(spark):
     rows = cm.risk_histogram(df).collect()
     steps = {round(r["bin_end"] - r["bin_start"], 12) for r in rows}
     assert steps == {0.05} and sum(r["customers"] for r in rows) == 101
+
+
+def test_churn_report_and_params(spark, features):
+    from pulse.functions.filters import Dim, FilterSpec
+    from pulse.plans.reports import churn_report
+    rep = churn_report(features, {"segment": ["mid", "high"]}, NUMERIC, CATEGORICAL, LABEL, ID,
+                       num_trees=5, max_depth=3)
+    rep2 = churn_report(features, {"segment": ["low"]}, NUMERIC, CATEGORICAL, LABEL, ID,
+                        previous=rep["model"], previous_filters={"segment": ["mid", "high"]}, num_trees=5, max_depth=3)
+    metrics = {r["metric"] for r in rep2["stats_vs_previous"].collect()}
+    assert metrics == {"mean", "median", "mode", "std", "min", "max", "count"}
+    assert rep2["kpis"].first()["users"] == features.filter("segment = 'low'").count()
+    spec = FilterSpec.from_params({"date_from": date(2024, 1, 1), "date_to": date(2024, 1, 7),
+                                   "cities": ["A"], "series_dim": "Categoría (vendor)"})
+    assert spec.series_dim is Dim.CATEGORY and spec.cities == ("A",) and spec.statuses == ()
