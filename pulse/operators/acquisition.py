@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import NO_PURCHASE, TOTAL, bigint, delta_pct, ratio, round_half_even
-from pulse.functions.dates import bin_index, calendar, day, mmdd_label, with_days
+from pulse.functions.dates import calendar, day, mmdd_label, with_days
 from pulse.functions.filters import USER_DIM_COLUMN, Dim, FilterSpec
 from pulse.operators.common import first_order_in_range, one_row, signups, users_f
 from pulse.sources.marts import Marts
@@ -247,17 +247,26 @@ def new_users_share_summary(m: Marts, spec: FilterSpec) -> DataFrame:
         F.col("new_users").alias("total_usuarios"))
 
 
-def new_users_period_bins(m: Marts, spec: FilterSpec, n_prev_periods: int = 6) -> DataFrame:
-    """Signups summed per equal-length period: the selected one and ``n_prev_periods`` before it.
+def period_bars(daily: DataFrame, period_days: int, selected_index: int, value_col: str = "value") -> DataFrame:
+    """Equal-length period bars from a (day, value) frame: the source's bar-chart data step.
 
-    period_idx = floor((day - start_all) / period); label 'mm-dd→mm-dd'; ``selected``
-    marks the spec's own period.
+    The first period starts at the frame's *first day present* (one-row aggregate),
+    period_idx = floor((day - start) / period), values summed; label 'mm-dd→mm-dd';
+    ``selected`` marks ``selected_index``.  When empty bins were dropped upstream the
+    index is relative to the first surviving day, so the highlight can move (kept).
     """
+    start = daily.agg(F.min("day").alias("_start"))
+    idx = F.floor(F.datediff(F.col("day"), F.col("_start")) / F.lit(int(period_days))).cast("bigint")
+    agg = (daily.crossJoin(one_row(start))
+           .groupBy(idx.alias("period_idx"), "_start").agg(F.sum(value_col).cast("bigint").alias("value")))
+    s0 = F.date_add(F.col("_start"), (F.col("period_idx") * period_days).cast("int"))
+    return agg.select("period_idx", mmdd_label(s0, period_days).alias("label"), "value",
+                      (F.col("period_idx") == selected_index).alias("selected"))
+
+
+def new_users_period_bins(m: Marts, spec: FilterSpec, n_prev_periods: int = 6) -> DataFrame:
+    """Signups summed per equal-length period: the selected one and ``n_prev_periods`` before it."""
     period = spec.days
     start_all = spec.date_from - timedelta(days=period * n_prev_periods)
     daily = new_users_daily(m, spec, start_all, spec.date_to)
-    idx = bin_index(F.col("day"), start_all, period)
-    agg = daily.groupBy(idx.alias("period_idx")).agg(F.sum("new_users").cast("bigint").alias("value"))
-    start = F.date_add(F.lit(start_all), (F.col("period_idx") * period).cast("int"))
-    return agg.select("period_idx", mmdd_label(start, period).alias("label"), "value",
-                      (F.col("period_idx") == n_prev_periods).alias("selected"))
+    return period_bars(daily, period, n_prev_periods, "new_users")

@@ -225,3 +225,19 @@ SELECT c.day AS day, s.series AS series, cast(coalesce(b.value, 0) AS bigint) AS
 FROM cal c CROSS JOIN series_list s LEFT JOIN by_dim b ON b.day = c.day AND b.series = s.series"""), mart="events")
 def dau_by_dim_empty_range(m):
     return act.dau_by_dim(m, P4)
+
+
+@register("active_users_period_bars", "activation", f"""
+WITH b AS ({_bins_sql(P1, EXT_START, D2, P1.days)}),
+s AS (SELECT min(day) AS start FROM b)
+SELECT cast(floor(datediff('day', s.start, b.day) / {P1.days}) AS bigint) AS period_idx,
+  strftime(s.start + cast(floor(datediff('day', s.start, b.day) / {P1.days}) * {P1.days} AS int), '%m-%d') || '→' ||
+  strftime(s.start + cast(floor(datediff('day', s.start, b.day) / {P1.days}) * {P1.days} + {P1.days - 1} AS int), '%m-%d')
+    AS label,
+  cast(sum(b.value) AS bigint) AS value,
+  floor(datediff('day', s.start, b.day) / {P1.days}) = 6 AS selected
+FROM b CROSS JOIN s GROUP BY 1, 2, 4""", mart="events")
+def active_users_period_bars(m):
+    from pulse.operators.acquisition import period_bars
+    return period_bars(act.active_users_by_bins(m, P1, EXT_START, D2, P1.days), P1.days, 6)
+
