@@ -18,8 +18,10 @@ def filter_options(m: Marts) -> DataFrame:
         m.users.select(F.lit("city").alias("dimension"), F.col("city").cast("string").alias("value")),
         m.users.select(F.lit("channel").alias("dimension"), F.col("acquisition_channel").cast("string").alias("value")),
         m.users.select(F.lit("device").alias("dimension"), F.col("device").cast("string").alias("value")),
-        m.vendors.select(F.lit("category").alias("dimension"), F.col("category").cast("string").alias("value")),
     ]
+    if m.vendors is not None and "category" in m.vendors.columns:  # no vendors: no category filter
+        parts.append(m.vendors.select(F.lit("category").alias("dimension"),
+                                      F.col("category").cast("string").alias("value")))
     out = parts[0].distinct()
     for p in parts[1:]:
         out = out.unionByName(p.distinct())
