@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.session import materialize
+from pulse.session import materialized
 
 GRID = [i / 1000 for i in range(1001)]
 ACCURACY = 20000
@@ -157,22 +157,22 @@ def medians(df: DataFrame, cols: list[str]) -> DataFrame:
     Columns are stacked into a (feature, value) long form and solved together.
     """
     spark = df.sparkSession
-    # The narrow projection is materialised once (passes re-read it); the long form is
-    # a cheap explode on top of it.
-    src = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    long = (src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
-                                           for c in cols])).alias("kv"))
-            .select("kv.feature", "kv.value").filter(F.col("value").isNotNull()))
-    counts = {r["feature"]: r["n"] for r in
-              long.filter(F.col("value").isNotNull()).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranks = {}
-    for c in cols:
-        n = counts.get(c, 0)
-        if n:
-            ranks[c] = sorted({(n + 1) // 2, n // 2 + 1})
-    if not ranks:
-        return spark.createDataFrame([(c, None) for c in cols], "feature string, median double")
-    st = order_statistics(long, "feature", "value", ranks, counts)
-    med = st.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    # The narrow projection is materialised for the counting and narrowing passes and
+    # released afterwards; the long form is a cheap explode on top of it.
+    with materialized(df.select(*[F.col(c).cast("double").alias(c) for c in cols])) as src:
+        long = (src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
+                                               for c in cols])).alias("kv"))
+                .select("kv.feature", "kv.value").filter(F.col("value").isNotNull()))
+        counts = {r["feature"]: r["n"] for r in
+                  long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+        ranks = {}
+        for c in cols:
+            n = counts.get(c, 0)
+            if n:
+                ranks[c] = sorted({(n + 1) // 2, n // 2 + 1})
+        if not ranks:
+            return spark.createDataFrame([(c, None) for c in cols], "feature string, median double")
+        st = order_statistics(long, "feature", "value", ranks, counts)
+        med = st.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
     allf = spark.createDataFrame([(c,) for c in cols], "feature string")
     return allf.join(med, "feature", "left")

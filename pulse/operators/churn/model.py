@@ -142,7 +142,6 @@ def permutation_importance(model: ChurnModel, test: DataFrame, n_repeats: int =
     their AUCs computed by one grouped aggregate.  Negative values mean the permuted
     column scored better (noise), as in the source's importance export.
     """
-    test = test.persist()
     n = test.count()
     buckets = max(1, n // bucket_rows)
     feats = model.num_cols + model.cat_cols

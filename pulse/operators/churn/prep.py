@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.stats import medians, order_statistics
 from pulse.operators.common import one_row
-from pulse.session import materialize
+from pulse.session import materialized
 
 
 def numeric_medians(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -96,15 +96,16 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction:
     statistics by window narrowing), so each class is cut with counts only and one
     comparison per row; ties on the hash are ordered by id.
     """
-    keyed = materialize(df.withColumn("_key", split_key(id_col, seed)))
-    n_by = {r[label_col]: r["n"] for r in keyed.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    need = {lab: int(_round_half_up(test_fraction * n)) for lab, n in n_by.items()}
-    ranks = {lab: [k] for lab, k in need.items() if k > 0}
-    if not ranks:
-        return keyed.drop("_key").withColumn("is_test", F.lit(False))
-    # k-th row of the order (hash, id) per class: everything up to it is the test set
-    th = (order_statistics(keyed, label_col, "_key", ranks, n_by, tiebreak_col=id_col)
-          .select(label_col, F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")).alias("_t")))
+    keyed = df.withColumn("_key", split_key(id_col, seed))
+    with materialized(keyed) as km:  # released after the counting passes
+        n_by = {r[label_col]: r["n"] for r in km.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+        need = {lab: int(_round_half_up(test_fraction * n)) for lab, n in n_by.items()}
+        ranks = {lab: [k] for lab, k in need.items() if k > 0}
+        if not ranks:
+            return df.withColumn("is_test", F.lit(False))
+        # k-th row of the order (hash, id) per class: everything up to it is the test set
+        th = (order_statistics(km, label_col, "_key", ranks, n_by, tiebreak_col=id_col)
+              .select(label_col, F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")).alias("_t")))
     tagged = keyed.join(F.broadcast(th), label_col, "left")  # one row per class
     is_test = F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")) <= F.col("_t")
     return tagged.select(*df.columns, F.coalesce(is_test, F.lit(False)).alias("is_test"))

@@ -81,3 +81,22 @@ def materialize(df):
     out = df.persist()
     out.count()
     return out
+
+
+class materialized:
+    """``with materialized(df) as m:`` -- ``m`` is checkpointed or persisted for the passes
+    inside the block; a persisted copy is released on exit (results built from it
+    re-plan from lineage), so long sessions do not accumulate cached blocks."""
+
+    def __init__(self, df):
+        self.df = df
+        self.out = None
+
+    def __enter__(self):
+        self.out = materialize(self.df)
+        return self.out
+
+    def __exit__(self, *exc):
+        if self.out is not None and not checkpoint_dir(self.out.sparkSession):
+            self.out.unpersist(blocking=False)
+        return False
