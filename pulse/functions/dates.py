@@ -27,6 +27,25 @@ def in_days(col: str | Column, d1: date, d2: date) -> Column:
     return day(col).between(F.lit(d1), F.lit(d2))
 
 
+def day_partition(ts_col: str) -> str:
+    """Name of the day-partition column that a materialised fact keeps for ``ts_col``."""
+    return f"{ts_col}__day"
+
+
+def day_range(df: DataFrame, ts_col: str, d1: date, d2: date) -> DataFrame:
+    """Rows whose ``ts_col`` day is in [d1, d2].
+
+    When the table is stored partitioned by day (it carries ``<ts_col>__day``), the
+    same range is also applied to the partition column, so whole day folders are
+    pruned at planning time (``PartitionFilters``) on top of row-group pushdown.
+    """
+    out = df.filter(in_days(ts_col, d1, d2))
+    part = day_partition(ts_col)
+    if part in df.columns:
+        out = out.filter(F.col(part).between(F.lit(d1), F.lit(d2)))
+    return out
+
+
 def before_day(col: str | Column, d1: date) -> Column:
     return day(col) < F.lit(d1)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import NO_PURCHASE, TOTAL, UNKNOWN, bigint, delta_pct, label, ratio, round_half_even
-from pulse.functions.dates import bin_index, bin_starts, calendar, day, in_days, month_bounds, with_days
+from pulse.functions.dates import bin_index, bin_starts, calendar, day, day_range, month_bounds, with_days
 from pulse.functions.filters import USER_DIM_COLUMN, Dim, FilterSpec, where
 from pulse.operators.acquisition import first_order_series, first_order_tags
 from pulse.operators.common import active_pairs, one_row, signups, users_f
@@ -52,7 +52,7 @@ def mau(m: Marts, spec: FilterSpec) -> DataFrame:
     Written as a day range so the scan prunes by the date predicate.
     """
     start, nxt = month_bounds(spec.date_to)
-    users = (m.sessions.filter(in_days("session_date", start, nxt - timedelta(days=1)))
+    users = (day_range(m.sessions, "session_date", start, nxt - timedelta(days=1))
              .select("user_id").distinct()
              .join(users_f(m, spec).select("user_id"), "user_id"))
     return users.agg(F.count(F.lit(1)).cast("bigint").alias("mau"))
@@ -122,7 +122,7 @@ def active_users_by_bins(m: Marts, spec: FilterSpec, start: date, end: date, per
     if not starts:
         return m.spark.createDataFrame([], "day date, value bigint")
     last_end = starts[-1] + timedelta(days=period_days - 1)
-    s = (m.sessions.filter(in_days("session_date", start, last_end))
+    s = (day_range(m.sessions, "session_date", start, last_end)
          .select("user_id", bin_index(day("session_date"), start, period_days).alias("bin")))
     pred = spec.user_predicate()
     if pred is not None:
@@ -184,7 +184,7 @@ def dau_by_dim_summed_total(m: Marts, spec: FilterSpec, activity_col: str = "ses
 
 
 def _active_users(m: Marts, spec: FilterSpec) -> DataFrame:
-    return (m.sessions.filter(in_days("session_date", spec.date_from, spec.date_to))
+    return (day_range(m.sessions, "session_date", spec.date_from, spec.date_to)
             .select("user_id").distinct())
 
 

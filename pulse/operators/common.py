@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import CANCELLED, COMPLETED, money
-from pulse.functions.dates import day, in_days
+from pulse.functions.dates import day, day_range, in_days
 from pulse.functions.filters import FilterSpec, where
 from pulse.sources.marts import Marts
 
@@ -44,7 +44,7 @@ def active_pairs(m: Marts, spec: FilterSpec, d1: date, d2: date, keep_cols: tupl
     The inner join with users drops sessions of unknown users (as the source does).
     ``keep_cols`` adds user attributes (e.g. a breakdown dimension).
     """
-    pairs = (m.sessions.filter(in_days(activity_col, d1, d2))
+    pairs = (day_range(m.sessions, activity_col, d1, d2)
              .select("user_id", day(activity_col).alias("day")).distinct())
     u = users_f(m, spec).select("user_id", *keep_cols)
     return pairs.join(u, "user_id")
@@ -62,7 +62,7 @@ def order_base(m: Marts, spec: FilterSpec, vendor_join: str = "inner", status_fi
     (map-side) phase collapses rows before its shuffle, and a hot user or vendor
     key in a sort-merge join is split by AQE's skew-join handling.
     """
-    o = (m.orders.filter(in_days("order_date", spec.date_from, spec.date_to))
+    o = (day_range(m.orders, "order_date", spec.date_from, spec.date_to)
          .select("order_id", "user_id", "vendor_id", day("order_date").alias("day"), "order_status",
                  money("order_total").alias("order_total"), money("commission").alias("commission")))
     u = users_f(m, spec).select("user_id", "city", "acquisition_channel", "device")
@@ -98,7 +98,7 @@ def first_order_in_range(m: Marts, d1: date, d2: date, users: DataFrame | None =
     broadcasts the user set when it is small, else the aggregate reuses the join's
     hash partitioning on user_id).
     """
-    o = m.orders.filter(in_days("order_date", d1, d2))
+    o = day_range(m.orders, "order_date", d1, d2)
     if users is not None:
         o = o.join(users.select("user_id"), "user_id", "left_semi")
     first = (o.groupBy("user_id")

@@ -13,7 +13,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.functions.dates import day, in_days
+from pulse.functions.dates import day, day_range
 from pulse.functions.filters import FilterSpec, where
 
 # Fixed candidate lists, in priority order (first existing column wins).
@@ -123,7 +123,7 @@ def resolve_orders(users: DataFrame, orders: DataFrame, vendors: DataFrame | Non
     def opt(df, c, name, typ="string") -> Column:
         return (F.col(c) if c else F.lit(None).cast(typ)).alias(name)
 
-    o = alive(orders).filter(in_days(o_created, spec.date_from, spec.date_to)).select(
+    o = day_range(alive(orders), o_created, spec.date_from, spec.date_to).select(
         F.col(o_user).alias("_uid"),
         (F.col(o_vendor) if has_vendors else F.lit(None).cast("bigint")).alias("_vid"),
         day(o_created).alias("day"),
