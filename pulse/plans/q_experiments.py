@@ -62,3 +62,10 @@ SELECT a.metric, a.value AS control, b.value AS treatment, b.value - a.value AS
 FROM l a JOIN l b ON a.metric = b.metric AND a.variant = 'A' AND b.variant = 'B'""")
 def ab_lift(spark, sf_dir):
     return ab.ab_lift(ab.ab_test_summary(tables(spark, sf_dir).events))
+
+
+@register("ab_summary_by_device", "experiments", with_mart(EVENTS_MART, _FACTS + """,
+f AS (SELECT x.*, CASE WHEN x.user_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant, u.device AS dim
+      FROM facts x LEFT JOIN mu u ON u.user_id = x.user_id)""", _summary_select("variant, dim")))
+def ab_summary_by_device(spark, sf_dir):
+    return ab.ab_summary_by_dim(tables(spark, sf_dir).events, marts(spark, sf_dir, "events").users, "device")
