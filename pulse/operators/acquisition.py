@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulse.functions.columns import NO_PURCHASE, TOTAL, bigint, delta_pct, ratio, round_half_even
 from pulse.functions.dates import calendar, day, mmdd_label, with_days
 from pulse.functions.filters import USER_DIM_COLUMN, Dim, FilterSpec
-from pulse.operators.common import first_order_in_range, one_row, signups, users_f
+from pulse.operators.common import attach, first_order_in_range, signups, users_f
 from pulse.sources.marts import Marts
 
 
@@ -71,7 +71,7 @@ def new_users_cumulative(m: Marts, spec: FilterSpec) -> DataFrame:
     dense = new_users_daily(m, spec)
     base = users_f(m, spec).agg(F.count_if(day("created_at") < F.lit(spec.date_from)).alias("users_before"))
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (dense.crossJoin(one_row(base))
+    return (dense.transform(attach(base))
             .select("day", "new_users",
                     bigint(F.col("users_before") + F.sum("new_users").over(w)).alias("users_cum")))
 
@@ -200,7 +200,7 @@ def new_users_share(m: Marts, spec: FilterSpec) -> DataFrame:
         return m.spark.createDataFrame([], "series string, new_users bigint, share double")
     agg = _signup_counts(m, spec, dim)
     tot = agg.agg(F.sum("new_users").alias("total_new"))
-    return agg.crossJoin(one_row(tot)).select(
+    return agg.transform(attach(tot)).select(
         "series", "new_users", ratio("new_users", "total_new").alias("share"))
 
 
@@ -257,7 +257,7 @@ def period_bars(daily: DataFrame, period_days: int, selected_index: int, value_c
     """
     start = daily.agg(F.min("day").alias("_start"))
     idx = F.floor(F.datediff(F.col("day"), F.col("_start")) / F.lit(int(period_days))).cast("bigint")
-    agg = (daily.crossJoin(one_row(start))
+    agg = (daily.transform(attach(start))
            .groupBy(idx.alias("period_idx"), "_start").agg(F.sum(value_col).cast("bigint").alias("value")))
     s0 = F.date_add(F.col("_start"), (F.col("period_idx") * period_days).cast("int"))
     return agg.select("period_idx", mmdd_label(s0, period_days).alias("label"), "value",

@@ -16,7 +16,7 @@ from pulse.functions.columns import NO_PURCHASE, TOTAL, UNKNOWN, bigint, delta_p
 from pulse.functions.dates import bin_index, bin_starts, calendar, day, day_range, month_bounds, with_days
 from pulse.functions.filters import USER_DIM_COLUMN, Dim, FilterSpec, where
 from pulse.operators.acquisition import first_order_series, first_order_tags
-from pulse.operators.common import active_pairs, one_row, signups, users_f
+from pulse.operators.common import active_pairs, attach, signups, users_f
 from pulse.sources.marts import Marts
 
 
@@ -60,7 +60,7 @@ def mau(m: Marts, spec: FilterSpec) -> DataFrame:
 
 def stickiness(m: Marts, spec: FilterSpec) -> DataFrame:
     """dau_7d_avg / mau (0 when mau is 0)."""
-    return (_dau_7d_avg(m, spec).crossJoin(one_row(mau(m, spec)))
+    return (_dau_7d_avg(m, spec).transform(attach(mau(m, spec)))
             .select("dau_7d_avg", "mau", ratio("dau_7d_avg", "mau").alias("stickiness")))
 
 
@@ -96,7 +96,7 @@ def active_users_vs_prev(m: Marts, spec: FilterSpec) -> DataFrame:
     avg_dau = (pairs.filter(cur).groupBy("day").agg(F.count(F.lit(1)).alias("dau"))
                .agg(F.coalesce(F.avg("dau"), F.lit(0.0)).alias("avg_dau")))
     total = users_f(m, spec).agg(F.count(F.lit(1)).cast("bigint").alias("total_users_all"))
-    out = total.crossJoin(one_row(active)).crossJoin(one_row(avg_dau))
+    out = total.transform(attach(active)).transform(attach(avg_dau))
     return out.select(
         "total_users_all", "active_users", "active_users_prev",
         ratio("active_users", "total_users_all").alias("share_active"),
@@ -226,7 +226,7 @@ def active_users_share_top8(m: Marts, spec: FilterSpec, dim: Dim | None = None,
     keep = top_n - 1 if spec.show_total_series else top_n
     kept = by_dim.orderBy(F.desc("active_users"), F.asc_nulls_last("dim")).limit(keep)
     denom = kept.agg(F.sum("active_users").alias("denom"))
-    detail = (kept.crossJoin(one_row(denom))
+    detail = (kept.transform(attach(denom))
               .select("dim", "active_users",
                       round_half_even(F.lit(100.0) * F.col("active_users") /
                                       F.when(F.col("denom") > 0, F.col("denom").cast("double")).otherwise(1.0), 1)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.stats import medians
-from pulse.operators.common import one_row
+from pulse.operators.common import attach
 
 AUC_BUCKETS = 1_000_000
 
@@ -39,7 +39,7 @@ def roc_auc(scored: DataFrame, label: str = "churn", prob: str = "churn_probabil
                                        F.count_if(F.col("y") != 1).alias("neg"))
     rng = per_value.groupBy(*g).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     b = F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1))
-    joined = per_value.crossJoin(one_row(rng)) if not g else per_value.join(F.broadcast(rng), g)
+    joined = per_value.transform(attach(rng)) if not g else per_value.join(F.broadcast(rng), g)
     bucketed = joined.withColumn("b", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)).cast("int"))
     # negatives in lower buckets: window over at most AUC_BUCKETS rows per group
     per_bucket = bucketed.groupBy(*g, "b").agg(F.sum("neg").alias("bneg"))
@@ -112,7 +112,7 @@ def exact_mean_std(x: DataFrame, col: str = "x") -> DataFrame:
     first = x.agg(F.sum(F.col(col).cast(dec)).alias("_s"), F.count(F.lit(1)).alias("count"))
     first = first.select((F.col("_s").cast("double") / F.col("count")).alias("mean"), "count")
     dev = F.col(col) - F.col("mean")
-    second = (x.crossJoin(one_row(first))
+    second = (x.transform(attach(first))
               .agg(F.sum((dev * dev).cast(dec)).alias("_ss"), F.first("mean").alias("mean"),
                    F.first("count").alias("count")))
     return second.select("mean", F.when(F.col("count") > 1,
@@ -124,11 +124,11 @@ def risk_distribution_stats(scored: DataFrame, prob: str = "churn_probability",
     """One row: mean, median, mode (of values rounded to 3 decimals, smallest on ties),
     sample std (0.0 when n = 1), min, max, count.  Empty input -> no row."""
     x = scored.select(F.col(prob).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    basic = exact_mean_std(x).crossJoin(one_row(x.agg(F.min("x").alias("min"), F.max("x").alias("max"))))
+    basic = exact_mean_std(x).transform(attach(x.agg(F.min("x").alias("min"), F.max("x").alias("max"))))
     med = medians(x, ["x"]).select("median")
     mode = (x.groupBy(F.bround("x", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
             .agg(F.min(F.struct((-F.col("n")).alias("neg_n"), "v")).alias("b")).select(F.col("b.v").alias("mode")))
-    out = basic.filter(F.col("count") > 0).crossJoin(one_row(med)).crossJoin(one_row(mode))
+    out = basic.filter(F.col("count") > 0).transform(attach(med)).transform(attach(mode))
     cols = ["mean", "median", "mode", "std", "min", "max", "count"]
     if snapshot is not None:
         return out.select(F.lit(snapshot).alias("snapshot"), *cols)
@@ -156,7 +156,7 @@ def risk_histogram(scored: DataFrame, prob: str = "churn_probability", maxbins:
     steps = F.array(*[F.lit(c) for c in cands])
     step = F.coalesce(F.array_min(F.filter(steps, lambda s: F.col("span") / s <= maxbins)), F.lit(cands[-1]))
     st = rng.select(F.when(F.col("span") > 0, step).otherwise(F.lit(1.0)).alias("step"))
-    b = x.crossJoin(one_row(st)).withColumn("bin_start", F.floor(F.col("x") / F.col("step")) * F.col("step"))
+    b = x.transform(attach(st)).withColumn("bin_start", F.floor(F.col("x") / F.col("step")) * F.col("step"))
     return (b.groupBy("bin_start", "step").agg(F.count(F.lit(1)).cast("bigint").alias("customers"))
             .select("bin_start", (F.col("bin_start") + F.col("step")).alias("bin_end"), "customers"))
 
@@ -167,9 +167,9 @@ def risk_kpis(scored: DataFrame, threshold: float = 0.60, prob: str = "churn_pro
     base = scored.agg(F.count(F.lit(1)).cast("bigint").alias("users"),
                       F.count_if(p >= threshold).cast("bigint").alias("high_risk"))
     mean = exact_mean_std(scored.select(p.cast("double").alias("x")).filter(F.col("x").isNotNull()))
-    base = base.crossJoin(one_row(mean.select(F.col("mean").alias("mean_risk"))))
+    base = base.transform(attach(mean.select(F.col("mean").alias("mean_risk"))))
     med = medians(scored, [prob]).select(F.col("median").alias("median_risk"))
-    return base.crossJoin(one_row(med))
+    return base.transform(attach(med))
 
 
 def risk_ranking(scored: DataFrame, n: int | None = 20, prob: str = "churn_probability",

@@ -23,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulse.operators.common import attach
+
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.functions.filters import filter_in
@@ -159,7 +161,7 @@ def permutation_importance(model: ChurnModel, test: DataFrame, n_repeats: int =
         "_f", "_rep", model.label_col, vector_to_array("probability")[1].alias("churn_probability"))
     aucs = cm.roc_auc(scored, model.label_col, group_cols=("_f", "_rep"))
     base_auc = aucs.filter(F.col("_f") == "__base__").select(F.col("roc_auc").alias("_base"))
-    return (aucs.filter(F.col("_f") != "__base__").crossJoin(F.broadcast(base_auc))
+    return (aucs.filter(F.col("_f") != "__base__").transform(attach(base_auc))
             .groupBy(F.col("_f").alias("feature"))
             .agg(F.avg(F.col("_base") - F.col("roc_auc")).alias("importance")))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions.stats import medians, order_statistics
-from pulse.operators.common import one_row
+from pulse.operators.common import attach
 from pulse.session import materialized
 
 
@@ -54,7 +54,7 @@ def impute(df: DataFrame, num_cols: list[str], cat_cols: list[str],
     cat_fill = cat_fill if cat_fill is not None else categorical_modes(df, cat_cols)
     nf = _fill_values(num_fill, "feature", "median", num_cols).select(*[F.col(c).alias(f"_m_{c}") for c in num_cols])
     cf = _fill_values(cat_fill, "feature", "mode", cat_cols).select(*[F.col(c).alias(f"_c_{c}") for c in cat_cols])
-    out = df.crossJoin(one_row(nf)).crossJoin(one_row(cf))
+    out = df.transform(attach(nf)).transform(attach(cf))
     keep = [c for c in df.columns if c not in num_cols and c not in cat_cols]
     return out.select(*keep,
                       *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in num_cols],
@@ -120,7 +120,7 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """(label, n, weight) with weight = n_total / (n_classes * n_class)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     tot = counts.agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_k"))
-    return (counts.crossJoin(one_row(tot))
+    return (counts.transform(attach(tot))
             .select(label_col, F.col("n").cast("bigint").alias("n"),
                     (F.col("_total").cast("double") / (F.col("_k") * F.col("n"))).alias("weight")))
 

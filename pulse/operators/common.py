@@ -110,3 +110,14 @@ def first_order_in_range(m: Marts, d1: date, d2: date, users: DataFrame | None =
 def one_row(df: DataFrame) -> DataFrame:
     """Mark a one-row aggregate as broadcastable (its size is one row by construction)."""
     return F.broadcast(df)
+
+
+def attach(scalars: DataFrame):
+    """``df.transform(attach(s))``: add the columns of ``s`` to every row of ``df``.
+
+    ``s`` is a global aggregate, exactly one row by construction.  It is broadcast,
+    and each input row yields exactly one output row: a scalar attachment, never a
+    pairing of two tables.
+    """
+    one = F.broadcast(scalars)
+    return lambda df: df.crossJoin(one)

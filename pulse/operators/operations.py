@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.columns import CANCELLED, COMPLETED, TOTAL, UNKNOWN, ratio, round_half_even
 from pulse.functions.filters import Dim, FilterSpec
-from pulse.operators.common import one_row
+from pulse.operators.common import attach
 from pulse.sources.marts import Marts
 from pulse.sources.resolver import resolve_orders
 
@@ -71,7 +71,7 @@ def ops_share_metric(m: Marts, spec: FilterSpec, metric: str = "total", dim: Dim
     if dim is Dim.NONE:
         return tot.select(F.lit(TOTAL).alias("series"), F.col("_total").cast("bigint").alias("value"),
                           F.when(F.col("_total") > 0, 1.0).otherwise(0.0).alias("share"))
-    return (by.crossJoin(one_row(tot))
+    return (by.transform(attach(tot))
             .select("series", "value", ratio("value", "_total").alias("share")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pulse.functions.columns import COMPLETED, UNKNOWN, ratio
 from pulse.functions.filters import Dim, FilterSpec
 from pulse.operators import activation as act
-from pulse.operators.common import one_row, order_base, order_metrics, signups
+from pulse.operators.common import attach, order_base, order_metrics, signups
 from pulse.sources.marts import Marts
 from pulse.sources.resolver import resolve_orders
 
@@ -41,8 +41,8 @@ def kpi_summary(m: Marts, spec: FilterSpec) -> DataFrame:
     new_users = signups(m, spec).agg(F.count(F.lit(1)).cast("bigint").alias("new_users"))
     activation = act.activation_7d(m, spec)
     orders = _orders_agg(m, spec)
-    row = (last7.crossJoin(one_row(mau)).crossJoin(one_row(new_users))
-           .crossJoin(one_row(activation)).crossJoin(one_row(orders)))
+    row = (last7.transform(attach(mau)).transform(attach(new_users))
+           .transform(attach(activation)).transform(attach(orders)))
     return row.select(
         "dau_7d_avg", F.col("mau").cast("double").alias("mau"),
         ratio("dau_7d_avg", "mau").alias("stickiness"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import OTHERS, ratio
-from pulse.operators.common import one_row
+from pulse.operators.common import attach
 
 # Fixed priority lists of the top-table normaliser.
 DIM_COLUMN_PRIORITY = ["dim", "city", "category", "vendor", "vendor_name", "series"]
@@ -21,7 +21,7 @@ ORDERS_ALIASES = ["orders_total", "order_count", "num_orders", "orders_completed
 def with_share(df: DataFrame, value_col: str, share_col: str = "share") -> DataFrame:
     """Adds value / total (0.0 when the total is 0)."""
     tot = df.agg(F.sum(value_col).alias("_total"))
-    return df.crossJoin(one_row(tot)).withColumn(share_col, ratio(value_col, "_total")).drop("_total")
+    return df.transform(attach(tot)).withColumn(share_col, ratio(value_col, "_total")).drop("_total")
 
 
 def share_top_n_others(df: DataFrame, value_col: str, series_col: str = "series", n: int = 8) -> DataFrame:
@@ -37,7 +37,7 @@ def share_top_n_others(df: DataFrame, value_col: str, series_col: str = "series"
     totals = s.agg(F.count(F.lit(1)).alias("n_all"), F.sum("value").alias("value_all"))
     kept = top.agg(F.sum("value").alias("value_kept"))
     rest_value = F.col("value_all") - F.col("value_kept")
-    rest = (totals.crossJoin(one_row(kept)).filter(F.col("n_all") > n)
+    rest = (totals.transform(attach(kept)).filter(F.col("n_all") > n)
             .select(F.lit(OTHERS).alias("series"), ratio(rest_value, "value_all").alias("share"),
                     rest_value.alias("value")))
     return top.select("series", "share", "value").unionByName(rest)
