@@ -107,11 +107,6 @@ def first_order_in_range(m: Marts, d1: date, d2: date, users: DataFrame | None =
                         F.col("fo.vendor_id").alias("fo_vendor_id"), F.col("fo.order_status").alias("fo_status"))
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a one-row aggregate as broadcastable (its size is one row by construction)."""
-    return F.broadcast(df)
-
-
 def attach(scalars: DataFrame):
     """``df.transform(attach(s))``: add the columns of ``s`` to every row of ``df``.
 
