@@ -70,16 +70,20 @@ def activation_7d(m: Marts, spec: FilterSpec) -> DataFrame:
     No lower bound: an order before signup counts; no signups gives 0.0.
     Since signup day <= date_to, an order later than date_to + 7 can never decide the
     test, so only orders up to that day are read, and only those of range signups
-    (semi-join) are aggregated to their first day.
+    (semi-join) are aggregated to their first day.  The whole past still counts, so
+    materialised marts store ``users.first_order_day`` and the order scan disappears.
     """
+    hit = F.col("first_order_day").isNotNull() & (F.col("first_order_day") <= F.date_add("signup_day", 7))
+    rate = F.coalesce(F.avg(F.when(hit, 1.0).otherwise(0.0)), F.lit(0.0)).alias("activation_7d")
+    if "first_order_day" in m.users.columns:
+        # materialised marts keep each user's first order day: no order scan at all
+        return (signups(m, spec).select(F.col("day").alias("signup_day"), "first_order_day").agg(rate))
     su = signups(m, spec).select("user_id", F.col("day").alias("signup_day"))
     horizon = spec.date_to + timedelta(days=7)
     first = (m.orders.filter(day("order_date") <= F.lit(horizon))
              .join(su.select("user_id"), "user_id", "left_semi")
              .groupBy("user_id").agg(F.min(day("order_date")).alias("first_order_day")))
-    hit = F.col("first_order_day").isNotNull() & (F.col("first_order_day") <= F.date_add("signup_day", 7))
-    return (su.join(first, "user_id", "left")
-            .agg(F.coalesce(F.avg(F.when(hit, 1.0).otherwise(0.0)), F.lit(0.0)).alias("activation_7d")))
+    return su.join(first, "user_id", "left").agg(rate)
 
 
 def active_users_vs_prev(m: Marts, spec: FilterSpec) -> DataFrame:

@@ -151,7 +151,11 @@ def materialize(marts: Marts, path: str, mode: str = "overwrite") -> Marts:
     """
     spark = marts.spark
     out = {}
-    for name, df, ts in (("users", marts.users, None), ("sessions", marts.sessions, "session_date"),
+    # Each user's first order day (any status, whole history) is kept on the users
+    # table: 7-day activation then needs no order scan.
+    first = marts.orders.groupBy("user_id").agg(F.min(F.to_date("order_date")).alias("first_order_day"))
+    users = marts.users.join(first, "user_id", "left")
+    for name, df, ts in (("users", users, None), ("sessions", marts.sessions, "session_date"),
                          ("orders", marts.orders, "order_date"), ("vendors", marts.vendors, None)):
         if df is None:
             out[name] = None

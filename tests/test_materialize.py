@@ -17,8 +17,12 @@ def test_materialized_marts_prune_and_agree(spark, scratch):
     m = events_mart(spark, SF_SMALL).live()
     mm = materialize(m, scratch + "/marts")
     assert "order_date__day" in mm.orders.columns and "session_date__day" in mm.sessions.columns
-    for fn in (sales.sales_timeseries, act.dau_daily, ops.ops_timeseries, act.dau_by_dim):
+    for fn in (sales.sales_timeseries, act.dau_daily, ops.ops_timeseries, act.dau_by_dim, act.activation_7d,
+               sales.kpi_summary):
         assert _rows(fn(mm, P1)) == _rows(fn(m, P1))
+    act_plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(
+        act.activation_7d(mm, P1)._jdf.queryExecution(), "formatted")
+    assert "/orders" not in act_plan  # first order day comes from the users table
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(
         act.dau_daily(mm, P1)._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [isnotnull(session_date__day" in plan
