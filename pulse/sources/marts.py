@@ -118,13 +118,19 @@ def sales_mart(spark: SparkSession, sf_dir: str) -> Marts:
                 F.col("r_name").alias("category"),
                 ((F.lit(10) + F.col("s_suppkey") % 41).cast("double") / 10).alias("rating"))
     )
-    # One row per order key after a map-side partial aggregate; the join with orders
-    # then reuses this hash partitioning on the order key.
-    order_vendor = (t.lineitem.groupBy("l_orderkey")
-                    .agg(F.min("l_suppkey").alias("vendor_id")))
+    # Join first, then aggregate grouped by the order columns: a query's date filter on
+    # order_date is a filter on a grouping column, so Catalyst pushes it below the
+    # aggregate and the join into the orders scan.  Lineitems then meet only the
+    # orders of the range (broadcast when that set is small) and are reduced to one
+    # row per order by a map-side partial aggregate before any shuffle.
+    lines = t.lineitem.select("l_orderkey", "l_suppkey")
+    per_order = (t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+                 .join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+                 .groupBy("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+                 .agg(F.min("l_suppkey").alias("vendor_id")))
     total = F.col("o_totalprice").cast("decimal(18,2)")
     orders = (
-        t.orders.join(order_vendor, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        per_order
         .select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("user_id"),
