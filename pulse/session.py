@@ -21,6 +21,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # A selective filter on one join side becomes a bloom filter on the other side's
+    # scan (e.g. orders of a date range -> lineitems), applied before the shuffle.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 
 
