@@ -65,7 +65,7 @@ def day_sequence(d1: date, d2: date, step_days: int = 1) -> Column:
 def calendar(spark: SparkSession, d1: date, d2: date, name: str = "day") -> DataFrame:
     """One row per day in [d1, d2]; empty when d2 < d1."""
     if d2 < d1:
-        return spark.range(0).select(F.lit(d1).alias(name)).limit(0)
+        return spark.createDataFrame([], f"{name} date")
     return spark.range(1).select(F.explode(day_sequence(d1, d2)).alias(name))
 
 

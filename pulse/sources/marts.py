@@ -143,7 +143,8 @@ def sales_mart(spark: SparkSession, sf_dir: str) -> Marts:
             (total * F.lit(0.1).cast("decimal(2,1)")).cast("decimal(18,2)").alias("commission"),
         )
     )
-    sessions = users.select("user_id", F.col("created_at").alias("session_date")).limit(0)
+    # the sales fixture has no session stream: an empty table with the sessions schema
+    sessions = spark.createDataFrame([], "user_id bigint, session_date timestamp_ntz")
     return Marts(users, sessions, orders, vendors)
 
 
