@@ -5,8 +5,8 @@ from __future__ import annotations
 from pulse.functions.filters import Dim
 from pulse.operators import operations as ops
 from pulse.plans.catalog import register
-from pulse.plans.params import P1, P1_F0
-from pulse.plans.sqltext import EVENTS_MART, between, lst, user_where, with_mart
+from pulse.plans.params import P1, P1_F0, P3_F3
+from pulse.plans.sqltext import EVENTS_MART, SALES_MART, between, lst, user_where, with_mart
 
 
 def _ops_from(spec):
@@ -94,3 +94,18 @@ UNION ALL SELECT day, 'Cancel rate', cancel_rate FROM r
 UNION ALL SELECT day, 'Fulfillment', fulfillment_rate FROM r""", mart="events")
 def metrics_long(m):
     return ops.metrics_long(m, P1)
+
+
+def _ops_from_sales(spec):
+    cat = f" AND v.category IN {lst(spec.categories)}" if spec.categories else ""
+    return f"""FROM mo o JOIN mu u ON u.user_id = o.user_id
+LEFT JOIN mv v ON v.vendor_id = o.vendor_id
+WHERE 1=1 AND {between('o.order_date', spec.date_from, spec.date_to)}{user_where(spec)}{cat}"""
+
+
+@register("ops_timeseries_sales", "operations", with_mart(SALES_MART, "", f"""
+SELECT cast(o.order_date AS date) AS day, {_COUNTS}
+{_ops_from_sales(P3_F3)}
+GROUP BY 1"""), mart="sales")
+def ops_timeseries_sales(m):
+    return ops.ops_timeseries(m, P3_F3)
