@@ -4,7 +4,7 @@ Sizes and counts: documents are counted by (source, exact size). Weights share t
 ``max_repeats`` times its source's size, and what is above is reshared by weight until none is (the level at
 which that settles is found in closed form over the sources' table). A target of q whole sources and a rest
 takes every document q times; the rest is fitted by counts per size: every size first gives its share
-(cumulatively rounded, which leaves less than about one longest document open), and a bounded-knapsack dynamic
+of all but the last few longest documents' words (cumulatively rounded), and a bounded-knapsack dynamic
 program over the counts that are left closes the remaining budget. Which documents of a size are taken is
 decided by a seeded hash: those up to a threshold that is the exact order statistic of the group, found
 by counting hash buckets, so that no (source, size) group is ever sorted by one task.
@@ -65,24 +65,24 @@ def fit(budget: int, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int((sizes * counts).sum())
     if total <= 0 or budget <= 0:
         return np.zeros(len(sizes), np.int64)
-    shares = np.floor(np.cumsum(counts) * min(1.0, budget / total) + 0.5).astype(np.int64)
+    open_ = min(budget, DP_WORDS // 2, 4 * int(sizes.max()))  # left to the dynamic program
+    shares = np.floor(np.cumsum(counts) * min(1.0, (budget - open_) / total) + 0.5).astype(np.int64)
     take = np.clip(np.diff(shares, prepend=0), 0, counts)
     rest = budget - int((sizes * take).sum())
-    sign, left = (1, counts - take) if rest >= 0 else (-1, take.copy())
-    rest = abs(rest)
-    change = np.zeros(len(sizes), np.int64)
-    for i in np.argsort(-sizes, kind="stable") if rest > DP_WORDS else ():
-        change[i] = min(int(left[i]), rest // int(sizes[i]))
-        rest -= int(change[i] * sizes[i])
-        if rest <= DP_WORDS:
+    for i in np.argsort(-sizes, kind="stable"):  # only if the longest documents are of the order of DP_WORDS
+        if 0 <= rest <= DP_WORDS:
             break
-    if rest > DP_WORDS:
-        return take + sign * change
-    small = (sizes <= rest) & (left - change > 0)
-    more = knapsack(rest, sizes[small].tolist(), (left - change)[small].tolist())
-    for size, k in more.items():
-        change[np.searchsorted(sizes, size)] += k
-    return take + sign * change
+        k = min(int(counts[i] - take[i]), rest // int(sizes[i])) if rest > 0 else -min(int(take[i]), -(rest // int(sizes[i])))
+        take[i] += k
+        rest -= k * int(sizes[i])
+    if not 0 < rest <= DP_WORDS:
+        return take
+    left = counts - take
+    some = np.flatnonzero((sizes <= rest) & (left > 0))
+    some = some[np.random.default_rng(len(sizes)).permutation(len(some))]  # no length is preferred; a fixed order
+    for size, k in knapsack(rest, sizes[some].tolist(), left[some].tolist()).items():
+        take[np.searchsorted(sizes, size)] += k
+    return take
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], budget_ratio: float, max_repeats: float) -> DataFrame:
