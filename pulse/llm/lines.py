@@ -225,7 +225,7 @@ def _by_shuffled_probe(rows: DataFrame, index: DataFrame, shards: int, min_docs:
 
     asked = texts.mapInArrow(ask, "d1 long, d2 long, a long, b long, at array<int>")
     asked = asked.withColumn("shard", F.pmod(F.col("a"), F.lit(shards))).withColumn("salt", F.pmod(F.col("d1"), F.lit(SALTS)))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
     def probe(asks: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if arrays.empty or asks.empty:

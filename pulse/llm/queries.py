@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import bpe, lines, mixing, sharding
+from pulse.llm import ann, bpe, lines, mixing, sharding, topk, vectors
 from pulse.llm.common import cut, table
 
 #: Where the public tokenizers' files lie; the same path on every machine.
@@ -62,7 +62,27 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op4_line_mph, op7_kd_shards)}
+def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Usable vectors as (id, vector), and the most components that one has."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = rows.where(vectors.usable(F.col("vector")))
+    return rows, rows.agg(F.max(F.size("vector"))).first()[0] or 1
+
+
+def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dims = _embeddings(spark, sf_dir)
+    whole = F.transform("vector", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    return topk.top_k(rows.select("id", whole.alias("vector")), F.col("id") % 50 == 0, k=5, dims=dims)
+
+
+def op10_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dims = _embeddings(spark, sf_dir)
+    rows = rows.where(F.exists("vector", lambda x: x != 0))
+    return ann.search(rows, F.col("id") % 100 == 0, k=10, dims=dims, tables=6, probes=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op4_line_mph, op5_topk_nra, op7_kd_shards,
+                               op10_ann_cross_polytope)}
 
 #: DuckDB statements for what SQL can state.
 ORACLES: dict[str, str] = {
@@ -80,5 +100,18 @@ WITH split AS (
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc
+""",
+    "op5_topk_nra": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
 }
