@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import ann, bpe, lines, mixing, sharding, topk, vectors
+from pulse.llm import ann, bpe, lines, mixing, secret_scan, sharding, topk, urls, vectors
 from pulse.llm.common import cut, table
 
 #: Where the public tokenizers' files lie; the same path on every machine.
@@ -38,12 +38,29 @@ def op2_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("row.source").alias("source"))
 
 
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op3_url_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    done = urls.judge(pages, URL_RULES)
+    return done.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op4_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = lines.drop_frequent_lines(docs, min_docs=10, min_chars=1)
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
 
 
+def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{secret_scan.KINDS[i]}")  # noqa: B023
+              for i in range(3)]
+    return done.select(F.col("row.doc_id").alias("doc_id"), *counts,
+                       _sha(secret_scan.listed(F.col("base"))).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def _place(name: str) -> Column:
     """A string's place in code point order as a number, by its first six bytes; null stays null."""
     first = F.substring(F.rpad(F.col(name).cast("binary"), 6, F.lit(b"\0")), 1, 6)
@@ -78,10 +95,11 @@ def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dims = _embeddings(spark, sf_dir)
     rows = rows.where(F.exists("vector", lambda x: x != 0))
-    return ann.search(rows, F.col("id") % 100 == 0, k=10, dims=dims, tables=6, probes=16)
+    return ann.search(rows, F.col("id") % 100 == 0, k=10, dims=dims, tables=8, probes=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op4_line_mph, op5_topk_nra, op7_kd_shards,
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op3_url_lm_ratio, op4_line_mph, op5_topk_nra,
+                               op6_secret_markov, op7_kd_shards,
                                op10_ann_cross_polytope)}
 
 #: DuckDB statements for what SQL can state.
