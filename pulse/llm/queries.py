@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import ann, bpe, lines, mixing, secret_scan, sharding, topk, urls, vectors
+from pulse.llm import ann, bpe, langid, lines, mixing, near_dup, secret_scan, sharding, topk, urls, vectors
 from pulse.llm.common import cut, table
 
 #: Where the public tokenizers' files lie; the same path on every machine.
@@ -92,6 +92,24 @@ def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.select("id", whole.alias("vector")), F.col("id") % 50 == 0, k=5, dims=dims)
 
 
+def lang_model(docs: DataFrame) -> langid.Model | None:
+    """The language model of all labelled documents that are not held out."""
+    rest = docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(True)))
+    return langid.train(rest.select(F.col("doc_id").alias("key"), "text", "lang"))
+
+
+def op8_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = langid.predict(docs.select("doc_id", "text"), lang_model(docs), keep_text=False)
+    doc_id = F.col("row.doc_id")
+    return done.select(doc_id.alias("doc_id"), langid.held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.classes(docs, "doc_id").select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op10_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dims = _embeddings(spark, sf_dir)
     rows = rows.where(F.exists("vector", lambda x: x != 0))
@@ -99,7 +117,7 @@ def op10_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op3_url_lm_ratio, op4_line_mph, op5_topk_nra,
-                               op6_secret_markov, op7_kd_shards,
+                               op6_secret_markov, op7_kd_shards, op8_lang_crf, op9_order_minhash,
                                op10_ann_cross_polytope)}
 
 #: DuckDB statements for what SQL can state.
