@@ -66,9 +66,9 @@ def scores(strings: DataFrame, ids: list[str], ratios: DataFrame, order: int) ->
 
 
 def calibrated(scored: DataFrame, step: float = 0.01) -> DataFrame:
-    """One row (threshold): of the scores held out (score, cls), the lowest with the best mean of both classes' hits.
+    """One row (threshold): where the scores held out (score, cls) are parted with the best mean of both classes' hits.
 
-    Scores are binned by ``step``; log ratios per character are bounded by the smoothing, so are the bins.
+    It lies midway between the lowest such score and the next below. Scores are binned by ``step``; log ratios per character are bounded by the smoothing, so are the bins.
     """
     from pyspark.sql import Window
 
@@ -79,8 +79,10 @@ def calibrated(scored: DataFrame, step: float = 0.01) -> DataFrame:
     everything = Window.partitionBy()
     hits = (F.sum("ones").over(upward) / F.greatest(F.sum("ones").over(everything), F.lit(1))
             + F.coalesce(F.sum("zeros").over(below), F.lit(0)) / F.greatest(F.sum("zeros").over(everything), F.lit(1)))
-    return bins.select("bin", hits.alias("hits")).agg(
-        F.coalesce(F.min_by(F.col("bin") * step, F.struct(-F.col("hits"), F.col("bin"))), F.lit(0.0)).alias("threshold"))
+    gap = F.lag("bin").over(Window.orderBy("bin"))
+    place = (F.col("bin") + F.coalesce(gap + 1, F.col("bin"))) / 2 * step
+    return bins.select("bin", hits.alias("hits"), place.alias("place")).agg(
+        F.coalesce(F.min_by("place", F.struct(-F.col("hits"), F.col("bin"))), F.lit(0.0)).alias("threshold"))
 
 
 def odds(one_in: float) -> float:
