@@ -2,152 +2,154 @@
 
 ``percentile`` holds every distinct value of a group in one aggregation buffer and a
 window ``row_number`` over a group sorts it in one task; neither survives a group
-with a third of all rows.  Instead the value window that contains the wanted ranks
-is narrowed with distributed passes:
-
-1. one aggregate per group over the current window: count, min, max and approximate
-   quantiles on a fixed grid (``percentile_approx``, mergeable sketches);
-2. a bracket [lo, hi] around the wanted ranks is read off the grid, and one exact
-   counting pass gives how many values lie below lo and inside [lo, hi];
-3. once a group's window holds at most ``cap`` rows, those rows are ranked with a
-   window function (bounded partition) and the wanted ranks are picked.
-
-Each narrowing divides the window by about the grid resolution (~500), so a
-trillion-row group needs three or four rounds of two passes.  Only per-group
-scalars (bounds and counts) travel to the driver, and the number of groups is
-bounded by the caller (features of a table, classes of a label).
+with a third of all rows.  Instead every wanted rank is searched on its own, in an open
+interval of values that shrinks with distributed passes:
+
+1. one aggregate per rank over the values strictly inside its interval: their number and a
+   grid of approximate quantiles (``percentile_approx``, mergeable sketches);
+2. two grid values p <= q around the rank split the interval; an exact count of the values
+   below p, equal to p, between, and equal to q says where the rank falls.  On p or q it is
+   answered at once, however often that value occurs; otherwise the interval shrinks to
+   one of the three open parts.
+
+Both p and q occur in the data and leave the interval, so every round makes progress and
+ties cost nothing; each round divides the interval by about the grid's resolution.  An
+interval with at most ``CAP`` rows is ranked by a window, which is thus bounded.  There is no limit
+on rounds.  Only scalars of each (group, rank) travel to the driver, and the caller asks for
+a few: features of a table, classes of a label.
 """
 
 from __future__ import annotations
 
-import math
+import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.session import materialized
 
-GRID = [i / 1000 for i in range(1001)]
-ACCURACY = 20000
+GRID = 256
+ACCURACY = 10_000
 CAP = 200_000
-MAX_GROUPS = 10_000
 
 
-def _bounds_frame(spark, bounds: dict, gtype: str, vtype: str) -> DataFrame:
-    rows = [(g, b["lo"], b["hi"], b["below"]) for g, b in bounds.items()]
-    return spark.createDataFrame(rows, f"_g {gtype}, _lo {vtype}, _hi {vtype}, _below long")
+@dataclasses.dataclass
+class Target:
+    """The wanted ``rank`` of ``group``: above ``low`` and below ``high`` (both open), ``below`` rows come before."""
+
+    group: object
+    rank: int
+    low: object = None
+    high: object = None
+    below: int = 0
+    rows: int | None = None  # inside the interval
+    answer: object = None
+    before: int = 0  # rows smaller than the answer
+
+
+def _inside(base: DataFrame, targets: list[tuple[int, Target]], gtype: str, vtype: str, *more) -> DataFrame:
+    """The rows of each target's interval, as (t, _x); ``more``: further columns (name, type, values by target)."""
+    rows = [(i, t.group, t.low, t.high, *(v[i] for _, _, v in more)) for i, t in targets]
+    extra = "".join(f", {n} {k}" for n, k, _ in more)
+    bounds = base.sparkSession.createDataFrame(rows, f"t int, _g {gtype}, _low {vtype}, _high {vtype}{extra}")
+    within = (F.col("_low").isNull() | (F.col("_x") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_x") < F.col("_high")))
+    return base.join(F.broadcast(bounds), "_g").where(within)  # one row for each wanted rank
+
+
+def narrow(base: DataFrame, targets: list[Target], cap: int) -> None:
+    """Shrink the targets' intervals over ``base`` (_g, _x) until each is answered or holds at most ``cap`` rows."""
+    gtype, vtype = (base.schema[c].dataType.simpleString() for c in ("_g", "_x"))
+    while True:
+        open_ = [(i, t) for i, t in enumerate(targets) if t.answer is None and (t.rows is None or t.rows > cap)]
+        if not open_:
+            return
+        grid = [i / GRID for i in range(GRID + 1)]
+        found = {r["t"]: r for r in _inside(base, open_, gtype, vtype).groupBy("t").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", grid, ACCURACY).alias("q")).collect()}
+        p, q = {}, {}
+        for i, t in open_:
+            t.rows = found[i]["n"] if i in found else 0
+            if t.rows > cap:
+                share = (t.rank - t.below) / t.rows
+                slack = 1 / GRID + 2 / ACCURACY
+                p[i] = found[i]["q"][max(0, int((share - slack) * GRID))]
+                q[i] = found[i]["q"][min(GRID, int((share + slack) * GRID) + 1)]
+        split = [(i, t) for i, t in open_ if i in p]
+        if not split:
+            return
+        x = F.col("_x")
+        counted = _inside(base, split, gtype, vtype, ("_p", vtype, p), ("_q", vtype, q)).groupBy("t").agg(
+            F.count_if(x < F.col("_p")).alias("under"), F.count_if(x == F.col("_p")).alias("on_p"),
+            F.count_if((x > F.col("_p")) & (x < F.col("_q"))).alias("between"),
+            F.count_if((x == F.col("_q")) & (F.col("_p") < F.col("_q"))).alias("on_q"))
+        counts = {r["t"]: r for r in counted.collect()}
+        for i, t in split:
+            r, k = counts[i], t.rank - t.below
+            if k <= r["under"]:
+                t.high, t.rows = p[i], r["under"]
+            elif k <= r["under"] + r["on_p"]:
+                t.answer, t.before = p[i], t.below + r["under"]
+            elif k <= r["under"] + r["on_p"] + r["between"]:
+                t.low, t.high, t.below, t.rows = p[i], q[i], t.below + r["under"] + r["on_p"], r["between"]
+            elif k <= r["under"] + r["on_p"] + r["between"] + r["on_q"]:
+                t.answer, t.before = q[i], t.below + r["under"] + r["on_p"] + r["between"]
+            else:
+                passed = r["under"] + r["on_p"] + r["between"] + r["on_q"]
+                t.low, t.below, t.rows = q[i], t.below + passed, t.rows - passed
+
+
+def _rank_small(base: DataFrame, targets: list[Target]) -> None:
+    """Answer the targets whose intervals are small by ranking their rows."""
+    gtype, vtype = (base.schema[c].dataType.simpleString() for c in ("_g", "_x"))
+    rest = [(i, t) for i, t in enumerate(targets) if t.answer is None]
+    if not rest:
+        return
+    need = {i: t.rank - t.below for i, t in rest}
+    w = Window.partitionBy("t").orderBy("_x")
+    ranked = (_inside(base, rest, gtype, vtype, ("_need", "long", need))
+              .select("t", "_x", "_need", F.row_number().over(w).alias("_k"), (F.rank().over(w) - 1).alias("_less")))
+    for r in ranked.where(F.col("_k") == F.col("_need")).collect():  # one row for each wanted rank
+        t = targets[r["t"]]
+        t.answer, t.before = r["_x"], t.below + r["_less"]
 
 
 def order_statistics(df: DataFrame, group_col: str, value_col: str, ranks: dict,
                      counts: dict | None = None, tiebreak_col: str | None = None) -> DataFrame:
-    """Exact k-th smallest non-null ``value_col`` per group (1-based ranks).
+    """Exact k-th smallest non-null ``value_col`` per group (1-based ranks): (group, k, value).
 
-    ``ranks`` maps group value -> list of wanted ranks.  Returns (group, k, value).
-    Ties are handled: the k-th smallest of a multiset.  ``counts`` (non-null values
-    per group), when the caller has them, lets small groups skip the sketch pass.
-    ``tiebreak_col`` orders equal values (the result then also carries it), so the
-    k-th row of the order (value, tiebreak) is returned.
+    ``ranks`` maps group value -> list of wanted ranks; ties are those of a multiset.  ``counts``
+    (non-null values per group), when the caller has them, lets small groups skip the sketch pass.
+    With ``tiebreak_col`` (numeric) the k-th row of the order (value, tiebreak) is returned with its
+    tiebreak: among the rows that hold the answer, the search goes on over the tiebreak.
+    The passes run when this is called; the result is a small local frame.
     """
     spark = df.sparkSession
-    if len(ranks) > MAX_GROUPS:
-        raise ValueError("too many groups for window narrowing; use a per-group aggregate")
     tb = [F.col(tiebreak_col).alias("_tb")] if tiebreak_col else []
     base = df.select(F.col(group_col).alias("_g"), F.col(value_col).alias("_x"), *tb).filter(F.col("_x").isNotNull())
-    gtype = base.schema["_g"].dataType.simpleString()
-    vtype = base.schema["_x"].dataType.simpleString()
-    numeric = vtype in ("double", "float", "bigint", "int", "smallint", "tinyint") or vtype.startswith("decimal")
-    if not numeric:
-        raise TypeError("order statistics need a numeric column")
-    state = {g: {"lo": None, "hi": None, "below": 0} for g in ranks}
-    done_const: dict = {}
-    pending = set(ranks)
-    if counts is not None:
-        pending = {g for g in pending if counts.get(g, 0) > CAP}
-    for _ in range(12):
-        if not pending:
-            break
-        win = _window(base, state, pending, gtype, vtype)
-        stats = (win.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"),
-                                        F.percentile_approx("_x", GRID, ACCURACY).alias("q"))
-                 .collect())
-        got = {r["_g"]: r for r in stats}
-        proposals = {}
-        for g in list(pending):
-            r = got.get(g)
-            if r is None:
-                pending.discard(g)
-                continue
-            n, below = r["n"], state[g]["below"]
-            if r["mn"] == r["mx"]:
-                done_const[g] = r["mn"]
-                pending.discard(g)
-                continue
-            if n <= CAP:
-                pending.discard(g)
-                continue
-            rel = [k - below for k in ranks[g]]
-            f_lo = max(0.0, min(rel) / n - 3 / 1000 - 2 / ACCURACY)
-            f_hi = min(1.0, max(rel) / n + 3 / 1000 + 2 / ACCURACY)
-            lo = r["q"][int(math.floor(f_lo * 1000))]
-            hi = r["q"][int(math.ceil(f_hi * 1000))]
-            proposals[g] = (lo, hi)
-        if not proposals:
-            break
-        # Exact verification: counts below lo and inside [lo, hi], within the current window.
-        pb = spark.createDataFrame([(g, lo, hi) for g, (lo, hi) in proposals.items()],
-                                   f"_g {gtype}, _plo {vtype}, _phi {vtype}")
-        cnt = (_window(base, state, set(proposals), gtype, vtype).join(F.broadcast(pb), "_g")
-               .groupBy("_g").agg(F.count_if(F.col("_x") < F.col("_plo")).alias("lt"),
-                                  F.count_if(F.col("_x") <= F.col("_phi")).alias("le"))
-               .collect())
-        for r in cnt:
-            g = r["_g"]
-            lo, hi = proposals[g]
-            below = state[g]["below"] + r["lt"]
-            inside = r["le"] - r["lt"]
-            if below < min(ranks[g]) and below + inside >= max(ranks[g]):
-                state[g] = {"lo": lo, "hi": hi, "below": below}
-            # else: keep the previous window; the next round re-samples it
-    # Final: rank the (bounded) windows; constant groups are answered directly.
-    parts = []
-    rest = {g: state[g] for g in ranks if g not in done_const}
-    if rest:
-        win = _window(base, state, set(rest), gtype, vtype)
-        bf = _bounds_frame(spark, rest, gtype, vtype).select("_g", "_below")
-        from pyspark.sql import Window
-        order = ["_x", "_tb"] if tiebreak_col else ["_x"]
-        ranked = (win.join(F.broadcast(bf), "_g")
-                  .withColumn("_k", F.col("_below") + F.row_number().over(Window.partitionBy("_g").orderBy(*order))))
-        want = spark.createDataFrame([(g, int(k)) for g in rest for k in ranks[g]], f"_g {gtype}, _k long")
-        parts.append(ranked.join(F.broadcast(want), ["_g", "_k"]).select("_g", "_k", "_x", *(["_tb"] if tiebreak_col else [])))
-    if done_const:
-        if tiebreak_col:
-            # all values equal: the k-th row is the k-th tiebreak value (bounded rank below)
-            sub = _window(base, state, set(done_const), gtype, vtype)
-            from pyspark.sql import Window as W
-            r = sub.withColumn("_k", F.row_number().over(W.partitionBy("_g").orderBy("_tb")))
-            want = spark.createDataFrame([(g, int(k)) for g in done_const for k in ranks[g]], f"_g {gtype}, _k long")
-            parts.append(r.join(F.broadcast(want), ["_g", "_k"]).select("_g", "_k", "_x", "_tb"))
-        else:
-            parts.append(spark.createDataFrame([(g, int(k), v) for g, v in done_const.items() for k in ranks[g]],
-                                               f"_g {gtype}, _k long, _x {vtype}"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    types = {c: base.schema[c].dataType.simpleString() for c in base.columns}
+    for c in ("_x", "_tb"):
+        if c in types and not (types[c] in ("double", "float", "bigint", "int", "smallint", "tinyint") or types[c].startswith("decimal")):
+            raise TypeError("order statistics need a numeric column")
+    counts = counts or {}
+    targets = [Target(g, int(k), rows=counts.get(g)) for g, ks in ranks.items() for k in ks]
+    narrow(base.select("_g", "_x"), targets, CAP)
+    _rank_small(base.select("_g", "_x"), targets)
+    targets = [t for t in targets if t.answer is not None]
+    rows = [(t.group, t.rank, t.answer) for t in targets]
+    schema = f"_g {types['_g']}, k long, _x {types['_x']}"
+    if tiebreak_col:
+        # every target is a group of its own now: the rows of its answer
+        at = spark.createDataFrame([(i, t.group, t.answer) for i, t in enumerate(targets)], f"_t int, _g {types['_g']}, _at {types['_x']}")
+        equal = (base.join(F.broadcast(at), "_g").where(F.col("_x") == F.col("_at"))
+                 .select(F.col("_t").alias("_g"), F.col("_tb").alias("_x")))
+        ties = [Target(i, t.rank - t.before) for i, t in enumerate(targets)]
+        narrow(equal, ties, CAP)
+        _rank_small(equal, ties)
+        rows = [(*r, t.answer) for r, t in zip(rows, ties, strict=True)]
+        schema += f", _tb {types['_tb']}"
+    out = spark.createDataFrame(rows, schema)
     extra = [F.col("_tb").alias(tiebreak_col)] if tiebreak_col else []
-    return out.select(F.col("_g").alias(group_col), F.col("_k").alias("k"), F.col("_x").alias(value_col), *extra)
-
-
-def _window(base: DataFrame, state: dict, groups: set, gtype: str, vtype: str) -> DataFrame:
-    sub = base.filter(F.col("_g").isin(list(groups)))
-    bounded = {g: s for g, s in state.items() if g in groups and s["lo"] is not None}
-    if not bounded:
-        return sub
-    bf = _bounds_frame(base.sparkSession, bounded, gtype, vtype)
-    j = sub.join(F.broadcast(bf), "_g", "left")
-    keep = [c for c in ("_g", "_x", "_tb") if c in base.columns]
-    return j.filter(F.col("_lo").isNull() | ((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))) \
-            .select(*keep)
+    return out.select(F.col("_g").alias(group_col), "k", F.col("_x").alias(value_col), *extra)
 
 
 def medians(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -155,24 +157,21 @@ def medians(df: DataFrame, cols: list[str]) -> DataFrame:
 
     The median of an even count is the mean of the two middle values (numpy's rule).
     Columns are stacked into a (feature, value) long form and solved together.
+    The passes run when this is called; the result is a small local frame.
     """
     spark = df.sparkSession
     # The narrow projection is materialised for the counting and narrowing passes and
     # released afterwards; the long form is a cheap explode on top of it.
-    with materialized(df.select(*[F.col(c).cast("double").alias(c) for c in cols])) as src:
+    with materialized(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])) as src:
         long = (src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
                                                for c in cols])).alias("kv"))
                 .select("kv.feature", "kv.value").filter(F.col("value").isNotNull()))
         counts = {r["feature"]: r["n"] for r in
                   long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-        ranks = {}
-        for c in cols:
-            n = counts.get(c, 0)
-            if n:
-                ranks[c] = sorted({(n + 1) // 2, n // 2 + 1})
+        ranks = {c: sorted({(counts[c] + 1) // 2, counts[c] // 2 + 1}) for c in cols if counts.get(c)}
         if not ranks:
             return spark.createDataFrame([(c, None) for c in cols], "feature string, median double")
-        st = order_statistics(long, "feature", "value", ranks, counts)
-        med = st.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+        found = order_statistics(long, "feature", "value", ranks, counts)
+    med = found.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
     allf = spark.createDataFrame([(c,) for c in cols], "feature string")
     return allf.join(med, "feature", "left")

@@ -64,26 +64,30 @@ def stickiness(m: Marts, spec: FilterSpec) -> DataFrame:
             .select("dau_7d_avg", "mau", ratio("dau_7d_avg", "mau").alias("stickiness")))
 
 
-def activation_7d(m: Marts, spec: FilterSpec) -> DataFrame:
+def activation_7d(m: Marts, spec: FilterSpec, with_count: bool = False) -> DataFrame:
     """Share of range signups whose first-ever order day (any status) is <= signup day + 7.
 
     No lower bound: an order before signup counts; no signups gives 0.0.
     Since signup day <= date_to, an order later than date_to + 7 can never decide the
-    test, so only orders up to that day are read, and only those of range signups
-    (semi-join) are aggregated to their first day.  The whole past still counts, so
+    test, so only orders up to that day are read.  They are reduced to one day per user before
+    they meet the signups (a hot user sends one row from each task).  The whole past still counts, so
     materialised marts store ``users.first_order_day`` and the order scan disappears.
     """
     hit = F.col("first_order_day").isNotNull() & (F.col("first_order_day") <= F.date_add("signup_day", 7))
     rate = F.coalesce(F.avg(F.when(hit, 1.0).otherwise(0.0)), F.lit(0.0)).alias("activation_7d")
+    out = [F.count(F.lit(1)).cast("bigint").alias("new_users"), rate] if with_count else [rate]
     if "first_order_day" in m.users.columns:
         # materialised marts keep each user's first order day: no order scan at all
-        return (signups(m, spec).select(F.col("day").alias("signup_day"), "first_order_day").agg(rate))
+        return (signups(m, spec).select(F.col("day").alias("signup_day"), "first_order_day").agg(*out))
     su = signups(m, spec).select("user_id", F.col("day").alias("signup_day"))
     horizon = spec.date_to + timedelta(days=7)
-    first = (m.orders.filter(day("order_date") <= F.lit(horizon))
-             .join(su.select("user_id"), "user_id", "left_semi")
-             .groupBy("user_id").agg(F.min(day("order_date")).alias("first_order_day")))
-    return su.join(first, "user_id", "left").agg(rate)
+    first = (m.orders.filter(day("order_date") <= F.lit(horizon)).groupBy("user_id").agg(F.min(day("order_date")).alias("first_order_day")))
+    return su.join(first, "user_id", "left").agg(*out)
+
+
+def signups_and_activation(m: Marts, spec: FilterSpec) -> DataFrame:
+    """One row (new_users, activation_7d) from one pass over the range's signups."""
+    return activation_7d(m, spec, with_count=True)
 
 
 def active_users_vs_prev(m: Marts, spec: FilterSpec) -> DataFrame:
@@ -127,11 +131,11 @@ def active_users_by_bins(m: Marts, spec: FilterSpec, start: date, end: date, per
         return m.spark.createDataFrame([], "day date, value bigint")
     last_end = starts[-1] + timedelta(days=period_days - 1)
     s = (day_range(m.sessions, "session_date", start, last_end)
-         .select("user_id", bin_index(day("session_date"), start, period_days).alias("bin")))
+         .select("user_id", bin_index(day("session_date"), start, period_days).alias("bin")).distinct())
     pred = spec.user_predicate()
     if pred is not None:
         s = s.join(users_f(m, spec).select("user_id"), "user_id", "left_semi")
-    per_bin = (s.filter(F.col("user_id").isNotNull()).distinct()
+    per_bin = (s.filter(F.col("user_id").isNotNull())
                .groupBy("bin").agg(F.count(F.lit(1)).alias("value")))
     bins = m.spark.range(len(starts)).select(F.col("id").alias("bin"))
     if keep_empty is None:

@@ -11,20 +11,16 @@ from pulse.sources.marts import Marts
 def filter_options(m: Marts) -> DataFrame:
     """Long form (dimension, value) of the distinct city, channel, device and category values.
 
-    A NULL value is kept as its own option (the source's array aggregate keeps it);
-    each part is a distributed ``distinct`` (partial aggregation, tiny output).
+    A NULL value is kept as its own option (the source's array aggregate keeps it).  Each table is
+    read once: a row lists its dimensions' values, which are made distinct by a partial aggregate.
     """
-    parts = [
-        m.users.select(F.lit("city").alias("dimension"), F.col("city").cast("string").alias("value")),
-        m.users.select(F.lit("channel").alias("dimension"), F.col("acquisition_channel").cast("string").alias("value")),
-        m.users.select(F.lit("device").alias("dimension"), F.col("device").cast("string").alias("value")),
-    ]
+    def values(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+        pairs = [F.struct(F.lit(name).alias("dimension"), F.col(col).cast("string").alias("value")) for name, col in cols.items()]
+        return df.select(F.explode(F.array(*pairs)).alias("o")).select("o.dimension", "o.value").distinct()
+
+    out = values(m.users, {"city": "city", "channel": "acquisition_channel", "device": "device"})
     if m.vendors is not None and "category" in m.vendors.columns:  # no vendors: no category filter
-        parts.append(m.vendors.select(F.lit("category").alias("dimension"),
-                                      F.col("category").cast("string").alias("value")))
-    out = parts[0].distinct()
-    for p in parts[1:]:
-        out = out.unionByName(p.distinct())
+        out = out.unionByName(values(m.vendors, {"category": "category"}))
     return out
 
 

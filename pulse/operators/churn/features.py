@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from pulse.sources.tables import Tables
 
 CATEGORICAL = ["city", "segment", "plan_type"]
-NUMERIC = ["has_mobile_app", "tx_90d", "tx_365d", "revenue_365d", "aov_365d", "days_since_last_tx",
+NUMERIC = ["has_mobile_app", "events_7d", "events_30d", "tx_30d", "tx_90d", "tx_365d", "revenue_365d", "aov_365d", "days_since_last_tx",
            "avg_discount_365d", "tickets_365d"]
 LABEL = "churn"
+#: The event stream of the fixture lies elsewhere in time than its orders; it has an as-of date of its own.
+EVENTS_AS_OF = date(2024, 1, 31)
 ID = "customer_id"
 
 
@@ -31,21 +33,29 @@ def _ts(d: date):
 
 
 def churn_features(t: Tables, as_of: date, short_days: int = 90, long_days: int = 365,
-                   label_days: int = 180) -> DataFrame:
-    """customer_id, city, segment, plan_type, has_mobile_app, tx_90d, tx_365d, revenue_365d,
+                   label_days: int = 180, events_as_of: date = EVENTS_AS_OF) -> DataFrame:
+    """customer_id, city, segment, plan_type, has_mobile_app, events_7d, events_30d, tx_30d, tx_90d, tx_365d, revenue_365d,
     aov_365d, days_since_last_tx, avg_discount_365d, tickets_365d, churn."""
     asof = _ts(as_of)
+    month_start = _ts(as_of - timedelta(days=30))
     short_start = _ts(as_of - timedelta(days=short_days))
     long_start = _ts(as_of - timedelta(days=long_days))
     label_end = _ts(as_of + timedelta(days=label_days))
     od = F.col("o_orderdate")
 
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    tx = (orders.filter(od <= asof).groupBy(F.col("o_custkey").alias(ID)).agg(
-        F.count_if(od > short_start).alias("tx_90d"),
-        F.count_if(od > long_start).alias("tx_365d"),
-        F.sum(F.when(od > long_start, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias("revenue_365d"),
-        F.datediff(F.lit(as_of), F.to_date(F.max(od))).cast("bigint").alias("days_since_last_tx")))
+    past = od <= asof
+    tx = (orders.filter(od <= label_end).groupBy(F.col("o_custkey").alias(ID)).agg(
+        F.count_if(past & (od > month_start)).alias("tx_30d"),
+        F.count_if(past & (od > short_start)).alias("tx_90d"),
+        F.count_if(past & (od > long_start)).alias("tx_365d"),
+        F.sum(F.when(past & (od > long_start), F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias("revenue_365d"),
+        F.datediff(F.lit(as_of), F.to_date(F.max(F.when(past, od)))).cast("bigint").alias("days_since_last_tx"),
+        F.count_if(~past).alias("_later")))
+    seen = (t.events.filter((F.col("ts") <= _ts(events_as_of)) & (F.col("ts") > _ts(events_as_of - timedelta(days=30))))
+            .groupBy(F.col("user_id").alias(ID)).agg(
+                F.count_if(F.col("ts") > _ts(events_as_of - timedelta(days=7))).alias("events_7d"),
+                F.count(F.lit(1)).alias("events_30d")))
 
     # Lineitems are joined to the long-window orders first (broadcast when that set is
     # small; otherwise the orders' date filter becomes a runtime bloom filter on the
@@ -58,9 +68,6 @@ def churn_features(t: Tables, as_of: date, short_days: int = 90, long_days: int
                  .alias("avg_discount_365d"),
                  F.count_if(F.col("l_returnflag") == "R").alias("tickets_365d")))
 
-    future = (orders.filter((od > asof) & (od <= label_end))
-              .select(F.col("o_custkey").alias(ID)).distinct().withColumn("_active", F.lit(1)))
-
     c = t.customer.select(F.col("c_custkey").alias(ID), "c_mktsegment", "c_acctbal")
     k = F.col(ID)
     base = c.select(
@@ -69,23 +76,30 @@ def churn_features(t: Tables, as_of: date, short_days: int = 90, long_days: int
         F.when(F.col("c_acctbal") < 0, "low").when(F.col("c_acctbal") < 5000, "mid").otherwise("high").alias("segment"),
         F.when(k % 3 == 0, "basic").when(k % 3 == 1, "plus").otherwise("pro").alias("plan_type"),
         (k % 2).cast("bigint").alias("has_mobile_app"))
-    out = base.join(tx, ID, "left").join(lines, ID, "left").join(future, ID, "left")
+    out = base.join(tx, ID, "left").join(lines, ID, "left").join(seen, ID, "left")
     return out.select(
         ID, "city", "segment", "plan_type", "has_mobile_app",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("events_7d", "events_30d", "tx_30d")],
         F.coalesce("tx_90d", F.lit(0)).cast("bigint").alias("tx_90d"),
         F.coalesce("tx_365d", F.lit(0)).cast("bigint").alias("tx_365d"),
         F.coalesce("revenue_365d", F.lit(0.0)).alias("revenue_365d"),
         (F.col("revenue_365d") / F.when(F.col("tx_365d") != 0, F.col("tx_365d"))).alias("aov_365d"),
         "days_since_last_tx", "avg_discount_365d",
         F.coalesce("tickets_365d", F.lit(0)).cast("bigint").alias("tickets_365d"),
-        F.when(F.col("_active").isNull(), 1).otherwise(0).cast("int").alias(LABEL))
+        F.when(F.col("_later") > 0, 0).otherwise(1).cast("int").alias(LABEL))
+
+
+def idle_score(days) -> F.Column:
+    """A model-free risk score for checks: d / (d + 365) of the days since the last order.
+
+    It rises strictly with d and has no cap; without any order there is no idle time: 0.
+    """
+    d = days.cast("double")
+    return F.coalesce(F.round(d / (d + 365.0), 9), F.lit(0.0))
 
 
 def deterministic_score(features: DataFrame) -> DataFrame:
-    """A model-free risk score for checks: days since last order / 1000, capped at 0.999, 3 decimals."""
-    return features.withColumn(
-        "churn_probability",
-        F.round(F.least(F.coalesce(F.col("days_since_last_tx"), F.lit(999)), F.lit(999)).cast("double") / 1000.0, 3))
+    return features.withColumn("churn_probability", idle_score(F.col("days_since_last_tx")))
 
 
 def last_order_score(t: Tables, as_of: date) -> DataFrame:
@@ -95,5 +109,4 @@ def last_order_score(t: Tables, as_of: date) -> DataFrame:
     days = F.datediff(F.lit(as_of), F.to_date("last_tx")).cast("bigint")
     return (t.customer.select(F.col("c_custkey").alias(ID))
             .join(last, F.col(ID) == F.col("o_custkey"), "left")
-            .select(ID, F.round(F.least(F.coalesce(days, F.lit(999)), F.lit(999)).cast("double") / 1000.0, 3)
-                    .alias("churn_probability")))
+            .select(ID, idle_score(days).alias("churn_probability")))

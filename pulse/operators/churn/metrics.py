@@ -5,10 +5,10 @@ same numbers come out whatever the partitioning.
 
 ROC AUC uses the rank form with average ranks for ties, written without a global
 sort: scores are grouped per distinct value (positives, negatives), the values are
-bucketed on a fixed grid over [min, max], and the count of negatives below each
-value is the sum over lower buckets (a window over the bounded bucket table) plus
+bucketed at approximate quantiles of the distinct values, and the count of negatives below
+each value is the sum over lower buckets (a window over the bounded bucket table) plus
 the sum inside its own bucket (a window over that bucket's distinct values only).
-With 10^6 buckets a bucket holds about 10^-6 of the distinct scores.
+However scores cluster, a bucket holds about 1 / AUC_BUCKETS of the distinct scores.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pulse.functions.stats import medians
 from pulse.operators.common import attach
 
-AUC_BUCKETS = 1_000_000
+AUC_BUCKETS = 512
 
 
 def _confusion(scored: DataFrame, label: str, prob: str, threshold: float = 0.5) -> DataFrame:
@@ -37,10 +37,10 @@ def roc_auc(scored: DataFrame, label: str = "churn", prob: str = "churn_probabil
               .filter(F.col("s").isNotNull())
     per_value = s.groupBy(*g, "s").agg(F.count_if(F.col("y") == 1).alias("pos"),
                                        F.count_if(F.col("y") != 1).alias("neg"))
-    rng = per_value.groupBy(*g).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    b = F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1))
-    joined = per_value.transform(attach(rng)) if not g else per_value.join(F.broadcast(rng), g)
-    bucketed = joined.withColumn("b", F.when(F.col("hi") > F.col("lo"), b).otherwise(F.lit(0)).cast("int"))
+    grid = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
+    edges = per_value.groupBy(*g).agg(F.percentile_approx("s", grid, 20 * AUC_BUCKETS).alias("edges"))
+    joined = per_value.transform(attach(edges)) if not g else per_value.join(F.broadcast(edges), g)
+    bucketed = joined.withColumn("b", F.size(F.filter("edges", lambda e: e <= F.col("s")))).drop("edges")
     # negatives in lower buckets: window over at most AUC_BUCKETS rows per group
     per_bucket = bucketed.groupBy(*g, "b").agg(F.sum("neg").alias("bneg"))
     wb = Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,18 +147,21 @@ def risk_stats_vs_previous(current: DataFrame, previous: DataFrame, prob: str =
 
 
 def risk_histogram(scored: DataFrame, prob: str = "churn_probability", maxbins: int = 28) -> DataFrame:
-    """(bin_start, bin_end, customers) on "nice" bins: the smallest step in {1, 2, 5} x 10^k
-    with span / step <= maxbins; bins start at floor(x / step) * step."""
+    """(bin_start, bin_end, customers, mean, median) on "nice" bins: the smallest step of the form
+    {1, 2, 5} x 10^k with span / step <= maxbins; bins start at floor(x / step) * step.  The mean and
+    the median of all scores are the chart's markers, the same on every row."""
     x = scored.select(F.col(prob).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    rng = x.agg((F.max("x") - F.min("x")).alias("span"))
-    # candidate steps generated from the rule, smallest first
-    cands = sorted(m * 10.0 ** k for k in range(-6, 7) for m in (1, 2, 5))
-    steps = F.array(*[F.lit(c) for c in cands])
-    step = F.coalesce(F.array_min(F.filter(steps, lambda s: F.col("span") / s <= maxbins)), F.lit(cands[-1]))
-    st = rng.select(F.when(F.col("span") > 0, step).otherwise(F.lit(1.0)).alias("step"))
+    span = F.col("span")
+    power = F.concat(F.lit("1e"), F.floor(F.log10(span / maxbins)).cast("string")).cast("double")
+    steps = F.array(*[F.lit(float(i)) * power for i in (1, 2, 5, 10, 20)])
+    step = F.array_min(F.filter(steps, lambda s: span / s <= maxbins))
+    st = (x.agg((F.max("x") - F.min("x")).alias("span"))
+          .select(F.when(span > 0, step).otherwise(F.lit(1.0)).alias("step")))
+    marks = exact_mean_std(x).select("mean").transform(attach(medians(x, ["x"]).select("median")))
     b = x.transform(attach(st)).withColumn("bin_start", F.floor(F.col("x") / F.col("step")) * F.col("step"))
     return (b.groupBy("bin_start", "step").agg(F.count(F.lit(1)).cast("bigint").alias("customers"))
-            .select("bin_start", (F.col("bin_start") + F.col("step")).alias("bin_end"), "customers"))
+            .transform(attach(marks))
+            .select("bin_start", (F.col("bin_start") + F.col("step")).alias("bin_end"), "customers", "mean", "median"))
 
 
 def risk_kpis(scored: DataFrame, threshold: float = 0.60, prob: str = "churn_probability") -> DataFrame:

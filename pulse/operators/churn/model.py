@@ -28,7 +28,7 @@ from pulse.operators.common import attach
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.functions.filters import filter_in
-from pulse.session import checkpoint_dir
+from pulse.session import checkpoint_dir, materialized
 
 
 @dataclasses.dataclass
@@ -50,7 +50,7 @@ def _sql_literal(v) -> str:
 
 
 def build_pipeline(num_fill: dict, cat_fill: dict, num_cols: list[str], cat_cols: list[str], label_col: str,
-                   num_trees: int = 500, max_depth: int = 12, seed: int = 42, use_checkpoints: bool = False,
+                   num_trees: int = 500, max_depth: int = 30, seed: int = 42, use_checkpoints: bool = False,
                    weight_col: str = "weight") -> Pipeline:
     fills = [f"coalesce(cast(`{c}` AS double), CAST({_sql_literal(num_fill.get(c))} AS double)) AS `{c}__imp`"
              for c in num_cols]
@@ -75,34 +75,33 @@ def build_pipeline(num_fill: dict, cat_fill: dict, num_cols: list[str], cat_cols
 
 
 def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_col: str, id_col: str,
-                 num_trees: int = 500, max_depth: int = 12, seed: int = 42,
+                 num_trees: int = 500, max_depth: int = 30, seed: int = 42,
                  test_fraction: float = 0.2) -> ChurnModel:
     """Stratified split, fit on the training rows, evaluate AUC and F1 on the test rows.
 
     Fill values and class weights come from the training rows only.  Only per-feature
     fill values and the four metrics reach the driver.
     """
-    # The split feeds several passes (fill values, weights, the fit, evaluation):
-    # keep it (memory, spilling to disk); lost blocks are recomputed from lineage.
-    split = prep.stratified_split(df, id_col, label_col, test_fraction, seed).persist()
-    train = split.filter(~F.col("is_test")).drop("is_test")
-    test = split.filter(F.col("is_test")).drop("is_test")
-    num_fill = {r["feature"]: r["median"] for r in prep.numeric_medians(train, num_cols).collect()}
-    cat_fill = {r["feature"]: r["mode"] for r in prep.categorical_modes(train, cat_cols).collect()} if cat_cols else {}
-    train_w = prep.with_class_weights(train, label_col)
-    pipe = build_pipeline(num_fill, cat_fill, num_cols, cat_cols, label_col, num_trees, max_depth, seed,
-                          use_checkpoints=checkpoint_dir(df.sparkSession) is not None)
-    fitted = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double")))
-    model = ChurnModel(fitted, num_cols, cat_cols, label_col, id_col, {})
-    scored = score(model, test)
-    auc = cm.roc_auc(scored, label_col).first()["roc_auc"]
-    f1 = cm.f1_at_half(scored, label_col).first()["f1"]
-    counts = split.groupBy("is_test").count().collect()
-    n = {r["is_test"]: r["count"] for r in counts}
-    model.metrics = {"roc_auc": float(auc), "f1": float(f1), "n_train": int(n.get(False, 0)),
-                     "n_test": int(n.get(True, 0))}
-    split.unpersist()
-    return model
+    # The split feeds several passes (fill values, weights, the fit, evaluation): it is
+    # written to the cluster's checkpoint folder, or kept by the session where there is none.
+    with materialized(prep.stratified_split(df, id_col, label_col, test_fraction, seed)) as split:
+        train = split.filter(~F.col("is_test")).drop("is_test")
+        test = split.filter(F.col("is_test")).drop("is_test")
+        num_fill = {r["feature"]: r["median"] for r in prep.numeric_medians(train, num_cols).collect()}
+        cat_fill = {r["feature"]: r["mode"] for r in prep.categorical_modes(train, cat_cols).collect()} if cat_cols else {}
+        train_w = prep.with_class_weights(train, label_col)
+        pipe = build_pipeline(num_fill, cat_fill, num_cols, cat_cols, label_col, num_trees, max_depth, seed,
+                              use_checkpoints=checkpoint_dir(df.sparkSession) is not None)
+        fitted = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double")))
+        model = ChurnModel(fitted, num_cols, cat_cols, label_col, id_col, {})
+        scored = score(model, test)
+        auc = cm.roc_auc(scored, label_col).first()["roc_auc"]
+        f1 = cm.f1_at_half(scored, label_col).first()["f1"]
+        counts = split.groupBy("is_test").count().collect()
+        n = {r["is_test"]: r["count"] for r in counts}
+        model.metrics = {"roc_auc": float(auc), "f1": float(f1), "n_train": int(n.get(False, 0)),
+                         "n_test": int(n.get(True, 0))}
+        return model
 
 
 def score(model: ChurnModel, df: DataFrame, keep: tuple[str, ...] = ("city", "segment", "plan_type")) -> DataFrame:
@@ -136,16 +135,14 @@ def _partnered(t: DataFrame, cols: list[str], id_col: str, seed: int, buckets: i
 
 
 def permutation_importance(model: ChurnModel, test: DataFrame, n_repeats: int = 5, seed: int = 42,
-                           bucket_rows: int = 50_000) -> DataFrame:
+                           buckets: int = 64) -> DataFrame:
     """(feature, importance): mean drop of test ROC AUC when one raw feature is permuted.
 
-    Per repeat, one partner join provides the permuted value of every feature; the
+    Rows are permuted inside a fixed number of hash buckets. Per repeat, one partner join provides the permuted value of every feature; the
     (feature, repeat) variants are stacked with a tag, scored in one ``transform`` and
     their AUCs computed by one grouped aggregate.  Negative values mean the permuted
     column scored better (noise), as in the source's importance export.
     """
-    n = test.count()
-    buckets = max(1, n // bucket_rows)
     feats = model.num_cols + model.cat_cols
     cols = test.columns
     stacked = None

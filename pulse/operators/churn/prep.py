@@ -50,11 +50,15 @@ def impute(df: DataFrame, num_cols: list[str], cat_cols: list[str],
 
     Fill values are fitted on ``df`` unless given (e.g. fitted on the training split).
     """
-    num_fill = num_fill if num_fill is not None else numeric_medians(df, num_cols)
-    cat_fill = cat_fill if cat_fill is not None else categorical_modes(df, cat_cols)
-    nf = _fill_values(num_fill, "feature", "median", num_cols).select(*[F.col(c).alias(f"_m_{c}") for c in num_cols])
-    cf = _fill_values(cat_fill, "feature", "mode", cat_cols).select(*[F.col(c).alias(f"_c_{c}") for c in cat_cols])
-    out = df.transform(attach(nf)).transform(attach(cf))
+    out = df
+    if num_cols:
+        num_fill = num_fill if num_fill is not None else numeric_medians(df, num_cols)
+        nf = _fill_values(num_fill, "feature", "median", num_cols)
+        out = out.transform(attach(nf.select(*[F.col(c).alias(f"_m_{c}") for c in num_cols])))
+    if cat_cols:
+        cat_fill = cat_fill if cat_fill is not None else categorical_modes(df, cat_cols)
+        cf = _fill_values(cat_fill, "feature", "mode", cat_cols)
+        out = out.transform(attach(cf.select(*[F.col(c).alias(f"_c_{c}") for c in cat_cols])))
     keep = [c for c in df.columns if c not in num_cols and c not in cat_cols]
     return out.select(*keep,
                       *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in num_cols],
@@ -93,20 +97,29 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_fraction:
     """Adds ``is_test``: per class, the round(test_fraction * n_class) rows first in seeded hash order.
 
     The per-class threshold is the exact k-th row in (hash, id) order (order
-    statistics by window narrowing), so each class is cut with counts only and one
-    comparison per row; ties on the hash are ordered by id.
+    statistics by interval narrowing), so each class is cut with counts only and one
+    comparison per row; ties on the hash are ordered by id.  With fewer than two classes, or a
+    class of one row, the split is not stratified: round(test_fraction * n) of all rows.
+    The counting passes run when this is called.
     """
     keyed = df.withColumn("_key", split_key(id_col, seed))
     with materialized(keyed) as km:  # released after the counting passes
         n_by = {r[label_col]: r["n"] for r in km.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if n_by and (min(n_by.values()) < 2 or len(n_by) < 2):  # a class cannot be in both parts: split all rows alike
+            km, label_col_in = km.withColumn("_all", F.lit(0)), "_all"
+            n_by = {0: sum(n_by.values())}
+        else:
+            label_col_in = label_col
         need = {lab: int(_round_half_up(test_fraction * n)) for lab, n in n_by.items()}
         ranks = {lab: [k] for lab, k in need.items() if k > 0}
         if not ranks:
             return df.withColumn("is_test", F.lit(False))
         # k-th row of the order (hash, id) per class: everything up to it is the test set
-        th = (order_statistics(km, label_col, "_key", ranks, n_by, tiebreak_col=id_col)
-              .select(label_col, F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")).alias("_t")))
-    tagged = keyed.join(F.broadcast(th), label_col, "left")  # one row per class
+        th = (order_statistics(km, label_col_in, "_key", ranks, n_by, tiebreak_col=id_col)
+              .select(label_col_in, F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")).alias("_t")))
+    if label_col_in == "_all":
+        keyed = keyed.withColumn("_all", F.lit(0))
+    tagged = keyed.join(F.broadcast(th), label_col_in, "left")  # one row per class
     is_test = F.struct(F.col("_key").alias("k"), F.col(id_col).alias("i")) <= F.col("_t")
     return tagged.select(*df.columns, F.coalesce(is_test, F.lit(False)).alias("is_test"))
 

@@ -91,18 +91,15 @@ def order_metrics() -> list:
 def first_order_in_range(m: Marts, d1: date, d2: date, users: DataFrame | None = None) -> DataFrame:
     """Per user, the first order with day in [d1, d2] (earliest order_date, then smallest order_id).
 
-    ``min(struct(...))`` is an ordinary aggregate with map-side partial aggregation,
-    so a user with millions of orders costs one buffer, not one sorted group.
-    Columns: user_id, fo_order_id, fo_vendor_id, fo_status.  ``users`` (user_id)
-    restricts the aggregate to the users that need it (left-semi join first; AQE
-    broadcasts the user set when it is small, else the aggregate reuses the join's
-    hash partitioning on user_id).
+    ``min(struct(...))`` is aggregated per user first, with a map-side partial aggregate below
+    the first exchange: a user with a third of all orders sends one row from each task.  Only then
+    ``users`` (user_id), when given, restricts the result to the users that need it.
+    Columns: user_id, fo_order_id, fo_vendor_id, fo_status.
     """
-    o = day_range(m.orders, "order_date", d1, d2)
-    if users is not None:
-        o = o.join(users.select("user_id"), "user_id", "left_semi")
-    first = (o.groupBy("user_id")
+    first = (day_range(m.orders, "order_date", d1, d2).groupBy("user_id")
              .agg(F.min(F.struct("order_date", "order_id", "vendor_id", "order_status")).alias("fo")))
+    if users is not None:
+        first = first.join(users.select("user_id"), "user_id", "left_semi")
     return first.select("user_id", F.col("fo.order_id").alias("fo_order_id"),
                         F.col("fo.vendor_id").alias("fo_vendor_id"), F.col("fo.order_status").alias("fo_status"))
 

@@ -32,12 +32,12 @@ def variant_of(user_id) -> F.Column:
     return F.when(F.col(user_id) % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
 
 
-def session_facts(events: DataFrame) -> DataFrame:
-    """One row per (user_id, day) with event counts and decimal revenue."""
+def session_facts(events: DataFrame, *keys: str) -> DataFrame:
+    """One row per (user_id, day) and ``keys`` with event counts and decimal revenue."""
     t = F.col("event_type")
-    return (events.select("user_id", F.to_date("ts").alias("day"), "event_type",
+    return (events.select("user_id", F.to_date("ts").alias("day"), *keys, "event_type",
                           F.col("value").cast("decimal(18,2)").alias("value"))
-            .groupBy("user_id", "day")
+            .groupBy("user_id", "day", *keys)
             .agg(F.count_if(t == IMPRESSION).alias("impressions"),
                  F.count_if(t == CLICK).alias("clicks"),
                  F.count_if(t == ADD_TO_CART).alias("add_to_cart"),
@@ -77,6 +77,19 @@ def ab_summary_by_dim(events: DataFrame, users: DataFrame, dim_col: str) -> Data
     return _summary(facts.join(u, "user_id", "left"), ["variant", "dim"])
 
 
+def ab_summary_by_product(events: DataFrame, products: DataFrame, id_pattern: str = "[0-9]+") -> DataFrame:
+    """Per (variant, product dimension): a session is a (user, day) with that dimension's value.
+
+    The product is named in the event's ``props``; ``products`` (product_id, dim) is met after events
+    are reduced to (user, day, product).  Their counts are additive, so the second aggregate is exact.
+    """
+    named = events.withColumn("product_id", F.regexp_extract("props", id_pattern, 0).try_cast("bigint"))
+    facts = session_facts(named, "product_id").join(products, "product_id", "left")
+    per_dim = facts.groupBy("user_id", "day", "dim").agg(
+        *[F.sum(c).alias(c) for c in ("impressions", "clicks", "add_to_cart", "purchases", "revenue")])
+    return _summary(per_dim.withColumn("variant", variant_of("user_id")), ["variant", "dim"])
+
+
 LIFT_METRICS = ["ctr", "add_to_cart_rate", "purchase_rate"]
 
 

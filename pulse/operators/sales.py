@@ -33,16 +33,12 @@ def orders_kpis(m: Marts, spec: FilterSpec) -> DataFrame:
 def kpi_summary(m: Marts, spec: FilterSpec) -> DataFrame:
     """The flagship one-row summary (12 fields), assembled from one-row aggregates.
 
-    Each part is an independent aggregate with its own pushed-down scan; the
-    one-row results are cross-joined (broadcast of one row each).
+    Every part reads its fact with its own pushed-down days: sessions of the range and of the
+    month, orders of the range, and the orders that decide activation; signups are counted in
+    the activation pass. The one-row results are attached to each other (broadcast of one row each).
     """
-    last7 = act.dau_7d_avg(m, spec)
-    mau = act.mau(m, spec)
-    new_users = signups(m, spec).agg(F.count(F.lit(1)).cast("bigint").alias("new_users"))
-    activation = act.activation_7d(m, spec)
-    orders = _orders_agg(m, spec)
-    row = (last7.transform(attach(mau)).transform(attach(new_users))
-           .transform(attach(activation)).transform(attach(orders)))
+    row = (act.dau_7d_avg(m, spec).transform(attach(act.mau(m, spec)))
+           .transform(attach(act.signups_and_activation(m, spec))).transform(attach(_orders_agg(m, spec))))
     return row.select(
         "dau_7d_avg", F.col("mau").cast("double").alias("mau"),
         ratio("dau_7d_avg", "mau").alias("stickiness"),
@@ -76,9 +72,12 @@ def top_cities_gmv(m: Marts, spec: FilterSpec, n: int = 10) -> DataFrame:
 
 
 def top_vendors_gmv(m: Marts, spec: FilterSpec, n: int = 15) -> DataFrame:
-    """Top vendors (vendor_id, vendor city, category) by GMV with average rating and order count."""
+    """Top vendors (vendor_id, vendor city, category) by GMV with their rating and order count.
+
+    The rating is the vendor's own, one value a vendor, so no mean over its orders is taken.
+    """
     return (order_base(m, spec).groupBy("vendor_id", F.col("v_city").alias("city"), "category")
-            .agg(F.avg("rating").alias("rating"), *_gmv_orders_all_status())
+            .agg(F.max("rating").alias("rating"), *_gmv_orders_all_status())
             .orderBy(F.desc("gmv"), F.asc("vendor_id")).limit(n))
 
 
@@ -135,14 +134,16 @@ def compare_orders_by_dim(m: Marts, spec: FilterSpec, dim: Dim) -> DataFrame:
 def compare_orders_trend_top5(m: Marts, spec: FilterSpec, dim: Dim, n: int = 5) -> DataFrame:
     """(day, dim) metrics for the ``n`` largest values by GMV (ties by name).
 
-    The top set stays a DataFrame (n rows, broadcast) used in a semi-join: nothing is
-    collected to the driver.
+    Orders are aggregated to (day, dim) once; the top set is a sum over that small frame (its
+    exchange is reused) and stays a DataFrame of n rows, broadcast into a semi-join.
     """
     col = {Dim.CATEGORY: "category", Dim.CITY: "city", Dim.CHANNEL: "acquisition_channel",
            Dim.DEVICE: "device", Dim.STATUS: "order_status"}[Dim(dim)]
-    top = (compare_orders_by_dim(m, spec, dim).orderBy(F.desc("gmv"), F.asc_nulls_last("dim")).limit(n)
+    done = F.col("order_status") == COMPLETED
+    daily = (order_base(m, spec).withColumn("dim", F.col(col)).groupBy("day", "dim")
+             .agg(*order_metrics(), F.sum(F.when(done, F.col("order_total"))).alias("_paid")))
+    total = F.coalesce(F.sum("_paid"), F.lit(0).cast("decimal(28,2)"))
+    top = (daily.groupBy("dim").agg(total.alias("_gmv")).orderBy(F.desc("_gmv"), F.asc_nulls_last("dim")).limit(n)
            .select(F.col("dim").cast("string").alias("top_dim")))
-    base = order_base(m, spec).withColumn("dim", F.col(col))
-    return (base.join(F.broadcast(top), F.col("dim").cast("string") == F.col("top_dim"), "left_semi")
-            .groupBy("day", "dim").agg(*order_metrics())
+    return (daily.join(F.broadcast(top), F.col("dim").cast("string") == F.col("top_dim"), "left_semi")
             .select("day", "dim", "gmv", "orders_total", "orders_cancelled", "commission"))

@@ -43,6 +43,11 @@ def share_top_n_others(df: DataFrame, value_col: str, series_col: str = "series"
     return top.select("series", "share", "value").unionByName(rest)
 
 
+def centre_total(shares_frame: DataFrame, value_col: str = "value") -> DataFrame:
+    """One row (total): the number in the centre of a share chart, the sum of all its parts."""
+    return shares_frame.agg(F.coalesce(F.sum(value_col), F.lit(0.0)).alias("total"))
+
+
 def normalize_top(df: DataFrame, preferred_dim_col: str | None = None) -> DataFrame:
     """Any top table -> (dim, gmv, orders).
 

@@ -7,19 +7,23 @@ from datetime import timedelta
 from pulse.operators import acquisition as acq
 from pulse.plans.catalog import register
 from pulse.plans.params import P1, P1_CAT, P1_F2, P4
-from pulse.plans.sqltext import EVENTS_MART, between, calendar, d, lst, user_where, with_mart
+from pulse.plans.sqltext import EVENTS_MART, d, days, facts, part_of, with_mart
 
-UW = user_where(P1)
 D1, D2 = P1.date_from, P1.date_to
 EXT_START = D1 - timedelta(days=P1.days * 6)
 
 
-@register("users_base_vs_new", "acquisition", with_mart(EVENTS_MART, "", f"""
-SELECT
-  (SELECT count(*) FROM mu u WHERE cast(u.created_at AS date) < {d(D1)}{UW}) AS base_before,
-  (SELECT count(*) FROM mu u WHERE {between('u.created_at', D1, D2)}{UW}) AS new_in_range,
-  (SELECT count(*) FROM mu u WHERE 1=1{UW}) AS total_all
-"""), mart="events")
+def _on_facts(spec, select, more=""):
+    return with_mart(EVENTS_MART, facts(spec) + ("," + more if more else ""), select)
+
+
+def _joined(a, b):
+    return f"joined >= {d(a)} AND joined <= {d(b)}"
+
+
+@register("users_base_vs_new", "acquisition", _on_facts(P1, f"""
+SELECT count_if(joined < {d(D1)})::BIGINT AS base_before, count_if({_joined(D1, D2)})::BIGINT AS new_in_range, count(*) AS total_all
+FROM chosen"""), mart="events")
 def users_base_vs_new(m):
     return acq.users_base_vs_new(m, P1)
 
@@ -27,195 +31,134 @@ def users_base_vs_new(m):
 _PD1, _PD2 = P1.previous_window()
 
 
-@register("new_users_vs_prev", "acquisition", with_mart(EVENTS_MART, f"""
-r AS (SELECT
-  (SELECT count(*) FROM mu u WHERE cast(u.created_at AS date) < {d(D1)}{UW}) AS users_before,
-  (SELECT count(*) FROM mu u WHERE {between('u.created_at', D1, D2)}{UW}) AS new_users,
-  (SELECT count(*) FROM mu u WHERE {between('u.created_at', _PD1, _PD2)}{UW}) AS new_users_prev)""", f"""
-SELECT users_before, new_users, new_users_prev,
-  users_before + new_users AS total_considered,
-  CASE WHEN users_before + new_users > 0 THEN cast(new_users AS double) / (users_before + new_users) ELSE 0.0 END AS pct_new,
-  {d(_PD1)} AS prev_d1, {d(_PD2)} AS prev_d2,
+@register("new_users_vs_prev", "acquisition", _on_facts(P1, f"""
+SELECT users_before, new_users, new_users_prev, users_before + new_users AS total_considered,
+  {part_of('new_users', 'users_before + new_users')} AS pct_new, {d(_PD1)} AS prev_d1, {d(_PD2)} AS prev_d2,
   new_users - new_users_prev AS delta_abs,
-  CASE WHEN new_users_prev > 0 THEN cast(new_users - new_users_prev AS double) / new_users_prev
-       WHEN new_users > 0 THEN 1.0 ELSE 0.0 END AS delta_pct,
-  cast(new_users AS double) / {P1.days} AS avg_new_per_day
-FROM r
-"""), mart="events")
+  CASE new_users_prev WHEN 0 THEN least(new_users, 1)::DOUBLE ELSE (new_users - new_users_prev)::DOUBLE / new_users_prev END AS delta_pct,
+  new_users::DOUBLE / {P1.days} AS avg_new_per_day
+FROM (SELECT count_if(joined < {d(D1)})::BIGINT AS users_before, count_if({_joined(D1, D2)})::BIGINT AS new_users,
+        count_if({_joined(_PD1, _PD2)})::BIGINT AS new_users_prev FROM chosen)"""), mart="events")
 def new_users_vs_prev(m):
     return acq.new_users_vs_prev(m, P1)
 
 
-def _daily_sql(a, b, uw=UW):
+def _daily(a, b):
+    """Every day with the number of users who joined on it."""
     return f"""
-daily AS (SELECT cast(u.created_at AS date) AS day, count(*) AS new_users FROM mu u
-          WHERE {between('u.created_at', a, b)}{uw} GROUP BY 1),
-cal AS ({calendar(a, b)}),
-dense AS (SELECT c.day AS day, cast(coalesce(d.new_users, 0) AS bigint) AS new_users
-          FROM cal c LEFT JOIN daily d USING (day))"""
+daily AS (SELECT day, count(user_id) AS new_users FROM ({days(a, b)}) LEFT JOIN chosen ON joined = day GROUP BY day)"""
 
 
-@register("new_users_daily", "acquisition", with_mart(EVENTS_MART, _daily_sql(D1, D2),
-                                                      "SELECT day, new_users FROM dense"), mart="events")
+@register("new_users_daily", "acquisition", _on_facts(P1, "FROM daily", _daily(D1, D2)), mart="events")
 def new_users_daily(m):
     return acq.new_users_daily(m, P1)
 
 
-@register("new_users_daily_empty_range", "acquisition",
-          with_mart(EVENTS_MART, _daily_sql(P4.date_from, P4.date_to, user_where(P4)), "SELECT day, new_users FROM dense"),
+@register("new_users_daily_empty_range", "acquisition", _on_facts(P4, "FROM daily", _daily(P4.date_from, P4.date_to)),
           mart="events")
 def new_users_daily_empty_range(m):
     return acq.new_users_daily(m, P4)
 
 
-@register("new_users_daily_extended", "acquisition", with_mart(EVENTS_MART, _daily_sql(EXT_START, D2),
-                                                               "SELECT day, new_users FROM dense"), mart="events")
+@register("new_users_daily_extended", "acquisition", _on_facts(P1, "FROM daily", _daily(EXT_START, D2)), mart="events")
 def new_users_daily_extended(m):
     return acq.new_users_daily_extended(m, P1, EXT_START, D2)
 
 
-@register("new_users_cumulative", "acquisition", with_mart(EVENTS_MART, _daily_sql(D1, D2) + f""",
-base AS (SELECT count(*) AS users_before FROM mu u WHERE cast(u.created_at AS date) < {d(D1)}{UW})""", """
-SELECT day, new_users,
-  cast((SELECT users_before FROM base) + sum(new_users) OVER (ORDER BY day) AS bigint) AS users_cum
-FROM dense"""), mart="events")
+# the running total of a day is everyone who had joined by its end
+@register("new_users_cumulative", "acquisition", _on_facts(P1, """
+SELECT day, new_users, (SELECT count(*) FROM chosen WHERE joined <= day) AS users_cum FROM daily""", _daily(D1, D2)),
+          mart="events")
 def new_users_cumulative(m):
     return acq.new_users_cumulative(m, P1)
 
 
-@register("new_users_delta", "acquisition", with_mart(EVENTS_MART, _daily_sql(D1, D2), """
-SELECT day, new_users, coalesce(new_users - lag(new_users) OVER (ORDER BY day), new_users) AS delta_new
-FROM dense"""), mart="events")
+@register("new_users_delta", "acquisition", _on_facts(P1, """
+SELECT day, t.new_users, t.new_users - ifnull(y.new_users, 0) AS delta_new
+FROM daily t LEFT JOIN (SELECT day + 1 AS day, new_users FROM daily) y USING (day)""", _daily(D1, D2)), mart="events")
 def new_users_delta(m):
     return acq.new_users_delta(m, P1)
 
 
-_VALS = P1_F2.cities
-_UW2 = user_where(P1_F2)
-
-
-def _by_dim_sql(total: str, cumulative: bool = False) -> str:
-    detail = f"""
-cal AS ({calendar(D1, D2)}),
-daily_by_dim AS (
-  SELECT cast(u.created_at AS date) AS day, cast(u.city AS varchar) AS series, count(*) AS value
-  FROM mu u WHERE {between('u.created_at', D1, D2)} AND cast(u.city AS varchar) IN {lst(_VALS)}{_UW2}
-  GROUP BY 1, 2),
-daily_total AS (
-  SELECT cast(u.created_at AS date) AS day, count(*) AS value
-  FROM mu u WHERE {between('u.created_at', D1, D2)}{_UW2} GROUP BY 1),
-series_list AS (SELECT unnest({list(_VALS)}) AS series),
-detail AS (
-  SELECT c.day AS day, s.series AS series, cast(coalesce(dd.value, 0) AS bigint) AS value
-  FROM cal c CROSS JOIN series_list s
-  LEFT JOIN daily_by_dim dd ON dd.day = c.day AND dd.series = s.series)"""
-    if total == "selected":
-        sel = """SELECT day, series, value FROM detail
-UNION ALL SELECT day, 'Total' AS series, cast(sum(value) AS bigint) AS value FROM detail GROUP BY day"""
-    else:
-        sel = """SELECT day, series, value FROM detail
-UNION ALL SELECT c.day AS day, 'Total' AS series, cast(coalesce(t.value, 0) AS bigint) AS value
-FROM cal c LEFT JOIN daily_total t ON t.day = c.day"""
-    if cumulative:
-        sel = f"""SELECT day, series, value,
-  cast(sum(value) OVER (PARTITION BY series ORDER BY day) AS bigint) AS cum_in_range
-FROM ({sel}) x"""
-    return with_mart(EVENTS_MART, detail, sel)
-
-
-@register("new_users_by_dim_selected_total", "acquisition", _by_dim_sql("selected"), mart="events")
+def _by_city(spec, total_of, running=False):
+    """Signups by (day, selected city) and in total: of the selected cities, or of all chosen users."""
+    cities = list(spec.cities)
+    dense = f"""
+arrivals AS (SELECT joined AS day, unnest(list_concat(list_intersect([city], {cities!r}), ['Total'])) AS series FROM chosen
+             WHERE {_joined(D1, D2)}{f" AND list_contains({cities!r}, city)" if total_of == "selected" else ''}),
+dense AS (SELECT day, series, count(a.series) AS value
+          FROM ({days(D1, D2)}) CROSS JOIN (SELECT unnest({cities + ['Total']!r}) AS series) LEFT JOIN arrivals a USING (day, series) GROUP BY ALL)"""
+    if not running:
+        return _on_facts(spec, "SELECT day, series, value FROM dense", dense)
+    return _on_facts(spec, """
+SELECT t.day, t.series, any_value(t.value) AS value, sum(e.value)::BIGINT AS cum_in_range
+FROM dense t JOIN dense e ON e.series = t.series AND e.day <= t.day GROUP BY t.day, t.series""", dense)
+
+
+@register("new_users_by_dim_selected_total", "acquisition", _by_city(P1_F2, "selected"), mart="events")
 def new_users_by_dim_selected_total(m):
     return acq.new_users_by_dim_selected_total(m, P1_F2)
 
 
-@register("new_users_by_dim_true_total", "acquisition", _by_dim_sql("true"), mart="events")
+@register("new_users_by_dim_true_total", "acquisition", _by_city(P1_F2, "all"), mart="events")
 def new_users_by_dim_true_total(m):
     return acq.new_users_by_dim_true_total(m, P1_F2)
 
 
-_CATS = P1_CAT.categories
-_UWC = user_where(P1_CAT)
-
-
-@register("new_users_by_first_order_dim", "acquisition", with_mart(EVENTS_MART, f"""
-cal AS ({calendar(D1, D2)}),
-su AS (SELECT u.user_id, cast(u.created_at AS date) AS signup_day FROM mu u
-       WHERE {between('u.created_at', D1, D2)}{_UWC}),
-first_order AS (
-  SELECT s.user_id, s.signup_day, coalesce(cast(v.category AS varchar), 'Sin compra') AS series
-  FROM su s
-  LEFT JOIN LATERAL (
-    SELECT o.order_id, o.order_status, o.vendor_id, o.order_date FROM mo o
-    WHERE o.user_id = s.user_id AND {between('o.order_date', D1, D2)}
-    ORDER BY o.order_date ASC, o.order_id ASC LIMIT 1) o ON TRUE
-  LEFT JOIN mv v ON v.vendor_id = o.vendor_id),
-daily_by_dim AS (SELECT signup_day AS day, series, count(DISTINCT user_id) AS value FROM first_order
-                 WHERE series IN {lst(_CATS)} GROUP BY 1, 2),
-daily_total AS (SELECT signup_day AS day, count(DISTINCT user_id) AS value FROM first_order GROUP BY 1),
-series_list AS (SELECT unnest({list(_CATS) + ['Total']}) AS series)""", """
-SELECT c.day AS day, s.series AS series,
-  cast(CASE WHEN s.series = 'Total' THEN coalesce(t.value, 0) ELSE coalesce(dd.value, 0) END AS bigint) AS value
-FROM cal c CROSS JOIN series_list s
-LEFT JOIN daily_by_dim dd ON dd.day = c.day AND dd.series = s.series
-LEFT JOIN daily_total t ON t.day = c.day"""), mart="events")
+# signups by the category of their first order in the range; whoever has none still counts in Total
+@register("new_users_by_first_order_dim", "acquisition", _on_facts(P1_CAT, f"""
+SELECT day, series, count(e.user_id) AS value
+FROM ({days(D1, D2)}) CROSS JOIN (SELECT unnest({[*P1_CAT.categories, 'Total']!r}) AS series) LEFT JOIN entries e USING (day, series)
+GROUP BY day, series""", f"""
+firsts AS (SELECT user_id, arg_min_null(o.vendor_id, (o.order_date, o.order_id)) AS vendor_id
+           FROM mo o WHERE o.order_date >= {d(D1)} AND o.order_date < {d(D2 + timedelta(days=1))} GROUP BY user_id),
+entries AS (SELECT c.user_id, c.joined AS day, unnest(['Total', v.category]) AS series
+            FROM chosen c LEFT JOIN firsts f USING (user_id) LEFT JOIN mv v ON v.vendor_id = f.vendor_id
+            WHERE {_joined(D1, D2)})"""), mart="events")
 def new_users_by_first_order_dim(m):
     return acq.new_users_by_first_order_dim(m, P1_CAT)
 
 
-@register("new_users_cum_by_series", "acquisition",
-          _by_dim_sql("selected", cumulative=True), mart="events")
+@register("new_users_cum_by_series", "acquisition", _by_city(P1_F2, "selected", running=True), mart="events")
 def new_users_cum_by_series(m):
     return acq.new_users_cum_by_series(m, P1_F2)
 
 
-_SHARE_CTES = f"""
-base AS (SELECT cast(u.city AS varchar) AS series, u.user_id, u.created_at FROM mu u
-         WHERE {between('u.created_at', D1, D2)}{UW}),
-agg AS (SELECT series, count(*) AS new_users FROM base GROUP BY 1),
-tot AS (SELECT cast(sum(new_users) AS double) AS total_new FROM agg),
-share AS (SELECT a.series, a.new_users,
-            CASE WHEN t.total_new > 0 THEN a.new_users / t.total_new ELSE 0.0 END AS share
-          FROM agg a CROSS JOIN tot t)"""
+_CITIES = f"""
+cities AS (SELECT city AS series, count(*) AS n, {part_of('count(*)', '(sum(count(*)) OVER ())::DOUBLE')} AS share,
+             row_number() OVER (ORDER BY count(*) DESC, city NULLS LAST) AS place,
+             list(user_id::VARCHAR ORDER BY created_at, user_id) AS members
+           FROM chosen WHERE {_joined(D1, D2)} GROUP BY city)"""
 
 
-@register("new_users_share", "acquisition", with_mart(EVENTS_MART, _SHARE_CTES,
-                                                      "SELECT series, new_users, share FROM share"), mart="events")
+@register("new_users_share", "acquisition", _on_facts(P1, "SELECT series, n AS new_users, share FROM cities", _CITIES), mart="events")
 def new_users_share(m):
     return acq.new_users_share(m, P1)
 
 
-@register("new_users_samples", "acquisition", with_mart(EVENTS_MART, _SHARE_CTES + """,
-top AS (SELECT series FROM share ORDER BY new_users DESC, series ASC NULLS LAST LIMIT 5),
-ranked AS (SELECT b.series, cast(b.user_id AS varchar) AS user_label, b.created_at, b.user_id,
-             row_number() OVER (PARTITION BY b.series ORDER BY b.created_at ASC, b.user_id ASC) AS rn
-           FROM base b WHERE b.series IN (SELECT series FROM top))""", """
-SELECT series, string_agg(user_label, ', ' ORDER BY created_at ASC, user_id ASC) AS sample_users
-FROM ranked WHERE rn <= 5 GROUP BY 1"""), mart="events")
+@register("new_users_samples", "acquisition", _on_facts(P1, """
+SELECT series, array_to_string(members[1:5], ', ') AS sample_users FROM cities WHERE place <= 5 AND series IS NOT NULL""", _CITIES),
+          mart="events")
 def new_users_samples(m):
     return acq.new_users_samples(m, P1)
 
 
-@register("new_users_top10", "acquisition", with_mart(EVENTS_MART, _SHARE_CTES, """
-SELECT series AS dim, new_users AS total_usuarios FROM share
-ORDER BY total_usuarios DESC, dim ASC NULLS LAST LIMIT 10"""), mart="events")
+@register("new_users_top10", "acquisition", _on_facts(P1, "SELECT series AS dim, n AS total_usuarios FROM cities WHERE place <= 10", _CITIES),
+          mart="events")
 def new_users_top10(m):
     return acq.new_users_top10(m, P1)
 
 
-@register("new_users_share_summary", "acquisition", with_mart(EVENTS_MART, _SHARE_CTES, """
-SELECT series, round_even(share * 100, 1) AS share_pct, new_users AS total_usuarios FROM share"""), mart="events")
+@register("new_users_share_summary", "acquisition", _on_facts(P1, """
+SELECT series, round_even(share * 100, 1) AS share_pct, n AS total_usuarios FROM cities""", _CITIES), mart="events")
 def new_users_share_summary(m):
     return acq.new_users_share_summary(m, P1)
 
 
-@register("new_users_period_bins", "acquisition", with_mart(EVENTS_MART, _daily_sql(EXT_START, D2), f"""
-SELECT cast(floor(datediff('day', {d(EXT_START)}, day) / {P1.days}) AS bigint) AS period_idx,
-  strftime({d(EXT_START)} + cast(floor(datediff('day', {d(EXT_START)}, day) / {P1.days}) * {P1.days} AS int), '%m-%d')
-    || '→' ||
-  strftime({d(EXT_START)} + cast(floor(datediff('day', {d(EXT_START)}, day) / {P1.days}) * {P1.days} + {P1.days - 1} AS int), '%m-%d')
-    AS label,
-  cast(sum(new_users) AS bigint) AS value,
-  floor(datediff('day', {d(EXT_START)}, day) / {P1.days}) = 6 AS selected
-FROM dense GROUP BY 1, 2, 4"""), mart="events")
+# whole periods of days counted from the first day shown
+@register("new_users_period_bins", "acquisition", _on_facts(P1, f"""
+SELECT no AS period_idx, strftime(min(day), '%m-%d') || '→' || strftime(min(day) + {P1.days - 1}, '%m-%d') AS label,
+  sum(new_users)::BIGINT AS value, no = 6 AS selected
+FROM (SELECT *, (day - {d(EXT_START)}) // {P1.days} AS no FROM daily) GROUP BY no""", _daily(EXT_START, D2)), mart="events")
 def new_users_period_bins(m):
     return acq.new_users_period_bins(m, P1)

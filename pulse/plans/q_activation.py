@@ -2,85 +2,82 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import timedelta
 
 from pulse.functions.filters import Dim
 from pulse.operators import activation as act
+from pulse.operators.acquisition import period_bars
 from pulse.plans.catalog import register
 from pulse.plans.params import P1, P1_CAT, P1_F0, P2, P4
-from pulse.plans.sqltext import EVENTS_MART, between, calendar, d, order_where, user_where, with_mart
+from pulse.plans.sqltext import EVENTS_MART, d, days, facts, one_of, part_of, with_mart
 
-UW = user_where(P1)
 D1, D2 = P1.date_from, P1.date_to
 EXT_START = D1 - timedelta(days=P1.days * 6)
 
 
-def _dau_sql(spec, a, b, uw=None):
-    uw = user_where(spec) if uw is None else uw
-    return f"""
-dau_by_day AS (SELECT cast(s.session_date AS date) AS day, count(DISTINCT s.user_id) AS dau
-  FROM ms s JOIN mu u ON u.user_id = s.user_id
-  WHERE {between('s.session_date', a, b)}{uw} GROUP BY 1)"""
+def _on_facts(spec, select, more=""):
+    return with_mart(EVENTS_MART, facts(spec) + ("," + more if more else ""), select)
+
+
+def _within(a, b, day="day"):
+    return f"{day} >= {d(a)} AND {day} <= {d(b)}"
+
+
+def _in_range(spec):
+    return _within(spec.date_from, spec.date_to)
 
 
-@register("dau_daily", "activation", with_mart(EVENTS_MART, _dau_sql(P1, D1, D2),
-                                               "SELECT day, dau FROM dau_by_day"), mart="events")
+@register("dau_daily", "activation", _on_facts(P1, f"SELECT day, count(*) AS dau FROM seen WHERE {_in_range(P1)} GROUP BY day"),
+          mart="events")
 def dau_daily(m):
     return act.dau_daily(m, P1)
 
 
-@register("dau_daily_extended", "activation", with_mart(EVENTS_MART, _dau_sql(P1, EXT_START, D2) + f""",
-cal AS ({calendar(EXT_START, D2)})""", """
-SELECT c.day AS day, cast(coalesce(d.dau, 0) AS bigint) AS dau FROM cal c LEFT JOIN dau_by_day d USING (day)"""),
-          mart="events")
+# every day once, with as many matches as users were seen
+@register("dau_daily_extended", "activation", _on_facts(P1, f"""
+SELECT day, count(user_id) AS dau FROM ({days(EXT_START, D2)}) LEFT JOIN seen USING (day) GROUP BY day"""), mart="events")
 def dau_daily_extended(m):
     return act.dau_daily_extended(m, P1, EXT_START, D2)
 
 
-def _last7(spec):
-    return _dau_sql(spec, spec.date_from, spec.date_to) + """,
-last7 AS (SELECT coalesce(avg(dau), 0.0) AS dau_7d_avg FROM (SELECT * FROM dau_by_day ORDER BY day DESC LIMIT 7) t)"""
+def _week(spec):
+    """One row: the mean of the last seven days that have anyone."""
+    return f"""
+week AS (SELECT coalesce(list_avg(list_slice(list(n ORDER BY day DESC), 1, 7)), 0) AS dau_7d_avg
+         FROM (SELECT day, count(*) AS n FROM seen WHERE {_in_range(spec)} GROUP BY day))"""
 
 
-def _mau(spec):
+def _month(spec):
+    """One row: users seen in the calendar month of the range's last day, also after it."""
+    first = spec.date_to.replace(day=1)
+    last = first.replace(day=monthrange(first.year, first.month)[1])
     return f"""
-mau AS (SELECT count(DISTINCT s.user_id) AS mau FROM ms s JOIN mu u ON u.user_id = s.user_id
-  WHERE date_trunc('month', s.session_date) = date_trunc('month', cast({d(spec.date_to)} AS timestamp)){user_where(spec)})"""
+month AS (SELECT count(DISTINCT user_id) AS mau FROM seen WHERE {_within(first, last)})"""
 
 
-@register("dau_7d_avg", "activation", with_mart(EVENTS_MART, _last7(P1), "SELECT dau_7d_avg FROM last7"),
-          mart="events")
+@register("dau_7d_avg", "activation", _on_facts(P1, "FROM week", _week(P1)), mart="events")
 def dau_7d_avg(m):
     return act.dau_7d_avg(m, P1)
 
 
-@register("mau", "activation", with_mart(EVENTS_MART, _mau(P2), "SELECT mau FROM mau"), mart="events")
+@register("mau", "activation", _on_facts(P2, "FROM month", _month(P2)), mart="events")
 def mau(m):
     return act.mau(m, P2)
 
 
-@register("stickiness", "activation", with_mart(EVENTS_MART, _last7(P2) + "," + _mau(P2), """
-SELECT l.dau_7d_avg AS dau_7d_avg, m.mau AS mau,
-  CASE WHEN m.mau > 0 THEN l.dau_7d_avg / m.mau ELSE 0.0 END AS stickiness
-FROM last7 l CROSS JOIN mau m"""), mart="events")
+@register("stickiness", "activation", _on_facts(P2, f"""
+SELECT dau_7d_avg, mau, {part_of('dau_7d_avg', 'mau')} AS stickiness FROM week, month""", _week(P2) + "," + _month(P2)),
+          mart="events")
 def stickiness(m):
     return act.stickiness(m, P2)
 
 
-def _activation(spec):
-    return f"""
-first_order AS (
-  SELECT u.user_id, cast(u.created_at AS date) AS signup_day, min(cast(o.order_date AS date)) AS first_order_day
-  FROM mu u LEFT JOIN mo o ON o.user_id = u.user_id
-  WHERE {between('u.created_at', spec.date_from, spec.date_to)}{user_where(spec)}
-  GROUP BY 1, 2),
-activation AS (SELECT coalesce(avg(CASE WHEN first_order_day IS NOT NULL AND first_order_day <= signup_day + 7
-                                   THEN cast(1 AS double) ELSE cast(0 AS double) END), 0.0) AS activation_7d
-               FROM first_order)"""
-
-
-@register("activation_7d", "activation", with_mart(EVENTS_MART, _activation(P1), "SELECT activation_7d FROM activation"),
-          mart="events")
+# users of the range with an order, of any status and however early, at most 7 days after signup
+@register("activation_7d", "activation", _on_facts(P1, f"""
+SELECT {part_of('count_if(soon)', 'count(*)')} AS activation_7d
+FROM (SELECT EXISTS (FROM mo WHERE mo.user_id = c.user_id AND mo.order_date < c.joined + INTERVAL 8 DAY) AS soon
+      FROM chosen c WHERE {_within(D1, D2, 'joined')})"""), mart="events")
 def activation_7d(m):
     return act.activation_7d(m, P1)
 
@@ -88,42 +85,42 @@ def activation_7d(m):
 _PD1, _PD2 = P1.previous_window()
 
 
-@register("active_users_vs_prev", "activation", with_mart(EVENTS_MART, f"""
-r AS (SELECT
-  (SELECT count(*) FROM mu u WHERE 1=1{UW}) AS total_users_all,
-  (SELECT count(DISTINCT s.user_id) FROM ms s JOIN mu u ON u.user_id = s.user_id
-     WHERE {between('s.session_date', D1, D2)}{UW}) AS active_users,
-  (SELECT count(DISTINCT s.user_id) FROM ms s JOIN mu u ON u.user_id = s.user_id
-     WHERE {between('s.session_date', _PD1, _PD2)}{UW}) AS active_users_prev,
-  (SELECT coalesce(avg(dau), 0.0) FROM (
-     SELECT cast(s.session_date AS date) AS day, count(DISTINCT s.user_id) AS dau
-     FROM ms s JOIN mu u ON u.user_id = s.user_id WHERE {between('s.session_date', D1, D2)}{UW} GROUP BY 1) x) AS avg_dau)""", f"""
-SELECT total_users_all, active_users, active_users_prev,
-  CASE WHEN total_users_all > 0 THEN cast(active_users AS double) / total_users_all ELSE 0.0 END AS share_active,
-  avg_dau, {d(_PD1)} AS prev_d1, {d(_PD2)} AS prev_d2,
+@register("active_users_vs_prev", "activation", _on_facts(P1, f"""
+SELECT total_users_all, active_users, active_users_prev, {part_of('active_users', 'total_users_all')} AS share_active,
+  coalesce(now_days / now_dates, 0) AS avg_dau, {d(_PD1)} AS prev_d1, {d(_PD2)} AS prev_d2,
   active_users - active_users_prev AS delta_abs,
-  CASE WHEN active_users_prev > 0 THEN cast(active_users - active_users_prev AS double) / active_users_prev
-       WHEN active_users > 0 THEN 1.0 ELSE 0.0 END AS delta_pct,
+  CASE WHEN active_users_prev > 0 THEN (active_users - active_users_prev)::DOUBLE / active_users_prev
+       ELSE least(active_users, 1)::DOUBLE END AS delta_pct,
   greatest(total_users_all - active_users, 0) AS inactive_users
-FROM r"""), mart="events")
+FROM (SELECT count(*) AS total_users_all FROM chosen), windows""", f"""
+windows AS (
+  SELECT count(DISTINCT user_id) FILTER ({_within(D1, D2)}) AS active_users,
+    count(DISTINCT user_id) FILTER ({_within(_PD1, _PD2)}) AS active_users_prev,
+    count(*) FILTER ({_within(D1, D2)}) AS now_days,
+    nullif(count(DISTINCT day) FILTER ({_within(D1, D2)}), 0) AS now_dates
+  FROM seen)"""),
+          mart="events")
 def active_users_vs_prev(m):
     return act.active_users_vs_prev(m, P1)
 
 
-def _bins_sql(spec, start, end, period):
-    return with_mart(EVENTS_MART, f"""
-bins AS (
-  SELECT cast(gs AS date) AS bin_start, cast(gs AS date) + {period - 1} AS bin_end
-  FROM generate_series(cast({d(start)} AS timestamp), cast({d(end)} AS timestamp), INTERVAL {period} DAY) AS g(gs))""", f"""
-SELECT b.bin_start AS day, cast(count(DISTINCT s.user_id) AS bigint) AS value
-FROM bins b
-LEFT JOIN ms s ON cast(s.session_date AS date) BETWEEN b.bin_start AND b.bin_end
-LEFT JOIN mu u ON u.user_id = s.user_id
-WHERE 1=1{user_where(spec)}
-GROUP BY 1""")
+def _binned(spec, start, end, period, listed):
+    """Users seen in each period that begins by ``end``; with user lists, only periods in which anyone was."""
+    periods = (end - start).days // period + 1
+    number = f"(day - {d(start)}) // {period}"
+    source = "seen" if listed else "(SELECT user_id, session_date::DATE AS day FROM ms)"
+    counted = f"""
+counted AS (SELECT {number} AS no, count(DISTINCT user_id) AS n FROM {source}
+            WHERE day >= {d(start)} AND {number} < {periods} GROUP BY no)"""
+    return _on_facts(spec, f"""
+SELECT {d(start)} + (no * {period})::INT AS day, coalesce(n, 0) AS value
+FROM {'counted' if listed else f'range({periods}) AS r(no) LEFT JOIN counted USING (no)'}""", counted)
+
+
+_BINS = _binned(P1, EXT_START, D2, P1.days, listed=True)
 
 
-@register("active_users_by_bins", "activation", _bins_sql(P1, EXT_START, D2, P1.days), mart="events")
+@register("active_users_by_bins", "activation", _BINS, mart="events")
 def active_users_by_bins(m):
     return act.active_users_by_bins(m, P1, EXT_START, D2, P1.days)
 
@@ -132,112 +129,75 @@ def active_users_by_bins(m):
 _WB_START, _WB_END = P1.date_from - timedelta(days=10), P1.date_to
 
 
-@register("active_users_by_bins_unfiltered", "activation", _bins_sql(P1_F0, _WB_START, _WB_END, 7), mart="events")
+@register("active_users_by_bins_unfiltered", "activation", _binned(P1_F0, _WB_START, _WB_END, 7, listed=False), mart="events")
 def active_users_by_bins_unfiltered(m):
     return act.active_users_by_bins(m, P1_F0, _WB_START, _WB_END, 7)
 
 
-def _dim_daily(spec, activity="session_date"):
-    return f"""
-cal AS ({calendar(spec.date_from, spec.date_to)}),
-total_daily AS (SELECT cast(s.{activity} AS date) AS day, count(DISTINCT s.user_id) AS value
-  FROM ms s JOIN mu u ON u.user_id = s.user_id
-  WHERE {between('s.' + activity, spec.date_from, spec.date_to)}{user_where(spec)} GROUP BY 1),
-by_dim AS (SELECT cast(s.{activity} AS date) AS day, coalesce(cast(u.city AS varchar), 'UNKNOWN') AS series,
-    count(DISTINCT s.user_id) AS value
-  FROM ms s JOIN mu u ON u.user_id = s.user_id
-  WHERE {between('s.' + activity, spec.date_from, spec.date_to)}{user_where(spec)} GROUP BY 1, 2)"""
-
-
-@register("dau_by_dim", "activation", with_mart(EVENTS_MART, _dim_daily(P1_F0) + """,
-series_list AS (SELECT DISTINCT series FROM by_dim)""", """
-SELECT c.day AS day, 'Total' AS series, cast(coalesce(t.value, 0) AS bigint) AS value
-FROM cal c LEFT JOIN total_daily t USING (day)
-UNION ALL
-SELECT c.day AS day, s.series AS series, cast(coalesce(b.value, 0) AS bigint) AS value
-FROM cal c CROSS JOIN series_list s LEFT JOIN by_dim b ON b.day = c.day AND b.series = s.series"""), mart="events")
+def _grid(spec, total_always):
+    """Every (day, series) of the range: cities that were seen, and Total; days count who was seen.
+
+    ``total_always``: Total has its line even if nobody was seen in the whole range.
+    """
+    total = "SELECT 'Total' AS series" + ("" if total_always else " WHERE EXISTS (FROM named)")
+    return _on_facts(spec, """
+SELECT day, series, count(user_id) AS value FROM grid LEFT JOIN named USING (day, series) GROUP BY day, series""", f"""
+in_range AS (SELECT s.user_id, s.day, ifnull(city, 'UNKNOWN') AS city FROM seen s JOIN chosen USING (user_id) WHERE {_within(spec.date_from, spec.date_to, 's.day')}),
+named AS (SELECT user_id, day, unnest([city, 'Total']) AS series FROM in_range),
+grid AS (SELECT day, series FROM ({days(spec.date_from, spec.date_to)}), (SELECT series FROM named UNION {total}))""")
+
+
+@register("dau_by_dim", "activation", _grid(P1_F0, total_always=True), mart="events")
 def dau_by_dim(m):
     return act.dau_by_dim(m, P1_F0)
 
 
-@register("dau_by_dim_summed_total", "activation", with_mart(EVENTS_MART, _dim_daily(P1_F0) + """,
-total AS (SELECT day, 'Total' AS series, sum(value) AS value FROM by_dim GROUP BY 1),
-combined AS (SELECT * FROM by_dim UNION ALL SELECT * FROM total),
-series_list AS (SELECT DISTINCT series FROM combined)""", """
-SELECT c.day AS day, s.series AS series, cast(coalesce(x.value, 0) AS bigint) AS value
-FROM cal c CROSS JOIN series_list s LEFT JOIN combined x ON x.day = c.day AND x.series = s.series"""), mart="events")
+@register("dau_by_dim_summed_total", "activation", _grid(P1_F0, total_always=False), mart="events")
 def dau_by_dim_summed_total(m):
     return act.dau_by_dim_summed_total(m, P1_F0)
 
 
-def _by_user_dim(spec):
-    return f"""
-active_users AS (SELECT DISTINCT s.user_id FROM ms s JOIN mu u ON u.user_id = s.user_id
-                 WHERE {between('s.session_date', spec.date_from, spec.date_to)}{user_where(spec)}),
-by_dim AS (SELECT coalesce(cast(u.city AS varchar), 'UNKNOWN') AS dim, count(DISTINCT a.user_id) AS active_users
-           FROM active_users a JOIN mu u ON u.user_id = a.user_id GROUP BY 1)"""
+@register("dau_by_dim_empty_range", "activation", _grid(P4, total_always=True), mart="events")
+def dau_by_dim_empty_range(m):
+    return act.dau_by_dim(m, P4)
 
 
-@register("active_users_by_user_dim", "activation", with_mart(EVENTS_MART, _by_user_dim(P1_F0),
-                                                               "SELECT dim, active_users FROM by_dim"), mart="events")
-def active_users_by_user_dim(m):
-    return act.active_users_by_user_dim(m, P1_F0, Dim.CITY)
+_CITIES = f"""
+cities AS (SELECT ifnull(city, 'UNKNOWN') AS dim, count(*) AS active_users
+           FROM chosen SEMI JOIN (FROM seen WHERE {_in_range(P1_F0)}) USING (user_id) GROUP BY dim)"""
 
 
-_UWC = user_where(P1_CAT)
+@register("active_users_by_user_dim", "activation", _on_facts(P1_F0, "FROM cities", _CITIES), mart="events")
+def active_users_by_user_dim(m):
+    return act.active_users_by_user_dim(m, P1_F0, Dim.CITY)
 
 
-@register("active_users_by_first_order_dim", "activation", with_mart(EVENTS_MART, f"""
-active_users AS (SELECT DISTINCT s.user_id FROM ms s JOIN mu u ON u.user_id = s.user_id
-                 WHERE {between('s.session_date', D1, D2)}{_UWC}),
-first_order AS (
-  SELECT a.user_id, coalesce(cast(v.category AS varchar), 'Sin compra') AS dim
-  FROM active_users a
-  LEFT JOIN LATERAL (
-    SELECT o.order_id, o.order_status, o.vendor_id, o.order_date FROM mo o
-    WHERE o.user_id = a.user_id AND {between('o.order_date', D1, D2)}
-    ORDER BY o.order_date ASC, o.order_id ASC LIMIT 1) o ON TRUE
-  LEFT JOIN mv v ON v.vendor_id = o.vendor_id
-  WHERE 1=1{order_where(P1_CAT)})""", """
-SELECT dim, count(DISTINCT user_id) AS active_users FROM first_order GROUP BY 1"""), mart="events")
+# a user's first order of the range decides; the order lists apply to that order, not to the choice of it
+@register("active_users_by_first_order_dim", "activation", _on_facts(P1_CAT, f"""
+SELECT ifnull(category, 'Sin compra') AS dim, count(*) AS active_users
+FROM (SELECT DISTINCT user_id FROM seen WHERE {_in_range(P1_CAT)}) LEFT JOIN firsts USING (user_id)
+  LEFT JOIN mv ON vendor_id = first_order.vendor_id
+WHERE true{one_of('category', P1_CAT.categories)}{one_of('first_order.order_status', P1_CAT.statuses)}
+GROUP BY dim""", f"""
+firsts AS (SELECT user_id, arg_min(o, (o.order_date, o.order_id)) AS first_order FROM mo o
+           WHERE {_within(D1, D2, 'o.order_date::DATE')} GROUP BY user_id)"""), mart="events")
 def active_users_by_first_order_dim(m):
     return act.active_users_by_first_order_dim(m, P1_CAT, Dim.CATEGORY)
 
 
-@register("active_users_share_top8", "activation", with_mart(EVENTS_MART, _by_user_dim(P1_F0) + """,
-kept AS (SELECT dim, active_users FROM by_dim ORDER BY active_users DESC, dim ASC NULLS LAST LIMIT 7),
-den AS (SELECT sum(active_users) AS denom FROM kept)""", """
-SELECT 'Total' AS dim, cast(coalesce(sum(active_users), 0) AS bigint) AS active_users, 100.0 AS share_pct FROM by_dim
-UNION ALL
-SELECT k.dim, k.active_users,
-  round_even(100.0 * k.active_users / CASE WHEN d.denom > 0 THEN cast(d.denom AS double) ELSE 1.0 END, 1) AS share_pct
-FROM kept k CROSS JOIN den d"""), mart="events")
+@register("active_users_share_top8", "activation", _on_facts(P1_F0, """
+SELECT dim, active_users, round_even(100.0 * active_users / greatest(sum(active_users) OVER (), 1)::DOUBLE, 1) AS share_pct
+FROM (FROM cities QUALIFY row_number() OVER (ORDER BY active_users DESC, dim) <= 7)
+UNION ALL SELECT 'Total', coalesce(sum(active_users), 0)::BIGINT, 100 FROM cities""", _CITIES), mart="events")
 def active_users_share_top8(m):
     return act.active_users_share_top8(m, P1_F0, Dim.CITY)
 
 
-@register("dau_by_dim_empty_range", "activation", with_mart(EVENTS_MART, _dim_daily(P4) + """,
-series_list AS (SELECT DISTINCT series FROM by_dim)""", """
-SELECT c.day AS day, 'Total' AS series, cast(coalesce(t.value, 0) AS bigint) AS value
-FROM cal c LEFT JOIN total_daily t USING (day)
-UNION ALL
-SELECT c.day AS day, s.series AS series, cast(coalesce(b.value, 0) AS bigint) AS value
-FROM cal c CROSS JOIN series_list s LEFT JOIN by_dim b ON b.day = c.day AND b.series = s.series"""), mart="events")
-def dau_by_dim_empty_range(m):
-    return act.dau_by_dim(m, P4)
-
-
+# the first bin with anyone begins the first period
 @register("active_users_period_bars", "activation", f"""
-WITH b AS ({_bins_sql(P1, EXT_START, D2, P1.days)}),
-s AS (SELECT min(day) AS start FROM b)
-SELECT cast(floor(datediff('day', s.start, b.day) / {P1.days}) AS bigint) AS period_idx,
-  strftime(s.start + cast(floor(datediff('day', s.start, b.day) / {P1.days}) * {P1.days} AS int), '%m-%d') || '→' ||
-  strftime(s.start + cast(floor(datediff('day', s.start, b.day) / {P1.days}) * {P1.days} + {P1.days - 1} AS int), '%m-%d')
-    AS label,
-  cast(sum(b.value) AS bigint) AS value,
-  floor(datediff('day', s.start, b.day) / {P1.days}) = 6 AS selected
-FROM b CROSS JOIN s GROUP BY 1, 2, 4""", mart="events")
+SELECT no AS period_idx, strftime(since, '%m-%d') || '→' || strftime(since + {P1.days - 1}, '%m-%d') AS label,
+  value, no = 6 AS selected
+FROM (SELECT (day - min(day) OVER ()) // {P1.days} AS no, min(day) OVER () + (no * {P1.days})::INT AS since, value FROM ({_BINS}))""",
+          mart="events")
 def active_users_period_bars(m):
-    from pulse.operators.acquisition import period_bars
     return period_bars(act.active_users_by_bins(m, P1, EXT_START, D2, P1.days), P1.days, 6)
-

@@ -5,9 +5,13 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
-from pulse.operators.churn.features import CATEGORICAL, ID, LABEL, NUMERIC, churn_features, deterministic_score
+from pulse.operators.churn.features import (CATEGORICAL, EVENTS_AS_OF, ID, LABEL, NUMERIC, churn_features,
+                                             deterministic_score)
 from pulse.plans.catalog import cached, register, tables
 from pulse.session import materialize
 from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
@@ -37,6 +41,7 @@ def _ts(d: date) -> str:
 
 
 def _features_sql(as_of: date) -> str:
+    s30 = _ts(as_of - timedelta(days=30))
     s90 = _ts(as_of - timedelta(days=CHURN_SHORT_DAYS))
     s365 = _ts(as_of - timedelta(days=CHURN_LONG_DAYS))
     lab = _ts(as_of + timedelta(days=CHURN_LABEL_DAYS))
@@ -47,7 +52,8 @@ SELECT c.c_custkey AS customer_id,
   CASE WHEN c.c_acctbal < 0 THEN 'low' WHEN c.c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS segment,
   CASE c.c_custkey % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'plus' ELSE 'pro' END AS plan_type,
   cast(c.c_custkey % 2 AS bigint) AS has_mobile_app,
-  coalesce(t.tx_90d, 0) AS tx_90d, coalesce(t.tx_365d, 0) AS tx_365d,
+  coalesce(e.events_7d, 0) AS events_7d, coalesce(e.events_30d, 0) AS events_30d,
+  coalesce(t.tx_30d, 0) AS tx_30d, coalesce(t.tx_90d, 0) AS tx_90d, coalesce(t.tx_365d, 0) AS tx_365d,
   coalesce(t.revenue_365d, cast(0 AS double)) AS revenue_365d,
   t.revenue_365d / nullif(t.tx_365d, 0) AS aov_365d,
   t.days_since_last_tx,
@@ -56,6 +62,7 @@ SELECT c.c_custkey AS customer_id,
 FROM customer c
 LEFT JOIN (
   SELECT o_custkey AS customer_id,
+    count(CASE WHEN o_orderdate > {s30} THEN 1 END) AS tx_30d,
     count(CASE WHEN o_orderdate > {s90} THEN 1 END) AS tx_90d,
     count(CASE WHEN o_orderdate > {s365} THEN 1 END) AS tx_365d,
     cast(sum(CASE WHEN o_orderdate > {s365} THEN cast(o_totalprice AS decimal(18,2)) END) AS double) AS revenue_365d,
@@ -71,11 +78,19 @@ LEFT JOIN (
 LEFT JOIN (
   SELECT DISTINCT o_custkey AS customer_id FROM orders
   WHERE o_orderdate > {a} AND o_orderdate <= {lab}) f
-  ON f.customer_id = c.c_custkey"""
+  ON f.customer_id = c.c_custkey
+LEFT JOIN (
+  SELECT user_id AS customer_id, count(*) AS events_30d, count_if(ts > {_ts(EVENTS_AS_OF - timedelta(days=7))}) AS events_7d
+  FROM events WHERE ts <= {_ts(EVENTS_AS_OF)} AND ts > {_ts(EVENTS_AS_OF - timedelta(days=30))} GROUP BY 1) e
+  ON e.customer_id = c.c_custkey"""
 
 
 FEATURES_SQL = _features_sql(CHURN_AS_OF)
-_SCORE = "round(least(coalesce(days_since_last_tx, 999), 999) / cast(1000 AS double), 3) AS churn_probability"
+def _idle(days: str) -> str:
+    return f"coalesce(round({days}::DOUBLE / ({days} + 365)::DOUBLE, 9), 0::DOUBLE) AS churn_probability"
+
+
+_SCORE = _idle("days_since_last_tx")
 SCORED_CTE = f"f AS ({FEATURES_SQL}),\nsc AS (SELECT *, {_SCORE} FROM f)"
 _NUM_LONG = "\nUNION ALL ".join(f"SELECT '{c}' AS feature, cast({c} AS double) AS value FROM f" for c in NUMERIC)
 _CAT_LONG = "\nUNION ALL ".join(f"SELECT '{c}' AS feature, cast({c} AS varchar) AS value FROM f" for c in CATEGORICAL)
@@ -125,14 +140,12 @@ def q_churn_imputed(spark, sf_dir):
     return prep.impute(f.select(ID, LABEL, *NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL)
 
 
-_ONE_HOT_UNION = "\nUNION ALL ".join(
-    f"SELECT customer_id, '{c}=' || {c} AS feature, cast(1 AS double) AS value FROM imp" for c in CATEGORICAL)
-
-
-@register("one_hot", "churn", f"WITH f AS ({FEATURES_SQL}),{_MEDIANS},{_MODES},\n{_IMPUTED}\n{_ONE_HOT_UNION}")
+@register("one_hot", "churn", f"""WITH f AS ({FEATURES_SQL}),{_MODES}
+SELECT customer_id, c.feature || '=' || coalesce(c.value, mode) AS feature, 1::DOUBLE AS value
+FROM (SELECT customer_id, unnest({[f"{c}" for c in CATEGORICAL]!r}) AS feature, unnest([{', '.join(CATEGORICAL)}]) AS value FROM f) c
+JOIN modes USING (feature)""")
 def q_one_hot(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    imp = prep.impute(f.select(ID, LABEL, *NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL)
+    imp = prep.impute(_features(spark, sf_dir).select(ID, LABEL, *CATEGORICAL), [], CATEGORICAL)
     return prep.one_hot_long(imp, ID, CATEGORICAL, prep.vocabulary(imp, CATEGORICAL))
 
 
@@ -222,9 +235,7 @@ def q_risk_distribution_stats(spark, sf_dir):
 
 def _prev_scores_sql(as_of: date) -> str:
     return f"""
-SELECT c_custkey AS customer_id,
-  round(least(coalesce(cast(date_diff('day', cast(t.last_tx AS date), DATE '{as_of.isoformat()}') AS bigint), 999), 999)
-        / cast(1000 AS double), 3) AS churn_probability
+SELECT c_custkey AS customer_id, {_idle(f"date_diff('day', t.last_tx::DATE, DATE '{as_of.isoformat()}')")}
 FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_tx FROM orders
                          WHERE o_orderdate <= {_ts(as_of)} GROUP BY 1) t ON t.o_custkey = c_custkey"""
 
@@ -246,17 +257,16 @@ def q_risk_stats_vs_previous(spark, sf_dir):
     return cm.risk_stats_vs_previous(last_order_score(t, CHURN_AS_OF), last_order_score(t, PREV_AS_OF))
 
 
-_STEPS = sorted(m * 10.0 ** k for k in range(-6, 7) for m in (1, 2, 5))
-
-
+# the smallest of 1, 2, 5, 10 times the power of ten below span / 28 that needs no more than 28 bins
 @register("risk_histogram", "churn", f"""WITH {SCORED_CTE},
 rng AS (SELECT max(churn_probability) - min(churn_probability) AS span FROM sc),
-stp AS (SELECT CASE WHEN span > 0 THEN coalesce(
-          (SELECT min(s) FROM (SELECT unnest({_STEPS!r}::DOUBLE[]) AS s) c WHERE span / s <= 28), {_STEPS[-1]!r})
-        ELSE 1.0 END AS step FROM rng)
+stp AS (SELECT CASE WHEN span > 0 THEN list_min(list_filter(
+          [m * ('1e' || floor(log10(span / 28))::INT)::DOUBLE FOR m IN [1, 2, 5, 10, 20]], lambda s: span / s <= 28)) ELSE 1.0 END AS step
+        FROM rng),
+{_stats_sql('sc').strip()}
 SELECT floor(churn_probability / step) * step AS bin_start, floor(churn_probability / step) * step + step AS bin_end,
-  count(*) AS customers
-FROM sc CROSS JOIN stp WHERE churn_probability IS NOT NULL GROUP BY 1, 2""")
+  count(*) AS customers, any_value(mean) AS mean, any_value(median) AS median
+FROM sc CROSS JOIN stp CROSS JOIN st WHERE churn_probability IS NOT NULL GROUP BY 1, 2""")
 def q_risk_histogram(spark, sf_dir):
     return cm.risk_histogram(_scored(spark, sf_dir))
 
@@ -281,52 +291,75 @@ def q_alerts_top_n(spark, sf_dir):
     return cm.alerts_top_n(_scored(spark, sf_dir), RUN_TS, 500)
 
 
-# ---- Spark ML (rows-only checks: tree fitting is not SQL) ------------------------------------
-# The registered runs use 50 trees of depth 8 to keep the driver's check short; the
-# library default is the source's 500 trees.
-ML_TREES, ML_DEPTH = 50, 8
+# ---- Spark ML ---------------------------------------------------------------------------------
+# The forest has the source's 500 trees and no depth limit but Spark's 30. Trees are not SQL: the registered
+# results carry what follows from the tables (counts, who is scored, ranges, order), which the oracles state;
+# quality and determinism are tested in tests/test_churn.py.
+ML_TREES, ML_DEPTH, ML_REPEATS = 500, 30, 5
+RETRAIN = {"segment": ["mid", "high"], "city": []}
 _MODEL_CACHE: dict = {}
 
 
 def _model(spark, sf_dir):
     from pulse.operators.churn.model import train_forest
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODEL_CACHE:
         f = _features(spark, sf_dir)
         _MODEL_CACHE[key] = train_forest(f, NUMERIC, CATEGORICAL, LABEL, ID, num_trees=ML_TREES, max_depth=ML_DEPTH)
     return _MODEL_CACHE[key]
 
 
-@register("train_metrics", "churn", None)
+def _in_unit(name):
+    return F.col(name).between(0, 1)
+
+
+def _sizes(where: str = "true") -> str:
+    """Rows of the split of the features that pass ``where``: round(n / 5) of each class are held out."""
+    return f"""SELECT sum(n)::BIGINT AS n_all, sum(floor(0.2 * n + 0.5))::BIGINT AS n_test
+FROM (SELECT churn, count(*)::DOUBLE AS n FROM ({FEATURES_SQL}) WHERE {where} GROUP BY churn)"""
+
+
+@register("train_metrics", "churn", f"""
+SELECT n_all - n_test AS n_train, n_test, true AS auc_in_range, true AS f1_in_range FROM ({_sizes()})""")
 def q_train_metrics(spark, sf_dir):
     from pulse.operators.churn.model import train_metrics
-    return train_metrics(spark, _model(spark, sf_dir))
+    m = train_metrics(spark, _model(spark, sf_dir))
+    return m.select(F.col("n_train").cast("bigint").alias("n_train"), F.col("n_test").cast("bigint").alias("n_test"),
+                    _in_unit("roc_auc").alias("auc_in_range"), _in_unit("f1").alias("f1_in_range"))
 
 
-@register("score_customers", "churn", None)
+@register("score_customers", "churn", f"""
+SELECT customer_id, city, segment, plan_type, true AS score_in_range FROM ({FEATURES_SQL})""")
 def q_score_customers(spark, sf_dir):
     from pulse.operators.churn.model import score
-    return score(_model(spark, sf_dir), _features(spark, sf_dir))
+    return (score(_model(spark, sf_dir), _features(spark, sf_dir))
+            .select(ID, "city", "segment", "plan_type", _in_unit("churn_probability").alias("score_in_range")))
 
 
-@register("model_risk_ranking", "churn", None)
+@register("model_risk_ranking", "churn", f"""
+SELECT place + 1 AS place, true AS in_order FROM range(least(20, (SELECT count(*) FROM ({FEATURES_SQL})))) r(place)""")
 def q_model_risk_ranking(spark, sf_dir):
     from pulse.operators.churn.model import score
-    return cm.risk_ranking(score(_model(spark, sf_dir), _features(spark, sf_dir)), 20)
+    top = cm.risk_ranking(score(_model(spark, sf_dir), _features(spark, sf_dir)), 20)
+    w = Window.orderBy(F.desc("churn_probability"), ID)  # 20 rows
+    higher = F.lag("churn_probability").over(w)
+    return top.select(F.row_number().over(w).cast("bigint").alias("place"),
+                      F.coalesce(higher >= F.col("churn_probability"), F.lit(True)).alias("in_order"))
 
 
-@register("feature_importance", "churn", None)
+@register("feature_importance", "churn", f"SELECT unnest({[*NUMERIC, *CATEGORICAL]!r}) AS feature, true AS is_finite")
 def q_feature_importance(spark, sf_dir):
     from pulse.operators.churn.model import permutation_importance
     m = _model(spark, sf_dir)
     split = prep.stratified_split(_features(spark, sf_dir), ID, LABEL)
-    return permutation_importance(m, split.filter(split["is_test"]).drop("is_test"), n_repeats=1)
+    found = permutation_importance(m, split.filter(split["is_test"]).drop("is_test"), n_repeats=ML_REPEATS)
+    return found.select("feature", (F.abs("importance") < float("inf")).alias("is_finite"))
 
 
-@register("retrain_on_filter", "churn", None)
+@register("retrain_on_filter", "churn", f"""
+SELECT n_all AS n_rows, n_all - n_test AS n_train, n_test FROM ({_sizes("list_contains(['mid', 'high'], segment)")})""")
 def q_retrain_on_filter(spark, sf_dir):
     from pulse.operators.churn.model import retrain_on_filter
-    _, info = retrain_on_filter(_features(spark, sf_dir), {"segment": ["mid", "high"], "city": []},
-                                num_cols=NUMERIC, cat_cols=CATEGORICAL, label_col=LABEL, id_col=ID,
-                                num_trees=ML_TREES, max_depth=ML_DEPTH)
-    return info
+    _, info = retrain_on_filter(_features(spark, sf_dir), RETRAIN, num_cols=NUMERIC, cat_cols=CATEGORICAL,
+                                label_col=LABEL, id_col=ID, num_trees=ML_TREES, max_depth=ML_DEPTH)
+    return info.select((F.col("n_train") + F.col("n_test")).alias("n_rows"), "n_train", "n_test")

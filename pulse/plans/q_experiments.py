@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pulse.operators import experiments as ab
 from pulse.plans.catalog import marts, register, tables
 from pulse.plans.sqltext import EVENTS_MART, with_mart
@@ -69,3 +71,29 @@ f AS (SELECT x.*, CASE WHEN x.user_id % 2 = 0 THEN 'A' ELSE 'B' END AS variant,
       FROM facts x LEFT JOIN mu u ON u.user_id = x.user_id)""", _summary_select("variant, dim")))
 def ab_summary_by_device(spark, sf_dir):
     return ab.ab_summary_by_dim(tables(spark, sf_dir).events, marts(spark, sf_dir, "events").users, "device")
+
+
+@register("ab_summary_by_region", "experiments", with_mart(EVENTS_MART, _FACTS + """,
+f AS (SELECT x.*, if(x.user_id % 2 = 0, 'A', 'B') AS variant, n_name AS dim
+      FROM facts x LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON c_custkey = x.user_id)""",
+                                                           _summary_select("variant, dim")))
+def ab_summary_by_region(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    homes = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("user_id"), F.col("n_name").alias("region"))
+    return ab.ab_summary_by_dim(t.events, homes, "region")
+
+
+# a session is a (user, day) with a product here: the part that the event's props name
+@register("ab_summary_by_product", "experiments", f"""
+WITH f AS (
+  SELECT if(user_id % 2 = 0, 'A', 'B') AS variant, p_type AS dim,
+    count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'click') AS clicks,
+    count(*) FILTER (event_type = 'signup') AS add_to_cart, count(*) FILTER (event_type = 'purchase') AS purchases,
+    sum(value::DECIMAL(18,2)) FILTER (event_type = 'purchase') AS revenue
+  FROM events LEFT JOIN part ON p_partkey = regexp_extract(props, '[0-9]+')::BIGINT
+  GROUP BY user_id, ts::DATE, p_type)
+{_summary_select("variant, dim")}""")
+def ab_summary_by_product(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return ab.ab_summary_by_product(t.events, t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("dim")))

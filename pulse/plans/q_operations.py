@@ -1,4 +1,4 @@
-"""Registered operations queries (events mart) and their oracle SQL."""
+"""Registered operations queries and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,32 +6,30 @@ from pulse.functions.filters import Dim
 from pulse.operators import operations as ops
 from pulse.plans.catalog import register
 from pulse.plans.params import P1, P1_F0, P3_F3
-from pulse.plans.sqltext import EVENTS_MART, SALES_MART, between, lst, user_where, with_mart
+from pulse.plans.sqltext import EVENTS_MART, N_ALL, N_DONE, N_GONE, SALES_MART, facts, part_of, with_mart
 
+_SPEC_SHARE = P1_F0  # no lists: orders without a vendor stay and show as UNKNOWN category
 
-def _ops_from(spec):
-    cat = f" AND v.category IN {lst(spec.categories)}" if spec.categories else ""
-    return f"""FROM mo o JOIN mu u ON u.user_id = o.user_id
-LEFT JOIN mv v ON v.vendor_id = o.vendor_id
-WHERE 1=1 AND {between('o.order_date', spec.date_from, spec.date_to)}{user_where(spec)}{cat}"""
 
+def _counted(spec, key, mart=EVENTS_MART):
+    """The three order counts by ``key``; orders of every status, with or without a vendor."""
+    return with_mart(mart, facts(spec, vendors="LEFT JOIN", statuses=False),
+                     f"SELECT {key}, {N_ALL}, {N_DONE}, {N_GONE} FROM bought GROUP BY ALL")
 
-_COUNTS = """count(*) AS orders_total,
-  count(*) FILTER (WHERE o.order_status = 'completed') AS orders_completed,
-  count(*) FILTER (WHERE o.order_status = 'cancelled') AS orders_cancelled"""
 
-_TS = with_mart(EVENTS_MART, "", f"SELECT cast(o.order_date AS date) AS day, {_COUNTS}\n{_ops_from(P1)}\nGROUP BY 1")
+def _share_of(counted, value):
+    return f"SELECT series, {value} AS value, {part_of(value, f'sum({value}) OVER ()')} AS share FROM ({counted})"
 
 
-@register("ops_timeseries", "operations", _TS, mart="events")
-def ops_timeseries(m):
-    return ops.ops_timeseries(m, P1)
+_DAYS = _counted(P1, "day")
+_BY_CATEGORY = _counted(_SPEC_SHARE, "ifnull(category, 'UNKNOWN') AS series")
+_RATES = f"""SELECT *, {part_of('orders_cancelled', 'orders_total')} AS cancel_rate,
+  {part_of('orders_completed', 'orders_total')} AS fulfillment_rate FROM ({_DAYS})"""
 
 
-_RATES = f"""
-SELECT *, CASE WHEN orders_total > 0 THEN cast(orders_cancelled AS double) / orders_total ELSE 0.0 END AS cancel_rate,
-  CASE WHEN orders_total > 0 THEN cast(orders_completed AS double) / orders_total ELSE 0.0 END AS fulfillment_rate
-FROM ({_TS}) t"""
+@register("ops_timeseries", "operations", _DAYS, mart="events")
+def ops_timeseries(m):
+    return ops.ops_timeseries(m, P1)
 
 
 @register("ops_timeseries_rates", "operations", _RATES, mart="events")
@@ -39,73 +37,44 @@ def ops_timeseries_rates(m):
     return ops.ops_timeseries_rates(m, P1)
 
 
-_SPEC_SHARE = P1_F0  # no lists: orders without a vendor stay and show as UNKNOWN category
-_SHARE = with_mart(EVENTS_MART, "", f"""
-SELECT coalesce(cast(v.category AS varchar), 'UNKNOWN') AS series, {_COUNTS}
-{_ops_from(_SPEC_SHARE)}
-GROUP BY 1""")
-
-
-@register("ops_share_by_dim", "operations", _SHARE, mart="events")
+@register("ops_share_by_dim", "operations", _BY_CATEGORY, mart="events")
 def ops_share_by_dim(m):
     return ops.ops_share_by_dim(m, _SPEC_SHARE, Dim.CATEGORY)
 
 
-@register("ops_share_by_status", "operations", with_mart(EVENTS_MART, "", f"""
-SELECT coalesce(cast(o.order_status AS varchar), 'UNKNOWN') AS series, {_COUNTS}
-{_ops_from(P1)}
-GROUP BY 1"""), mart="events")
+@register("ops_share_by_status", "operations", _counted(P1, "ifnull(status, 'UNKNOWN') AS series"), mart="events")
 def ops_share_by_status(m):
     return ops.ops_share_by_dim(m, P1, Dim.STATUS)
 
 
-_METRIC = f"""
-SELECT series, orders_cancelled AS value,
-  CASE WHEN (SELECT sum(orders_cancelled) FROM ({_SHARE}) x) > 0
-       THEN cast(orders_cancelled AS double) / (SELECT sum(orders_cancelled) FROM ({_SHARE}) x) ELSE 0.0 END AS share
-FROM ({_SHARE}) t"""
-
-
-@register("ops_share_metric", "operations", _METRIC, mart="events")
+@register("ops_share_metric", "operations", _share_of(_BY_CATEGORY, "orders_cancelled"), mart="events")
 def ops_share_metric(m):
     return ops.ops_share_metric(m, _SPEC_SHARE, "cancelled", Dim.CATEGORY)
 
 
-@register("ops_share_total_only", "operations", with_mart(EVENTS_MART, "", f"""
-SELECT 'Total' AS series, cast(count(*) AS bigint) AS value, CASE WHEN count(*) > 0 THEN cast(1 AS double) ELSE cast(0 AS double) END AS share
-{_ops_from(P1)}"""), mart="events")
+@register("ops_share_total_only", "operations", with_mart(EVENTS_MART, facts(P1, vendors="LEFT JOIN", statuses=False), """
+SELECT 'Total' AS series, count(*) AS value, least(count(*), 1)::DOUBLE AS share FROM bought"""), mart="events")
 def ops_share_total_only(m):
     return ops.ops_share_metric(m, P1.replace(series_dim=Dim.NONE), "total", Dim.NONE)
 
 
 @register("ops_share_summary", "operations", f"""
 SELECT series, value AS total, round_even(share * 100, 1) AS share_pct
-FROM ({_METRIC.replace('orders_cancelled', 'orders_total')}) s""", mart="events")
+FROM ({_share_of(_BY_CATEGORY, 'orders_total')})""", mart="events")
 def ops_share_summary(m):
     return ops.ops_share_summary(m, _SPEC_SHARE, "total", Dim.CATEGORY)
 
 
+# one column a metric, turned into rows; the names are the source's fixed metric labels
 @register("metrics_long", "operations", f"""
-WITH r AS ({_RATES})
-SELECT day, 'Órdenes' AS metric, cast(orders_total AS double) AS value FROM r
-UNION ALL SELECT day, 'Atendidas', cast(orders_completed AS double) FROM r
-UNION ALL SELECT day, 'Canceladas', cast(orders_cancelled AS double) FROM r
-UNION ALL SELECT day, 'Cancel rate', cancel_rate FROM r
-UNION ALL SELECT day, 'Fulfillment', fulfillment_rate FROM r""", mart="events")
+UNPIVOT (SELECT day, orders_total::DOUBLE AS "Órdenes", orders_completed::DOUBLE AS "Atendidas",
+           orders_cancelled::DOUBLE AS "Canceladas", cancel_rate AS "Cancel rate", fulfillment_rate AS "Fulfillment"
+         FROM ({_RATES}))
+ON * EXCLUDE (day) INTO NAME metric VALUE value""", mart="events")
 def metrics_long(m):
     return ops.metrics_long(m, P1)
 
 
-def _ops_from_sales(spec):
-    cat = f" AND v.category IN {lst(spec.categories)}" if spec.categories else ""
-    return f"""FROM mo o JOIN mu u ON u.user_id = o.user_id
-LEFT JOIN mv v ON v.vendor_id = o.vendor_id
-WHERE 1=1 AND {between('o.order_date', spec.date_from, spec.date_to)}{user_where(spec)}{cat}"""
-
-
-@register("ops_timeseries_sales", "operations", with_mart(SALES_MART, "", f"""
-SELECT cast(o.order_date AS date) AS day, {_COUNTS}
-{_ops_from_sales(P3_F3)}
-GROUP BY 1"""), mart="sales")
+@register("ops_timeseries_sales", "operations", _counted(P3_F3, "day", SALES_MART), mart="sales")
 def ops_timeseries_sales(m):
     return ops.ops_timeseries(m, P3_F3)

@@ -2,61 +2,37 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
+
 from pulse.functions.filters import Dim
 from pulse.operators import sales, shares
 from pulse.plans.catalog import register
 from pulse.plans.params import P1, P3, P3_F3, P4
-from pulse.plans.sqltext import EVENTS_MART, SALES_MART, between, d, full_where, lst, user_where, with_mart
+from pulse.plans.sqltext import EVENTS_MART, FEES, GMV, N_ALL, N_DONE, N_GONE, SALES_MART, d, facts, part_of, with_mart
 
 # ---- flagship ------------------------------------------------------------------------------
 
-def _kpi_ctes(P1):
-    _UW = user_where(P1)
-    return f"""
-base_sessions AS (
-  SELECT s.user_id, cast(s.session_date AS date) AS day FROM ms s JOIN mu u ON u.user_id = s.user_id
-  WHERE {between('s.session_date', P1.date_from, P1.date_to)}{_UW}),
-base_orders AS (
-  SELECT o.*, u.city, u.acquisition_channel, u.device, v.category
-  FROM mo o JOIN mu u ON u.user_id = o.user_id JOIN mv v ON v.vendor_id = o.vendor_id
-  WHERE {between('o.order_date', P1.date_from, P1.date_to)}{full_where(P1)}),
-dau_by_day AS (SELECT day, count(DISTINCT user_id) AS dau FROM base_sessions GROUP BY 1),
-last7 AS (SELECT avg(dau) AS dau_7d_avg FROM (SELECT * FROM dau_by_day ORDER BY day DESC LIMIT 7) t),
-mau AS (SELECT count(DISTINCT s.user_id) AS mau FROM ms s JOIN mu u ON u.user_id = s.user_id
-        WHERE date_trunc('month', s.session_date) = date_trunc('month', cast({d(P1.date_to)} AS timestamp)){_UW}),
-signups AS (SELECT count(*) AS new_users FROM mu u WHERE {between('u.created_at', P1.date_from, P1.date_to)}{_UW}),
-first_order AS (
-  SELECT u.user_id, cast(u.created_at AS date) AS signup_day, min(cast(o.order_date AS date)) AS first_order_day
-  FROM mu u LEFT JOIN mo o ON o.user_id = u.user_id
-  WHERE {between('u.created_at', P1.date_from, P1.date_to)}{_UW} GROUP BY 1, 2),
-activation AS (SELECT avg(CASE WHEN first_order_day IS NOT NULL AND first_order_day <= signup_day + 7
-                          THEN cast(1 AS double) ELSE cast(0 AS double) END) AS activation_7d FROM first_order),
-orders_agg AS (
-  SELECT count(*) AS orders_total,
-    sum(CASE WHEN order_status = 'completed' THEN 1 ELSE 0 END) AS orders_completed,
-    sum(CASE WHEN order_status = 'cancelled' THEN 1 ELSE 0 END) AS orders_cancelled,
-    cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv,
-    cast(sum(CASE WHEN order_status = 'completed' THEN commission ELSE 0 END) AS double) AS commission
-  FROM base_orders),
-r AS (SELECT
-  coalesce((SELECT dau_7d_avg FROM last7), 0.0) AS dau_7d_avg,
-  cast(coalesce((SELECT mau FROM mau), 0) AS double) AS mau,
-  coalesce((SELECT new_users FROM signups), 0) AS new_users,
-  coalesce((SELECT activation_7d FROM activation), 0.0) AS activation_7d,
-  cast(coalesce((SELECT orders_total FROM orders_agg), 0) AS bigint) AS orders_total,
-  cast(coalesce((SELECT orders_completed FROM orders_agg), 0) AS bigint) AS orders_completed,
-  cast(coalesce((SELECT orders_cancelled FROM orders_agg), 0) AS bigint) AS orders_cancelled,
-  coalesce((SELECT gmv FROM orders_agg), 0.0) AS gmv,
-  coalesce((SELECT commission FROM orders_agg), 0.0) AS commission)"""
-
 
 def _kpi_sql(spec):
-    return with_mart(EVENTS_MART, _kpi_ctes(spec), """
-SELECT dau_7d_avg, mau, CASE WHEN mau > 0 THEN dau_7d_avg / mau ELSE 0.0 END AS stickiness,
-  new_users, activation_7d, orders_total, orders_completed, orders_cancelled,
-  CASE WHEN orders_total > 0 THEN cast(orders_cancelled AS double) / orders_total ELSE 0.0 END AS cancel_rate,
-  gmv, CASE WHEN orders_completed > 0 THEN gmv / orders_completed ELSE 0.0 END AS aov, commission
-FROM r""")
+    first = spec.date_to.replace(day=1)
+    last = first.replace(day=monthrange(first.year, first.month)[1])
+    week = f"""
+day_sizes AS (SELECT day, count(*) AS n FROM seen WHERE day BETWEEN {d(spec.date_from)} AND {d(spec.date_to)} GROUP BY day),
+newest AS (SELECT unnest(list_slice(list(n ORDER BY day DESC), 1, 7)) AS n FROM day_sizes),
+fresh AS (
+  SELECT c.user_id, coalesce(bool_or(o.order_date::DATE - c.joined <= 7), false) AS bought_soon
+  FROM chosen c LEFT JOIN mo o USING (user_id)
+  WHERE c.joined BETWEEN {d(spec.date_from)} AND {d(spec.date_to)} GROUP BY c.user_id),
+parts AS (
+  SELECT * FROM (SELECT coalesce(avg(n), 0) AS dau FROM newest),
+    (SELECT count(DISTINCT user_id)::DOUBLE AS mau FROM seen WHERE day BETWEEN {d(first)} AND {d(last)}),
+    (SELECT count(*) AS new_users, {part_of('count_if(bought_soon)', 'count(*)')} AS activation FROM fresh),
+    (SELECT {N_ALL}, {N_DONE}, {N_GONE}, {GMV}, {FEES} FROM bought))"""
+    return with_mart(EVENTS_MART, facts(spec) + "," + week, f"""
+SELECT dau AS dau_7d_avg, mau, {part_of('dau', 'mau')} AS stickiness, new_users, activation AS activation_7d,
+  orders_total, orders_completed, orders_cancelled, {part_of('orders_cancelled', 'orders_total')} AS cancel_rate,
+  gmv, {part_of('gmv', 'orders_completed')} AS aov, commission
+FROM parts""")
 
 
 @register("kpi_summary", "sales", _kpi_sql(P1), mart="events")
@@ -71,29 +47,15 @@ def kpi_summary_empty_range(m):
 
 # ---- order KPIs and daily sales (sales mart) -------------------------------------------------
 
-def _base(spec, cols="o.*, u.city, u.acquisition_channel, u.device, v.category, v.city AS v_city, v.rating"):
-    return f"""
-base AS (
-  SELECT {cols}, cast(o.order_date AS date) AS day
-  FROM mo o JOIN mu u ON u.user_id = o.user_id JOIN mv v ON v.vendor_id = o.vendor_id
-  WHERE {between('o.order_date', spec.date_from, spec.date_to)}{full_where(spec)})"""
-
-
-_METRICS = """count(*) AS orders_total,
-    cast(sum(CASE WHEN order_status = 'completed' THEN 1 ELSE 0 END) AS bigint) AS orders_completed,
-    cast(sum(CASE WHEN order_status = 'cancelled' THEN 1 ELSE 0 END) AS bigint) AS orders_cancelled,
-    cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv,
-    cast(sum(CASE WHEN order_status = 'completed' THEN commission ELSE 0 END) AS double) AS commission"""
+def _bought(spec, select, more="", **how):
+    """``select`` over the sales mart's ``bought`` (and further CTEs ``more``)."""
+    return with_mart(SALES_MART, facts(spec, **how) + ("," + more if more else ""), select)
 
 
 def _orders_kpis_sql(spec):
-    return with_mart(SALES_MART, _base(spec) + f""",
-agg AS (SELECT {_METRICS} FROM base)""", """
-SELECT orders_total, coalesce(orders_completed, 0) AS orders_completed, coalesce(orders_cancelled, 0) AS orders_cancelled,
-  coalesce(gmv, 0.0) AS gmv, coalesce(commission, 0.0) AS commission,
-  CASE WHEN orders_completed > 0 THEN gmv / orders_completed ELSE 0.0 END AS aov,
-  CASE WHEN orders_total > 0 THEN cast(orders_cancelled AS double) / orders_total ELSE 0.0 END AS cancel_rate
-FROM agg""")
+    return _bought(spec, f"""
+SELECT *, {part_of('gmv', 'orders_completed')} AS aov, {part_of('orders_cancelled', 'orders_total')} AS cancel_rate
+FROM (SELECT {N_ALL}, {N_DONE}, {N_GONE}, {GMV}, {FEES} FROM bought)""")
 
 
 @register("orders_kpis", "sales", _orders_kpis_sql(P3), mart="sales")
@@ -106,33 +68,31 @@ def orders_kpis_filtered(m):
     return sales.orders_kpis(m, P3_F3)
 
 
-_TS = with_mart(SALES_MART, _base(P3), f"""
-SELECT day, cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv,
-  count(*) AS orders_total,
-  cast(sum(CASE WHEN order_status = 'completed' THEN 1 ELSE 0 END) AS bigint) AS orders_completed,
-  cast(sum(CASE WHEN order_status = 'cancelled' THEN 1 ELSE 0 END) AS bigint) AS orders_cancelled
-FROM base GROUP BY 1""")
-
-
-@register("sales_timeseries", "sales", _TS, mart="sales")
+@register("sales_timeseries", "sales", _bought(P3, f"SELECT day, {GMV}, {N_ALL}, {N_DONE}, {N_GONE} FROM bought GROUP BY day"),
+          mart="sales")
 def sales_timeseries(m):
     return sales.sales_timeseries(m, P3)
 
 
-@register("sales_timeseries_rates", "sales", f"""
-SELECT *, CASE WHEN orders_total > 0 THEN cast(orders_cancelled AS double) / orders_total ELSE 0.0 END AS cancel_rate
-FROM ({_TS}) t""", mart="sales")
+@register("sales_timeseries_rates", "sales", _bought(P3, f"""
+SELECT day, {GMV}, {N_ALL}, {N_DONE}, {N_GONE}, avg((status = 'cancelled')::INT) AS cancel_rate FROM bought GROUP BY day"""),
+          mart="sales")
 def sales_timeseries_rates(m):
     return sales.sales_timeseries_rates(m, P3)
 
 
 # ---- top-K ------------------------------------------------------------------------------------
 
-_GMV_ORDERS = """cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv,
-  count(*) AS orders"""
+def _first(n, order):
+    return f"QUALIFY row_number() OVER (ORDER BY {order}) <= {n}"
+
 
-_TOP_CITIES = with_mart(SALES_MART, _base(P3), f"""
-SELECT city, {_GMV_ORDERS} FROM base GROUP BY 1 ORDER BY gmv DESC, city ASC NULLS LAST LIMIT 10""")
+_TOP_CITIES = _bought(P3, f"""
+SELECT city, {GMV}, count(*) AS orders FROM bought GROUP BY city {_first(10, 'gmv DESC, city NULLS LAST')}""")
+_TOP_VENDORS = f"""
+SELECT vendor_id, any_value(vendor_city) AS city, any_value(category) AS category, any_value(rating) AS rating,
+  {GMV}, count(*) AS orders
+FROM bought GROUP BY vendor_id {_first(15, 'gmv DESC, vendor_id')}"""
 
 
 @register("top_cities_gmv", "sales", _TOP_CITIES, mart="sales")
@@ -140,111 +100,85 @@ def top_cities_gmv(m):
     return sales.top_cities_gmv(m, P3)
 
 
-_TOP_VENDORS_SELECT = f"""
-SELECT vendor_id, v_city AS city, category, avg(rating) AS rating, {_GMV_ORDERS}
-FROM base GROUP BY 1, 2, 3 ORDER BY gmv DESC, vendor_id ASC LIMIT 15"""
-
-
-@register("top_vendors_gmv", "sales", with_mart(SALES_MART, _base(P3), _TOP_VENDORS_SELECT), mart="sales")
+@register("top_vendors_gmv", "sales", _bought(P3, _TOP_VENDORS), mart="sales")
 def top_vendors_gmv(m):
     return sales.top_vendors_gmv(m, P3)
 
 
-@register("top_categories_from_vendors", "sales", with_mart(SALES_MART, _base(P3) + f""",
-top AS ({_TOP_VENDORS_SELECT})""", """
-SELECT category, sum(gmv) AS gmv, cast(sum(orders) AS bigint) AS orders FROM top GROUP BY 1"""), mart="sales")
+@register("top_categories_from_vendors", "sales", _bought(P3, """
+SELECT category, sum(gmv) AS gmv, sum(orders)::BIGINT AS orders FROM best GROUP BY category""",
+                                                          f"best AS ({_TOP_VENDORS})"), mart="sales")
 def top_categories_from_vendors(m):
     return sales.top_categories_from_vendors(m, P3)
 
 
-@register("top_categories_gmv", "sales", with_mart(SALES_MART, _base(P3_F3), f"""
-SELECT category, {_GMV_ORDERS} FROM base GROUP BY 1"""), mart="sales")
+@register("top_categories_gmv", "sales", _bought(P3_F3, f"""
+SELECT category, {GMV}, count(*) AS orders FROM bought GROUP BY category"""), mart="sales")
 def top_categories_gmv(m):
     return sales.top_categories_gmv(m, P3_F3)
 
 
-def _top10_sql(spec, dim_expr):
-    return with_mart(SALES_MART, "", f"""
-SELECT coalesce(cast({dim_expr} AS varchar), 'UNKNOWN') AS dim,
-  cast(sum(CASE WHEN o.order_status = 'completed' THEN o.order_total ELSE 0 END) AS double) AS gmv,
-  count(*) FILTER (WHERE o.order_status = 'completed') AS orders
-FROM mo o JOIN mu u ON u.user_id = o.user_id
-LEFT JOIN mv v ON v.vendor_id = o.vendor_id
-WHERE {between('o.order_date', spec.date_from, spec.date_to)}{user_where(spec)}
-  {"AND v.category IN " + lst(spec.categories) if spec.categories else ""}
-GROUP BY 1 ORDER BY gmv DESC, dim ASC LIMIT 10""")
+def _top10_sql(spec, column):
+    """The ten best values of a column; all statuses are read, completed orders count."""
+    return _bought(spec, f"""
+SELECT ifnull({column}, 'UNKNOWN') AS dim, {GMV}, count(paid) AS orders
+FROM bought GROUP BY dim {_first(10, 'gmv DESC, dim')}""", vendors="LEFT JOIN", statuses=False)
 
 
-@register("top10_gmv_by_dim", "sales", _top10_sql(P3, "u.acquisition_channel"), mart="sales")
+@register("top10_gmv_by_dim", "sales", _top10_sql(P3, "channel"), mart="sales")
 def top10_gmv_by_dim(m):
     return sales.top10_gmv_by_dim(m, P3, Dim.CHANNEL)
 
 
-@register("top10_gmv_by_status", "sales", _top10_sql(P3_F3, "o.order_status"), mart="sales")
+@register("top10_gmv_by_status", "sales", _top10_sql(P3_F3, "status"), mart="sales")
 def top10_gmv_by_status(m):
     return sales.top10_gmv_by_dim(m, P3_F3, Dim.STATUS)
 
 
-@register("top10_gmv_by_category", "sales", _top10_sql(P3, "v.category"), mart="sales")
+@register("top10_gmv_by_category", "sales", _top10_sql(P3, "category"), mart="sales")
 def top10_gmv_by_category(m):
     return sales.top10_gmv_by_dim(m, P3, Dim.CATEGORY)
 
 
 @register("gmv_share_top10", "sales", f"""
-WITH top AS ({_top10_sql(P3, "u.acquisition_channel")})
-SELECT dim AS series, gmv, CASE WHEN (SELECT sum(gmv) FROM top) > 0 THEN gmv / (SELECT sum(gmv) FROM top)
-  ELSE 0.0 END AS share FROM top""", mart="sales")
+SELECT dim AS series, gmv, {part_of('gmv', 'sum(gmv) OVER ()')} AS share FROM ({_top10_sql(P3, 'channel')})""", mart="sales")
 def gmv_share_top10(m):
     top = sales.top10_gmv_by_dim(m, P3, Dim.CHANNEL)
     return shares.with_share(top.select(top["dim"].alias("series"), "gmv"), "gmv")
 
 
-def _compare_sql(dim_expr):
-    return with_mart(SALES_MART, _base(P3), f"""
-SELECT {dim_expr} AS dim,
-  cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv,
-  count(*) AS orders_total,
-  cast(sum(CASE WHEN order_status = 'cancelled' THEN 1 ELSE 0 END) AS bigint) AS orders_cancelled,
-  cast(sum(CASE WHEN order_status = 'completed' THEN commission ELSE 0 END) AS double) AS commission
-FROM base GROUP BY 1""")
-
-
-@register("compare_orders_by_dim", "sales", _compare_sql("category"), mart="sales")
+@register("compare_orders_by_dim", "sales", _bought(P3, f"""
+SELECT category AS dim, {GMV}, {N_ALL}, {N_GONE}, {FEES} FROM bought GROUP BY dim"""), mart="sales")
 def compare_orders_by_dim(m):
     return sales.compare_orders_by_dim(m, P3, Dim.CATEGORY)
 
 
-@register("compare_orders_trend_top5", "sales", with_mart(SALES_MART, _base(P3) + """,
-by_dim AS (SELECT city AS dim, cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv
-           FROM base GROUP BY 1),
-top AS (SELECT dim FROM by_dim ORDER BY gmv DESC, dim ASC NULLS LAST LIMIT 5)""", """
-SELECT day, city AS dim,
-  cast(sum(CASE WHEN order_status = 'completed' THEN order_total ELSE 0 END) AS double) AS gmv,
-  count(*) AS orders_total,
-  cast(sum(CASE WHEN order_status = 'cancelled' THEN 1 ELSE 0 END) AS bigint) AS orders_cancelled,
-  cast(sum(CASE WHEN order_status = 'completed' THEN commission ELSE 0 END) AS double) AS commission
-FROM base WHERE cast(city AS varchar) IN (SELECT cast(dim AS varchar) FROM top) GROUP BY 1, 2"""), mart="sales")
+# a city's rank comes from its whole-range sum; a NULL city may take a rank but has no line of its own
+@register("compare_orders_trend_top5", "sales", _bought(P3, """
+SELECT day, dim, gmv, orders_total, orders_cancelled, commission FROM daily JOIN ranked USING (dim) WHERE place <= 5""", f"""
+daily AS (SELECT day, city AS dim, {GMV}, {N_ALL}, {N_GONE}, {FEES} FROM bought GROUP BY day, dim),
+ranked AS (SELECT city AS dim, row_number() OVER (ORDER BY coalesce(sum(paid), 0) DESC, city NULLS LAST) AS place
+           FROM bought GROUP BY city)"""), mart="sales")
 def compare_orders_trend_top5(m):
     return sales.compare_orders_trend_top5(m, P3, Dim.CITY)
 
 
-@register("share_top8_others", "sales", with_mart(SALES_MART, _base(P3) + """,
-v AS (SELECT v_city AS series, cast(count(*) AS double) AS value FROM base GROUP BY 1),
-s AS (SELECT series, value, CASE WHEN (SELECT sum(value) FROM v) > 0 THEN value / (SELECT sum(value) FROM v) ELSE 0.0 END AS share FROM v),
-top AS (SELECT * FROM s ORDER BY share DESC, series ASC NULLS LAST LIMIT 8)""", """
-SELECT series, share, value FROM top
-UNION ALL
-SELECT 'Otros' AS series,
-  CASE WHEN (SELECT sum(value) FROM v) > 0 THEN ((SELECT sum(value) FROM v) - (SELECT sum(value) FROM top)) / (SELECT sum(value) FROM v) ELSE 0.0 END AS share,
-  (SELECT sum(value) FROM v) - (SELECT sum(value) FROM top) AS value
-WHERE (SELECT count(*) FROM v) > 8"""), mart="sales")
+@register("share_top8_others", "sales", _bought(P3, """
+SELECT if(place <= 8, vendor_city, 'Otros') AS series, sum(n) / any_value(whole) AS share, sum(n) AS value
+FROM sized GROUP BY if(place <= 8, place, 9), series""", """
+sized AS (SELECT vendor_city, count(*)::DOUBLE AS n, (sum(count(*)) OVER ())::DOUBLE AS whole,
+            row_number() OVER (ORDER BY count(*) DESC, vendor_city NULLS LAST) AS place
+          FROM bought GROUP BY vendor_city)"""), mart="sales")
 def share_top8_others(m):
     by_vendor_city = sales.order_base(m, P3).groupBy("v_city").count()
     return shares.share_top_n_others(by_vendor_city, "count", "v_city", 8)
 
 
-@register("normalize_top", "sales", f"""
-SELECT coalesce(cast(city AS varchar), 'None') AS dim, gmv, cast(orders AS bigint) AS orders
-FROM ({_TOP_CITIES}) t""", mart="sales")
+@register("share_centre_total", "sales", _bought(P3, "SELECT count(*)::DOUBLE AS total FROM bought"), mart="sales")
+def share_centre_total(m):
+    return shares.centre_total(share_top8_others(m))
+
+
+@register("normalize_top", "sales", f"SELECT ifnull(city, 'None') AS dim, gmv, orders FROM ({_TOP_CITIES})", mart="sales")
 def normalize_top(m):
     return shares.normalize_top(sales.top_cities_gmv(m, P3), preferred_dim_col="city")

@@ -77,8 +77,7 @@ def events_mart(spark: SparkSession, sf_dir: str) -> Marts:
         "make_dt_interval(cast((c_custkey * 37) % 62 AS int), cast(c_custkey % 24 AS int))",
     )
     vendors = (
-        t.part.filter(F.col("p_partkey") < 90)
-        .select(F.col("p_partkey").alias("vendor_id"), F.col("p_brand").alias("city"),
+        t.part.select(F.col("p_partkey").alias("vendor_id"), F.col("p_brand").alias("city"),
                 F.col("p_type").alias("category"), (F.col("p_size").cast("double") / 10).alias("rating"))
     )
     ev = t.events
@@ -87,12 +86,15 @@ def events_mart(spark: SparkSession, sf_dir: str) -> Marts:
         .select(F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("session_date"))
     )
     total = F.col("value").cast("decimal(18,2)")
+    k = F.regexp_extract("props", "[0-9]+", 0).try_cast("bigint")
+    # orders go to vendors over all part keys; a tenth of them names no vendor
+    n_parts = F.broadcast(t.part.agg(F.count(F.lit(1)).alias("n_parts")))  # one row
     orders = (
-        ev.filter(F.col("event_type").isin("purchase", "error"))
+        ev.filter(F.col("event_type").isin("purchase", "error")).crossJoin(n_parts)
         .select(
             F.col("event_id").alias("order_id"),
             "user_id",
-            F.regexp_extract("props", "[0-9]+", 0).try_cast("bigint").alias("vendor_id"),
+            F.when(k < 90, (F.col("event_id") * 31 + k) % F.col("n_parts")).alias("vendor_id"),
             F.col("ts").alias("order_date"),
             F.when(F.col("event_id") % 10 == 0, F.lit("pending"))
              .when(F.col("event_type") == "purchase", F.lit("completed"))

@@ -16,18 +16,29 @@ from pyspark.sql import functions as F
 from pulse.functions.dates import day, day_range
 from pulse.functions.filters import FilterSpec, where
 
-# Fixed candidate lists, in priority order (first existing column wins).
-ORDER_DATE_CANDIDATES = ["created_at", "order_created_at", "order_date", "date", "day"]
-ORDER_STATUS_CANDIDATES = ["status", "order_status", "state", "order_state"]
-ORDER_USER_CANDIDATES = ["user_id", "customer_id", "uid"]
-ORDER_VENDOR_CANDIDATES = ["vendor_id", "store_id", "merchant_id"]
-ORDER_TOTAL_CANDIDATES = ["order_total", "gmv", "total", "amount", "order_amount", "subtotal"]
-USER_PK_CANDIDATES = ["user_id", "id"]
-USER_CITY_CANDIDATES = ["city", "ciudad"]
-USER_CHANNEL_CANDIDATES = ["acquisition_channel", "channel", "canal"]
-USER_DEVICE_CANDIDATES = ["device", "platform"]
-VENDOR_PK_CANDIDATES = ["vendor_id", "id"]
-VENDOR_CATEGORY_CANDIDATES = ["category", "categoria"]
+# The column names a role may have in each table, first existing one wins.
+CANDIDATES = {
+    "orders": {
+        "at": ["created_at", "order_created_at", "order_date", "date", "day"],
+        "status": ["status", "order_status", "state", "order_state"],
+        "user": ["user_id", "customer_id", "uid"],
+        "vendor": ["vendor_id", "store_id", "merchant_id"],
+        "total": ["order_total", "gmv", "total", "amount", "order_amount", "subtotal"],
+    },
+    "users": {
+        "user": ["user_id", "id"],
+        "city": ["city", "ciudad"],
+        "channel": ["acquisition_channel", "channel", "canal"],
+        "device": ["device", "platform"],
+    },
+    "vendors": {
+        "vendor": ["vendor_id", "id"],
+        "category": ["category", "categoria"],
+    },
+}
+#: Roles without which a table is of no use, and the types of those that may be missing.
+KEYS = {"orders": ("at", "user"), "users": ("user",), "vendors": ("vendor", "category")}
+MISSING = {"total": "decimal(18,2)", "vendor": "bigint"}
 
 
 def has_col(df: DataFrame | None, col: str) -> bool:
@@ -100,48 +111,39 @@ class ResolvedOrders:
         return self.frame is not None
 
 
+def by_role(df: DataFrame | None, table: str) -> tuple[DataFrame | None, set[str]]:
+    """The live rows of ``df`` with its roles as columns ``<table>_<role>`` (NULL if missing), and the roles found.
+
+    None when the table or one of its key roles is missing.
+    """
+    roles = {role: pick_existing_col(df, names) for role, names in CANDIDATES[table].items()}
+    found = {role for role, col in roles.items() if col is not None}
+    if not set(KEYS[table]) <= found:
+        return None, set()
+    if "deleted_at" in df.columns:
+        df = df.filter(F.col("deleted_at").isNull())
+    cols = [F.col(col) if col else F.lit(None).cast(MISSING.get(role, "string")) for role, col in roles.items()]
+    return df.select(*[c.alias(f"{table}_{role}") for role, c in zip(roles, cols, strict=True)]), found
+
+
 def resolve_orders(users: DataFrame, orders: DataFrame, vendors: DataFrame | None, spec: FilterSpec) -> ResolvedOrders:
     """Apply the resolver rules and the list filters (no status filter: callers decide)."""
-    o_created = pick_existing_col(orders, ORDER_DATE_CANDIDATES)
-    o_user = pick_existing_col(orders, ORDER_USER_CANDIDATES)
-    u_pk = pick_existing_col(users, USER_PK_CANDIDATES)
-    if o_created is None or o_user is None or u_pk is None:
+    (o, in_orders), (u, in_users) = by_role(orders, "orders"), by_role(users, "users")
+    if o is None or u is None:
         return ResolvedOrders(None, False, False, False, False, False, False)
-    o_status = pick_existing_col(orders, ORDER_STATUS_CANDIDATES)
-    o_vendor = pick_existing_col(orders, ORDER_VENDOR_CANDIDATES)
-    o_total = pick_existing_col(orders, ORDER_TOTAL_CANDIDATES)
-    u_city = pick_existing_col(users, USER_CITY_CANDIDATES)
-    u_channel = pick_existing_col(users, USER_CHANNEL_CANDIDATES)
-    u_device = pick_existing_col(users, USER_DEVICE_CANDIDATES)
-    has_vendors = vendors is not None and o_vendor is not None
-    v_pk = pick_existing_col(vendors, VENDOR_PK_CANDIDATES) if has_vendors else None
-    v_cat = pick_existing_col(vendors, VENDOR_CATEGORY_CANDIDATES) if has_vendors else None
-
-    def alive(df):
-        return df.filter(F.col("deleted_at").isNull()) if "deleted_at" in df.columns else df
-
-    def opt(df, c, name, typ="string") -> Column:
-        return (F.col(c) if c else F.lit(None).cast(typ)).alias(name)
-
-    o = day_range(alive(orders), o_created, spec.date_from, spec.date_to).select(
-        F.col(o_user).alias("_uid"),
-        (F.col(o_vendor) if has_vendors else F.lit(None).cast("bigint")).alias("_vid"),
-        day(o_created).alias("day"),
-        opt(orders, o_status, "status"),
-        (F.col(o_total).cast("decimal(18,2)") if o_total else F.lit(None).cast("decimal(18,2)")).alias("total"),
-    )
-    u = alive(users).select(F.col(u_pk).alias("_uid"), opt(users, u_city, "city"),
-                            opt(users, u_channel, "channel"), opt(users, u_device, "device"))
-    u = where(u, spec.user_predicate("city" if u_city else None, "channel" if u_channel else None,
-                                     "device" if u_device else None))
-    out = o.join(u, "_uid")
-    if has_vendors and v_pk and v_cat:
-        v = alive(vendors).select(F.col(v_pk).alias("_vid"), F.col(v_cat).cast("string").alias("category"))
-        out = out.join(v, "_vid", "left")
-        if spec.categories:
-            out = out.filter(F.col("category").isin(list(spec.categories)))
+    lists = {role: f"users_{role}" if role in in_users else None for role in ("city", "channel", "device")}
+    rows = (day_range(o, "orders_at", spec.date_from, spec.date_to)
+            .join(where(u, spec.user_predicate(*lists.values())), F.col("orders_user") == F.col("users_user")))
+    v, in_vendors = by_role(vendors, "vendors") if "vendor" in in_orders else (None, set())
+    if v is None:
+        rows = rows.withColumn("category", F.lit(None).cast("string"))
     else:
-        out = out.withColumn("category", F.lit(None).cast("string"))
-    return ResolvedOrders(out.drop("_uid", "_vid"), o_status is not None, o_total is not None,
-                          bool(has_vendors and v_pk and v_cat), u_city is not None, u_channel is not None,
-                          u_device is not None)
+        rows = (rows.join(v, F.col("orders_vendor") == F.col("vendors_vendor"), "left")
+                .withColumn("category", F.col("vendors_category").cast("string")))
+        if spec.categories:
+            rows = rows.filter(F.col("category").isin(list(spec.categories)))
+    frame = rows.select(
+        day("orders_at").alias("day"), F.col("orders_status").alias("status"),
+        F.col("orders_total").cast("decimal(18,2)").alias("total"), *[F.col(f"users_{r}").alias(r) for r in lists], "category")
+    return ResolvedOrders(frame, "status" in in_orders, "total" in in_orders, bool(in_vendors),
+                          *[role in in_users for role in lists])

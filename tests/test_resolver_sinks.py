@@ -9,8 +9,8 @@ from pulse.sources.marts import Marts
 
 def test_pick_existing_col_priority(spark):
     df = spark.createDataFrame([], "order_date timestamp, created_at timestamp, order_status string, status string")
-    assert resolver.pick_existing_col(df, resolver.ORDER_DATE_CANDIDATES) == "created_at"
-    assert resolver.pick_existing_col(df, resolver.ORDER_STATUS_CANDIDATES) == "status"
+    assert resolver.pick_existing_col(df, resolver.CANDIDATES["orders"]["at"]) == "created_at"
+    assert resolver.pick_existing_col(df, resolver.CANDIDATES["orders"]["status"]) == "status"
     assert resolver.pick_existing_col(df, ["nope"]) is None
 
 

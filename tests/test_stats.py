@@ -50,3 +50,24 @@ def test_order_statistics_with_tiebreak(spark, monkeypatch, cap):
     for k in ranks["g"]:
         assert got[("g", k)] == order[k - 1]
     assert got[("c", 17)] == (7, 16)
+
+
+@pytest.mark.parametrize("values", [[0.0, 1.0], list(map(float, range(10)))])
+def test_heavy_ties_leave_no_large_window(spark, values):
+    rng = np.random.default_rng(1)
+    x = rng.choice(values, size=4000)
+    df = spark.createDataFrame([("g", float(v)) for v in x], "_g string, _x double")
+    ranks = [1, 2000, 2001, 4000]
+    targets = [stats.Target("g", k) for k in ranks]
+    stats.narrow(df, targets, cap=100)
+    assert all(t.answer is not None or t.rows <= 100 for t in targets)
+    stats._rank_small(df, targets)
+    s = np.sort(x)
+    assert [t.answer for t in targets] == [s[k - 1] for k in ranks]
+    assert [t.before for t in targets] == [int((s < s[k - 1]).sum()) for k in ranks]
+
+
+def test_fifty_fifty_column(spark, monkeypatch):
+    monkeypatch.setattr(stats, "CAP", 100)
+    df = spark.range(4000).selectExpr("cast(id % 2 as double) AS x")
+    assert stats.medians(df, ["x"]).first()["median"] == 0.5
