@@ -45,17 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet below the cluster's checkpoint folder and read it back.
 
     The written table ends the lineage: passes over it survive lost executors and never recompute what lies
     before. The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (tests) a
-    scratch folder is used.
+    scratch folder is used. ``parts``: files at most, for tables known to be small.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark) or ensure_test_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/pulse-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,8 +9,11 @@ Candidates are verified by banded alignment: the longest common subsequence of b
 inside the diagonal band that a pass allows), as share of the k-mers of either side: matched / (m + n - matched).
 A link needs ``SIMILARITY``.
 
+K-mers that one candidate alone holds limit what it can have in common with any other; texts and pairs that
+cannot reach the similarity by this exact bound are not tested.
+
 Texts with equal words are one node from the start. A bucket's members are not paired with each other: they are
-tested against its hubs (members in a hashed order; 1, then 4, 16, ... of them), and only across classes that are
+tested against its hubs (members in a hashed order; 1, then 8, 64, ... of them), and only across classes that are
 not yet connected, until every bucket lies in one class or all its members have been hubs. So no link that would
 join two classes is lost, and a bucket whose members belong together costs one test each. Links become
 classes by distributed label propagation with shortcuts.
@@ -196,6 +199,24 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         sketch, f"id {kind}, t binary, name binary, n long, bands array<long>")
 
 
+def shared_kmers(texts: DataFrame) -> DataFrame:
+    """(t, c): how many k-mers (with their occurrence numbers) of each text (t, text) another text holds as well."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in _portions(batch.column(1).to_pylist()):
+                grams, counts = kmers(*word_hashes(some))
+                whose = np.frombuffer(b"".join(t[:8] for t in batch.column(0).slice(at, len(some)).to_pylist()), ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(occurrences(grams, counts).view(np.int64)), pa.array(np.repeat(whose, counts))], ["g", "d"])
+
+    # texts are named by half their digest here: should two meet, their numbers add up, and a bound stays a bound
+    grams = texts.select("t", "text").mapInArrow(spread, "g long, d long")
+    common = grams.groupBy("g").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1).select("g")
+    counted = cut(grams.join(common, "g", "left_semi").groupBy("d").agg(F.count(F.lit(1)).alias("c")))
+    first = F.conv(F.hex(F.substring("t", 1, 8)), 16, -10).cast("long")
+    return texts.select("t", first.alias("d")).join(counted, "d").select("t", "c")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (x, y, tx, ty: names and text digests) whose texts align; ``texts``: (t, text)."""
 
@@ -219,22 +240,18 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("x", "y", "tx", "ty", "one", "two").mapInArrow(align, "x binary, y binary")
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, parts: int) -> DataFrame:
     """(v, label): the smallest name that each end of ``links`` (x, y) is connected with."""
-    ways = cut(links.unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut(ways.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("v"), F.least("x", "y").alias("label")))
+    ways = cut(links.unionAll(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), parts)
+    labels = cut(ways.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("v"), F.least("x", "y").alias("label")), parts)
     while True:
-        near = (ways.join(labels.select(F.col("v").alias("x"), "label"), "x").groupBy("y").agg(F.min("label").alias("near"))
-                .withColumnRenamed("y", "v"))
-        seen = labels.join(near, "v", "left").select("v", "label", F.least("label", "near").alias("now"))
-        seen = cut(seen)
-        # what any member of a label has found holds for all that bear the label, and for those pointing to it
-        better = seen.groupBy("label").agg(F.min("now").alias("best"))
-        jump = (seen.join(better, "label").select("v", "label", "best"))
-        after = cut(jump.join(better.select(F.col("label").alias("best"), F.col("best").alias("further")), "best", "left")
-                    .select("v", F.least("best", F.coalesce("further", "best")).alias("label"),
-                            (F.least("best", F.coalesce("further", "best")) != F.col("label")).alias("moved")))
-        labels = after.select("v", "label")
+        near = (ways.join(labels.select(F.col("v").alias("x"), "label"), "x").groupBy(F.col("y").alias("v"))
+                .agg(F.min("label").alias("near")))
+        seen = cut(labels.join(near, "v").select("v", "label", F.least("label", "near").alias("now")), parts)
+        # a shortcut: what a label's own vertex has found holds for all that bear it
+        further = seen.select(F.col("v").alias("now"), F.col("now").alias("further"))
+        after = cut(seen.join(further, "now").select("v", F.col("further").alias("now"), (F.col("further") != F.col("label")).alias("moved")), parts)
+        labels = after.select("v", F.col("now").alias("label"))
         if not after.where("moved").limit(1).count():
             return labels
 
@@ -246,25 +263,31 @@ def classes(docs: DataFrame, id_col: str, text_col: str = "text", least: float =
     listed = nodes.select("name", "t", "n", F.posexplode("bands").alias("band", "h")).select(
         "name", "t", "n", F.xxhash64("band", "h").alias("bucket"))
     crowded = listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    members = cut(listed.join(crowded, "bucket").withColumn("turn", F.xxhash64("name")))
-    labels = cut(members.select("name").distinct().select("name", F.col("name").alias("class")))
-    texts = None
+    members = cut(listed.join(crowded, "bucket").drop("size"))
+    source = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("t", F.unhex(F.md5("text")))
+    texts = cut(source.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")))
+    # a link needs this share of either side's k-mers: what only one text holds rules partners out, without a test
+    members = (members.join(shared_kmers(texts), "t", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+               .where((F.col("c") >= F.col("n") * F.lit(least) - 1e-9) | (F.col("n") == 0)))
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    members = cut(members.join(crowded, "bucket").withColumn("turn", F.xxhash64("name")))
+    parts = max(8, members.count() // 100_000)  # rows a file of what is kept between rounds
+    labels = cut(members.select("name").distinct().select("name", F.col("name").alias("class")), parts)
     tested = None
     low, high = 0, 1
     while True:
-        now = members.join(labels, "name")
-        mixed = now.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
-        now = cut(now.where(F.col("size") - 1 > low).join(mixed.select("bucket"), "bucket", "left_semi"))
+        now = members.where(F.col("size") - 1 > low).join(labels, "name")
+        if tested is not None:  # in the first round every member is a class of its own
+            mixed = now.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
+            now = now.join(mixed.select("bucket"), "bucket", "left_semi")
+        now = cut(now, parts)
         if not now.limit(1).count():
             break
-        if texts is None:  # the texts that may be needed: one row for each
-            needed = now.select("t").distinct()
-            source = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("t", F.unhex(F.md5("text")))
-            texts = cut(source.join(needed, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")))
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "name"))
         hubs = now.withColumn("rank", turn).where(F.col("rank") <= high).where(F.col("rank") > low)
-        hubs = hubs.select("bucket", F.col("name").alias("hub"), F.col("t").alias("hub_t"), F.col("n").alias("hub_n"), F.col("class").alias("hub_class"))
-        near = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - 1e-9
+        hubs = hubs.select("bucket", F.col("name").alias("hub"), F.col("t").alias("hub_t"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"), F.col("class").alias("hub_class"))
+        need = F.lit(least / (1 + least)) * (F.col("n") + F.col("hub_n"))  # k-mers in common
+        near = F.least("n", "hub_n", "c", "hub_c") >= need - 1e-9
         swap = F.col("hub") < F.col("name")
         pairs = (now.join(hubs, "bucket").where((F.col("class") != F.col("hub_class")) & near)
                  .select(F.when(swap, F.col("hub")).otherwise(F.col("name")).alias("x"), F.when(swap, F.col("name")).otherwise(F.col("hub")).alias("y"),
@@ -272,15 +295,15 @@ def classes(docs: DataFrame, id_col: str, text_col: str = "text", least: float =
                  .groupBy("x", "y").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty")))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = cut(pairs)
-        links = cut(verified(pairs, texts, least))
+        pairs = cut(pairs, parts)
+        links = cut(verified(pairs, texts, least), 4 * parts)
         tested = pairs.select("x", "y") if tested is None else tested.unionAll(pairs.select("x", "y"))
         named = labels.select(F.col("name").alias("x"), F.col("class").alias("cx"))
         ends = (links.join(named, "x").join(named.select(F.col("x").alias("y"), F.col("cx").alias("cy")), "y")
                 .select(F.col("cx").alias("x"), F.col("cy").alias("y")))
-        joined = connected(ends).select(F.col("v").alias("class"), "label")
-        labels = cut(labels.join(joined, "class", "left").select("name", F.coalesce("label", "class").alias("class")))
-        low, high = high, 4 * high
+        joined = connected(ends, parts).select(F.col("v").alias("class"), "label")
+        labels = cut(labels.join(joined, "class", "left").select("name", F.coalesce("label", "class").alias("class")), parts)
+        low, high = high, 8 * high
     named = rows.join(labels, "name", "left").select("id", "t", F.coalesce("class", "name").alias("class"))
     least_id = named.groupBy("class").agg(F.min("id").alias("class_id"))
     return named.join(least_id, "class").select("id", "t", "class", "class_id")
