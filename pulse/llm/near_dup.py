@@ -13,7 +13,8 @@ K-mers that one candidate alone holds limit what it can have in common with any
 cannot reach the similarity by this exact bound are not tested.
 
 Texts with equal words are one node from the start. A bucket's members are not paired with each other: they are
-tested against its hubs (members in a hashed order; 1, then 8, 64, ... of them), and only across classes that are
+tested against its hubs (1, then 8, 64, ... members: first those with the fewest k-mers of their own, such as the
+text that the others are copies of, then in a hashed order), and only across classes that are
 not yet connected, until every bucket lies in one class or all its members have been hubs. So no link that would
 join two classes is lost, and a bucket whose members belong together costs one test each. Links become
 classes by distributed label propagation with shortcuts.
@@ -283,7 +284,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str = "text", least: float =
         now = cut(now, parts)
         if not now.limit(1).count():
             break
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "name"))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("c"), "turn", "name"))
         hubs = now.withColumn("rank", turn).where(F.col("rank") <= high).where(F.col("rank") > low)
         hubs = hubs.select("bucket", F.col("name").alias("hub"), F.col("t").alias("hub_t"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"), F.col("class").alias("hub_class"))
         need = F.lit(least / (1 + least)) * (F.col("n") + F.col("hub_n"))  # k-mers in common
