@@ -29,6 +29,14 @@ def _confusion(scored: DataFrame, label: str, prob: str, threshold: float = 0.5)
                       F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
+def score_buckets(per_value: DataFrame, g: list[str]) -> DataFrame:
+    """``per_value`` (distinct scores ``s``) with ``b``, its bucket between quantiles of the distinct scores."""
+    grid = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
+    edges = per_value.groupBy(*g).agg(F.percentile_approx("s", grid, 20 * AUC_BUCKETS).alias("edges"))
+    joined = per_value.transform(attach(edges)) if not g else per_value.join(F.broadcast(edges), g)
+    return joined.withColumn("b", F.size(F.filter("edges", lambda e: e <= F.col("s")))).drop("edges")
+
+
 def roc_auc(scored: DataFrame, label: str = "churn", prob: str = "churn_probability",
             group_cols: tuple[str, ...] = ()) -> DataFrame:
     """``roc_auc`` (one row, or one per group); NaN when only one class is present."""
@@ -37,10 +45,7 @@ def roc_auc(scored: DataFrame, label: str = "churn", prob: str = "churn_probabil
               .filter(F.col("s").isNotNull())
     per_value = s.groupBy(*g, "s").agg(F.count_if(F.col("y") == 1).alias("pos"),
                                        F.count_if(F.col("y") != 1).alias("neg"))
-    grid = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
-    edges = per_value.groupBy(*g).agg(F.percentile_approx("s", grid, 20 * AUC_BUCKETS).alias("edges"))
-    joined = per_value.transform(attach(edges)) if not g else per_value.join(F.broadcast(edges), g)
-    bucketed = joined.withColumn("b", F.size(F.filter("edges", lambda e: e <= F.col("s")))).drop("edges")
+    bucketed = score_buckets(per_value, g)
     # negatives in lower buckets: window over at most AUC_BUCKETS rows per group
     per_bucket = bucketed.groupBy(*g, "b").agg(F.sum("neg").alias("bneg"))
     wb = Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -107,3 +107,24 @@ def test_churn_report_and_params(spark, features):
     spec = FilterSpec.from_params({"date_from": date(2024, 1, 1), "date_to": date(2024, 1, 7),
                                    "cities": ["A"], "series_dim": "Categoría (vendor)"})
     assert spec.series_dim is Dim.CATEGORY and spec.cities == ("A",) and spec.statuses == ()
+
+
+def test_auc_buckets_are_bounded_for_clustered_scores(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("case when id = 0 then 1e6 else 0.5 + id / 1e9 end as s", "1L as pos", "1L as neg")
+    most = cm.score_buckets(df, []).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * n / cm.AUC_BUCKETS
+
+
+def test_histogram_of_a_tiny_and_a_wide_span(spark):
+    for scale in (2e-6, 1.0, 3e7):
+        df = spark.range(1000).selectExpr(f"id / 999.0 * {scale!r}D as churn_probability")
+        rows = cm.risk_histogram(df).collect()
+        assert 8 <= len(rows) <= 29 and sum(r["customers"] for r in rows) == 1000
+        assert all(r["median"] == pytest.approx(scale / 2) and r["mean"] == pytest.approx(scale / 2) for r in rows)
+
+
+def test_split_without_strata_when_a_class_is_too_small(spark):
+    df = spark.range(50).selectExpr("id as customer_id", "case when id = 7 then 1 else 0 end as churn")
+    got = prep.stratified_split(df, "customer_id", "churn").collect()
+    assert len(got) == 50 and sum(r["is_test"] for r in got) == 10
