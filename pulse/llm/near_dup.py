@@ -10,7 +10,8 @@ inside the diagonal band that a pass allows), as share of the k-mers of either s
 A link needs ``SIMILARITY``.
 
 K-mers that one candidate alone holds limit what it can have in common with any other; texts and pairs that
-cannot reach the similarity by this exact bound are not tested.
+cannot reach the similarity by this exact bound are not tested. After the first round texts also know their
+differences to a hub; two texts that differ from the same hub in too many places are not tested either.
 
 Texts with equal words are one node from the start. A bucket's members are not paired with each other: they are
 tested against its hubs (1, then 8, 64, ... members: first those with the fewest k-mers of their own, such as the
@@ -218,27 +219,58 @@ def shared_kmers(texts: DataFrame) -> DataFrame:
     return texts.select("t", first.alias("d")).join(counted, "d").select("t", "c")
 
 
+TESTED = "x binary, y binary, linked boolean, hub binary, member binary, of int, lacks array<long>, adds array<long>"
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (x, y, tx, ty: names and text digests) whose texts align; ``texts``: (t, text)."""
+    """``pairs`` (x, y, tx, ty, hub: names, text digests, which of both is the hub) tested over ``texts`` (t, text).
+
+    ``linked`` if they align. ``of`` k-mers that the hub has, the other one lacks some and adds others; both lists
+    are null if they are long.
+    """
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
-        def grams(t: bytes, text: str) -> np.ndarray:
+        def grams(t: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
             if t not in known:
                 if len(known) >= 64:
                     known.clear()
-                known[t] = kmers(*word_hashes([text]))[0]
+                found, counts = kmers(*word_hashes([text]))
+                known[t] = found, occurrences(found, counts)
             return known[t]
 
         for batch in batches:
-            x, y, tx, ty, one, two = (c.to_pylist() for c in batch.columns)
-            good = [similar(grams(a, s), grams(b, t), least) for a, b, s, t in zip(tx, ty, one, two, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good, pa.bool_()))
+            rows: list[tuple] = []
+            for x, y, tx, ty, hub, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (a, named_a), (b, named_b) = grams(tx, one), grams(ty, two)
+                base, other = (named_a, named_b) if hub == x else (named_b, named_a)
+                lacks, adds = np.setdiff1d(base, other), np.setdiff1d(other, base)
+                few = len(lacks) + len(adds) <= len(base) // 2
+                rows.append((x, y, similar(a, b, least), hub, y if hub == x else x, len(base),
+                             lacks.view(np.int64) if few else None, adds.view(np.int64) if few else None))
+            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["x", "y", "linked", "hub", "member", "of", "lacks", "adds"]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     first = pairs.join(texts.select(F.col("t").alias("tx"), F.col("text").alias("one")), "tx")
     both = first.join(texts.select(F.col("t").alias("ty"), F.col("text").alias("two")), "ty")
-    return both.select("x", "y", "tx", "ty", "one", "two").mapInArrow(align, "x binary, y binary")
+    return both.select("x", "y", "tx", "ty", "hub", "one", "two").mapInArrow(align, TESTED)
+
+
+def differences(tested: DataFrame) -> DataFrame:
+    """(name, ref, of, lacks, adds): each tested text against the hub that most texts were tested against.
+
+    What two texts have in common follows from their differences to one hub, without the texts.
+    """
+    popular = tested.groupBy("hub").agg(F.count(F.lit(1)).alias("tests"), F.first("of").alias("of"))
+    none = F.array().cast("array<long>")
+    rows = (tested.where(F.col("lacks").isNotNull()).select("hub", F.col("member").alias("name"), "lacks", "adds")
+            .join(popular, "hub").select("name", F.struct("tests", F.col("hub").alias("ref"), "of", "lacks", "adds").alias("d"))
+            .unionAll(popular.select(F.col("hub").alias("name"), F.struct(
+                "tests", F.col("hub").alias("ref"), "of", none.alias("lacks"), none.alias("adds")).alias("d"))))
+    return rows.groupBy("name").agg(F.max("d").alias("d")).select("name", "d.ref", "d.of", "d.lacks", "d.adds")
 
 
 def connected(links: DataFrame, parts: int) -> DataFrame:
@@ -274,30 +306,39 @@ def classes(docs: DataFrame, id_col: str, text_col: str = "text", least: float =
     members = cut(members.join(crowded, "bucket").withColumn("turn", F.xxhash64("name")))
     parts = max(8, members.count() // 100_000)  # rows a file of what is kept between rounds
     labels = cut(members.select("name").distinct().select("name", F.col("name").alias("class")), parts)
-    tested = None
+    tested = refs = None
     low, high = 0, 1
     while True:
         now = members.where(F.col("size") - 1 > low).join(labels, "name")
         if tested is not None:  # in the first round every member is a class of its own
             mixed = now.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
             now = now.join(mixed.select("bucket"), "bucket", "left_semi")
+        if refs is None:
+            unknown = {"ref": "binary", "of": "int", "lacks": "array<long>", "adds": "array<long>"}
+            now = now.select("*", *[F.lit(None).cast(k).alias(c) for c, k in unknown.items()])
+        else:
+            now = now.join(refs, "name", "left")
         now = cut(now, parts)
         if not now.limit(1).count():
             break
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("c"), "turn", "name"))
         hubs = now.withColumn("rank", turn).where(F.col("rank") <= high).where(F.col("rank") > low)
-        hubs = hubs.select("bucket", F.col("name").alias("hub"), F.col("t").alias("hub_t"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"), F.col("class").alias("hub_class"))
-        need = F.lit(least / (1 + least)) * (F.col("n") + F.col("hub_n"))  # k-mers in common
-        near = F.least("n", "hub_n", "c", "hub_c") >= need - 1e-9
-        swap = F.col("hub") < F.col("name")
-        pairs = (now.join(hubs, "bucket").where((F.col("class") != F.col("hub_class")) & near)
-                 .select(F.when(swap, F.col("hub")).otherwise(F.col("name")).alias("x"), F.when(swap, F.col("name")).otherwise(F.col("hub")).alias("y"),
-                         F.when(swap, F.col("hub_t")).otherwise(F.col("t")).alias("tx"), F.when(swap, F.col("t")).otherwise(F.col("hub_t")).alias("ty"))
-                 .groupBy("x", "y").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty")))
+        hubs = hubs.select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("name", "t", "n", "c", "class", "ref", "lacks", "adds")])
+        need = F.lit(least / (1 + least)) * (F.col("n") + F.col("hub_n")) - 1e-9  # k-mers in common
+        common = (F.col("of") - F.size(F.array_union("lacks", "hub_lacks")) + F.size(F.array_intersect("adds", "hub_adds")))
+        may = (F.least("n", "hub_n", "c", "hub_c") >= need) & F.when(F.col("ref") == F.col("hub_ref"), common >= need).otherwise(True)
+        swap = F.col("hub_name") < F.col("name")
+        ends = {"x": ("hub_name", "name"), "y": ("name", "hub_name"), "tx": ("hub_t", "t"), "ty": ("t", "hub_t")}
+        pairs = (now.join(hubs, "bucket").where((F.col("class") != F.col("hub_class")) & may)
+                 .select(*[F.when(swap, F.col(a)).otherwise(F.col(b)).alias(c) for c, (a, b) in ends.items()], F.col("hub_name").alias("hub"))
+                 .groupBy("x", "y").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.min("hub").alias("hub")))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs, parts)
-        links = cut(verified(pairs, texts, least), 4 * parts)
+        results = cut(verified(pairs, texts, least), 4 * parts)
+        links = results.where("linked").select("x", "y")
+        if refs is None:
+            refs = cut(differences(results), parts)
         tested = pairs.select("x", "y") if tested is None else tested.unionAll(pairs.select("x", "y"))
         named = labels.select(F.col("name").alias("x"), F.col("class").alias("cx"))
         ends = (links.join(named, "x").join(named.select(F.col("x").alias("y"), F.col("cx").alias("cy")), "y")
