@@ -9,6 +9,11 @@ Every row is indexed. Buckets are dealt by a hash of the id into chunks, so that
 still comes in pieces of about ``CHUNK_ROWS``; the queries of a bucket are dealt likewise. A chunk and a query
 pack meet in one task, which returns the k nearest; pairs are never rows.
 
+Buckets may hold fewer than k candidates for a query: in small tables, or far from a narrow cluster. Queries left with
+fewer than min(k, candidates) neighbours are searched exactly: they meet every row, in blocks dealt like the chunks. Their
+cost is their number times the table's rows; the others never take part in it. So every query has min(k, candidates)
+neighbours; what the hashing may still miss is a nearer one, not a place in the list.
+
 Cases: null vectors, zero vectors and those with null or non-finite components take no part; shorter vectors count
 as zero-padded; a row with the query's id is never its candidate; a query id that occurs more than once is
 answered once, for its smallest vector; equal distances go to the smaller id; an empty table gives
@@ -79,6 +84,10 @@ def _hashed(rows: DataFrame, dims: int, tables: int, probes: int, seed: int, of_
     return rows.select("id", "vector").mapInArrow(axes, f"id long, vector {kind}, t int, axis int")
 
 
+def _every(chunks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int = 6, probes: int = 16, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) over ``vectors`` (id long, vector: usable and not zero)."""
     kind = "<f4" if dict(vectors.dtypes)["vector"] == "array<float>" else "<f8"
@@ -87,12 +96,12 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
     chunks = max(1, -(-rows.count() // CHUNK_ROWS))
     asking = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     parts = max(1, -(-rows.where("asks").count() // QUERY_ROWS))
-    index = _hashed(rows, dims, tables, 1, seed, False).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks))
+    index = _hashed(rows, dims, tables, 1, seed, False).withColumn("chunk", chunk)
     buckets = pack(index, ["t", "axis", "chunk"], kind)
     looks = _hashed(asking, dims, tables, probes, seed, True).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     asked = pack(looks, ["t", "axis", "part"], kind).select(
-        "t", "axis", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+        "t", "axis", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), _every(chunks))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +122,22 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
                                                  ["query_id", "vec_id", "score"])
 
-    met = buckets.join(asked, ["t", "axis", "chunk"]).select("ids", "data", "q_ids", "q_data")
-    found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
-    # a candidate met in several tables has one distance; repeated rows of one id count once
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return best(found, k, [F.col("score"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score")
+    def nearest(blocks: DataFrame, packs: DataFrame, on: list[str]) -> DataFrame:
+        met = blocks.join(packs, on).select("ids", "data", "q_ids", "q_data")
+        found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
+        # a candidate met in several tables has one distance; repeated rows of one id count once
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return best(found, k, [F.col("score"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score")
+
+    found = cut(nearest(buckets, asked, ["t", "axis", "chunk"]))
+    candidates = rows.select("id").distinct().limit(k + 1).count() - 1  # as far as k; a query's own id is none
+    have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    short = asking.join(have, F.col("id") == F.col("query_id"), "left").where(F.coalesce("have", F.lit(0)) < min(k, candidates))
+    short = cut(short.select("id", "vector"))
+    parts = -(-short.count() // QUERY_ROWS)
+    if not parts:
+        return found
+    packs = pack(short.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), ["part"], kind)
+    packs = packs.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), _every(chunks))
+    exact = nearest(pack(rows.withColumn("chunk", chunk), ["chunk"], kind), packs, ["chunk"])
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionAll(exact)

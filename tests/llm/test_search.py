@@ -98,3 +98,30 @@ def test_empty_and_few(llm):
     assert ann.search(none, F.col("id") % 50 == 0, 5, 12).count() == 0
     two = usable(llm, rows()[:2])
     assert topk.top_k(two, F.col("id") % 50 == 0, 5, 12).count() == 1
+
+
+def nearest(x, q, k=10):
+    """Places of the k nearest other rows of x, by distance and place."""
+    far = np.sqrt(((x - x[q]) ** 2).sum(1))
+    return [i for i in np.lexsort((np.arange(len(x)), far)) if i != q][:k]
+
+
+@pytest.mark.parametrize("n", [2, 9, 12])
+def test_small_tables_lose_no_neighbour(llm, n):
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    data = [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]
+    found = ann.search(usable(llm, data), F.col("id") % 100 < n, 10, 64, tables=8, probes=20).collect()
+    got = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(n)}
+    assert [len(got[q]) for q in range(n)] == [min(10, n - 1)] * n
+    if n <= 11:  # all candidates
+        assert got == {q: nearest(x.astype(float), q) for q in range(n)}
+
+
+def test_query_far_from_a_cluster(llm, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 700)  # several blocks
+    r = np.random.default_rng(2)
+    axis = r.normal(size=64)
+    x = np.concatenate([[-axis], axis + 0.001 * r.normal(size=(3000, 64))]).astype(np.float32)
+    data = [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]
+    found = ann.search(usable(llm, data), F.col("id") == 0, 10, 64, tables=8, probes=20).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == nearest(x.astype(float), 0)
