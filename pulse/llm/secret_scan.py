@@ -1,16 +1,20 @@
 """Secret scanning: patterns, and character Markov models of random strings against ordinary identifiers.
 
 The base finds assignments, access keys and hexadecimal runs. What it finds is the labelled sample of random
-strings; runs of letters that are written like words are the labelled sample of ordinary identifiers. Both train
-character Markov models (``charlm``) over all documents. Every other run of key characters that
-overlaps no base match is compared by log-likelihood ratio and added if the ratio outweighs a prior of one
-secret in ``PRIOR`` such runs.
+strings; runs of letters that are written like words, and overlap no base match, are the labelled sample of ordinary
+identifiers. Both train character Markov models (``charlm``) over all documents. Every run of key characters that
+overlaps no base match, also one written like words, is compared by log-likelihood ratio and added if the ratio
+outweighs a prior of one secret in ``PRIOR`` such runs.
+
+No string trains its own verdict: labelled strings are dealt into two folds by a hash, and one that is also to be judged
+is judged by the models of the other fold; all others by the models of both.
 
 Positions come from splitting at the matches: a match starts where the pieces and matches before it end. All in
 code points.
 
 Cases: null text is empty; a document without matches has zero counts and an empty list; equal texts get equal
-spans (texts are named by 128 hash bits); without labelled strings of both kinds nothing is added.
+spans (texts are named by 128 hash bits); without labelled strings of both kinds nothing is added,
+nor is a labelled string if the other fold lacks one kind.
 """
 
 from __future__ import annotations
@@ -30,8 +34,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
 WORDLIKE = r"^([A-Z]?[a-z]+|[A-Z]+)([+/_=-]+([A-Z]?[a-z]+|[A-Z]+))*$"
+#: Tasks that share the spans of one common run.
+SALTS = 32
+#: The fold of runs that are no labelled string.
+UNLABELLED = -1
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -53,32 +61,42 @@ def matches(text: Column, pattern: str, kind: int, value_group: int = 0, least:
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
 
 
+def _outweighing(strings: DataFrame, counts: DataFrame, fold: int, order: int, prior: float) -> DataFrame:
+    """(text): the runs of ``fold`` whose ratio outweighs the prior, by the labelled strings of the other folds."""
+    others = [F.sum(F.when(F.col("fold") != fold, F.col(c)).otherwise(0)).alias(c) for c in ("n0", "n1")]
+    ratios = charlm.log_ratios(counts.groupBy("win").agg(*others), order)
+    trained = F.broadcast(counts.agg(*others).select(((F.col("n0") > 0) & (F.col("n1") > 0)).alias("trained")))  # one row
+    asked = strings.where((F.col("fold") == fold) & (F.col("runs") > 0))
+    return (charlm.scores(asked, ["text"], ratios, order).crossJoin(trained)
+            .where(F.col("trained") & (F.col("total") > charlm.odds(prior))).select("text"))
+
+
 def scan(docs: DataFrame, text_col: str = "text", order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """``row`` (the other columns), ``base`` and ``spans``: arrays of (start, kind, end, value) by start, then kind."""
     rows = docs.select(payload(docs, text_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     base = F.array_sort(F.concat(matches(F.col("text"), ASSIGN, 0, 2, ASSIGN_LEAST), matches(F.col("text"), ACCESS, 1),
                                  matches(F.col("text"), HEX, 2)))
-    runs = F.regexp_extract_all("text", F.lit(RUN), F.lit(0))
-    rows = rows.select("row", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"),
-                       base.alias("base"), runs.alias("runs"))
-    odd = F.exists("runs", lambda r: ~F.rlike(r, F.lit(WORDLIKE)))
-    at = F.when(odd, matches(F.col("text"), RUN, 3)).otherwise(F.array().cast(SPAN))
-    apart = F.filter(at, lambda c: ~F.rlike(c["value"], F.lit(WORDLIKE)) & ~F.exists(
+    rows = rows.select("row", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), base.alias("base"))
+    apart = F.filter(matches(F.col("text"), RUN, 3), lambda c: ~F.exists(
         "base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    words = F.filter("runs", lambda r: F.rlike(r, F.lit(WORDLIKE)))
-    found = cut(rows.select("row", "d1", "d2", "base", apart.alias("apart"), words.alias("words")))
-
-    labelled = (found.select(F.explode(F.col("base.value")).alias("text"), F.lit(1).alias("cls"))
-                .unionAll(found.select(F.explode("words").alias("text"), F.lit(0).alias("cls")))
-                .groupBy("text", "cls").agg(F.count(F.lit(1)).alias("times")))
-    asked = found.select(F.explode(F.col("apart.value")).alias("text")).distinct()
-    strings = labelled.unionAll(asked.select("text", F.lit(None).cast("int").alias("cls"), F.lit(0).cast("long").alias("times")))
-    counts = cut(charlm.window_counts(strings, order))
-    ratios = charlm.log_ratios(counts, order)
-    both = F.broadcast(counts.agg(((F.sum("n0") > 0) & (F.sum("n1") > 0)).alias("trained")))  # one row
-    secret = (charlm.scores(asked, ["text"], ratios, order).crossJoin(both)
-              .where(F.col("trained") & (F.col("total") > charlm.odds(prior))).select("text"))
-    added = (found.select("d1", "d2", F.explode("apart").alias("span")).join(secret, F.col("span.value") == F.col("text"))
+    found = cut(rows.select("row", "d1", "d2", "base", apart.alias("apart")))
+
+    strings = (found.select(F.explode(F.col("base.value")).alias("text"), F.lit(1).alias("n1"), F.lit(0).alias("runs"))
+               .unionAll(found.select(F.explode("apart.value").alias("text"), F.lit(0).alias("n1"), F.lit(1).alias("runs")))
+               .groupBy("text").agg(F.sum("n1").alias("n1"), F.sum("runs").alias("runs")))
+    strings = strings.withColumn("n0", F.when(F.rlike("text", F.lit(WORDLIKE)), F.col("runs")).otherwise(0))
+    fold = F.when(F.col("n0") + F.col("n1") > 0, F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).otherwise(UNLABELLED)
+    strings = cut(strings.withColumn("fold", fold))
+    windows = strings.select("fold", "n0", "n1", F.explode(charlm.window_array(F.col("text"), order)).alias("win"))
+    counts = cut(windows.groupBy("fold", "win").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    secret = _outweighing(strings, counts, UNLABELLED, order, prior)
+    for own in (0, 1):
+        secret = secret.unionAll(_outweighing(strings, counts, own, order, prior))
+    # a word may be a run of very many documents: its spans meet the secrets in several tasks
+    salted = secret.select("text", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spans = found.select("d1", "d2", F.explode("apart").alias("span")).withColumn("text", F.col("span.value"))
+    spans = spans.withColumn("salt", F.pmod("d1", F.lit(SALTS)).cast("int"))
+    added = (spans.join(salted, ["text", "salt"])
              .groupBy("d1", "d2").agg(F.collect_set("span").alias("added")))  # equal texts have equal spans
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
     return found.join(added, ["d1", "d2"], "left").select("row", "base", every.alias("spans"))

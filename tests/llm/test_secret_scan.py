@@ -56,6 +56,22 @@ def test_random_strings_are_added_and_words_are_not(llm):
     assert got[1001]["spans"] == []
 
 
+def test_random_strings_of_one_case_and_of_twelve_characters_are_added(llm):
+    import random
+
+    r = random.Random(9)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    word = lambda: "".join(r.choice(["ation", "ing", "ment", "re", "able", "con"]) for _ in range(5))
+    rows = [(i, f"{KEY}={some(mixed, 24)} {word()} {word().upper()} see {word().capitalize()}") for i in range(300)]
+    planted = [some(lower, 16), some(lower, 20), some(lower.upper(), 20), some(mixed, 12), some(mixed, 14)]
+    assert all(len(p) < 16 or re.match(secret_scan.WORDLIKE, p) for p in planted)
+    rows += [(1000 + i, f"use {p} now") for i, p in enumerate(planted)]
+    got = {x["row"]["doc_id"]: x for x in secret_scan.scan(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[(s["start"], s["kind"], s["value"]) for s in got[1000 + i]["spans"]] for i in range(5)] == [[(4, 3, p)] for p in planted]
+    assert all(s["kind"] == 0 for i in range(300) for s in got[i]["spans"])  # no word
+
+
 def test_empty_table(llm):
     assert secret_scan.scan(data.empty(llm)).count() == 0
     assert secret_scan.scan(data.empty(llm).select("text", F.lit(1).alias("base"))).count() == 0
