@@ -4,7 +4,8 @@
 as Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
 
 * language_id: a model learned from the labelled documents predicts every text; documents without letters (und)
-  and those in which no language reaches ``LEAST_SCORE`` of the words' probability go. Every learned language stays.
+  and those whose words are labelled with a mean certainty below ``LEAST_SCORE`` go. Every learned language stays, also
+  several in one text. Without a model (no labelled document, or all of them held out) nothing is judged and all stay.
 * line_dedup: lines whose key occurs in 10 documents or more lose all their copies; n_chars follows.
 * near_dedup: one document of each class of near-duplicates stays, the one with the smallest id.
 * mixing: sources by weights 5, 2, 1; documents are taken once, twice or not at all, a row for each time.
@@ -32,8 +33,11 @@ def _documents(df: DataFrame, text_changed: bool = False) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    done = langid.predict(docs.select(*COLUMNS), lang_model(docs))
-    return _documents(done.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    model = lang_model(docs)
+    if model is None:
+        return docs.select(*COLUMNS)
+    done = langid.predict(docs.select(*COLUMNS), model)
+    return _documents(done.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_SCORE)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

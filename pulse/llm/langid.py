@@ -3,7 +3,9 @@
 A word's features are its affixes (1 to 3 first and last characters), its character 2- and 3-grams, and the word
 itself as lexicon entry, hashed into ``CELLS``; every language has a weight per cell, and every ordered pair of
 languages a transition weight. Forward-backward gives each word's marginal distribution over languages, in the
-context of the whole text; a document's language is the one with the largest mean marginal, its score that mean.
+context of the whole text; a document's language is the one with the largest mean marginal, its score that mean. So the
+score is the language's share of the text. How sure the words' labels are is the certainty: the mean of each word's
+largest marginal, whichever language that is.
 
 Training documents are a bounded sample: for each language the ``DOCS_PER_LANG`` labelled ones with the smallest
 seeded hash. From each a window of at most ``WORDS_PER_DOC`` words at a hashed place is taken; words bear their
@@ -11,7 +13,7 @@ document's language, and windows of different languages are joined end to end so
 switches. Weights maximise the conditional likelihood by AdaGrad over mini-batches. Prediction reads whole texts.
 
 Words are maximal runs of letters (``str.isalpha``), lower-cased. Cases: null texts and texts without letters are
-``und`` with score 0; without labelled documents everything is ``und``; identical rows are predicted alike;
+``und`` with score and certainty 0; without labelled documents everything is ``und``; identical rows are predicted alike;
 ties go to the smaller language name; an empty table gives an empty result.
 """
 
@@ -255,31 +257,34 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``row`` (the other columns), ``text`` (if it is to be kept), ``lang_pred`` and ``score`` of every whole text."""
+    """``row`` (the other columns), ``text`` (if it is to be kept), ``lang_pred``, ``score`` and ``certainty`` of every whole text."""
     rows = docs.select(payload(docs, text_col), F.col(f"`{text_col}`").alias("text"))
     if model is None:
-        out = rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        out = rows.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0)).withColumn("certainty", F.lit(0.0))
         return out if keep_text else out.drop("text")
     sent = rows.sparkSession.sparkContext.broadcast(model)  # CELLS x languages weights
     fields = [T.StructField("row", rows.schema["row"].dataType)] + [T.StructField("text", T.StringType())] * keep_text
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("certainty", T.DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf: Model = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            langs, scores = [], []
+            langs, scores, sure = [], [], []
             for part in _portions(texts):
                 words = features(part)
                 p = marginals(crf.emissions(words), crf.moves, words.text_at)
                 sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+                tops = np.concatenate([[0.0], np.cumsum(p.max(axis=1))])
                 n = np.diff(words.text_at)
                 mean = (sums[words.text_at[1:]] - sums[words.text_at[:-1]]) / np.maximum(n, 1)[:, None]
                 best = mean.argmax(axis=1)
                 langs += [crf.langs[b] if c else "und" for b, c in zip(best, n, strict=True)]
                 scores += np.clip(np.where(n > 0, mean.max(axis=1), 0.0), 0, 1).tolist()
+                sure += np.clip((tops[words.text_at[1:]] - tops[words.text_at[:-1]]) / np.maximum(n, 1), 0, 1).tolist()
             columns = [batch.column(0)] + [batch.column(1)] * keep_text
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())],
                                              [f.name for f in schema.fields])
 
     return rows.mapInArrow(label, schema)
