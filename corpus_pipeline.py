@@ -6,7 +6,8 @@ as Parquet and read again as the next one's docs. All but the last return the co
 * language_id: a model learned from the labelled documents predicts every text; documents without letters (und)
   and those whose words are labelled with a mean certainty below ``LEAST_SCORE`` go. Every learned language stays, also
   several in one text. Without a model (no labelled document, or all of them held out) nothing is judged and all stay.
-* line_dedup: lines whose key occurs in 10 documents or more lose all their copies; n_chars follows.
+* line_dedup: lines whose key occurs in 10 documents or more lose all their copies; n_chars follows. A text
+  with 10 or more exact copies so loses every line in each of them.
 * near_dedup: one document of each class of near-duplicates stays, the one with the smallest id.
 * mixing: sources by weights 5, 2, 1; documents are taken once, twice or not at all, a row for each time.
 * tokens: the ids of every whole text.
