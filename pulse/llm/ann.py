@@ -5,7 +5,7 @@ assigns them to the nearest of the 2d signed axes. Vectors lie in one bucket of
 each table, into the buckets of its ``probes`` nearest axes (multiprobe). Candidates are reranked by exact
 Euclidean distance on the original vectors.
 
-Every row is indexed. Buckets are dealt by a hash of the id into chunks, so that a bucket which holds all rows
+Every row is indexed. Buckets are dealt by a hash of id, vector and row number into chunks, so that a bucket which holds all rows
 still comes in pieces of about ``CHUNK_ROWS``; the queries of a bucket are dealt likewise. A chunk and a query
 pack meet in one task, which returns the k nearest; pairs are never rows.
 
@@ -14,7 +14,7 @@ fewer than min(k, candidates) neighbours are searched exactly: they meet every r
 cost is their number times the table's rows; the others never take part in it. So every query has min(k, candidates)
 neighbours; what the hashing may still miss is a nearer one, not a place in the list.
 
-Cases: null vectors, zero vectors and those with null or non-finite components take no part; shorter vectors count
+Cases: null ids, null vectors, zero vectors and those with null or non-finite components take no part; shorter vectors count
 as zero-padded; a row with the query's id is never its candidate; a query id that occurs more than once is
 answered once, for its smallest vector; equal distances go to the smaller id; an empty table gives
 an empty result.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm.common import cut
-from pulse.llm.vectors import best, pack, padded, unpack
+from pulse.llm.vectors import best, dealt_to, named, pack, padded, unpack
 
 ROUNDS = 3
 CHUNK_ROWS = 1 << 16
@@ -64,7 +64,7 @@ def nearest_axes(unit: np.ndarray, table: int, probes: int, seed: int) -> np.nda
 
 
 def _hashed(rows: DataFrame, dims: int, tables: int, probes: int, seed: int, of_queries: bool) -> DataFrame:
-    """(id, vector, t, axis): a row for each table, or for each table and probe of a query."""
+    """(id, vector, chunk, t, axis): a row for each table, or for each table and probe of a query (whose chunk says nothing)."""
 
     def axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +77,11 @@ def _hashed(rows: DataFrame, dims: int, tables: int, probes: int, seed: int, of_
                 at = np.repeat(np.arange(batch.num_rows), near.shape[1])
                 some = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(np.full(len(at), t, np.int32)),
-                     pa.array(near.ravel().astype(np.int32))], ["id", "vector", "t", "axis"])
+                    [some.column(0), some.column(1), some.column(2), pa.array(np.full(len(at), t, np.int32)),
+                     pa.array(near.ravel().astype(np.int32))], ["id", "vector", "chunk", "t", "axis"])
 
     kind = dict(rows.dtypes)["vector"]
-    return rows.select("id", "vector").mapInArrow(axes, f"id long, vector {kind}, t int, axis int")
+    return rows.select("id", "vector", "chunk").mapInArrow(axes, f"id long, vector {kind}, chunk long, t int, axis int")
 
 
 def _every(chunks: int) -> Column:
@@ -92,14 +92,15 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
     """(query_id, rank, vec_id, score) over ``vectors`` (id long, vector: usable and not zero)."""
     kind = "<f4" if dict(vectors.dtypes)["vector"] == "array<float>" else "<f8"
     element = "array<float>" if kind == "<f4" else "array<double>"
-    rows = cut(vectors.select("id", padded(F.col("vector"), dims).cast(element).alias("vector"), is_query.alias("asks")))
+    rows = cut(named(vectors).select("id", padded(F.col("vector"), dims).cast(element).alias("vector"), is_query.alias("asks"),
+                                     F.monotonically_increasing_id().alias("salt")))
     chunks = max(1, -(-rows.count() // CHUNK_ROWS))
     asking = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     parts = max(1, -(-rows.where("asks").count() // QUERY_ROWS))
-    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks))
-    index = _hashed(rows, dims, tables, 1, seed, False).withColumn("chunk", chunk)
+    dealt = rows.withColumn("chunk", dealt_to(chunks))
+    index = _hashed(dealt, dims, tables, 1, seed, False)
     buckets = pack(index, ["t", "axis", "chunk"], kind)
-    looks = _hashed(asking, dims, tables, probes, seed, True).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    looks = _hashed(asking.withColumn("chunk", F.lit(0).cast("long")), dims, tables, probes, seed, True).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     asked = pack(looks, ["t", "axis", "part"], kind).select(
         "t", "axis", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), _every(chunks))
 
@@ -139,5 +140,5 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
         return found
     packs = pack(short.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), ["part"], kind)
     packs = packs.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), _every(chunks))
-    exact = nearest(pack(rows.withColumn("chunk", chunk), ["chunk"], kind), packs, ["chunk"])
+    exact = nearest(pack(dealt, ["chunk"], kind), packs, ["chunk"])
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionAll(exact)

@@ -1,6 +1,6 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
-Candidates are dealt into blocks of about ``BLOCK_ROWS``; a block keeps, for each component, the list of its values
+Candidates are dealt by a hash of id, vector and row number into blocks of about ``BLOCK_ROWS``; a block keeps, for each component, the list of its values
 in descending order. A block and a block of queries meet in one task, which reads the lists from the end that
 suits the sign of the query's component, all lists to the same depth. What has been read is known; for the
 rest the value at the reading depth bounds a candidate's score from above and the list's far end from below.
@@ -10,7 +10,7 @@ lists end is exact by then. Blocks return their k best, from which the best of a
 
 Scores are sums of integers in double precision: exact below 2**53 in size.
 
-Cases: null vectors and those with null or non-finite components take no part; shorter vectors count as
+Cases: null ids, null vectors and those with null or non-finite components take no part; shorter vectors count as
 zero-padded; a row with the query's id is never its candidate; a query id that occurs
 more than once is answered once, for its smallest vector; repeated candidate rows are candidates of their
 own; ties go to the smaller id; an empty table gives an empty result.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm.common import cut
-from pulse.llm.vectors import best, pack, padded, unpack
+from pulse.llm.vectors import best, dealt_to, named, pack, padded, unpack
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
@@ -93,11 +93,12 @@ def nra(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.
 def top_k(vectors: DataFrame, is_query: Column, k: int, dims: int, block_rows: int = BLOCK_ROWS,
           resolve: int = RESOLVE) -> DataFrame:
     """(query_id, rank, vec_id, score) over ``vectors`` (id long, vector: usable array<double> of whole numbers)."""
-    rows = cut(vectors.select("id", padded(F.col("vector"), dims).cast("array<double>").alias("vector"), is_query.alias("asks")))
+    rows = cut(named(vectors).select("id", padded(F.col("vector"), dims).cast("array<double>").alias("vector"), is_query.alias("asks"),
+                                     F.monotonically_increasing_id().alias("salt")))
     blocks = max(1, -(-rows.count() // block_rows))
     asking = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     groups = max(1, -(-rows.where("asks").count() // QUERY_ROWS))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = rows.withColumn("block", dealt_to(blocks))
     packed = pack(dealt, ["block"], "<f8")
     asked = pack(asking.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups))), ["part"], "<f8")
     asked = asked.select("part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),

@@ -21,6 +21,16 @@ def padded(vector: Column, dims: int) -> Column:
     return F.concat(vector, F.array_repeat(F.lit(0).cast("float"), F.greatest(F.lit(dims) - F.size(vector), F.lit(0))))
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """The rows with an id: a vector without one can be neither asked for nor named as a neighbour."""
+    return rows.where(F.col("id").isNotNull())
+
+
+def dealt_to(blocks: int) -> Column:
+    """The block of a row (id, vector, salt): rows of one id, or repeated ones, go to different blocks."""
+    return F.pmod(F.xxhash64("id", "vector", "salt"), F.lit(blocks).cast("long"))
+
+
 def pack(df: DataFrame, by: list[str], kind: str) -> DataFrame:
     """``by`` columns, ``ids`` and ``data``: each group's ids and vectors (columns id, vector), ascending by id.
 

@@ -125,3 +125,30 @@ def test_query_far_from_a_cluster(llm, monkeypatch):
     data = [(i, v.tolist(), 0, "", "") for i, v in enumerate(x)]
     found = ann.search(usable(llm, data), F.col("id") == 0, 10, 64, tables=8, probes=20).collect()
     assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == nearest(x.astype(float), 0)
+
+
+def test_null_ids_take_no_part_and_a_hot_id_is_dealt_out(llm, monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.integers(-50, 50, size=(600, 12)).astype(np.float32)
+    ids = [None] * 100 + [7] * 300 + list(range(100, 300))  # one id holds half of the rows
+    df = usable(llm, [(i, v.tolist(), 0, "", "") for i, v in zip(ids, x, strict=True)])
+    sizes, packed = [], vectors.pack
+
+    def counted(rows, by, kind):
+        if by in (["block"], ["chunk"]):
+            sizes.extend(n for _, n in rows.groupBy(*by).count().collect())
+        return packed(rows, by, kind)
+
+    monkeypatch.setattr(topk, "pack", counted)
+    got = topk.top_k(df, F.col("id") % 50 == 0, 5, 12, 64).collect()
+    assert max(sizes) <= 130 and sum(sizes) == 500
+    assert {q["query_id"] for q in got} == {100, 150, 200, 250}
+    assert all(q["vec_id"] == 7 or 100 <= q["vec_id"] < 300 for q in got)
+    monkeypatch.setattr(ann, "pack", counted)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 64)
+    sizes.clear()
+    # far more neighbours than buckets hold: every row is packed for the exact search
+    found = ann.search(df, F.col("id") % 50 == 0, 400, 12, tables=1, probes=1).collect()
+    assert max(sizes) <= 130 and sum(sizes) == 500
+    assert {q["query_id"] for q in found} == {100, 150, 200, 250} and len(found) == 4 * 200
+    assert all(q["vec_id"] == 7 or 100 <= q["vec_id"] < 300 for q in found)
