@@ -7,8 +7,8 @@ context of the whole text; a document's language is the one with the largest mea
 score is the language's share of the text. How sure the words' labels are is the certainty: the mean of each word's
 largest marginal, whichever language that is.
 
-Training documents are a bounded sample: for each language the ``DOCS_PER_LANG`` labelled ones with the smallest
-seeded hash. From each a window of at most ``WORDS_PER_DOC`` words at a hashed place is taken; words bear their
+Training documents are a bounded sample: for each language the ``DOCS_PER_LANG`` different labelled ones (key
+and text) with the smallest seeded hash. From each a window of at most ``WORDS_PER_DOC`` words at a hashed place is taken; words bear their
 document's language, and windows of different languages are joined end to end so that the model sees
 switches. Weights maximise the conditional likelihood by AdaGrad over mini-batches. Prediction reads whole texts.
 
@@ -241,16 +241,18 @@ def _window(text: str, at: int, words: int) -> str:
 
 def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, seed: int = 11) -> Model | None:
     """A model of ``labelled`` (key, text, lang); at most ``docs_per_lang`` windows of a language reach the driver."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", unit_hash(F.col("key"), seed=seed))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
-    chosen = rows.select("lang", "h", "key").withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "h", "key").distinct()
+    one = ["lang", "h", "key", "hash"]  # a document; repeated rows of it count once
+    rows = (labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+            .withColumn("h", unit_hash(F.col("key"), seed=seed)).withColumn("hash", F.xxhash64("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "hash"))
+    chosen = rows.select(*one).distinct().withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select(*one)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_window(t, h, words_per_doc) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(1), batch.column(2)], ["text", "lang", "h"])
 
-    sample = rows.join(F.broadcast(chosen), ["lang", "h", "key"], "left_semi").select("text", "lang", "h")
+    sample = rows.join(F.broadcast(chosen), one, "left_semi").dropDuplicates(one).select("text", "lang", "h")
     got = sample.mapInArrow(windows, "text string, lang string, h long").collect()
     got = sorted((r["h"], r["text"], r["lang"]) for r in got)
     return fit([(text, lang) for _, text, lang in got]) if got else None

@@ -57,3 +57,12 @@ def test_cases(llm):
     assert langid.train(data.empty(llm).select(F.col("doc_id").alias("key"), "text", "lang")) is None
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.predict(data.empty(llm), model).count() == 0
+
+
+def test_repeated_rows_are_one_training_document(llm, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "fit", taken.extend)
+    rows = [(i, f"text number {'x' * i} of {lang}", lang) for i in range(8) for lang in ("en", "de")] * 40
+    langid.train(llm.createDataFrame(rows, "key long, text string, lang string").repartition(3), docs_per_lang=5)
+    assert len(taken) == len(set(taken)) == 10
+    assert sorted(lang for _, lang in taken) == ["de"] * 5 + ["en"] * 5
