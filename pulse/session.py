@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,10 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_test_checkpoint_dir(spark: SparkSession) -> str:
-    """For local tests only: set a scratch checkpoint folder when none is set."""
+    """For local sessions only: set a scratch checkpoint folder when none is set.
+
+    On a cluster a temporary folder is another one on every machine: there the folder must be named.
+    """
     d = checkpoint_dir(spark)
     if d:
         return d
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
     d = tempfile.mkdtemp(prefix="pulse-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -86,6 +93,19 @@ def materialize(df):
     return out
 
 
+def written(df, parts: int | None = None):
+    """``df`` written once as Parquet below the checkpoint folder and read back.
+
+    What is read back no longer depends on how the rows were dealt when they were computed, so row numbers and
+    partition numbers in it hold for good. ``parts``: files at most, for tables known to be small.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark) or ensure_test_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/pulse-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class materialized:
     """``with materialized(df) as m:`` -- ``m`` is checkpointed or persisted for the passes
     inside the block; a persisted copy is released on exit (results built from it
