@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import ann, bpe, langid, lines, mixing, near_dup, secret_scan, sharding, topk, urls, vectors
+from pulse.llm import ann, bpe, langid, lines, mixing, near_dup, prefix_trie, secret_scan, sharding, topk, urls, vectors
 from pulse.llm.common import cut, table
 
 #: Where the public tokenizers' files lie; the same path on every machine.
@@ -116,9 +116,18 @@ def op10_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, F.col("id") % 100 == 0, k=10, dims=dims, tables=8, probes=20)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    taken = F.crc32(F.col("conv").cast("string")) % 4
+    nodes, ends = prefix_trie.trie(*prefix_trie.with_shared_heads(turns, 20, 3, taken))
+    found = nodes.join(prefix_trie.listed_sha(ends.select("owner", "depth", "conv"), ["owner", "depth"], "conv"), ["owner", "depth"], "left")
+    return found.select(F.col("owner").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children",
+                        "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha", _sha(F.lit(""))).alias("ends_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op3_url_lm_ratio, op4_line_mph, op5_topk_nra,
                                op6_secret_markov, op7_kd_shards, op8_lang_crf, op9_order_minhash,
-                               op10_ann_cross_polytope)}
+                               op10_ann_cross_polytope, op11_prefix_trie)}
 
 #: DuckDB statements for what SQL can state.
 ORACLES: dict[str, str] = {
@@ -149,5 +158,40 @@ WITH v AS (
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    # crc32 bit by bit over the decimal digits of the id
+    "op11_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, y: list_reduce(list_concat([xor(a, y)], range(8)),
+      lambda v, i: xor(v >> 1, if(v & 1 = 1, 3988292384, 0)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT convs.c, 0 AS part, pos, role, text FROM convs JOIN turns ON turns.c = convs.c - convs.c % 20 AND pos < h
+  UNION ALL SELECT c, 1, pos, role, text FROM turns JOIN convs USING (c) WHERE pos >= h
+), paths AS (
+  SELECT c, coalesce(list({'role': role, 'text': text} ORDER BY part, pos) FILTER (WHERE part IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+), steps AS (
+  SELECT c, path, unnest(range(len(path) + 1)) AS depth FROM paths
+), nodes AS (
+  SELECT path[1:depth] AS prefix, depth, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(path) = depth), '') AS ends
+  FROM steps GROUP BY ALL
+), valued AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.prefix[1:n.depth] = n.prefix) AS n_children,
+         (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.prefix[-1].text, '[^\x20\x09-\x0D]+')) END AS saves
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:p.depth]
+), subtrees AS (
+  SELECT up, prefix[1:up] AS prefix, count_if(n_children = 0) AS n_leaves, sum(saves)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM valued) GROUP BY ALL
+)
+SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN subtrees s ON s.up = v.depth AND s.prefix = v.prefix
 """,
 }
