@@ -10,7 +10,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import ann, bpe, langid, lines, mixing, near_dup, prefix_trie, secret_scan, sharding, topk, urls, vectors
+from pulse.llm import (ann, bpe, langid, lexical, lines, metric_join, mixing, near_dup, prefix_trie, secret_scan,
+                       sharding, topk, urls, vectors)
 from pulse.llm.common import cut, table
 
 #: Where the public tokenizers' files lie; the same path on every machine.
@@ -125,9 +126,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha", _sha(F.lit(""))).alias("ends_sha256"))
 
 
+def op12_lexical_blas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = metric_join.components(rows, least=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_mix_budget, op3_url_lm_ratio, op4_line_mph, op5_topk_nra,
                                op6_secret_markov, op7_kd_shards, op8_lang_crf, op9_order_minhash,
-                               op10_ann_cross_polytope, op11_prefix_trie)}
+                               op10_ann_cross_polytope, op11_prefix_trie, op12_lexical_blas, op13_metric_join)}
 
 #: DuckDB statements for what SQL can state.
 ORACLES: dict[str, str] = {
@@ -193,5 +204,50 @@ WITH turns AS (
 )
 SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(v.ends) AS ends_sha256
 FROM valued v JOIN subtrees s ON s.up = v.depth AND s.prefix = v.prefix
+""",
+    "op12_lexical_blas": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sized AS (
+  SELECT doc, doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0
+), corpus AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS all_terms FROM sized
+), items AS (
+  SELECT item, item_id, unnest(list_distinct(terms)) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM benchmark)
+), held AS (
+  SELECT doc, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc, doc_id, n, unnest(terms) AS term FROM sized) SEMI JOIN items USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, corpus GROUP BY term, n_docs
+), impacts AS (
+  SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // all_terms))) AS value
+  FROM held JOIN weights USING (term), corpus
+), scored AS (
+  SELECT item, item_id, doc, doc_id, sum(value)::BIGINT AS score FROM items JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+""",
+    "op13_metric_join": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), links AS (
+  SELECT a.r AS x, b.r AS y FROM (SELECT * FROM v WHERE ok) a JOIN (SELECT * FROM v WHERE ok) b
+    ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT r, r AS s FROM v UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.s
+), parts AS (
+  SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.s GROUP BY reach.r
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.r) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN parts USING (r)
 """,
 }
