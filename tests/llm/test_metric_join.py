@@ -75,10 +75,10 @@ def test_every_link_is_met_in_one_cell():
     """The copies that the triangle inequality allows hold both ends of every link."""
     x = mj.directions(np.array([v for _, v in table()[:680] if v is not None], float))
     reach = math.sqrt(0.2)
-    pivots = mj.pivots_of(x[:200], reach, 12)
+    pivots = mj.pivots_of(x[::3], reach, 12)
     d = mj.apart(x @ pivots.T)
     home = d.argmin(axis=1)
-    assert len(pivots) > 8
+    assert len(pivots) > 6
     for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True):
         if home[i] < home[j]:
             assert d[j, home[i]] <= d[j, home[j]] + 2 * reach + mj.SLACK
