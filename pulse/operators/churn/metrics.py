@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulse.functions.ranking import numbered
 from pulse.functions.stats import medians
 from pulse.operators.common import attach
 
@@ -187,6 +188,20 @@ def risk_ranking(scored: DataFrame, n: int | None = 20, prob: str = "churn_proba
     return out.limit(n) if n is not None else out
 
 
+def risk_ranking_all(scored: DataFrame, prob: str = "churn_probability", id_col: str = "customer_id") -> DataFrame:
+    """Every customer with ``rank`` (1: the highest probability, ties by id, null probabilities last) and ``percentile``,
+    the percentage of customers ranked below.
+
+    Ranks come from range partitions and a prefix sum of their sizes (``pulse.functions.ranking``): no task sorts more
+    than its range, where a window without partitions would sort all customers in one.
+    """
+    ranked = numbered(scored, [F.col(prob).desc_nulls_last(), F.col(id_col).asc_nulls_first()], out="_place")
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.col("_place") + 1
+    return ranked.transform(attach(n)).select(
+        *scored.columns, rank.alias("rank"), (F.lit(100.0) * (F.col("_n") - rank) / F.col("_n")).alias("percentile"))
+
+
 def alerts_top_n(scored: DataFrame, run_ts, n: int = 500, prob: str = "churn_probability",
                  id_col: str = "customer_id") -> DataFrame:
     """Alert snapshot: the top ``n`` customers by risk with the run timestamp."""

@@ -6,7 +6,8 @@ repeats exactly what training saw:
 1. ``SQLTransformer`` fills NULLs with the training split's exact medians/modes;
 2. ``StringIndexer(handleInvalid='keep')`` + ``OneHotEncoder(dropLast=True)``: the
    dropped slot is the unknown bucket, so an unseen category encodes as all zeros;
-3. ``VectorAssembler`` -> ``RandomForestClassifier`` with "balanced" class weights.
+3. ``VectorAssembler`` -> ``RandomForestClassifier`` with "balanced" class weights. Each row keeps the node it has
+   reached in every tree (``cacheNodeIds``), so a pass does not walk the trees again.
 
 Spark caps tree depth at 30 and bins continuous features (``maxBins``), so trees
 are not bit-identical to another library's; quality is checked with properties.
@@ -31,6 +32,12 @@ from pulse.functions.filters import filter_in
 from pulse.session import checkpoint_dir, materialized
 
 
+#: Memory for the statistics of one group of tree nodes: each group is a pass over the training rows.
+GROUP_MB = 1024
+#: Training rows of a partition.
+TRAIN_ROWS = 250_000
+
+
 @dataclasses.dataclass
 class ChurnModel:
     pipeline: PipelineModel
@@ -51,7 +58,7 @@ def _sql_literal(v) -> str:
 
 def build_pipeline(num_fill: dict, cat_fill: dict, num_cols: list[str], cat_cols: list[str], label_col: str,
                    num_trees: int = 500, max_depth: int = 30, seed: int = 42, use_checkpoints: bool = False,
-                   weight_col: str = "weight") -> Pipeline:
+                   weight_col: str = "weight", group_mb: int = GROUP_MB) -> Pipeline:
     fills = [f"coalesce(cast(`{c}` AS double), CAST({_sql_literal(num_fill.get(c))} AS double)) AS `{c}__imp`"
              for c in num_cols]
     fills += [f"coalesce(cast(`{c}` AS string), {_sql_literal(cat_fill.get(c))}) AS `{c}__imp`" for c in cat_cols]
@@ -68,7 +75,7 @@ def build_pipeline(num_fill: dict, cat_fill: dict, num_cols: list[str], cat_cols
     stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in num_cols] + ohe_cols, outputCol="features"))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label_col, weightCol=weight_col,
                                 numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                featureSubsetStrategy="sqrt", cacheNodeIds=use_checkpoints,
+                                featureSubsetStrategy="sqrt", cacheNodeIds=True, maxMemoryInMB=group_mb,
                                 checkpointInterval=10 if use_checkpoints else -1)
     stages.append(rf)
     return Pipeline(stages=stages)
@@ -90,6 +97,10 @@ def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_
         num_fill = {r["feature"]: r["median"] for r in prep.numeric_medians(train, num_cols).collect()}
         cat_fill = {r["feature"]: r["mode"] for r in prep.categorical_modes(train, cat_cols).collect()} if cat_cols else {}
         train_w = prep.with_class_weights(train, label_col)
+        n = {r["is_test"]: r["count"] for r in split.groupBy("is_test").count().collect()}
+        # hundreds of trees make a few rows much work: no fewer partitions than cores
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        train_w = train_w.repartition(max(cores, n.get(False, 0) // TRAIN_ROWS))
         pipe = build_pipeline(num_fill, cat_fill, num_cols, cat_cols, label_col, num_trees, max_depth, seed,
                               use_checkpoints=checkpoint_dir(df.sparkSession) is not None)
         fitted = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double")))
@@ -97,8 +108,6 @@ def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_
         scored = score(model, test)
         auc = cm.roc_auc(scored, label_col).first()["roc_auc"]
         f1 = cm.f1_at_half(scored, label_col).first()["f1"]
-        counts = split.groupBy("is_test").count().collect()
-        n = {r["is_test"]: r["count"] for r in counts}
         model.metrics = {"roc_auc": float(auc), "f1": float(f1), "n_train": int(n.get(False, 0)),
                          "n_test": int(n.get(True, 0))}
         return model

@@ -1,19 +1,19 @@
 """Registered churn queries: feature table, preprocessing and risk metrics (SQL-checkable on
-the deterministic score), plus the model queries (Spark ML, rows-only checks)."""
+the deterministic score), plus the model queries (Spark ML) with digests that SQL can check."""
 
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulse.operators.churn import metrics as cm
+from pulse.operators.churn import model as cmodel
 from pulse.operators.churn import prep
 from pulse.operators.churn.features import (CATEGORICAL, EVENTS_AS_OF, ID, LABEL, NUMERIC, churn_features,
                                              deterministic_score)
 from pulse.plans.catalog import cached, register, tables
-from pulse.session import materialize
+from pulse.session import materialize, written
 from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
                                 HIGH_RISK_THRESHOLD)
 
@@ -284,6 +284,15 @@ def q_risk_ranking(spark, sf_dir):
     return cm.risk_ranking(_scored(spark, sf_dir), 20)
 
 
+@register("risk_ranking_all", "churn", f"""WITH {SCORED_CTE}
+SELECT customer_id, city, segment, plan_type, churn, churn_probability,
+  row_number() OVER (ORDER BY churn_probability DESC, customer_id) AS rank,
+  100.0::DOUBLE * (count(*) OVER () - row_number() OVER (ORDER BY churn_probability DESC, customer_id)) / count(*) OVER () AS percentile
+FROM sc""")
+def q_risk_ranking_all(spark, sf_dir):
+    return cm.risk_ranking_all(_scored(spark, sf_dir).select(ID, "city", "segment", "plan_type", LABEL, "churn_probability"))
+
+
 @register("alerts_top_n", "churn", f"""WITH {SCORED_CTE}
 SELECT customer_id, city, segment, plan_type, churn_probability, TIMESTAMP '{RUN_TS.isoformat(sep=' ')}' AS run_ts
 FROM sc ORDER BY churn_probability DESC, customer_id ASC LIMIT 500""")
@@ -292,25 +301,44 @@ def q_alerts_top_n(spark, sf_dir):
 
 
 # ---- Spark ML ---------------------------------------------------------------------------------
-# The forest has the source's 500 trees and no depth limit but Spark's 30. Trees are not SQL: the registered
-# results carry what follows from the tables (counts, who is scored, ranges, order), which the oracles state;
-# quality and determinism are tested in tests/test_churn.py.
+# The forest has the source's 500 trees and no depth limit but Spark's 30. Trees are not SQL: the model queries return
+# their whole results, which tests/test_model_queries.py recomputes with numpy; beside each, a *_digest of the same frame
+# keeps what the tables alone decide (who is scored, counts, members of the split), which its oracle states.
 ML_TREES, ML_DEPTH, ML_REPEATS = 500, 30, 5
 RETRAIN = {"segment": ["mid", "high"], "city": []}
-_MODEL_CACHE: dict = {}
+_FITTED: dict = {}
+
+
+def _kept(spark, sf_dir, name, build):
+    """A fitted model, or a frame of one, kept for the application: a fit takes minutes."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, ML_TREES, ML_DEPTH)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
 
 
 def _model(spark, sf_dir):
-    from pulse.operators.churn.model import train_forest
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODEL_CACHE:
-        f = _features(spark, sf_dir)
-        _MODEL_CACHE[key] = train_forest(f, NUMERIC, CATEGORICAL, LABEL, ID, num_trees=ML_TREES, max_depth=ML_DEPTH)
-    return _MODEL_CACHE[key]
+    return _kept(spark, sf_dir, "model", lambda: cmodel.train_forest(
+        _features(spark, sf_dir), NUMERIC, CATEGORICAL, LABEL, ID, num_trees=ML_TREES, max_depth=ML_DEPTH))
+
 
+def _model_scores(spark, sf_dir):
+    """Every customer's score, written once: 500 trees are walked once for ranking, digests and exports."""
+    return _kept(spark, sf_dir, "scores", lambda: written(cmodel.score(_model(spark, sf_dir), _features(spark, sf_dir))))
 
-def _in_unit(name):
-    return F.col(name).between(0, 1)
+
+def _retrained(spark, sf_dir):
+    return _kept(spark, sf_dir, "retrained", lambda: cmodel.retrain_on_filter(
+        _features(spark, sf_dir), RETRAIN, num_cols=NUMERIC, cat_cols=CATEGORICAL, label_col=LABEL, id_col=ID,
+        num_trees=ML_TREES, max_depth=ML_DEPTH))[1]
+
+
+def _importance(spark, sf_dir):
+    def build():
+        split = prep.stratified_split(_features(spark, sf_dir), ID, LABEL)
+        test = split.filter(split["is_test"]).drop("is_test")
+        return written(cmodel.permutation_importance(_model(spark, sf_dir), test, n_repeats=ML_REPEATS), 1)
+    return _kept(spark, sf_dir, "importance", build)
 
 
 def _sizes(where: str = "true") -> str:
@@ -319,47 +347,55 @@ def _sizes(where: str = "true") -> str:
 FROM (SELECT churn, count(*)::DOUBLE AS n FROM ({FEATURES_SQL}) WHERE {where} GROUP BY churn)"""
 
 
-@register("train_metrics", "churn", f"""
-SELECT n_all - n_test AS n_train, n_test, true AS auc_in_range, true AS f1_in_range FROM ({_sizes()})""")
+@register("train_metrics", "churn", None)
 def q_train_metrics(spark, sf_dir):
-    from pulse.operators.churn.model import train_metrics
-    m = train_metrics(spark, _model(spark, sf_dir))
-    return m.select(F.col("n_train").cast("bigint").alias("n_train"), F.col("n_test").cast("bigint").alias("n_test"),
-                    _in_unit("roc_auc").alias("auc_in_range"), _in_unit("f1").alias("f1_in_range"))
+    return cmodel.train_metrics(spark, _model(spark, sf_dir))
+
+
+@register("train_metrics_digest", "churn", f"SELECT n_all - n_test AS n_train, n_test FROM ({_sizes()})")
+def q_train_metrics_digest(spark, sf_dir):
+    return q_train_metrics(spark, sf_dir).select("n_train", "n_test")
 
 
-@register("score_customers", "churn", f"""
-SELECT customer_id, city, segment, plan_type, true AS score_in_range FROM ({FEATURES_SQL})""")
+@register("score_customers", "churn", None)
 def q_score_customers(spark, sf_dir):
-    from pulse.operators.churn.model import score
-    return (score(_model(spark, sf_dir), _features(spark, sf_dir))
-            .select(ID, "city", "segment", "plan_type", _in_unit("churn_probability").alias("score_in_range")))
+    return _model_scores(spark, sf_dir)
 
 
-@register("model_risk_ranking", "churn", f"""
-SELECT place + 1 AS place, true AS in_order FROM range(least(20, (SELECT count(*) FROM ({FEATURES_SQL})))) r(place)""")
+@register("score_customers_digest", "churn", f"""
+SELECT customer_id, city, segment, plan_type, churn, true AS score_in_range FROM ({FEATURES_SQL})""")
+def q_score_customers_digest(spark, sf_dir):
+    return _model_scores(spark, sf_dir).select(ID, "city", "segment", "plan_type", LABEL, F.col("churn_probability").between(0, 1).alias("score_in_range"))
+
+
+@register("model_risk_ranking", "churn", None)
 def q_model_risk_ranking(spark, sf_dir):
-    from pulse.operators.churn.model import score
-    top = cm.risk_ranking(score(_model(spark, sf_dir), _features(spark, sf_dir)), 20)
-    w = Window.orderBy(F.desc("churn_probability"), ID)  # 20 rows
-    higher = F.lag("churn_probability").over(w)
-    return top.select(F.row_number().over(w).cast("bigint").alias("place"),
-                      F.coalesce(higher >= F.col("churn_probability"), F.lit(True)).alias("in_order"))
+    return cm.risk_ranking_all(_model_scores(spark, sf_dir))
+
 
+@register("model_risk_ranking_digest", "churn", f"""
+SELECT rank, 100.0::DOUBLE * (n - rank) / n AS percentile FROM (SELECT count(*) AS n FROM ({FEATURES_SQL})), (SELECT unnest(range(1, n + 1)) AS rank)""")
+def q_model_risk_ranking_digest(spark, sf_dir):
+    return q_model_risk_ranking(spark, sf_dir).select("rank", "percentile")
 
-@register("feature_importance", "churn", f"SELECT unnest({[*NUMERIC, *CATEGORICAL]!r}) AS feature, true AS is_finite")
+
+@register("feature_importance", "churn", None)
 def q_feature_importance(spark, sf_dir):
-    from pulse.operators.churn.model import permutation_importance
-    m = _model(spark, sf_dir)
-    split = prep.stratified_split(_features(spark, sf_dir), ID, LABEL)
-    found = permutation_importance(m, split.filter(split["is_test"]).drop("is_test"), n_repeats=ML_REPEATS)
-    return found.select("feature", (F.abs("importance") < float("inf")).alias("is_finite"))
+    return _importance(spark, sf_dir)
 
 
-@register("retrain_on_filter", "churn", f"""
-SELECT n_all AS n_rows, n_all - n_test AS n_train, n_test FROM ({_sizes("list_contains(['mid', 'high'], segment)")})""")
+@register("feature_importance_digest", "churn", f"SELECT unnest({[*NUMERIC, *CATEGORICAL]!r}) AS feature, true AS is_finite")
+def q_feature_importance_digest(spark, sf_dir):
+    return _importance(spark, sf_dir).select("feature", (F.abs("importance") < float("inf")).alias("is_finite"))
+
+
+@register("retrain_on_filter", "churn", None)
 def q_retrain_on_filter(spark, sf_dir):
-    from pulse.operators.churn.model import retrain_on_filter
-    _, info = retrain_on_filter(_features(spark, sf_dir), RETRAIN, num_cols=NUMERIC, cat_cols=CATEGORICAL,
-                                label_col=LABEL, id_col=ID, num_trees=ML_TREES, max_depth=ML_DEPTH)
-    return info.select((F.col("n_train") + F.col("n_test")).alias("n_rows"), "n_train", "n_test")
+    return _retrained(spark, sf_dir)
+
+
+@register("retrain_on_filter_digest", "churn", f"""
+SELECT n_all AS n_rows, n_all - n_test AS n_train, n_test, 'segment=mid,high' AS filters
+FROM ({_sizes("list_contains(['mid', 'high'], segment)")})""")
+def q_retrain_on_filter_digest(spark, sf_dir):
+    return _retrained(spark, sf_dir).select((F.col("n_train") + F.col("n_test")).alias("n_rows"), "n_train", "n_test", "filters")

@@ -54,5 +54,6 @@ def test_entry_smoke(spark):
     assert set(se.oracle_sql()) <= set(se.queries())
 
 
-def test_every_query_has_an_oracle():
-    assert ROWS_ONLY == []
+def test_every_query_but_the_models_has_an_oracle():
+    assert ROWS_ONLY == ["feature_importance", "model_risk_ranking", "retrain_on_filter", "score_customers", "train_metrics"]
+    assert all(f"{n}_digest" in WITH_ORACLE for n in ROWS_ONLY)

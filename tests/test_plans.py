@@ -18,6 +18,7 @@ from conftest import SF_SMALL
 
 REG = load_all()
 MODEL = {"train_metrics", "score_customers", "model_risk_ranking", "feature_importance", "retrain_on_filter"}
+MODEL |= {f"{n}_digest" for n in MODEL}
 NAMES = sorted(n for n in REG if n not in MODEL)
 FULL_HISTORY_GROUPS = {"churn", "experiments"}
 FULL_PAST = {"activation_7d", "kpi_summary", "kpi_summary_empty_range"}  # an order before signup counts as well
