@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.sources.tables import Tables
@@ -89,6 +89,74 @@ def churn_features(t: Tables, as_of: date, short_days: int = 90, long_days: int
         F.when(F.col("_later") > 0, 0).otherwise(1).cast("int").alias(LABEL))
 
 
+HISTORY_TX, HISTORY_EVENTS = (30, 90), (7, 30)
+HISTORY_SPEND, HISTORY_TICKETS = 90, 60
+
+
+def _number(day) -> F.Column:
+    return F.unix_date(day)
+
+
+def _counts_on(ts: str) -> F.Column:
+    """The first midnight by which ``ts`` is past: what happens at midnight sharp counts on that day, as in ``ts <= as_of``."""
+    return F.date_add(F.to_date(F.col(ts) - F.expr("INTERVAL 1 MICROSECOND")), 1)
+
+
+def churn_history(t: Tables, as_ofs: list[tuple[date, date]], label_days: int = 30) -> DataFrame:
+    """Features and label of every customer at many as-of dates, from one pass over each fact.
+
+    ``as_ofs``: (as-of date, as-of date of the event stream). One row for each customer and as-of date: as_of,
+    customer_id, city, segment, plan_type, has_mobile_app, events_7d, events_30d, tx_30d, tx_90d, revenue_90d, aov_90d,
+    avg_discount_90d, tickets_60d, days_since_last_tx, churn (no order in the ``label_days`` after the date).
+
+    Facts become one cell per customer and day. Cells and as-of markers are sorted by day within a customer, and
+    each window length is a range frame over that one sort: a further as-of date costs a marker row per customer,
+    not a scan. A customer has at most one cell a day, so a customer with a third of all orders is a short run.
+    """
+    dates, ev_dates = [a for a, _ in as_ofs], [e for _, e in as_ofs]
+    lines = t.lineitem.groupBy("l_orderkey").agg(
+        F.sum(F.col("l_discount").cast("decimal(9,4)")).alias("discount"), F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    orders = t.orders.where(F.col("o_orderdate") <= _ts(max(dates) + timedelta(days=label_days))).select(
+        "o_orderkey", F.col("o_custkey").alias(ID), "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("paid"))
+    cells = (orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(ID, _counts_on("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("tx"), F.sum("paid").alias("paid"), F.sum("discount").alias("discount"), F.sum("lines").alias("lines"),
+        F.sum("returned").alias("returned"), F.max("o_orderdate").alias("last")))
+    seen = (t.events.where((F.col("ts") <= _ts(max(ev_dates))) & (F.col("ts") > _ts(min(ev_dates) - timedelta(days=max(HISTORY_EVENTS)))))
+            .groupBy(F.col("user_id").alias(ID), _counts_on("ts").alias("day")).agg(F.count(F.lit(1)).alias("events")))
+
+    k = F.col(ID)
+    base = t.customer.select(
+        F.col("c_custkey").alias(ID), F.when(F.col("c_custkey") % 50 != 0, F.col("c_mktsegment")).alias("city"),
+        F.when(F.col("c_acctbal") < 0, "low").when(F.col("c_acctbal") < 5000, "mid").otherwise("high").alias("segment")).withColumn(
+        "plan_type", F.when(k % 3 == 0, "basic").when(k % 3 == 1, "plus").otherwise("pro")).withColumn("has_mobile_app", (k % 2).cast("bigint"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("as_of"), F.lit(e).alias("ev_day")) for a, e in as_ofs])
+    marks = base.withColumn("_m", F.explode(pairs)).select("*", "_m.as_of", "_m.ev_day").drop("_m")
+
+    def back(days):  # the window (as_of - days, as_of]
+        return Window.partitionBy(ID).orderBy("_n").rangeBetween(1 - days, 0)
+
+    ever = Window.partitionBy(ID).orderBy("_n").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(ID).orderBy("_n").rangeBetween(1, label_days)
+    spend, tickets = back(HISTORY_SPEND), back(HISTORY_TICKETS)
+    laid = marks.withColumn("day", F.col("as_of")).unionByName(cells, allowMissingColumns=True).withColumn("_n", _number("day"))
+    with_tx = laid.select(
+        *marks.columns, *[F.coalesce(F.sum("tx").over(back(d)), F.lit(0)).alias(f"tx_{d}d") for d in HISTORY_TX],
+        F.coalesce(F.sum("paid").over(spend).cast("double"), F.lit(0.0)).alias("revenue_90d"), F.sum("discount").over(spend).alias("_discount"),
+        F.sum("lines").over(spend).alias("_lines"), F.coalesce(F.sum("returned").over(tickets), F.lit(0)).alias("tickets_60d"),
+        F.max("last").over(ever).alias("_last"), F.coalesce(F.sum("tx").over(later), F.lit(0)).alias("_later")).where(F.col("as_of").isNotNull())
+    laid = with_tx.withColumn("day", F.col("ev_day")).unionByName(seen, allowMissingColumns=True).withColumn("_n", _number("day"))
+    done = laid.select(*with_tx.columns, *[F.coalesce(F.sum("events").over(back(d)), F.lit(0)).alias(f"events_{d}d") for d in HISTORY_EVENTS])
+    return done.where(F.col("as_of").isNotNull()).select(
+        "as_of", ID, "city", "segment", "plan_type", "has_mobile_app",
+        *[F.col(c).cast("bigint").alias(c) for c in ("events_7d", "events_30d", "tx_30d", "tx_90d")], "revenue_90d",
+        (F.col("revenue_90d") / F.when(F.col("tx_90d") > 0, F.col("tx_90d"))).alias("aov_90d"),
+        (F.col("_discount").cast("double") / F.when(F.col("_lines") > 0, F.col("_lines"))).alias("avg_discount_90d"),
+        F.col("tickets_60d").cast("bigint").alias("tickets_60d"),
+        F.datediff("as_of", F.to_date("_last")).cast("bigint").alias("days_since_last_tx"),
+        F.when(F.col("_later") > 0, 0).otherwise(1).cast("int").alias(LABEL))
+
+
 def idle_score(days) -> F.Column:
     """A model-free risk score for checks: d / (d + 365) of the days since the last order.
 

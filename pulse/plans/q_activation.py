@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from calendar import monthrange
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pulse.functions.filters import Dim
 from pulse.operators import activation as act
+from pulse.operators import activity_bitmaps as bits
+from pulse.operators import intervals
 from pulse.operators.acquisition import period_bars
 from pulse.plans.catalog import register
 from pulse.plans.params import P1, P1_CAT, P1_F0, P2, P4
+from pulse.session import written
 from pulse.plans.sqltext import EVENTS_MART, d, days, facts, one_of, part_of, with_mart
 
 D1, D2 = P1.date_from, P1.date_to
@@ -201,3 +204,44 @@ FROM (SELECT (day - min(day) OVER ()) // {P1.days} AS no, min(day) OVER () + (no
           mart="events")
 def active_users_period_bars(m):
     return period_bars(act.active_users_by_bins(m, P1, EXT_START, D2, P1.days), P1.days, 6)
+
+
+# ---- ranges answered from kept day bitmaps ---------------------------------------------------------
+_JAN1, _JAN31 = date(2024, 1, 1), date(2024, 1, 31)
+
+
+# every user under each name and each period that the day belongs to
+@register("active_users_bitmaps", "activation", _on_facts(P1_F0, f"""
+SELECT grain, period, dim, series, count(DISTINCT user_id) AS active_users
+FROM named, LATERAL (SELECT 'day' AS grain, day AS period UNION ALL SELECT 'month', date_trunc('month', day)::DATE
+  UNION ALL SELECT 'trailing', day + i::INT FROM range(7) r(i) WHERE day + i::INT >= {d(_JAN1)} + 6 AND day + i::INT <= {d(_JAN31)})
+GROUP BY ALL""", f"""
+named AS (
+  SELECT user_id, day, unnest(['total', 'city', 'channel', 'device']) AS dim,
+         unnest(['Total', ifnull(city, 'UNKNOWN'), ifnull(channel, 'UNKNOWN'), ifnull(device, 'UNKNOWN')]) AS series
+  FROM seen JOIN chosen USING (user_id) WHERE {_within(_JAN1, _JAN31)})"""), mart="events")
+def active_users_bitmaps(m):
+    kept = written(bits.day_bitmaps(m, P1_F0, _JAN1, _JAN31))  # what follows reads bitmaps alone
+    return bits.active_by_grain(kept, _JAN1, _JAN31)
+
+
+# ---- irregular and overlapping spans ---------------------------------------------------------------
+CAMPAIGNS = (("week one", date(2024, 1, 1), date(2024, 1, 7)), ("kings", date(2024, 1, 6), date(2024, 1, 6)),
+             ("winter sale", date(2024, 1, 3), date(2024, 1, 19)), ("mid month", date(2024, 1, 10), date(2024, 1, 16)),
+             ("january", date(2024, 1, 1), date(2024, 1, 31)), ("february", date(2024, 2, 1), date(2024, 2, 29)),
+             ("everything", date(1990, 1, 1), date(2060, 12, 31)), ("long ago", date(2001, 3, 1), date(2001, 9, 30)))
+_SPANS = "spans(span, start_day, end_day) AS (VALUES " + ", ".join(f"('{n}', {d(a)}, {d(b)})" for n, a, b in CAMPAIGNS) + ")"
+
+
+@register("active_users_by_campaign", "activation", _on_facts(P1, """
+SELECT span, start_day, end_day, count(DISTINCT user_id) AS active_users
+FROM spans LEFT JOIN seen ON day BETWEEN start_day AND end_day GROUP BY ALL""", _SPANS), mart="events")
+def active_users_by_campaign(m):
+    return intervals.active_users_in_spans(m, P1, CAMPAIGNS)
+
+
+@register("spend_by_campaign", "activation", with_mart(EVENTS_MART, _SPANS, """
+SELECT span, count(order_id) AS orders, coalesce(sum(order_total), 0)::DOUBLE AS revenue
+FROM spans LEFT JOIN mo ON order_date::DATE BETWEEN start_day AND end_day GROUP BY span"""), mart="events")
+def spend_by_campaign(m):
+    return intervals.spend_in_spans(m, CAMPAIGNS)

@@ -11,7 +11,7 @@ from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import model as cmodel
 from pulse.operators.churn import prep
 from pulse.operators.churn.features import (CATEGORICAL, EVENTS_AS_OF, ID, LABEL, NUMERIC, churn_features,
-                                             deterministic_score)
+                                             churn_history, deterministic_score)
 from pulse.plans.catalog import cached, register, tables
 from pulse.session import materialize, written
 from pulse.plans.params import (CHURN_AS_OF, CHURN_LABEL_DAYS, CHURN_LONG_DAYS, CHURN_SHORT_DAYS,
@@ -124,6 +124,52 @@ def q_churn_features(spark, sf_dir):
     return _features(spark, sf_dir)
 
 
+#: Month ends of 1999, each with an as-of date of the event stream.
+HISTORY = [(date(1999 + m // 12, m % 12 + 1, 1) - timedelta(days=1), EVENTS_AS_OF - timedelta(days=2 * (12 - m))) for m in range(1, 13)]
+
+
+def _history_sql() -> str:
+    """Each as-of date by itself: every window counted from the raw facts."""
+    since = lambda n, of="as_of": f"o_orderdate <= {of} AND o_orderdate > {of} - INTERVAL {n} DAY"
+    return f"""
+WITH dates(as_of, ev) AS (VALUES {', '.join(f"({_ts(a)}, {_ts(e)})" for a, e in HISTORY)}),
+lines AS (SELECT l_orderkey, sum(l_discount::DECIMAL(9,4)) AS discount, count(*) AS n, count_if(l_returnflag = 'R') AS returned
+          FROM lineitem GROUP BY l_orderkey),
+o AS (
+  SELECT as_of, o_custkey AS customer_id, count(*) FILTER ({since(30)}) AS tx_30d, count(*) FILTER ({since(90)}) AS tx_90d,
+    coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER ({since(90)}), 0)::DOUBLE AS revenue_90d,
+    sum(discount) FILTER ({since(90)}) AS discount, sum(lines.n) FILTER ({since(90)}) AS n,
+    coalesce(sum(returned) FILTER ({since(60)}), 0)::BIGINT AS tickets_60d,
+    date_diff('day', max(o_orderdate) FILTER (o_orderdate <= as_of)::DATE, as_of::DATE) AS days_since_last_tx,
+    count_if(o_orderdate > as_of) AS later
+  FROM dates JOIN orders ON o_orderdate <= as_of + INTERVAL 30 DAY LEFT JOIN lines ON l_orderkey = o_orderkey GROUP BY as_of, o_custkey),
+e AS (
+  SELECT as_of, user_id AS customer_id, count(*) FILTER (ts > ev - INTERVAL 7 DAY) AS events_7d, count(*) AS events_30d
+  FROM dates JOIN events ON ts <= ev AND ts > ev - INTERVAL 30 DAY GROUP BY as_of, user_id)
+SELECT d.as_of::DATE AS as_of, c_custkey AS customer_id, if(c_custkey % 50 <> 0, c_mktsegment, NULL) AS city,
+  CASE WHEN c_acctbal < 0 THEN 'low' WHEN c_acctbal < 5000 THEN 'mid' ELSE 'high' END AS segment,
+  ['basic', 'plus', 'pro'][c_custkey % 3 + 1] AS plan_type, c_custkey % 2 AS has_mobile_app,
+  coalesce(events_7d, 0) AS events_7d, coalesce(events_30d, 0) AS events_30d, coalesce(tx_30d, 0) AS tx_30d, coalesce(tx_90d, 0) AS tx_90d,
+  coalesce(revenue_90d, 0::DOUBLE) AS revenue_90d, revenue_90d / nullif(tx_90d, 0) AS aov_90d, discount::DOUBLE / nullif(n, 0)::BIGINT AS avg_discount_90d,
+  coalesce(tickets_60d, 0) AS tickets_60d, days_since_last_tx, if(coalesce(later, 0) > 0, 0, 1) AS churn
+FROM customer CROSS JOIN dates d LEFT JOIN o ON o.as_of = d.as_of AND o.customer_id = c_custkey
+  LEFT JOIN e ON e.as_of = d.as_of AND e.customer_id = c_custkey"""
+
+
+@register("churn_features_history", "churn", _history_sql())
+def q_churn_features_history(spark, sf_dir):
+    return churn_history(tables(spark, sf_dir), HISTORY)
+
+
+@register("churn_rate_history", "churn", f"""
+SELECT as_of, segment, count(*) AS customers, sum(churn)::BIGINT AS churned, count(days_since_last_tx) AS with_orders,
+  sum(tx_90d)::BIGINT AS tx_90d FROM ({_history_sql()}) GROUP BY ALL""")
+def q_churn_rate_history(spark, sf_dir):
+    return (churn_history(tables(spark, sf_dir), HISTORY).groupBy("as_of", "segment").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum(LABEL).cast("bigint").alias("churned"),
+        F.count("days_since_last_tx").alias("with_orders"), F.sum("tx_90d").alias("tx_90d")))
+
+
 @register("impute_numeric_median", "churn", f"WITH f AS ({FEATURES_SQL}),{_MEDIANS}\nSELECT feature, median FROM med")
 def q_impute_numeric_median(spark, sf_dir):
     return prep.numeric_medians(_features(spark, sf_dir), NUMERIC)
