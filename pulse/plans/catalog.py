@@ -86,5 +86,5 @@ def register(name: str, group: str, oracle: str | None, mart: str | None = None)
 def load_all() -> dict[str, Entry]:
     """Import every query module so that its registrations run."""
     from pulse.plans import (q_acquisition, q_activation, q_churn, q_experiments,  # noqa: F401
-                             q_operations, q_sales, q_sources)
+                             q_kept, q_operations, q_sales, q_sources)
     return REGISTRY

@@ -93,6 +93,12 @@ def materialize(df):
     return out
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path below the checkpoint folder that nothing uses yet."""
+    base = checkpoint_dir(spark) or ensure_test_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/pulse-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def written(df, parts: int | None = None):
     """``df`` written once as Parquet below the checkpoint folder and read back.
 
@@ -100,8 +106,7 @@ def written(df, parts: int | None = None):
     partition numbers in it hold for good. ``parts``: files at most, for tables known to be small.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark) or ensure_test_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/pulse-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
