@@ -15,7 +15,7 @@ the split pattern yields) with their ids. Joining left and right:
   two neighbours are the encoding of theirs, so agreement at both ends makes the whole sequence exact.
 
 Special tokens are ids of their own and are cut out first, as the tokenizer does. The rank table is read from
-the tokenizer's JSON file (a parameter); leaves are encoded with the tiktoken library's ``encode_ordinary``.
+the tokenizer's JSON file (a parameter: a path, or the name of a public tokenizer's file, found where it is read); leaves are encoded with the tiktoken library's ``encode_ordinary``.
 
 Cases: null is the empty text, which has no ids; identical rows are encoded once and returned as often as they
 occur (long texts) or where they stand (short ones); an empty table gives an empty result.
@@ -24,10 +24,12 @@ occur (long texts) or where they stand (short ones); an empty table gives an emp
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -53,6 +55,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def located(tokenizer: str) -> str:
+    """The file of a tokenizer on this machine; a bare name is that of a public one."""
+    return tokenizer if os.path.dirname(tokenizer) else public_tokenizers.path(tokenizer)
+
+
 Piece = tuple[int, list[int]]  # length in characters, ids
 
 
@@ -60,7 +67,7 @@ class Codec:
     """Encoding and decoding with one tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(located(path), encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items()

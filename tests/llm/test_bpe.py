@@ -11,7 +11,7 @@ from . import data
 
 @pytest.fixture(scope="module")
 def real():
-    return Tokenizer.from_file(BYTE_BPE)
+    return Tokenizer.from_file(bpe.located(BYTE_BPE))
 
 
 def ids(real, text):
