@@ -9,8 +9,8 @@ program over the counts that are left closes the remaining budget. Which documen
 decided by a seeded hash: those up to a threshold that is the exact order statistic of the group, found
 by counting hash buckets, so that no (source, size) group is ever sorted by one task.
 
-A source's histogram has at most sqrt(2 * its words) rows (its sizes are distinct), so the
-program's task is bounded; budgets over ``DP_WORDS`` are first brought below it, longest documents first.
+A source's histogram has at most sqrt(2 * its words) rows (its sizes are distinct). The program runs over twice the words of
+the longest document or more, however long that is: a bit and four bytes for each word.
 
 Cases: null text has size 0; documents of size 0 are taken as their source's whole passes are; null
 sources form the last source; identical rows share one hash and are taken together or not at all; an empty
@@ -19,6 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from pulse.llm.common import cut, payload, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
-DP_WORDS = 1 << 16
+#: Words left to the dynamic program: those of so many of the longest documents, up to DP_WORDS, but two of them at least.
+DP_DOCS, DP_WORDS = 64, 10_000_000
 _FIT = "source_no int, size long, base int, take long, docs long"
 
 
@@ -41,46 +43,55 @@ def words(text: Column) -> Column:
 def knapsack(budget: int, sizes: Sequence[int], counts: Sequence[int]) -> dict[int, int]:
     """Counts per size, within ``counts``, whose sizes sum to the largest reachable total up to ``budget``.
 
-    Bounded-knapsack dynamic programming over a bit set of reachable sums; counts are split into powers of two.
+    Bounded-knapsack dynamic programming over a bit set of reachable sums, in units of the sizes' common divisor; counts are
+    split into powers of two. Of every sum the step that first reached it is kept, which leads back to the counts.
     """
+    unit = math.gcd(*map(int, sizes)) or 1
+    budget //= unit
     reach, steps, full = 1, [], (1 << (budget + 1)) - 1
+    first = np.zeros(budget + 1, np.int32)
     for size, count in zip(sizes, counts, strict=True):
-        count = min(int(count), budget // int(size)) if size else 0
+        step = int(size) // unit
+        count = min(int(count), budget // step) if step else 0
         part = 1
         while count > 0 and not reach >> budget & 1:
             k = min(part, count)
-            steps.append((int(size), k, reach))
-            reach |= reach << (int(size) * k) & full
+            new = reach << (step * k) & full & ~reach
+            if new:
+                steps.append((int(size), k))
+                low = (new & -new).bit_length() - 1 & ~7  # bits from the first byte that has any
+                found = np.frombuffer((new >> low).to_bytes(((new >> low).bit_length() + 7) // 8, "little"), np.uint8)
+                first[low + np.flatnonzero(np.unpackbits(found, bitorder="little"))] = len(steps)
+                reach |= new
             count, part = count - k, part * 2
     at, taken = reach.bit_length() - 1, {}
-    for size, k, before in reversed(steps):
-        if not before >> at & 1:
-            taken[size] = taken.get(size, 0) + k
-            at -= size * k
+    while at:  # a sum's remainder was reached by an earlier step
+        size, k = steps[first[at] - 1]
+        taken[size] = taken.get(size, 0) + k
+        at -= size // unit * k
     return taken
 
 
 def fit(budget: int, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Documents to take of each size (ascending, positive), so that the words come to ``budget`` as nearly as can be."""
+    """Documents to take of each size (ascending, positive), so that the words come to ``budget`` as nearly as can be.
+
+    Every size first gives its share of all but the last words. Rounding shares cumulatively errs by less than the
+    longest document, so at least that many words are left to the program, whatever the sizes are.
+    """
     total = int((sizes * counts).sum())
     if total <= 0 or budget <= 0:
         return np.zeros(len(sizes), np.int64)
-    open_ = min(budget, DP_WORDS // 2, 4 * int(sizes.max()))  # left to the dynamic program
-    shares = np.floor(np.cumsum(counts) * min(1.0, (budget - open_) / total) + 0.5).astype(np.int64)
+    if budget >= total:
+        return counts.copy()
+    longest = int(sizes.max())
+    open_ = min(budget, max(2 * longest, min(DP_WORDS, DP_DOCS * longest)))  # left to the dynamic program
+    shares = np.floor(np.cumsum(counts) * ((budget - open_) / total) + 0.5).astype(np.int64)
     take = np.clip(np.diff(shares, prepend=0), 0, counts)
     rest = budget - int((sizes * take).sum())
-    for i in np.argsort(-sizes, kind="stable"):  # only if the longest documents are of the order of DP_WORDS
-        if 0 <= rest <= DP_WORDS:
-            break
-        k = min(int(counts[i] - take[i]), rest // int(sizes[i])) if rest > 0 else -min(int(take[i]), -(rest // int(sizes[i])))
-        take[i] += k
-        rest -= k * int(sizes[i])
-    if not 0 < rest <= DP_WORDS:
-        return take
     left = counts - take
     some = np.flatnonzero((sizes <= rest) & (left > 0))
     some = some[np.random.default_rng(len(sizes)).permutation(len(some))]  # no length is preferred; a fixed order
-    for size, k in knapsack(rest, sizes[some].tolist(), left[some].tolist()).items():
+    for size, k in (knapsack(rest, sizes[some].tolist(), left[some].tolist()) if len(some) else {}).items():
         take[np.searchsorted(sizes, size)] += k
     return take
 

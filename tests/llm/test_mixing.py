@@ -3,6 +3,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulse.llm import mixing
@@ -77,11 +78,35 @@ def test_knapsack_is_best_possible():
         assert sum(s * k for s, k in got.items()) == max(x for x in sums if x <= budget)
 
 
-def test_fit_beyond_the_dynamic_program():
-    sizes, counts = np.array([10, 400_000, 900_000]), np.array([1000, 5, 3])
-    for budget in (5_000, 405_000, 2_000_000, 4_000_000):
+def best_sum(budget, sizes, counts):
+    sums = {0}
+    for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
+        sums = {x + s * k for x in sums for k in range(c + 1) if x + s * k <= budget}
+    return max(sums)
+
+
+@pytest.mark.parametrize("sizes,counts,budgets", [
+    ([70_000, 90_000, 110_000], [5, 5, 5], [300_000, 290_000, 250_000, 420_000, 69_999]),
+    ([10, 400_000, 900_000], [1000, 5, 3], [5_000, 405_000, 2_000_000, 4_000_000, 1_234_560]),
+    ([99_991, 100_003, 250_007], [4, 4, 2], [199_994, 500_014, 700_000]),
+    ([1, 2_000_000], [3, 4], [4_000_002, 5_999_999])])
+def test_fit_is_best_possible_for_long_documents(sizes, counts, budgets):
+    sizes, counts = np.array(sizes), np.array(counts)
+    for budget in budgets:
         take = mixing.fit(budget, sizes, counts)
-        assert (take >= 0).all() and (take <= counts).all() and abs(budget - (sizes * take).sum()) <= 400_000
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((sizes * take).sum()) == best_sum(budget, sizes, counts), budget
+
+
+def test_fit_leaves_a_small_gap_for_many_sizes():
+    r = np.random.default_rng(7)
+    for longest in (50, 20_000, 300_000):
+        sizes = np.unique(r.integers(1, longest, 400))
+        counts = r.integers(1, 50, len(sizes))
+        for share in (0.01, 0.3, 0.77, 0.999):
+            budget = int((sizes * counts).sum() * share)
+            take = mixing.fit(budget, sizes, counts)
+            assert (take >= 0).all() and (take <= counts).all() and 0 <= budget - int((sizes * take).sum()) <= 1
 
 
 def test_empty_table(llm):
