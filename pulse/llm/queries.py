@@ -5,18 +5,15 @@ The operators keep their own results (ids, texts, spans); the queries derive dig
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulse.functions.ranking import numbered
 from pulse.llm import (ann, bpe, langid, lexical, lines, metric_join, mixing, near_dup, prefix_trie, secret_scan,
                        sharding, topk, urls, vectors)
 from pulse.llm.common import cut, table
 
-#: Where the public tokenizers' files lie; the same path on every machine.
-TOKENIZERS = os.environ.get("PULSE_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def _sha(text) -> Column:
@@ -62,18 +59,15 @@ def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _sha(secret_scan.listed(F.col("base"))).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
-def _place(name: str) -> Column:
-    """A string's place in code point order as a number, by its first six bytes; null stays null."""
-    first = F.substring(F.rpad(F.col(name).cast("binary"), 6, F.lit(b"\0")), 1, 6)
-    return F.conv(F.hex(first), 16, 10).cast("double")
-
-
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.octet_length(text).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_points"),
+    docs = table(spark, sf_dir, "documents")
+    # a language's place among all that occur, in code point order and equally spaced; null has none
+    places = numbered(docs.select("lang").where(F.col("lang").isNotNull()).distinct(), [F.col("lang").asc()], out="place")
+    docs = docs.join(places, "lang", "left").select(
+        "doc_id", "place", F.octet_length(text).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_points"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    dims = {"lang": _place("lang"), "bytes": F.log2(F.col("n_bytes") + 16),
+    dims = {"lang": F.col("place"), "bytes": F.log2(F.col("n_bytes") + 16),
             "wide": (F.col("n_bytes") - F.col("n_points")) / F.greatest(F.col("n_points"), F.lit(1))}
     done = sharding.kd_shards(docs, F.col("n_bytes") + 16, dims, F.col("text_hash"), [F.col("doc_id")], shards=40)
     return done.select(F.col("row.doc_id").alias("doc_id"), "size", F.col("row.text_crc32").alias("text_crc32"),
