@@ -244,8 +244,14 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc
     one = ["lang", "h", "key", "hash"]  # a document; repeated rows of it count once
     rows = (labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
             .withColumn("h", unit_hash(F.col("key"), seed=seed)).withColumn("hash", F.xxhash64("text")))
+    once = rows.select(*one).distinct()
+    # only hashes that can be among the first are ranked: four times as many as wanted, on average, however large a language
+    # is; that fewer than wanted are left has a probability below 1e-100 at the default size
+    sizes = once.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = F.col("h") <= F.lit(float(1 << 63)) * F.least(F.lit(1.0), F.lit(4.0 * docs_per_lang) / F.col("n"))
+    once = once.join(sizes, "lang").where(low).select(*one)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "hash"))
-    chosen = rows.select(*one).distinct().withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select(*one)
+    chosen = once.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select(*one)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
