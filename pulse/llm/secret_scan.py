@@ -9,8 +9,9 @@ outweighs a prior of one secret in ``PRIOR`` such runs.
 No string trains its own verdict: labelled strings are dealt into two folds by a hash, and one that is also to be judged
 is judged by the models of the other fold; all others by the models of both.
 
-Positions come from splitting at the matches: a match starts where the pieces and matches before it end. All in
-code points.
+Positions come from splitting at the matches: a match starts where the pieces and matches before it end, by running
+sums over chunks of matches; runs that overlap a base match are found by one merge of both lists. So a text costs about
+as much per match whether it is short or long. All in code points.
 
 Cases: null text is empty; a document without matches has zero counts and an empty list; equal texts get equal
 spans (texts are named by 128 hash bits); without labelled strings of both kinds nothing is added,
@@ -38,27 +39,76 @@ RUN = r"[A-Za-z0-9+/_=-]{12,}"
 WORDLIKE = r"^([A-Z]?[a-z]+|[A-Z]+)([+/_=-]+([A-Z]?[a-z]+|[A-Z]+))*$"
 #: Tasks that share the spans of one common run.
 SALTS = 32
+#: Values that are folded one by one, and how often chunks of them are gathered into chunks of chunks.
+CHUNK, LEVELS = 32, 2
 #: The fold of runs that are no labelled string.
 UNLABELLED = -1
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, step, start: int, levels: int = LEVELS) -> Column:
+    """What ``step`` (a sum, a maximum) makes of the integers before each of ``values``.
+
+    Chunks are folded for themselves, and what lies before a chunk comes from the chunks' totals in the same way: no
+    fold is longer than ``CHUNK`` but for the last level's, over the totals of ``CHUNK ** (levels - 1)`` values each.
+    """
+    if not levels:
+        return F.transform(values, lambda _, i: F.aggregate(F.slice(values, F.lit(1), i), F.lit(start), step))
+
+    def by_chunks(v: Column) -> Column:
+        count = F.floor((F.size(v) + CHUNK - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(_let(chunks, joined))
+
+    def joined(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(start), step))
+        before = _let(totals, lambda t: running(t, step, start, levels - 1))
+        inside = F.zip_with(chunks, before, lambda c, first: F.transform(
+            c, lambda _, i: F.aggregate(F.slice(c, F.lit(1), i), first, step)))
+        return F.flatten(inside)
+
+    return by_chunks(values)
+
+
 def matches(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
     """The pattern's matches as structs (start, kind, end, value), those whose value has ``least`` characters."""
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("match"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    parts = F.zip_with(whole, values, lambda m, v: F.struct(F.length(m).alias("size"), v.alias("value")))
+    parts = F.filter(F.zip_with(gaps, parts, lambda g, p: F.struct(  # the last gap has no match behind it
+        F.length(g).alias("gap"), p["size"].alias("size"), p["value"].alias("value"))), lambda p: p["size"].isNotNull())
+
+    def placed(found: Column) -> Column:
+        before = _let(F.transform(found, lambda p: p["gap"] + p["size"]), lambda n: running(n, lambda a, x: a + x, 0))
+        spans = F.zip_with(found, before, lambda p, at: F.struct(
+            (at + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value")))
+        return F.filter(spans, lambda s: F.length(s["value"]) >= least) if least else spans
+
+    return F.when(F.rlike(text, F.lit(pattern)), _let(parts, placed)).otherwise(F.array().cast(SPAN))
+
+
+def apart_from(base: Column, runs: Column) -> Column:
+    """Those of ``runs`` that overlap no span of ``base``, by one merge of both.
+
+    Runs stand by their ends among the base spans' starts (before an equal one): what starts before a run's end
+    stands before the run, and overlaps it if its end lies beyond the run's start.
+    """
+    places = F.array_sort(F.concat(
+        F.transform(runs, lambda r: F.struct(r["end"].alias("at"), F.lit(0).alias("of_base"), r.alias("span"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("of_base"), b.alias("span")))))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["gap"])
-        end = start + F.length(p["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value")))
-        kept = F.when(F.length(p["value"]) >= least, F.concat(s["found"], span)).otherwise(s["found"])
-        return F.struct(end.alias("at"), kept.alias("found"))
+    def merged(found: Column) -> Column:
+        ends = F.transform(found, lambda p: F.when(p["of_base"] == 1, p["span"]["end"]).otherwise(0))
+        reach = _let(ends, lambda e: running(e, lambda a, x: F.greatest(a, x), 0))
+        free = F.zip_with(found, reach, lambda p, far: F.when((p["of_base"] == 0) & (far <= p["span"]["start"]), p["span"]))
+        return F.filter(free, lambda s: s.isNotNull())
 
-    found = F.aggregate(parts, empty, step, lambda s: s["found"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(base) == 0, runs).otherwise(_let(places, merged))
 
 
 def _outweighing(strings: DataFrame, counts: DataFrame, fold: int, order: int, prior: float) -> DataFrame:
@@ -77,9 +127,8 @@ def scan(docs: DataFrame, text_col: str = "text", order: int = ORDER, prior: flo
     base = F.array_sort(F.concat(matches(F.col("text"), ASSIGN, 0, 2, ASSIGN_LEAST), matches(F.col("text"), ACCESS, 1),
                                  matches(F.col("text"), HEX, 2)))
     rows = rows.select("row", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"), base.alias("base"))
-    apart = F.filter(matches(F.col("text"), RUN, 3), lambda c: ~F.exists(
-        "base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    found = cut(rows.select("row", "d1", "d2", "base", apart.alias("apart")))
+    rows = rows.select("row", "d1", "d2", "base", matches(F.col("text"), RUN, 3).alias("runs"))
+    found = cut(rows.select("row", "d1", "d2", "base", apart_from(F.col("base"), F.col("runs")).alias("apart")))
 
     strings = (found.select(F.explode(F.col("base.value")).alias("text"), F.lit(1).alias("n1"), F.lit(0).alias("runs"))
                .unionAll(found.select(F.explode("apart.value").alias("text"), F.lit(0).alias("n1"), F.lit(1).alias("runs")))

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulse.llm import secret_scan
@@ -42,6 +43,46 @@ def test_query_equals_brute_force(llm):
         assert set(named) <= set(r["spans"].split(",")) | {""}
 
 
+def noise(chars, seed):
+    import random
+
+    r, out, size = random.Random(seed), [], 0
+    while size < chars:
+        out.append(r.choice([f"{KEY}={r.getrandbits(80):020x}é", f"{r.getrandbits(128):032x}", "AKIA" + "Q" * r.randint(10, 20),
+                             "x" * r.randint(1, 40), "words", "😀", f"secret: {'Ab1/' * r.randint(1, 9)}", "\n"]))
+        size += len(out[-1]) + 1
+    return " ".join(out)
+
+
+def test_a_text_of_a_million_characters(llm):
+    import time
+
+    text = noise(1_000_000, 3)
+    start = time.time()
+    got = secret_scan.scan(llm.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert [(s["start"], s["kind"], s["end"]) for s in got["base"]] == brute(text) and len(got["base"]) > 10_000
+    assert all(text[s["start"]:s["end"]] == s["value"] for s in got["spans"] if s["kind"])
+    assert time.time() - start < 120  # a fold over growing arrays takes many minutes
+
+
+@pytest.mark.parametrize("chunk,levels", [(2, 0), (2, 1), (2, 3), (32, 2)])
+def test_positions_and_overlaps_at_every_size(llm, monkeypatch, chunk, levels):
+    monkeypatch.setattr(secret_scan, "CHUNK", chunk)
+    monkeypatch.setattr(secret_scan.running, "__defaults__", (levels,))
+    rows = [(i, noise(i * i * 7, i)) for i in range(12)] + [(100, ""), (101, "x" * 12), (102, f"{KEY}=short")]
+    df = llm.createDataFrame(rows, "i int, text string").repartition(3)
+    text = F.col("text")
+    base = F.concat(secret_scan.matches(text, secret_scan.ASSIGN, 0, 2, secret_scan.ASSIGN_LEAST),
+                    secret_scan.matches(text, secret_scan.ACCESS, 1), secret_scan.matches(text, secret_scan.HEX, 2))
+    df = df.select("i", text, F.array_sort(base).alias("base"), secret_scan.matches(text, secret_scan.RUN, 3).alias("runs"))
+    for r in df.select("*", secret_scan.apart_from(F.col("base"), F.col("runs")).alias("apart")).collect():
+        runs = [m.span() for m in re.finditer(secret_scan.RUN, r["text"])]
+        spans = brute(r["text"])
+        assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == spans
+        assert [(s["start"], s["end"]) for s in r["runs"]] == runs
+        assert [(s["start"], s["end"]) for s in r["apart"]] == [(a, b) for a, b in runs if not any(x < b and y > a for x, _, y in spans)]
+
+
 def test_random_strings_are_added_and_words_are_not(llm):
     import random
 
