@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding, with tree concatenation of long texts.
 
-Texts up to ``LEAF_CHARS`` are leaves of their own and are encoded where they are read. A longer text is cut
-into leaves of ``LEAF_CHARS`` at any place; leaves are rows that many tasks encode in parallel, and neighbours
-are then joined pairwise up a tree. A node holds the exact encoding of its own text as a list of pieces (what
+Texts up to ``LEAF_CHARS`` are leaves of their own. A longer text is cut into leaves of ``LEAF_CHARS`` at any place, and
+neighbours are joined pairwise up a tree. Up to ``SPREAD_CHARS`` the tree grows where the text is read; beyond, leaves are rows
+that many tasks encode in parallel, so that no task encodes a very long text alone. Both grow the same tree. A node holds the exact encoding of its own text as a list of pieces (what
 the split pattern yields) with their ids. Joining left and right:
 
 * a window of the last and first pieces around the join is split again; it grows until its first
@@ -18,7 +18,7 @@ Special tokens are ids of their own and are cut out first, as the tokenizer does
 the tokenizer's JSON file (a parameter: a path, or the name of a public tokenizer's file, found where it is read); leaves are encoded with the tiktoken library's ``encode_ordinary``.
 
 Cases: null is the empty text, which has no ids; identical rows are encoded once and returned as often as they
-occur (long texts) or where they stand (short ones); an empty table gives an empty result.
+occur (spread texts) or where they stand (others); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,11 @@ from pyspark.sql import types as T
 
 from pulse.llm.common import payload
 
-LEAF_CHARS = 1 << 16
+LEAF_CHARS = 1 << 12
+#: Characters beyond which the leaves of a text are spread over tasks.
+SPREAD_CHARS = 1 << 16
+#: Pieces of up to so many characters whose ids a codec remembers, and how many.
+KNOWN_CHARS, KNOWN_PIECES = 32, 1 << 17
 #: Fixed value: the split pattern of byte-level BPE tokenizers of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that the pattern may read beyond the end of a piece.
@@ -79,6 +83,7 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         top = max([*ranks.values(), *self.special.values()]) + 1
+        self.known: dict[str, list[int]] = {}
         self.bytes: list[bytes] = [b""] * top
         for token, i in ranks.items():
             self.bytes[i] = token
@@ -98,11 +103,32 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
     def piece_ids(self, piece: str) -> list[int]:
-        return self.engine._encode_single_piece(piece)
+        """Ids of one piece; those of short pieces are remembered and must not be changed."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.engine._encode_single_piece(piece)
+            if len(piece) <= KNOWN_CHARS:
+                if len(self.known) >= KNOWN_PIECES:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
 
     def leaf(self, text: str) -> list[Piece]:
         return [(len(p), self.piece_ids(p)) for p in self.pattern.findall(text)]
 
+    def grown(self, text: str, leaf_chars: int) -> list[int]:
+        """Ids of a whole text by the tree over its leaves."""
+        ids: list[int] = []
+        for k, part in enumerate(self.cuts.split(text)):
+            if k % 2:
+                ids.append(self.special[part])
+                continue
+            tree = Tree(self)
+            for at in range(0, len(part), leaf_chars):
+                tree.add(self.leaf(part[at:at + leaf_chars]))
+            ids.extend(tree.ids())
+        return ids
+
     def _text(self, pieces: list[Piece]) -> str:
         return b"".join(self.bytes[i] for _, ids in pieces for i in ids).decode("utf-8")
 
@@ -196,7 +222,8 @@ def _lists(values: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS,
+           spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``row`` (struct of the other columns) and ``ids`` (array of int) of every whole text."""
     rows = docs.select(payload(docs, text_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType
@@ -205,11 +232,11 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", leaf_chars:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer)
         for batch in batches:
-            ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+            ids = [bpe.encode(t) if len(t) <= leaf_chars else bpe.grown(t, leaf_chars) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["row", "ids"])
 
-    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(whole, out)
-    long = rows.where(F.length("text") > leaf_chars)
+    short = rows.where(F.length("text") <= spread_chars).mapInArrow(whole, out)
+    long = rows.where(F.length("text") > spread_chars)
     return short.unionAll(_encode_long(long, tokenizer, leaf_chars, out))
 
 
@@ -290,8 +317,9 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
     return rows.mapInArrow(texts, out)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS,
+               spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``row`` (the other columns), ``ids`` and ``decoded``: the ids of every text and the text that they spell."""
-    kept = encode(docs, tokenizer, text_col, leaf_chars)
+    kept = encode(docs, tokenizer, text_col, leaf_chars, spread_chars)
     spelled = decode(kept, tokenizer)
     return spelled.select(F.col("row.row").alias("row"), F.col("row.ids").alias("ids"), F.col("text").alias("decoded"))

@@ -48,14 +48,24 @@ def test_every_code_point_is_classed_alike(real):
     assert [e.ids for e in real.encode_batch(some, add_special_tokens=False)] == [codec.encode(x) for x in some]
 
 
-@pytest.mark.parametrize("leaf", [1 << 16, 50])
-def test_whole_texts(llm, real, leaf):
-    got = [(r["row"]["doc_id"], list(r["ids"]), r["decoded"]) for r in bpe.round_trip(data.docs(llm), BYTE_BPE, leaf_chars=leaf).collect()]
+@pytest.mark.parametrize("leaf,spread", [(1 << 16, 1 << 16), (50, 50), (50, 1 << 16), (64, 1000)])
+def test_whole_texts(llm, real, leaf, spread):
+    got = [(r["row"]["doc_id"], list(r["ids"]), r["decoded"]) for r in bpe.round_trip(data.docs(llm), BYTE_BPE, leaf_chars=leaf, spread_chars=spread).collect()]
     want = [(d, ids(real, t), real.decode(ids(real, t), skip_special_tokens=False)) for d, t, *_ in data.rows()]
     key = lambda x: (str(x[0]), x[1])
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_trees_of_whole_given_texts(real, monkeypatch):
+    import pyarrow.parquet as pq
+
+    codec = bpe.Codec(BYTE_BPE)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 50)  # forgets all the time
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    for leaf in (bpe.LEAF_CHARS, 301):
+        assert all(codec.grown(t, leaf) == ids(real, t) for t in texts if len(t) > leaf)
+
+
 def test_empty_table(llm):
     assert bpe.encode(data.empty(llm), BYTE_BPE).count() == 0
 
