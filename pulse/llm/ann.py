@@ -1,30 +1,35 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table rotates unit vectors pseudo-randomly (``ROUNDS`` times: random signs, then a fast Hadamard transform) and
-assigns them to the nearest of the 2d signed axes. Vectors lie in one bucket of every table; a query looks, in
-each table, into the buckets of its ``probes`` nearest axes (multiprobe). Candidates are reranked by exact
-Euclidean distance on the original vectors.
-
-Every row is indexed. Buckets are dealt by a hash of id, vector and row number into chunks, so that a bucket which holds all rows
-still comes in pieces of about ``CHUNK_ROWS``; the queries of a bucket are dealt likewise. A chunk and a query
-pack meet in one task, which returns the k nearest; pairs are never rows.
+A hash function rotates unit vectors pseudo-randomly (``ROUNDS`` times: random signs, then a fast Hadamard transform) and
+assigns them to the nearest of the 2d signed axes. A table concatenates ``width`` functions, so a bucket is named by as many
+axes, and the number of buckets grows with the table: ``width`` is the rounded logarithm to base 2d of the rows by ``FILL``
+(at least 1). Vectors lie in one bucket of every table; a query looks, in each table, into the buckets that are nearest to it
+by the sum of squared differences between its best component and those of the bucket's axes (multiprobe). ``tables`` and
+``probes`` are meant for one function; each further one doubles the tables and takes ``probes`` times the looks. Candidates
+are reranked by exact Euclidean distance on the original vectors.
+
+Every row is indexed. Rows and looks of a bucket are counted; one with more than ``CHUNK_ROWS`` rows, or ``QUERY_ROWS`` looks,
+is cut into pieces of either, and each piece of rows meets each piece of looks. Pieces are dealt to cells of about
+``CHUNK_ROWS`` rows; a cell is one task's work, which returns the k nearest of each query. Pairs are never rows.
 
 Buckets may hold fewer than k candidates for a query: in small tables, or far from a narrow cluster. Queries left with
-fewer than min(k, candidates) neighbours are searched exactly: they meet every row, in blocks dealt like the chunks. Their
+fewer than min(k, candidates) neighbours are searched exactly: they meet every row, in blocks of ``CHUNK_ROWS``. Their
 cost is their number times the table's rows; the others never take part in it. So every query has min(k, candidates)
 neighbours; what the hashing may still miss is a nearer one, not a place in the list.
 
 Cases: null ids, null vectors, zero vectors and those with null or non-finite components take no part; shorter vectors count
 as zero-padded; a row with the query's id is never its candidate; a query id that occurs more than once is
-answered once, for its smallest vector; equal distances go to the smaller id; an empty table gives
-an empty result.
+answered once, for its smallest vector; repeated candidate rows are candidates of their own; equal distances go to the
+smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ from pulse.llm.vectors import best, dealt_to, named, pack, padded, unpack
 ROUNDS = 3
 CHUNK_ROWS = 1 << 16
 QUERY_ROWS = 4096
+FILL = 8
+FOUND = "query_id long, vec_id long, salt long, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,44 +55,79 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(dims)
 
 
-def nearest_axes(unit: np.ndarray, table: int, probes: int, seed: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each unit vector after the table's rotation, nearest first."""
-    dims = 1 << max(0, unit.shape[1] - 1).bit_length()
-    x = np.zeros((len(unit), dims))
-    x[:, :unit.shape[1]] = unit
-    random = np.random.default_rng([seed, table])
-    for _ in range(ROUNDS):
-        x = hadamard(x * random.choice([-1.0, 1.0], dims))
-    sides = np.concatenate([x, -x], axis=1)
-    if probes == 1:
-        return sides.argmax(axis=1)[:, None]
-    probes = min(probes, 2 * dims)
-    return np.argsort(-sides, axis=1, kind="stable")[:, :probes]
-
-
-def _hashed(rows: DataFrame, dims: int, tables: int, probes: int, seed: int, of_queries: bool) -> DataFrame:
-    """(id, vector, chunk, t, axis): a row for each table, or for each table and probe of a query (whose chunk says nothing)."""
+def functions_for(rows: int, dims: int) -> int:
+    """How many hash functions name a bucket of a table of so many rows."""
+    return max(1, round(math.log(max(rows, 1) / FILL, 2 * _axes(dims))))
 
-    def axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            x = flat.reshape(batch.num_rows, dims)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # before squares, which may overflow
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for t in range(tables):
-                near = nearest_axes(x, t, probes if of_queries else 1, seed)
-                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                some = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), some.column(2), pa.array(np.full(len(at), t, np.int32)),
-                     pa.array(near.ravel().astype(np.int32))], ["id", "vector", "chunk", "t", "axis"])
 
-    kind = dict(rows.dtypes)["vector"]
-    return rows.select("id", "vector", "chunk").mapInArrow(axes, f"id long, vector {kind}, chunk long, t int, axis int")
+def _axes(dims: int) -> int:
+    return 1 << max(0, dims - 1).bit_length()
 
 
-def _every(chunks: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk")
+def rotated(unit: np.ndarray, table: int, function: int, seed: int) -> np.ndarray:
+    """The products of each unit vector with the signed axes after the function's rotation."""
+    dims = _axes(unit.shape[1])
+    x = np.zeros((len(unit), dims))
+    x[:, :unit.shape[1]] = unit
+    random = np.random.default_rng([seed, table, function])
+    for _ in range(ROUNDS):
+        x = hadamard(x * random.choice([-1.0, 1.0], dims))
+    return np.concatenate([x, -x], axis=1)
+
+
+def nearest_buckets(unit: np.ndarray, table: int, width: int, probes: int, seed: int) -> np.ndarray:
+    """The ``probes`` nearest buckets of each unit vector in a table (fewer if there are not so many), nearest first."""
+    codes, costs = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+    for function in range(width):
+        sides = rotated(unit, table, function, seed)
+        if probes == 1:
+            codes = codes * sides.shape[1] + sides.argmax(axis=1)[:, None]
+            continue
+        order = np.argsort(-sides, axis=1, kind="stable")[:, :probes]
+        near = np.take_along_axis(sides, order, axis=1)
+        # the nearest combinations of all functions so far begin with nearest combinations of those before
+        costs = (costs[:, :, None] + ((near[:, :1] - near) ** 2)[:, None, :]).reshape(len(unit), -1)
+        codes = (codes[:, :, None] * sides.shape[1] + order[:, None, :]).reshape(len(unit), -1)
+        first = np.argsort(costs, axis=1, kind="stable")[:, :probes]
+        costs, codes = np.take_along_axis(costs, first, axis=1), np.take_along_axis(codes, first, axis=1)
+    return codes
+
+
+def _hashed(rows: DataFrame, dims: int, tables: int, width: int, probes: int, seed: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``rows`` with t, code: a row for each table and probe."""
+    types = dict(rows.dtypes)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64 if probes > 1 else 4096):  # a query has very many looks
+                batch = whole.slice(first, 64 if probes > 1 else 4096)
+                x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, dims)
+                x = x / np.abs(x).max(axis=1, keepdims=True)  # before squares, which may overflow
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for t in range(tables):
+                    near = nearest_buckets(x, t, width, probes, seed)
+                    some = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(some.column(1 + i) for i in range(len(keep))), pa.array(np.full(near.size, t, np.int32)), pa.array(near.ravel())],
+                        [*keep, "t", "code"])
+
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keep), "t int, code long"])
+    return rows.select(F.col("vector").alias("hashed"), *keep).mapInArrow(buckets, schema)
+
+
+def closest(ids: np.ndarray, salts: np.ndarray, x: np.ndarray, q: int, v: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, id, salt, distance) of the k rows nearest to ``v``, ties to the smaller id, without those named ``q``."""
+    apart = x - v
+    far = np.sqrt((apart * apart).sum(axis=1))
+    may = np.flatnonzero(ids != q)
+    if len(may) > k:
+        may = may[far[may] <= np.partition(far[may], k - 1)[k - 1]]
+    first = may[np.lexsort((salts[may], ids[may], far[may]))[:k]]
+    return np.full(len(first), q), ids[first], salts[first], far[first]
+
+
+def _pieces(count: str, most: int) -> Column:
+    return F.ceil(F.col(count) / most).cast("long")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int = 6, probes: int = 16, seed: int = 5) -> DataFrame:
@@ -94,51 +136,72 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
     element = "array<float>" if kind == "<f4" else "array<double>"
     rows = cut(named(vectors).select("id", padded(F.col("vector"), dims).cast(element).alias("vector"), is_query.alias("asks"),
                                      F.monotonically_increasing_id().alias("salt")))
-    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
-    asking = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    parts = max(1, -(-rows.where("asks").count() // QUERY_ROWS))
-    dealt = rows.withColumn("chunk", dealt_to(chunks))
-    index = _hashed(dealt, dims, tables, 1, seed, False)
-    buckets = pack(index, ["t", "axis", "chunk"], kind)
-    looks = _hashed(asking.withColumn("chunk", F.lit(0).cast("long")), dims, tables, probes, seed, True).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    asked = pack(looks, ["t", "axis", "part"], kind).select(
-        "t", "axis", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), _every(chunks))
+    total = rows.count()
+    chunks = max(1, -(-total // CHUNK_ROWS))
+    asking = cut(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")))
+    width = functions_for(total, dims)
+    tables, probes = tables << (width - 1), probes ** width
+    index = _hashed(rows, dims, tables, width, 1, seed, ["id", "vector", "salt"])
+    looks = cut(_hashed(asking, dims, tables, width, probes, seed, ["id"]))
+    # buckets that hold rows and are looked into, and the pieces they come in
+    held = index.groupBy("t", "code").agg(F.count(F.lit(1)).alias("held"))
+    asked = looks.groupBy("t", "code").agg(F.count(F.lit(1)).alias("asked"))
+    grid = cut(held.join(asked, ["t", "code"]).select("t", "code", "held", _pieces("held", CHUNK_ROWS).alias("rows"),
+                                                      _pieces("asked", QUERY_ROWS).alias("packs")))
+    met = grid.agg(F.sum(F.col("held") * F.col("packs"))).first()[0] or 0
+    cells = max(1, -(-met // CHUNK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = F.pmod(F.xxhash64("t", "code", "piece", "pack"), F.lit(cells).cast("long")).alias("cell")
+    index = (index.join(grid, ["t", "code"]).withColumn("piece", F.pmod(F.xxhash64("salt"), "rows")).withColumn("pack", every("packs"))
+             .select(cell, "t", "code", "piece", "pack", "id", "vector", "salt"))
+    looks = (looks.join(grid, ["t", "code"]).withColumn("pack", F.pmod(F.xxhash64("id"), "packs")).withColumn("piece", every("rows"))
+             .join(asking, "id").select(cell, "t", "code", "piece", "pack", "id", "vector"))
+
+    def meet(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out, names = [], ["t", "code", "piece", "pack"]
+        if len(held) and len(asked):
+            ids, salts, x = held["id"].to_numpy(), held["salt"].to_numpy(), np.stack(held["vector"].to_list()).astype(float)
+            at = held.groupby(names, sort=False).indices
+            q_ids, q = asked["id"].to_numpy(), np.stack(asked["vector"].to_list()).astype(float)
+            for bucket, places in asked.groupby(names, sort=False).indices.items():
+                some = at.get(bucket)
+                if some is not None:
+                    near = ids[some], salts[some], x[some]
+                    out.extend(closest(*near, q_ids[i], q[i], k) for i in places)
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "salt": [], "score": []})
+        found = pd.DataFrame(dict(zip(["query_id", "vec_id", "salt", "score"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
+        found = found.drop_duplicates(["query_id", "salt"]).sort_values(["query_id", "score", "vec_id", "salt"])
+        return found.groupby("query_id").head(k)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                cols = [batch.column(c)[r].as_py() for c in range(4)]
+                cols = [batch.column(c)[r].as_py() for c in range(5)]
                 ids, x = unpack(cols[0], cols[1], kind, dims)
-                q_ids, queries = unpack(cols[2], cols[3], kind, dims)
-                x = x.astype(float)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q, v in zip(q_ids, queries.astype(float), strict=True):
-                    apart = x - v
-                    far = np.sqrt((apart * apart).sum(axis=1))
-                    may = np.flatnonzero(ids != q)
-                    if len(may) > k:
-                        may = may[far[may] <= np.partition(far[may], k - 1)[k - 1]]
-                    first = may[np.lexsort((ids[may], far[may]))[:k]]
-                    out.append((np.full(len(first), q), ids[first], far[first]))
+                q_ids, queries = unpack(cols[3], cols[4], kind, dims)
+                near = ids, np.frombuffer(cols[2], "<i8"), x.astype(float)
+                out = [closest(*near, q, v, k) for q, v in zip(q_ids, queries.astype(float), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)],
-                                                 ["query_id", "vec_id", "score"])
+                                                 ["query_id", "vec_id", "salt", "score"])
 
-    def nearest(blocks: DataFrame, packs: DataFrame, on: list[str]) -> DataFrame:
-        met = blocks.join(packs, on).select("ids", "data", "q_ids", "q_data")
-        found = met.mapInArrow(rerank, "query_id long, vec_id long, score double")
-        # a candidate met in several tables has one distance; repeated rows of one id count once
-        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        return best(found, k, [F.col("score"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score")
+    def nearest(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id", "salt").agg(F.min("score").alias("score"))  # met in several tables
+        return best(once, k, [F.col("score"), F.col("vec_id"), F.col("salt")]).select("query_id", "rank", "vec_id", "score")
 
-    found = cut(nearest(buckets, asked, ["t", "axis", "chunk"]))
-    candidates = rows.select("id").distinct().limit(k + 1).count() - 1  # as far as k; a query's own id is none
+    found = cut(nearest(index.groupBy("cell").cogroup(looks.groupBy("cell")).applyInPandas(meet, FOUND)))
+    # candidates of a query: all rows but those of its id
+    own = rows.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("own"))
     have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
-    short = asking.join(have, F.col("id") == F.col("query_id"), "left").where(F.coalesce("have", F.lit(0)) < min(k, candidates))
+    short = (asking.join(have, F.col("id") == F.col("query_id"), "left").join(own, F.col("id") == F.col("own_id"))
+             .where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k).cast("long"), F.lit(total).cast("long") - F.col("own"))))
     short = cut(short.select("id", "vector"))
     parts = -(-short.count() // QUERY_ROWS)
     if not parts:
         return found
     packs = pack(short.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), ["part"], kind)
-    packs = packs.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), _every(chunks))
-    exact = nearest(pack(dealt, ["chunk"], kind), packs, ["chunk"])
+    packs = packs.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    blocks = pack(rows.withColumn("chunk", dealt_to(chunks)), ["chunk"], kind).join(packs, "chunk")
+    exact = nearest(blocks.select("ids", "data", "salts", "q_ids", "q_data").mapInArrow(rerank, FOUND))
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionAll(exact)

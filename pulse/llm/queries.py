@@ -108,7 +108,7 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dims = _embeddings(spark, sf_dir)
     rows = rows.where(F.exists("vector", lambda x: x != 0))
-    return ann.search(rows, F.col("id") % 100 == 0, k=10, dims=dims, tables=8, probes=20)
+    return ann.search(rows, F.col("id") % 100 == 0, k=10, dims=dims, tables=8, probes=16)
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

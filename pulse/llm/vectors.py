@@ -34,18 +34,20 @@ def dealt_to(blocks: int) -> Column:
 def pack(df: DataFrame, by: list[str], kind: str) -> DataFrame:
     """``by`` columns, ``ids`` and ``data``: each group's ids and vectors (columns id, vector), ascending by id.
 
-    The caller bounds the groups' sizes.
+    ``salts`` holds their row numbers likewise, if there is a column salt. The caller bounds the groups' sizes.
     """
     types = dict(df.dtypes)
+    salt = ["salt"] if "salt" in types else []
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         data = np.stack(rows["vector"].to_list()).astype(kind) if len(rows) else np.zeros((0, 0), kind)
         return pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)},
-                             "ids": [rows["id"].to_numpy("<i8").tobytes()], "data": [data.tobytes()]})
+                             "ids": [rows["id"].to_numpy("<i8").tobytes()], "data": [data.tobytes()],
+                             **{"salts": [rows[c].to_numpy("<i8").tobytes()] for c in salt}})
 
-    schema = ", ".join([*(f"{c} {types[c]}" for c in by), PACK])
-    return df.select(*by, "id", "vector").groupBy(*by).applyInPandas(one, schema)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), PACK, *(["salts binary"] if salt else [])])
+    return df.select(*by, "id", "vector", *salt).groupBy(*by).applyInPandas(one, schema)
 
 
 def unpack(ids: bytes, data: bytes, kind: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
