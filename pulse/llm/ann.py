@@ -40,6 +40,8 @@ from pulse.llm.vectors import best, dealt_to, named, pack, padded, unpack
 ROUNDS = 3
 CHUNK_ROWS = 1 << 16
 QUERY_ROWS = 4096
+#: Rows that looks meet at a time in a task, as vectors side by side.
+MET_ROWS = 1 << 15
 FILL = 8
 FOUND = "query_id long, vec_id long, salt long, score double"
 
@@ -126,6 +128,12 @@ def closest(ids: np.ndarray, salts: np.ndarray, x: np.ndarray, q: int, v: np.nda
     return np.full(len(first), q), ids[first], salts[first], far[first]
 
 
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows of each query, each once."""
+    found = found.drop_duplicates(["query_id", "salt"]).sort_values(["query_id", "score", "vec_id", "salt"])
+    return found.groupby("query_id").head(k)
+
+
 def _pieces(count: str, most: int) -> Column:
     return F.ceil(F.col(count) / most).cast("long")
 
@@ -158,21 +166,30 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
              .join(asking, "id").select(cell, "t", "code", "piece", "pack", "id", "vector"))
 
     def meet(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out, names = [], ["t", "code", "piece", "pack"]
+        out = [pd.DataFrame({c: np.zeros(0, t) for c, t in (("query_id", "i8"), ("vec_id", "i8"), ("salt", "i8"), ("score", "f8"))})]
+        names = ["t", "code", "piece", "pack"]
         if len(held) and len(asked):
+            group = pd.concat([held[names], asked[names]]).groupby(names, sort=False).ngroup().to_numpy()
+            order = np.argsort(group[:len(held)], kind="stable")
+            held, of, looked = held.iloc[order], group[:len(held)][order], group[len(held):]
             ids, salts, x = held["id"].to_numpy(), held["salt"].to_numpy(), np.stack(held["vector"].to_list()).astype(float)
-            at = held.groupby(names, sort=False).indices
             q_ids, q = asked["id"].to_numpy(), np.stack(asked["vector"].to_list()).astype(float)
-            for bucket, places in asked.groupby(names, sort=False).indices.items():
-                some = at.get(bucket)
-                if some is not None:
-                    near = ids[some], salts[some], x[some]
-                    out.extend(closest(*near, q_ids[i], q[i], k) for i in places)
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "salt": [], "score": []})
-        found = pd.DataFrame(dict(zip(["query_id", "vec_id", "salt", "score"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
-        found = found.drop_duplicates(["query_id", "salt"]).sort_values(["query_id", "score", "vec_id", "salt"])
-        return found.groupby("query_id").head(k)
+            first = np.searchsorted(of, looked)
+            sizes = np.searchsorted(of, looked, "right") - first
+            ends = np.cumsum(sizes)
+            at = 0
+            while at < len(asked):  # looks that meet about MET_ROWS rows at a time, one look at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET_ROWS, "right")))
+                n = sizes[at:to]
+                look = np.repeat(np.arange(at, to), n)
+                row = np.repeat(first[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                other = ids[row] != q_ids[look]
+                look, row = look[other], row[other]
+                apart = x[row] - q[look]
+                near = pd.DataFrame({"query_id": q_ids[look], "vec_id": ids[row], "salt": salts[row], "score": np.sqrt((apart * apart).sum(axis=1))})
+                out.append(_first(near, k))
+                at = to
+        return _first(pd.concat(out), k)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
