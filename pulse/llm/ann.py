@@ -10,7 +10,8 @@ are reranked by exact Euclidean distance on the original vectors.
 
 Every row is indexed. Rows and looks of a bucket are counted; one with more than ``CHUNK_ROWS`` rows, or ``QUERY_ROWS`` looks,
 is cut into pieces of either, and each piece of rows meets each piece of looks. Pieces are dealt to cells of about
-``CHUNK_ROWS`` rows; a cell is one task's work, which returns the k nearest of each query. Pairs are never rows.
+``CHUNK_ROWS`` rows; a cell is one task's work, which returns the k nearest of each query. Pairs are never rows, and a query
+is one row of a cell, with its vector and the list of its looks there.
 
 Buckets may hold fewer than k candidates for a query: in small tables, or far from a narrow cluster. Queries left with
 fewer than min(k, candidates) neighbours are searched exactly: they meet every row, in blocks of ``CHUNK_ROWS``. Their
@@ -47,12 +48,14 @@ FOUND = "query_id long, vec_id long, salt long, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows (a power of two long), orthonormal."""
-    rows, dims = x.shape
+    """Fast Walsh-Hadamard transform of the columns (a power of two long), orthonormal."""
+    dims, columns = x.shape
     width = 1
     while width < dims:
-        y = x.reshape(rows, dims // (2 * width), 2, width)
-        x = np.concatenate([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=-1).reshape(rows, dims)
+        y, z = x.reshape(dims // (2 * width), 2, width, columns), np.empty((dims // (2 * width), 2, width, columns))
+        np.add(y[:, 0], y[:, 1], out=z[:, 0])
+        np.subtract(y[:, 0], y[:, 1], out=z[:, 1])
+        x = z.reshape(dims, columns)
         width *= 2
     return x / np.sqrt(dims)
 
@@ -69,12 +72,12 @@ def _axes(dims: int) -> int:
 def rotated(unit: np.ndarray, table: int, function: int, seed: int) -> np.ndarray:
     """The products of each unit vector with the signed axes after the function's rotation."""
     dims = _axes(unit.shape[1])
-    x = np.zeros((len(unit), dims))
-    x[:, :unit.shape[1]] = unit
+    x = np.zeros((dims, len(unit)))  # vectors are columns: sums and differences run over all of them at once
+    x[:unit.shape[1]] = unit.T
     random = np.random.default_rng([seed, table, function])
     for _ in range(ROUNDS):
-        x = hadamard(x * random.choice([-1.0, 1.0], dims))
-    return np.concatenate([x, -x], axis=1)
+        x = hadamard(x * random.choice([-1.0, 1.0], dims)[:, None])
+    return np.concatenate([x, -x]).T
 
 
 def nearest_buckets(unit: np.ndarray, table: int, width: int, probes: int, seed: int) -> np.ndarray:
@@ -95,26 +98,25 @@ def nearest_buckets(unit: np.ndarray, table: int, width: int, probes: int, seed:
     return codes
 
 
-def _hashed(rows: DataFrame, dims: int, tables: int, width: int, probes: int, seed: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``rows`` with t, code: a row for each table and probe."""
-    types = dict(rows.dtypes)
+def _hashed(rows: DataFrame, dims: int, tables: int, width: int, probes: int, seed: int) -> DataFrame:
+    """``rows`` with ``names``: their buckets in all tables, ``probes`` of each.
+
+    A name holds table and axes. Should so many axes not fit into 64 bits, buckets that share a name are one bucket.
+    """
+    types, some = rows.dtypes, 64 if probes > 1 else 4096  # a query has very many looks
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 64 if probes > 1 else 4096):  # a query has very many looks
-                batch = whole.slice(first, 64 if probes > 1 else 4096)
-                x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, dims)
+            for first in range(0, whole.num_rows, some):
+                batch = whole.slice(first, some)
+                x = np.array(batch.column("vector").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, dims)
                 x = x / np.abs(x).max(axis=1, keepdims=True)  # before squares, which may overflow
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for t in range(tables):
-                    near = nearest_buckets(x, t, width, probes, seed)
-                    some = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(some.column(1 + i) for i in range(len(keep))), pa.array(np.full(near.size, t, np.int32)), pa.array(near.ravel())],
-                        [*keep, "t", "code"])
+                names = np.concatenate([nearest_buckets(x, t, width, probes, seed) * tables + t for t in range(tables)], axis=1)
+                listed = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * names.shape[1], names.ravel())
+                yield pa.RecordBatch.from_arrays([*batch.columns, listed], [*batch.schema.names, "names"])
 
-    schema = ", ".join([*(f"{c} {types[c]}" for c in keep), "t int, code long"])
-    return rows.select(F.col("vector").alias("hashed"), *keep).mapInArrow(buckets, schema)
+    return rows.mapInArrow(buckets, ", ".join([*(f"{c} {t}" for c, t in types), "names array<bigint>"]))
 
 
 def closest(ids: np.ndarray, salts: np.ndarray, x: np.ndarray, q: int, v: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -128,10 +130,14 @@ def closest(ids: np.ndarray, salts: np.ndarray, x: np.ndarray, q: int, v: np.nda
     return np.full(len(first), q), ids[first], salts[first], far[first]
 
 
-def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query, each once."""
-    found = found.drop_duplicates(["query_id", "salt"]).sort_values(["query_id", "score", "vec_id", "salt"])
-    return found.groupby("query_id").head(k)
+def _first(q: np.ndarray, ids: np.ndarray, salts: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k nearest rows of each query, each once: query, id, salt, distance."""
+    order = np.lexsort((salts, ids, far, q))
+    q, salts = q[order], salts[order]
+    once = np.append(True, (q[1:] != q[:-1]) | (salts[1:] != salts[:-1]))[:len(q)]  # a row's distance is the same in all tables
+    order, q, salts = order[once], q[once], salts[once]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], ids[order[top]], salts[top], far[order[top]]
 
 
 def _pieces(count: str, most: int) -> Column:
@@ -149,47 +155,60 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
     asking = cut(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")))
     width = functions_for(total, dims)
     tables, probes = tables << (width - 1), probes ** width
-    index = _hashed(rows, dims, tables, width, 1, seed, ["id", "vector", "salt"])
-    looks = cut(_hashed(asking, dims, tables, width, probes, seed, ["id"]))
-    # buckets that hold rows and are looked into, and the pieces they come in
-    held = index.groupBy("t", "code").agg(F.count(F.lit(1)).alias("held"))
-    asked = looks.groupBy("t", "code").agg(F.count(F.lit(1)).alias("asked"))
-    grid = cut(held.join(asked, ["t", "code"]).select("t", "code", "held", _pieces("held", CHUNK_ROWS).alias("rows"),
-                                                      _pieces("asked", QUERY_ROWS).alias("packs")))
-    met = grid.agg(F.sum(F.col("held") * F.col("packs"))).first()[0] or 0
-    cells = max(1, -(-met // CHUNK_ROWS))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cell = F.pmod(F.xxhash64("t", "code", "piece", "pack"), F.lit(cells).cast("long")).alias("cell")
-    index = (index.join(grid, ["t", "code"]).withColumn("piece", F.pmod(F.xxhash64("salt"), "rows")).withColumn("pack", every("packs"))
-             .select(cell, "t", "code", "piece", "pack", "id", "vector", "salt"))
-    looks = (looks.join(grid, ["t", "code"]).withColumn("pack", F.pmod(F.xxhash64("id"), "packs")).withColumn("piece", every("rows"))
-             .join(asking, "id").select(cell, "t", "code", "piece", "pack", "id", "vector"))
+    index = cut(_hashed(rows.select("id", "vector", "salt"), dims, tables, width, 1, seed))
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    looks = cut(_hashed(asking.repartition(max(1, min(tasks, -(-asking.count() // 64)))), dims, tables, width, probes, seed))
+    # crowded buckets, and the pieces that they come in
+    named_by = lambda df: df.select(F.explode("names").alias("name")).groupBy("name")
+    held = named_by(index).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > CHUNK_ROWS)
+    asked = named_by(looks).agg(F.count(F.lit(1)).alias("asked")).where(F.col("asked") > QUERY_ROWS)
+    crowded = cut(held.join(asked, "name", "full").select(
+        "name", F.coalesce("held", F.lit(CHUNK_ROWS)).alias("held"),
+        F.coalesce(_pieces("held", CHUNK_ROWS), F.lit(1)).alias("pieces"), F.coalesce(_pieces("asked", QUERY_ROWS), F.lit(1)).alias("packs")))
+    more = crowded.agg(F.sum(F.col("held") * (F.col("packs") - 1))).first()[0]
+    cells = max(1, -(-(total * tables + (more or 0)) // CHUNK_ROWS))
+
+    def spots(df: DataFrame, at: str, other: str, key: str) -> DataFrame:
+        """Rows or looks with ``spot`` (bucket and pieces) and its cell: in one piece ``at`` and all pieces ``other``."""
+        df = df.withColumn("name", F.explode("names")).drop("names")
+        one, all_ = F.lit(0).cast("long"), F.lit(0).cast("long")
+        if more is not None:
+            df = df.join(crowded.drop("held"), "name", "left")
+            one = F.pmod(F.xxhash64(key), F.coalesce(at, F.lit(1)))
+            all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+        df = df.withColumn("one", one).withColumn("all", all_)
+        places = ("one", "all") if at == "pieces" else ("all", "one")
+        return df.withColumn("spot", F.xxhash64("name", *places)).withColumn("cell", F.pmod("spot", F.lit(cells).cast("long")))
+
+    index = spots(index, "pieces", "packs", "salt").select("cell", "spot", "id", "vector", "salt")
+    looks = spots(looks.select("id", "names"), "packs", "pieces", "id").groupBy("cell", "id").agg(F.collect_list("spot").alias("spots"))
+    looks = looks.join(asking, "id").select("cell", "id", "spots", "vector")
 
     def meet(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: np.zeros(0, t) for c, t in (("query_id", "i8"), ("vec_id", "i8"), ("salt", "i8"), ("score", "f8"))})]
-        names = ["t", "code", "piece", "pack"]
+        out = [tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "f8"))]
         if len(held) and len(asked):
-            group = pd.concat([held[names], asked[names]]).groupby(names, sort=False).ngroup().to_numpy()
-            order = np.argsort(group[:len(held)], kind="stable")
-            held, of, looked = held.iloc[order], group[:len(held)][order], group[len(held):]
-            ids, salts, x = held["id"].to_numpy(), held["salt"].to_numpy(), np.stack(held["vector"].to_list()).astype(float)
-            q_ids, q = asked["id"].to_numpy(), np.stack(asked["vector"].to_list()).astype(float)
+            held = held.sort_values("spot", kind="stable")
+            of, ids, salts = (held[c].to_numpy() for c in ("spot", "id", "salt"))
+            x, q = (np.stack(f["vector"].to_list()).astype(float) for f in (held, asked))
+            by = np.repeat(np.arange(len(asked)), asked["spots"].map(len))
+            looked, q_ids = np.concatenate(asked["spots"].to_list()), asked["id"].to_numpy()
             first = np.searchsorted(of, looked)
             sizes = np.searchsorted(of, looked, "right") - first
             ends = np.cumsum(sizes)
             at = 0
-            while at < len(asked):  # looks that meet about MET_ROWS rows at a time, one look at least
+            while at < len(looked):  # looks that meet about MET_ROWS rows at a time, one look at least
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET_ROWS, "right")))
                 n = sizes[at:to]
-                look = np.repeat(np.arange(at, to), n)
+                look = np.repeat(by[at:to], n)
                 row = np.repeat(first[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 other = ids[row] != q_ids[look]
                 look, row = look[other], row[other]
                 apart = x[row] - q[look]
-                near = pd.DataFrame({"query_id": q_ids[look], "vec_id": ids[row], "salt": salts[row], "score": np.sqrt((apart * apart).sum(axis=1))})
-                out.append(_first(near, k))
+                out.append(_first(q_ids[look], ids[row], salts[row], np.sqrt((apart * apart).sum(axis=1)), k))
                 at = to
-        return _first(pd.concat(out), k)
+        found = _first(*(np.concatenate(c) for c in zip(*out, strict=True)), k)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "salt", "score"), found, strict=True)))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -130,7 +130,7 @@ def test_recall_on_the_table(llm):
 
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 16))
-    assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+    assert np.allclose(np.linalg.norm(ann.hadamard(x.T), axis=0), np.linalg.norm(x, axis=1))
 
 
 def test_empty_and_few(llm):
