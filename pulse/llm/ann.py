@@ -8,10 +8,11 @@ by the sum of squared differences between its best component and those of the bu
 ``probes`` are meant for one function; each further one doubles the tables and takes ``probes`` times the looks. Candidates
 are reranked by exact Euclidean distance on the original vectors.
 
-Every row is indexed. Rows and looks of a bucket are counted; one with more than ``CHUNK_ROWS`` rows, or ``QUERY_ROWS`` looks,
-is cut into pieces of either, and each piece of rows meets each piece of looks. Pieces are dealt to cells of about
-``CHUNK_ROWS`` rows; a cell is one task's work, which returns the k nearest of each query. Pairs are never rows, and a query
-is one row of a cell, with its vector and the list of its looks there.
+Every row is indexed. Buckets are dealt by a hash of their names to cells of about ``CHUNK_ROWS`` rows; a query is one row of
+each cell that it looks into, with its vector and the list of its looks there. Rows and queries of a cell are counted: one
+with more than twice ``CHUNK_ROWS`` rows (a hot bucket), or ``ASKED_ROWS`` queries, is cut into pieces of either, and each
+piece of rows meets each piece of queries. That is one task's work, which returns the k nearest of each query. Pairs are
+never rows.
 
 Buckets may hold fewer than k candidates for a query: in small tables, or far from a narrow cluster. Queries left with
 fewer than min(k, candidates) neighbours are searched exactly: they meet every row, in blocks of ``CHUNK_ROWS``. Their
@@ -41,6 +42,7 @@ from pulse.llm.vectors import best, dealt_to, named, pack, padded, unpack
 ROUNDS = 3
 CHUNK_ROWS = 1 << 16
 QUERY_ROWS = 4096
+ASKED_ROWS = 1 << 16
 #: Rows that looks meet at a time in a task, as vectors side by side.
 MET_ROWS = 1 << 15
 FILL = 8
@@ -98,14 +100,19 @@ def nearest_buckets(unit: np.ndarray, table: int, width: int, probes: int, seed:
     return codes
 
 
-def _hashed(rows: DataFrame, dims: int, tables: int, width: int, probes: int, seed: int) -> DataFrame:
-    """``rows`` with ``names``: their buckets in all tables, ``probes`` of each.
+def _cells(names: np.ndarray, cells: int) -> np.ndarray:
+    mixed = names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(cells)).astype(np.int64)
+
+
+def _dealt(rows: DataFrame, dims: int, tables: int, width: int, probes: int, seed: int, cells: int) -> DataFrame:
+    """``rows`` (vector) in the cells of their ``probes`` buckets of each table: a row for each cell, with ``names``.
 
     A name holds table and axes. Should so many axes not fit into 64 bits, buckets that share a name are one bucket.
     """
-    types, some = rows.dtypes, 64 if probes > 1 else 4096  # a query has very many looks
+    some = 64 if probes > 1 else 4096  # a query has very many looks
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, some):
                 batch = whole.slice(first, some)
@@ -113,10 +120,15 @@ def _hashed(rows: DataFrame, dims: int, tables: int, width: int, probes: int, se
                 x = x / np.abs(x).max(axis=1, keepdims=True)  # before squares, which may overflow
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 names = np.concatenate([nearest_buckets(x, t, width, probes, seed) * tables + t for t in range(tables)], axis=1)
-                listed = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * names.shape[1], names.ravel())
-                yield pa.RecordBatch.from_arrays([*batch.columns, listed], [*batch.schema.names, "names"])
+                row, cell = np.repeat(np.arange(len(x)), names.shape[1]), _cells(names.ravel(), cells)
+                order = np.lexsort((cell, row))
+                row, cell = row[order], cell[order]
+                starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])))
+                listed = pa.ListArray.from_arrays(np.append(starts, len(row)).astype(np.int32), names.ravel()[order])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row[starts])).columns, pa.array(cell[starts]), listed],
+                                                 [*batch.schema.names, "cell", "names"])
 
-    return rows.mapInArrow(buckets, ", ".join([*(f"{c} {t}" for c, t in types), "names array<bigint>"]))
+    return rows.mapInArrow(deal, ", ".join([*(f"{c} {t}" for c, t in rows.dtypes), "cell long, names array<bigint>"]))
 
 
 def closest(ids: np.ndarray, salts: np.ndarray, x: np.ndarray, q: int, v: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -155,44 +167,30 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
     asking = cut(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")))
     width = functions_for(total, dims)
     tables, probes = tables << (width - 1), probes ** width
-    index = cut(_hashed(rows.select("id", "vector", "salt"), dims, tables, width, 1, seed))
+    cells = max(1, -(-total * tables // CHUNK_ROWS))
     spark = rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    looks = cut(_hashed(asking.repartition(max(1, min(tasks, -(-asking.count() // 64)))), dims, tables, width, probes, seed))
-    # crowded buckets, and the pieces that they come in
-    named_by = lambda df: df.select(F.explode("names").alias("name")).groupBy("name")
-    held = named_by(index).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > CHUNK_ROWS)
-    asked = named_by(looks).agg(F.count(F.lit(1)).alias("asked")).where(F.col("asked") > QUERY_ROWS)
-    crowded = cut(held.join(asked, "name", "full").select(
-        "name", F.coalesce("held", F.lit(CHUNK_ROWS)).alias("held"),
-        F.coalesce(_pieces("held", CHUNK_ROWS), F.lit(1)).alias("pieces"), F.coalesce(_pieces("asked", QUERY_ROWS), F.lit(1)).alias("packs")))
-    more = crowded.agg(F.sum(F.col("held") * (F.col("packs") - 1))).first()[0]
-    cells = max(1, -(-(total * tables + (more or 0)) // CHUNK_ROWS))
-
-    def spots(df: DataFrame, at: str, other: str, key: str) -> DataFrame:
-        """Rows or looks with ``spot`` (bucket and pieces) and its cell: in one piece ``at`` and all pieces ``other``."""
-        df = df.withColumn("name", F.explode("names")).drop("names")
-        one, all_ = F.lit(0).cast("long"), F.lit(0).cast("long")
-        if more is not None:
-            df = df.join(crowded.drop("held"), "name", "left")
-            one = F.pmod(F.xxhash64(key), F.coalesce(at, F.lit(1)))
-            all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
-        df = df.withColumn("one", one).withColumn("all", all_)
-        places = ("one", "all") if at == "pieces" else ("all", "one")
-        return df.withColumn("spot", F.xxhash64("name", *places)).withColumn("cell", F.pmod("spot", F.lit(cells).cast("long")))
-
-    index = spots(index, "pieces", "packs", "salt").select("cell", "spot", "id", "vector", "salt")
-    looks = spots(looks.select("id", "names"), "packs", "pieces", "id").groupBy("cell", "id").agg(F.collect_list("spot").alias("spots"))
-    looks = looks.join(asking, "id").select("cell", "id", "spots", "vector")
+    index = cut(_dealt(rows.select("id", "vector", "salt"), dims, tables, width, 1, seed, cells))
+    looks = cut(_dealt(asking.repartition(max(1, min(tasks, -(-asking.count() // 64)))), dims, tables, width, probes, seed, cells))
+    # the pieces of each cell
+    held = index.groupBy("cell").agg(F.sum(F.size("names")).alias("held"))
+    asked = looks.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    grid = cut(held.join(asked, "cell").select("cell", _pieces("held", 2 * CHUNK_ROWS).alias("pieces"), _pieces("asked", ASKED_ROWS).alias("packs")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    index = (index.join(grid, "cell").withColumn("piece", F.pmod(F.xxhash64("salt"), "pieces")).withColumn("pack", every("packs"))
+             .select("cell", "piece", "pack", "names", "id", "vector", "salt"))
+    looks = (looks.join(grid, "cell").withColumn("pack", F.pmod(F.xxhash64("id"), "packs")).withColumn("piece", every("pieces"))
+             .select("cell", "piece", "pack", "names", "id", "vector"))
 
     def meet(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "f8"))]
         if len(held) and len(asked):
-            held = held.sort_values("spot", kind="stable")
-            of, ids, salts = (held[c].to_numpy() for c in ("spot", "id", "salt"))
+            ids, salts, q_ids = held["id"].to_numpy(), held["salt"].to_numpy(), asked["id"].to_numpy()
             x, q = (np.stack(f["vector"].to_list()).astype(float) for f in (held, asked))
-            by = np.repeat(np.arange(len(asked)), asked["spots"].map(len))
-            looked, q_ids = np.concatenate(asked["spots"].to_list()), asked["id"].to_numpy()
+            of, looked = (np.concatenate(f["names"].to_list()) for f in (held, asked))
+            at_row, by = (np.repeat(np.arange(len(f)), f["names"].map(len)) for f in (held, asked))
+            order = np.argsort(of, kind="stable")
+            of, at_row = of[order], at_row[order]
             first = np.searchsorted(of, looked)
             sizes = np.searchsorted(of, looked, "right") - first
             ends = np.cumsum(sizes)
@@ -201,7 +199,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET_ROWS, "right")))
                 n = sizes[at:to]
                 look = np.repeat(by[at:to], n)
-                row = np.repeat(first[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row = at_row[np.repeat(first[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 other = ids[row] != q_ids[look]
                 look, row = look[other], row[other]
                 apart = x[row] - q[look]
@@ -225,7 +223,8 @@ def search(vectors: DataFrame, is_query: Column, k: int, dims: int, tables: int
         once = found.groupBy("query_id", "vec_id", "salt").agg(F.min("score").alias("score"))  # met in several tables
         return best(once, k, [F.col("score"), F.col("vec_id"), F.col("salt")]).select("query_id", "rank", "vec_id", "score")
 
-    found = cut(nearest(index.groupBy("cell").cogroup(looks.groupBy("cell")).applyInPandas(meet, FOUND)))
+    places = ["cell", "piece", "pack"]
+    found = cut(nearest(index.groupBy(*places).cogroup(looks.groupBy(*places)).applyInPandas(meet, FOUND)))
     # candidates of a query: all rows but those of its id
     own = rows.groupBy(F.col("id").alias("own_id")).agg(F.count(F.lit(1)).alias("own"))
     have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))

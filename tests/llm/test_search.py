@@ -98,6 +98,7 @@ def test_concatenated_functions_and_pieces_of_hot_buckets(llm, monkeypatch, chun
     """A clustered table: most rows near one axis; recall stays, and few rows are met."""
     monkeypatch.setattr(ann, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(ann, "QUERY_ROWS", query)
+    monkeypatch.setattr(ann, "ASKED_ROWS", query)
     monkeypatch.setattr(ann, "FILL", fill)
     r = np.random.default_rng(4)
     centres = r.normal(size=(30, 12))
