@@ -9,6 +9,10 @@ repeats exactly what training saw:
 3. ``VectorAssembler`` -> ``RandomForestClassifier`` with "balanced" class weights. Each row keeps the node it has
    reached in every tree (``cacheNodeIds``), so a pass does not walk the trees again.
 
+Spark ML holds a forest whole in the driver. A forest of many trees over many rows is therefore grown as several forests
+of a few trees each, with seeds of their own, which is the same method: trees are independent, and the forest's
+probability is the mean of its trees'. Each is saved below the checkpoint folder and let go; scoring loads a few at a time.
+
 Spark caps tree depth at 30 and bins continuous features (``maxBins``), so trees
 are not bit-identical to another library's; quality is checked with properties.
 """
@@ -16,9 +20,13 @@ are not bit-identical to another library's; quality is checked with properties.
 from __future__ import annotations
 
 import dataclasses
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -29,23 +37,31 @@ from pulse.operators.common import attach
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.functions.filters import filter_in
-from pulse.session import checkpoint_dir, materialized
+from pulse.session import checkpoint_dir, materialized, new_folder, written
 
 
 #: Memory for the statistics of one group of tree nodes: each group is a pass over the training rows.
 GROUP_MB = 1024
 #: Training rows of a partition.
 TRAIN_ROWS = 250_000
+#: Trees times training rows up to which a forest is fitted in one piece, and of each piece of a larger one (a tree at least).
+WHOLE_TREE_ROWS, TREE_ROWS = 2_000_000, 640_000
+#: Memory for the statistics of a group of tree nodes when several pieces are fitted at once.
+PIECE_GROUP_MB = 256
+#: Driver memory of a piece in fitting, for each of its trees and training rows, and the share of the heap for all of them.
+TREE_ROW_BYTES, HEAP_SHARE = 64, 1 / 3
 
 
 @dataclasses.dataclass
 class ChurnModel:
+    """``pipeline`` ends with the forest, or is the preprocessing alone when ``forests`` names the saved pieces."""
     pipeline: PipelineModel
     num_cols: list[str]
     cat_cols: list[str]
     label_col: str
     id_col: str
     metrics: dict
+    forests: list[str] = dataclasses.field(default_factory=list)
 
 
 def _sql_literal(v) -> str:
@@ -98,28 +114,101 @@ def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_
         cat_fill = {r["feature"]: r["mode"] for r in prep.categorical_modes(train, cat_cols).collect()} if cat_cols else {}
         train_w = prep.with_class_weights(train, label_col)
         n = {r["is_test"]: r["count"] for r in split.groupBy("is_test").count().collect()}
-        # hundreds of trees make a few rows much work: no fewer partitions than cores
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        train_w = train_w.repartition(max(cores, n.get(False, 0) // TRAIN_ROWS))
+        n_train = int(n.get(False, 0))
+        whole = num_trees * n_train <= WHOLE_TREE_ROWS
         pipe = build_pipeline(num_fill, cat_fill, num_cols, cat_cols, label_col, num_trees, max_depth, seed,
-                              use_checkpoints=checkpoint_dir(df.sparkSession) is not None)
-        fitted = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double")))
-        model = ChurnModel(fitted, num_cols, cat_cols, label_col, id_col, {})
+                              use_checkpoints=checkpoint_dir(df.sparkSession) is not None,
+                              group_mb=GROUP_MB if whole else PIECE_GROUP_MB)
+        if whole:
+            # hundreds of trees make a few rows much work: no fewer partitions than cores
+            cores = df.sparkSession.sparkContext.defaultParallelism
+            train_w = train_w.repartition(max(cores, n_train // TRAIN_ROWS))
+            fitted, forests = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double"))), []
+        else:
+            # a row's draws depend on its place: rows are dealt and sorted by their values
+            train_w = (train_w.repartition(max(1, n_train // TRAIN_ROWS), id_col)
+                       .sortWithinPartitions(id_col, label_col, *num_cols, *cat_cols))
+            fitted, forests = _fit_pieces(pipe, train_w.withColumn(label_col, F.col(label_col).cast("double")), label_col, n_train)
+        model = ChurnModel(fitted, num_cols, cat_cols, label_col, id_col, {"n_train": n_train}, forests)
         scored = score(model, test)
         auc = cm.roc_auc(scored, label_col).first()["roc_auc"]
         f1 = cm.f1_at_half(scored, label_col).first()["f1"]
-        model.metrics = {"roc_auc": float(auc), "f1": float(f1), "n_train": int(n.get(False, 0)),
+        model.metrics = {"roc_auc": float(auc), "f1": float(f1), "n_train": n_train,
                          "n_test": int(n.get(True, 0))}
         return model
 
 
+def _pieces(num_trees: int, n_train: int) -> list[int]:
+    """Trees of each piece; they follow from the rows alone, whatever the cluster."""
+    per = max(1, TREE_ROWS // n_train)
+    return [min(per, num_trees - i) for i in range(0, num_trees, per)]
+
+
+def _at_once(spark, n_train: int, trees: int) -> int:
+    """Pieces that the driver may hold together: by its heap, no more than cores, one at least."""
+    context = spark.sparkContext
+    heap = context._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    return max(1, min(context.defaultParallelism, int(heap * HEAP_SHARE / (TREE_ROW_BYTES * n_train * trees))))
+
+
+def _together(spark, width: int, fn, items: list) -> list:
+    """``fn`` of each item, ``width`` Spark jobs at a time (as the tuning classes of Spark ML do)."""
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
+
+
+def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int) -> tuple[PipelineModel, list[str]]:
+    """The fitted preprocessing, and the folders of the forest's pieces.
+
+    The pieces are fitted side by side, each over as few partitions as its rows need: every partition of a fit fills
+    statistics for all nodes, and at depth there are more nodes than rows in them.
+    """
+    spark = train.sparkSession
+    *stages, forest = pipe.getStages()
+    prepared = Pipeline(stages=stages).fit(train)
+    parts = train.rdd.getNumPartitions()
+    rows = written(prepared.transform(train).select("features", label_col, forest.getWeightCol())).coalesce(parts)
+    base, trees = new_folder(spark), _pieces(forest.getNumTrees(), n_train)
+
+    def fit(i: int) -> str:
+        piece = forest.copy({forest.numTrees: trees[i], forest.seed: forest.getSeed() + i})
+        piece.fit(rows).write().save(f"{base}/{i}")
+        return f"{base}/{i}"
+
+    return prepared, _together(spark, _at_once(spark, n_train, trees[0]), fit, list(range(len(trees))))
+
+
+def _with_probability(model: ChurnModel, df: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` of every row and its ``churn_probability``.
+
+    A forest in pieces is loaded a few pieces at a time: each wave writes the votes that its trees give to every row,
+    and the votes are added up exactly, so their order does not matter. These passes run when this is called.
+    """
+    prepared = model.pipeline.transform(df)
+    if not model.forests:
+        return prepared.select(*cols, vector_to_array("probability")[1].alias("churn_probability"))
+    spark, n_train = df.sparkSession, model.metrics["n_train"]
+    base = written(prepared.select(F.monotonically_increasing_id().alias("_row"), *cols, "features"))
+    width = _at_once(spark, n_train, max(1, TREE_ROWS // n_train))
+    waves, trees = [], 0
+    for at in range(0, len(model.forests), width):
+        votes, shares = base.select("_row", "features"), []
+        for i, piece in enumerate(_together(spark, width, RandomForestClassificationModel.load, model.forests[at:at + width])):
+            votes = piece.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}").transform(votes)
+            shares.append(vector_to_array(f"_p{i}")[1] * piece.getNumTrees)
+            trees += piece.getNumTrees
+        waves.append(written(votes.select("_row", reduce(lambda a, b: a + b, shares).alias("_votes"))))
+    total = (reduce(DataFrame.unionByName, waves).groupBy("_row")
+             .agg((F.sum(F.col("_votes").cast("decimal(38,18)")).cast("double") / trees).alias("churn_probability")))
+    return base.select("_row", *cols).join(total, "_row").drop("_row")
+
+
 def score(model: ChurnModel, df: DataFrame, keep: tuple[str, ...] = ("city", "segment", "plan_type")) -> DataFrame:
     """id, kept attributes, label (if present) and ``churn_probability`` (P(class 1))."""
-    out = model.pipeline.transform(df)
     cols = [model.id_col] + [c for c in keep if c in df.columns]
     if model.label_col in df.columns:
         cols.append(model.label_col)
-    return out.select(*cols, vector_to_array("probability")[1].alias("churn_probability"))
+    return _with_probability(model, df, cols)
 
 
 def train_metrics(spark, model: ChurnModel) -> DataFrame:
@@ -163,8 +252,7 @@ def permutation_importance(model: ChurnModel, test: DataFrame, n_repeats: int =
                               F.lit(c).alias("_f")) for c in feats]
         part = pt.select(F.explode(F.array(*variants)).alias("_v")).select("_v.*").withColumn("_rep", F.lit(r))
         stacked = part if stacked is None else stacked.unionByName(part)
-    scored = model.pipeline.transform(stacked).select(
-        "_f", "_rep", model.label_col, vector_to_array("probability")[1].alias("churn_probability"))
+    scored = _with_probability(model, stacked, ["_f", "_rep", model.label_col])
     aucs = cm.roc_auc(scored, model.label_col, group_cols=("_f", "_rep"))
     base_auc = aucs.filter(F.col("_f") == "__base__").select(F.col("roc_auc").alias("_base"))
     return (aucs.filter(F.col("_f") != "__base__").transform(attach(base_auc))
@@ -188,7 +276,8 @@ def retrain_on_filter(df: DataFrame, filters: dict[str, list[str]], **train_kw)
 # ---- model versions --------------------------------------------------------------------------
 # Versions live under one base path on the shared filesystem (any Hadoop URI):
 # ``current/`` (what scoring loads) and ``original/`` (the first model, restorable).
-# Metadata is a one-row JSON written by Spark next to each pipeline.
+# Metadata is a one-row JSON written by Spark next to each pipeline. A forest in pieces is kept once
+# below ``forests/`` and named in the metadata of the versions that use it.
 
 def _exists(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -199,7 +288,7 @@ def _exists(spark, path: str) -> bool:
 def _write_meta(spark, model: ChurnModel, path: str) -> None:
     import json
     meta = json.dumps({"num_cols": model.num_cols, "cat_cols": model.cat_cols, "label_col": model.label_col,
-                       "id_col": model.id_col, "metrics": model.metrics})
+                       "id_col": model.id_col, "metrics": model.metrics, "forests": model.forests})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(path + "/_pulse_meta")
 
 
@@ -207,6 +296,7 @@ def save_model(model: ChurnModel, base_path: str) -> str:
     """Save as ``current``; the first save is also kept as ``original``."""
     spark = _active_spark()
     cur, orig = f"{base_path}/current", f"{base_path}/original"
+    model = dataclasses.replace(model, forests=_keep_pieces(model.forests, f"{base_path}/forests"))
     model.pipeline.write().overwrite().save(cur)
     _write_meta(spark, model, cur)
     if not _exists(spark, orig):
@@ -215,20 +305,31 @@ def save_model(model: ChurnModel, base_path: str) -> str:
     return cur
 
 
+def _keep_pieces(forests: list[str], base: str) -> list[str]:
+    """The names below ``base`` of the pieces, copied one at a time unless they are there already."""
+    if not forests or forests[0].startswith(base + "/"):
+        return [f.removeprefix(base + "/") for f in forests]
+    version = uuid.uuid4().hex
+    for i, f in enumerate(forests):
+        RandomForestClassificationModel.load(f).write().save(f"{base}/{version}/{i}")
+    return [f"{version}/{i}" for i in range(len(forests))]
+
+
 def load_model(base_path: str, version: str = "current") -> ChurnModel:
     import json
     spark = _active_spark()
     d = f"{base_path}/{version}"
     meta = json.loads(spark.read.text(d + "/_pulse_meta").first()["value"])
     return ChurnModel(PipelineModel.load(d), meta["num_cols"], meta["cat_cols"], meta["label_col"],
-                      meta["id_col"], meta["metrics"])
+                      meta["id_col"], meta["metrics"], [f"{base_path}/forests/{f}" for f in meta.get("forests", [])])
 
 
 def restore_original(base_path: str) -> ChurnModel:
     """Make the original model current again."""
     m = load_model(base_path, "original")
     m.pipeline.write().overwrite().save(f"{base_path}/current")
-    _write_meta(_active_spark(), m, f"{base_path}/current")
+    kept = dataclasses.replace(m, forests=_keep_pieces(m.forests, f"{base_path}/forests"))
+    _write_meta(_active_spark(), kept, f"{base_path}/current")
     return m
 
 
