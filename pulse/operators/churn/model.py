@@ -46,10 +46,13 @@ GROUP_MB = 1024
 TRAIN_ROWS = 250_000
 #: Trees times training rows up to which a forest is fitted in one piece, and of each piece of a larger one (a tree at least).
 WHOLE_TREE_ROWS, TREE_ROWS = 2_000_000, 640_000
+#: Rows of a partition of a piece's fit, and its partitions as long as they stay below TRAIN_ROWS.
+PIECE_ROWS, PIECE_PARTS = 2_000, 6
 #: Memory for the statistics of a group of tree nodes when several pieces are fitted at once.
 PIECE_GROUP_MB = 256
 #: Driver memory of a piece in fitting, for each of its trees and training rows, and the share of the heap for all of them.
-TREE_ROW_BYTES, HEAP_SHARE = 64, 1 / 3
+#: The rest of the heap is for the jobs of the fits: several fits at once fill it with what their many small jobs leave.
+TREE_ROW_BYTES, HEAP_SHARE = 64, 1 / 12
 
 
 @dataclasses.dataclass
@@ -126,7 +129,7 @@ def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_
             fitted, forests = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double"))), []
         else:
             # a row's draws depend on its place: rows are dealt and sorted by their values
-            train_w = (train_w.repartition(max(1, n_train // TRAIN_ROWS), id_col)
+            train_w = (train_w.repartition(_piece_parts(n_train), id_col)
                        .sortWithinPartitions(id_col, label_col, *num_cols, *cat_cols))
             fitted, forests = _fit_pieces(pipe, train_w.withColumn(label_col, F.col(label_col).cast("double")), label_col, n_train)
         model = ChurnModel(fitted, num_cols, cat_cols, label_col, id_col, {"n_train": n_train}, forests)
@@ -144,6 +147,11 @@ def _pieces(num_trees: int, n_train: int) -> list[int]:
     return [min(per, num_trees - i) for i in range(0, num_trees, per)]
 
 
+def _piece_parts(n_train: int) -> int:
+    """Partitions of a piece's fit; they follow from the rows alone, whatever the cluster."""
+    return max(1, min(PIECE_PARTS, n_train // PIECE_ROWS), n_train // TRAIN_ROWS)
+
+
 def _at_once(spark, n_train: int, trees: int) -> int:
     """Pieces that the driver may hold together: by its heap, no more than cores, one at least."""
     context = spark.sparkContext
@@ -160,14 +168,12 @@ def _together(spark, width: int, fn, items: list) -> list:
 def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int) -> tuple[PipelineModel, list[str]]:
     """The fitted preprocessing, and the folders of the forest's pieces.
 
-    The pieces are fitted side by side, each over as few partitions as its rows need: every partition of a fit fills
-    statistics for all nodes, and at depth there are more nodes than rows in them.
+    As many pieces are fitted side by side as the driver may hold, each over a few partitions: every partition of a fit
+    fills statistics for all nodes, and at depth there are more nodes than rows in them.
     """
     spark = train.sparkSession
     *stages, forest = pipe.getStages()
     prepared = Pipeline(stages=stages).fit(train)
-    parts = train.rdd.getNumPartitions()
-    rows = written(prepared.transform(train).select("features", label_col, forest.getWeightCol())).coalesce(parts)
     base, trees = new_folder(spark), _pieces(forest.getNumTrees(), n_train)
 
     def fit(i: int) -> str:
@@ -175,7 +181,9 @@ def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int)
         piece.fit(rows).write().save(f"{base}/{i}")
         return f"{base}/{i}"
 
-    return prepared, _together(spark, _at_once(spark, n_train, trees[0]), fit, list(range(len(trees))))
+    # a checkpoint keeps rows and partitions as dealt, however many cores read it
+    with materialized(prepared.transform(train).select("features", label_col, forest.getWeightCol())) as rows:
+        return prepared, _together(spark, _at_once(spark, n_train, trees[0]), fit, list(range(len(trees))))
 
 
 def _with_probability(model: ChurnModel, df: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """A forest grown and scored in pieces: the whole forest's trees, bounded in the driver, the mean of all its votes."""
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassificationModel
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulse.operators.churn import model as mm
 
+AT_ONCE = mm._at_once
 KW = dict(num_cols=["x", "y"], cat_cols=["c"], label_col="churn", id_col="customer_id", num_trees=5, max_depth=4)
 
 
@@ -44,6 +47,27 @@ def test_pieces_follow_from_the_rows(monkeypatch):
     assert mm._pieces(500, 72_000) == [8] * 62 + [4] and mm._pieces(3, 10**9) == [1, 1, 1]
 
 
+def test_a_small_driver_fits_and_loads_one_piece_at_a_time():
+    """With 750 MB of heap and 90,000 customers: 8 trees in the driver, by a fit that still uses several tasks."""
+    heap = MagicMock()
+    heap.sparkContext.defaultParallelism = 6
+    memory = heap.sparkContext._jvm.java.lang.Runtime.getRuntime.return_value.maxMemory
+    for mb, at_once in ((750, 1), (8192, 6)):
+        memory.return_value = mb << 20
+        for n_train in (12_000, 72_000, 720_000):
+            assert AT_ONCE(heap, n_train, max(1, 640_000 // n_train)) == at_once
+    assert [mm._piece_parts(n) for n in (100, 5_000, 72_000, 720_000, 2_500_000)] == [1, 2, 6, 6, 10]
+
+
+def test_a_fit_reads_its_rows_as_they_were_dealt(rows, monkeypatch):
+    """Partitions follow from the rows, also where files are read by other cores than they were written by."""
+    dealt, fit = [], mm.RandomForestClassifier._fit
+    monkeypatch.setattr(mm, "PIECE_ROWS", 80)
+    monkeypatch.setattr(mm.RandomForestClassifier, "_fit", lambda self, df: dealt.append(df.rdd.getNumPartitions()) or fit(self, df))
+    model = mm.train_forest(rows, **KW)
+    assert dealt == [4, 4, 4] and model.metrics["n_train"] == 320 and 0.8 < model.metrics["roc_auc"] <= 1
+
+
 def test_score_is_the_mean_of_all_trees(rows, m):
     got = mm.score(m, rows.withColumn("segment", F.col("x")), keep=("segment",)).toPandas()
     assert list(got.columns) == ["customer_id", "segment", "churn", "churn_probability"] and len(got) == 400
