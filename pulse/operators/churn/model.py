@@ -20,6 +20,7 @@ are not bit-identical to another library's; quality is checked with properties.
 from __future__ import annotations
 
 import dataclasses
+import gc
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -45,11 +46,13 @@ GROUP_MB = 1024
 #: Training rows of a partition.
 TRAIN_ROWS = 250_000
 #: Trees times training rows up to which a forest is fitted in one piece, and of each piece of a larger one (a tree at least).
-WHOLE_TREE_ROWS, TREE_ROWS = 2_000_000, 640_000
+WHOLE_TREE_ROWS, TREE_ROWS = 2_000_000, 1_200_000
 #: Rows of a partition of a piece's fit, and its partitions as long as they stay below TRAIN_ROWS.
 PIECE_ROWS, PIECE_PARTS = 2_000, 6
 #: Memory for the statistics of a group of tree nodes when several pieces are fitted at once.
 PIECE_GROUP_MB = 256
+#: Levels of trees between checkpoints of the kept node ids: up to then every task carries the levels' splits along.
+CHECKPOINT_LEVELS, PIECE_CHECKPOINT_LEVELS = 10, 2
 #: Driver memory of a piece in fitting, for each of its trees and training rows, and the share of the heap for all of them.
 #: The rest of the heap is for the jobs of the fits: several fits at once fill it with what their many small jobs leave.
 TREE_ROW_BYTES, HEAP_SHARE = 64, 1 / 12
@@ -77,7 +80,7 @@ def _sql_literal(v) -> str:
 
 def build_pipeline(num_fill: dict, cat_fill: dict, num_cols: list[str], cat_cols: list[str], label_col: str,
                    num_trees: int = 500, max_depth: int = 30, seed: int = 42, use_checkpoints: bool = False,
-                   weight_col: str = "weight", group_mb: int = GROUP_MB) -> Pipeline:
+                   weight_col: str = "weight", group_mb: int = GROUP_MB, checkpoint_levels: int = CHECKPOINT_LEVELS) -> Pipeline:
     fills = [f"coalesce(cast(`{c}` AS double), CAST({_sql_literal(num_fill.get(c))} AS double)) AS `{c}__imp`"
              for c in num_cols]
     fills += [f"coalesce(cast(`{c}` AS string), {_sql_literal(cat_fill.get(c))}) AS `{c}__imp`" for c in cat_cols]
@@ -95,7 +98,7 @@ def build_pipeline(num_fill: dict, cat_fill: dict, num_cols: list[str], cat_cols
     rf = RandomForestClassifier(featuresCol="features", labelCol=label_col, weightCol=weight_col,
                                 numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 featureSubsetStrategy="sqrt", cacheNodeIds=True, maxMemoryInMB=group_mb,
-                                checkpointInterval=10 if use_checkpoints else -1)
+                                checkpointInterval=checkpoint_levels if use_checkpoints else -1)
     stages.append(rf)
     return Pipeline(stages=stages)
 
@@ -121,7 +124,8 @@ def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_
         whole = num_trees * n_train <= WHOLE_TREE_ROWS
         pipe = build_pipeline(num_fill, cat_fill, num_cols, cat_cols, label_col, num_trees, max_depth, seed,
                               use_checkpoints=checkpoint_dir(df.sparkSession) is not None,
-                              group_mb=GROUP_MB if whole else PIECE_GROUP_MB)
+                              group_mb=GROUP_MB if whole else PIECE_GROUP_MB,
+                              checkpoint_levels=CHECKPOINT_LEVELS if whole else PIECE_CHECKPOINT_LEVELS)
         if whole:
             # hundreds of trees make a few rows much work: no fewer partitions than cores
             cores = df.sparkSession.sparkContext.defaultParallelism
@@ -165,6 +169,14 @@ def _together(spark, width: int, fn, items: list) -> list:
         return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
+def _let_go(spark, width: int) -> None:
+    """Have a driver that holds few pieces collect what the last ones left: its heap would else grow to its limit,
+    and Spark drops broadcasts only when their handles are collected."""
+    if width < spark.sparkContext.defaultParallelism:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int) -> tuple[PipelineModel, list[str]]:
     """The fitted preprocessing, and the folders of the forest's pieces.
 
@@ -175,15 +187,27 @@ def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int)
     *stages, forest = pipe.getStages()
     prepared = Pipeline(stages=stages).fit(train)
     base, trees = new_folder(spark), _pieces(forest.getNumTrees(), n_train)
+    width = _at_once(spark, n_train, trees[0])
 
     def fit(i: int) -> str:
         piece = forest.copy({forest.numTrees: trees[i], forest.seed: forest.getSeed() + i})
         piece.fit(rows).write().save(f"{base}/{i}")
+        _let_go(spark, width)
         return f"{base}/{i}"
 
     # a checkpoint keeps rows and partitions as dealt, however many cores read it
     with materialized(prepared.transform(train).select("features", label_col, forest.getWeightCol())) as rows:
-        return prepared, _together(spark, _at_once(spark, n_train, trees[0]), fit, list(range(len(trees))))
+        return prepared, _together(spark, width, fit, list(range(len(trees))))
+
+
+def _votes(spark, base: DataFrame, forests: list[str]) -> tuple[DataFrame, int]:
+    """What the trees of some pieces give to every row, written, and the number of trees."""
+    votes, shares, trees = base.select("_row", "features"), [], 0
+    for i, piece in enumerate(_together(spark, len(forests), RandomForestClassificationModel.load, forests)):
+        votes = piece.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}").transform(votes)
+        shares.append(vector_to_array(f"_p{i}")[1] * piece.getNumTrees)
+        trees += piece.getNumTrees
+    return written(votes.select("_row", reduce(lambda a, b: a + b, shares).alias("_votes"))), trees
 
 
 def _with_probability(model: ChurnModel, df: DataFrame, cols: list[str]) -> DataFrame:
@@ -200,12 +224,10 @@ def _with_probability(model: ChurnModel, df: DataFrame, cols: list[str]) -> Data
     width = _at_once(spark, n_train, max(1, TREE_ROWS // n_train))
     waves, trees = [], 0
     for at in range(0, len(model.forests), width):
-        votes, shares = base.select("_row", "features"), []
-        for i, piece in enumerate(_together(spark, width, RandomForestClassificationModel.load, model.forests[at:at + width])):
-            votes = piece.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}").transform(votes)
-            shares.append(vector_to_array(f"_p{i}")[1] * piece.getNumTrees)
-            trees += piece.getNumTrees
-        waves.append(written(votes.select("_row", reduce(lambda a, b: a + b, shares).alias("_votes"))))
+        votes, n = _votes(spark, base, model.forests[at:at + width])
+        waves.append(votes)
+        trees += n
+        _let_go(spark, width)
     total = (reduce(DataFrame.unionByName, waves).groupBy("_row")
              .agg((F.sum(F.col("_votes").cast("decimal(38,18)")).cast("double") / trees).alias("churn_probability")))
     return base.select("_row", *cols).join(total, "_row").drop("_row")

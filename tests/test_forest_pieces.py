@@ -99,3 +99,30 @@ def test_versions_of_a_forest_in_pieces(rows, m, scratch):
     assert len(back.forests) == 3 and back.metrics == m.metrics
     a, b = (mm.score(x, rows).orderBy("customer_id", "churn_probability").toPandas() for x in (m, back))
     assert a.equals(b)
+
+
+def _collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+
+def test_a_small_driver_collects_after_each_piece(spark, rows, monkeypatch):
+    """What a piece leaves behind goes before the next one is grown or loaded; a driver that holds many pieces is let alone."""
+    monkeypatch.setattr(mm, "_at_once", lambda *a: 1)
+    before = _collections(spark)
+    small = mm.train_forest(rows, **KW)
+    assert len(small.forests) == 3 and _collections(spark) - before >= 6  # three fits, three waves of votes
+    asked = MagicMock()
+    asked.sparkContext.defaultParallelism = 4
+    mm._let_go(asked, 4)
+    assert not asked.sparkContext._jvm.System.gc.called
+    mm._let_go(asked, 3)
+    assert asked.sparkContext._jvm.System.gc.called
+
+
+def test_tasks_of_a_piece_carry_few_levels(rows, monkeypatch, m):
+    """Kept node ids are checkpointed every second level: between, each task holds the splits of all levels since."""
+    levels, fit = [], mm.RandomForestClassifier._fit
+    monkeypatch.setattr(mm.RandomForestClassifier, "_fit", lambda self, df: levels.append(self.getCheckpointInterval()) or fit(self, df))
+    monkeypatch.setattr(mm, "checkpoint_dir", lambda spark: "set")
+    assert mm.train_forest(rows, **KW).metrics == m.metrics and levels == [2, 2, 2]
