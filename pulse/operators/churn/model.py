@@ -23,7 +23,9 @@ import dataclasses
 import gc
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
+from threading import Event, Thread
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -46,7 +48,7 @@ GROUP_MB = 1024
 #: Training rows of a partition.
 TRAIN_ROWS = 250_000
 #: Trees times training rows up to which a forest is fitted in one piece, and of each piece of a larger one (a tree at least).
-WHOLE_TREE_ROWS, TREE_ROWS = 2_000_000, 1_200_000
+WHOLE_TREE_ROWS, TREE_ROWS = 2_000_000, 640_000
 #: Rows of a partition of a piece's fit, and its partitions as long as they stay below TRAIN_ROWS.
 PIECE_ROWS, PIECE_PARTS = 2_000, 6
 #: Memory for the statistics of a group of tree nodes when several pieces are fitted at once.
@@ -56,6 +58,8 @@ CHECKPOINT_LEVELS, PIECE_CHECKPOINT_LEVELS = 10, 2
 #: Driver memory of a piece in fitting, for each of its trees and training rows, and the share of the heap for all of them.
 #: The rest of the heap is for the jobs of the fits: several fits at once fill it with what their many small jobs leave.
 TREE_ROW_BYTES, HEAP_SHARE = 64, 1 / 12
+#: Seconds between collections of a driver that holds few pieces: each level of a fit leaves broadcasts of some MB.
+COLLECT_S = 4
 
 
 @dataclasses.dataclass
@@ -169,14 +173,39 @@ def _together(spark, width: int, fn, items: list) -> list:
         return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
+def _few(spark, width: int) -> bool:
+    """Whether the driver's heap holds fewer pieces than there are cores."""
+    return width < spark.sparkContext.defaultParallelism
+
+
 def _let_go(spark, width: int) -> None:
     """Have a driver that holds few pieces collect what the last ones left: its heap would else grow to its limit,
     and Spark drops broadcasts only when their handles are collected."""
-    if width < spark.sparkContext.defaultParallelism:
+    if _few(spark, width):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def _letting_go(spark, width: int):
+    """Inside the block such a driver collects every few seconds too: Spark by itself asks for it every 30 minutes only."""
+    done = Event()
+
+    def collect() -> None:
+        while not done.wait(COLLECT_S):
+            _let_go(spark, width)
+
+    thread = Thread(target=collect, daemon=True)
+    if _few(spark, width):
+        thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        if thread.ident:
+            thread.join()
+
+
 def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int) -> tuple[PipelineModel, list[str]]:
     """The fitted preprocessing, and the folders of the forest's pieces.
 
@@ -196,7 +225,8 @@ def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int)
         return f"{base}/{i}"
 
     # a checkpoint keeps rows and partitions as dealt, however many cores read it
-    with materialized(prepared.transform(train).select("features", label_col, forest.getWeightCol())) as rows:
+    with (materialized(prepared.transform(train).select("features", label_col, forest.getWeightCol())) as rows,
+          _letting_go(spark, width)):
         return prepared, _together(spark, width, fit, list(range(len(trees))))
 
 
@@ -223,11 +253,12 @@ def _with_probability(model: ChurnModel, df: DataFrame, cols: list[str]) -> Data
     base = written(prepared.select(F.monotonically_increasing_id().alias("_row"), *cols, "features"))
     width = _at_once(spark, n_train, max(1, TREE_ROWS // n_train))
     waves, trees = [], 0
-    for at in range(0, len(model.forests), width):
-        votes, n = _votes(spark, base, model.forests[at:at + width])
-        waves.append(votes)
-        trees += n
-        _let_go(spark, width)
+    with _letting_go(spark, width):
+        for at in range(0, len(model.forests), width):
+            votes, n = _votes(spark, base, model.forests[at:at + width])
+            waves.append(votes)
+            trees += n
+            _let_go(spark, width)
     total = (reduce(DataFrame.unionByName, waves).groupBy("_row")
              .agg((F.sum(F.col("_votes").cast("decimal(38,18)")).cast("double") / trees).alias("churn_probability")))
     return base.select("_row", *cols).join(total, "_row").drop("_row")

@@ -1,5 +1,6 @@
 """A forest grown and scored in pieces: the whole forest's trees, bounded in the driver, the mean of all its votes."""
 
+import time
 from unittest.mock import MagicMock
 
 import numpy as np
@@ -126,3 +127,26 @@ def test_tasks_of_a_piece_carry_few_levels(rows, monkeypatch, m):
     monkeypatch.setattr(mm.RandomForestClassifier, "_fit", lambda self, df: levels.append(self.getCheckpointInterval()) or fit(self, df))
     monkeypatch.setattr(mm, "checkpoint_dir", lambda spark: "set")
     assert mm.train_forest(rows, **KW).metrics == m.metrics and levels == [2, 2, 2]
+
+
+def test_a_small_driver_collects_within_a_fit(spark, rows, monkeypatch):
+    """What the levels of a fit leave goes meanwhile, not after the piece; a driver that holds many pieces is let alone."""
+    seen, fit = [], mm.RandomForestClassifier._fit
+
+    def fitted(self, df):
+        before, until = _collections(spark), time.time() + 10
+        model = fit(self, df)
+        while _collections(spark) == before and time.time() < until:
+            time.sleep(0.05)
+        seen.append(_collections(spark) - before)
+        return model
+
+    monkeypatch.setattr(mm, "COLLECT_S", 0.2, raising=False)
+    monkeypatch.setattr(mm, "_at_once", lambda *a: 1)
+    monkeypatch.setattr(mm.RandomForestClassifier, "_fit", fitted)
+    assert len(mm.train_forest(rows, **KW).forests) == 3 and len(seen) == 3 and min(seen) > 0
+    many = MagicMock()
+    many.sparkContext.defaultParallelism = 4
+    with mm._letting_go(many, 4):
+        time.sleep(0.5)
+    assert not many.sparkContext._jvm.System.gc.called
