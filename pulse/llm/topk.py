@@ -115,6 +115,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, dims: int, block_rows: i
                         [pa.array(np.full(len(found), q, np.int64)), pa.array(found), pa.array(scores.astype(np.int64))],
                         ["query_id", "vec_id", "score"])
 
-    met = packed.join(asked, "block").select("ids", "data", "q_ids", "q_data")
+    # queries are copied for every block, but Spark plans with their size before that: unless told so, it may send all copies to the driver
+    met = packed.join(asked.hint("merge"), "block").select("ids", "data", "q_ids", "q_data")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     return best(found, k, [F.col("score").desc(), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score")

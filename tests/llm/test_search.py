@@ -48,6 +48,14 @@ def test_top_k_equals_brute_force(llm, block, resolve):
         assert sorted(got[q]) == [(k + 1, ids[i], int(s[i])) for k, i in enumerate(first)]
 
 
+def test_copies_of_the_queries_never_pass_through_the_driver(llm):
+    """300 rows in 75 blocks: Spark takes the copied queries for as small as they were before, and they are not broadcast."""
+    got = topk.top_k(usable(llm, rows()), F.col("id") % 2 == 0, 5, 12, 4)
+    assert len(got.collect()) > 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_neighbours_have_exact_distances_and_recall(llm):
     data = [r for r in rows() if r[0] != -5]
     ids, x = plain(data)
