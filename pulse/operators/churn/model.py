@@ -9,7 +9,10 @@ repeats exactly what training saw:
 3. ``VectorAssembler`` -> ``RandomForestClassifier`` with "balanced" class weights. Each row keeps the node it has
    reached in every tree (``cacheNodeIds``), so a pass does not walk the trees again.
 
-Spark ML holds a forest whole in the driver. A forest of many trees over many rows is therefore grown as several forests
+A forest of many trees over rows that one task can hold is grown by ``forest``: whole trees side by side, a task each, instead of
+a job for each level.
+
+Spark ML holds a forest whole in the driver. A forest of many trees over more rows is therefore grown as several forests
 of a few trees each, with seeds of their own, which is the same method: trees are independent, and the forest's
 probability is the mean of its trees'. Each is saved below the checkpoint folder and let go; scoring loads a few at a time.
 
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 
 from pulse.operators.common import attach
 
+from pulse.operators.churn import forest
 from pulse.operators.churn import metrics as cm
 from pulse.operators.churn import prep
 from pulse.functions.filters import filter_in
@@ -45,6 +49,11 @@ from pulse.session import checkpoint_dir, materialized, new_folder, written
 
 #: Memory for the statistics of one group of tree nodes: each group is a pass over the training rows.
 GROUP_MB = 1024
+#: Trees from which on they are grown a task each, and bytes of the training rows (a feature's bin: one, label and weight: nine) up to
+#: which they are: the driver passes them on, every task holds them.
+TASK_TREES, TASK_BYTES = 32, 32 << 20
+#: Rows that a task walks through the trees.
+WALK_TASK_ROWS = 100_000
 #: Training rows of a partition.
 TRAIN_ROWS = 250_000
 #: Trees times training rows up to which a forest is fitted in one piece, and of each piece of a larger one (a tree at least).
@@ -64,7 +73,8 @@ COLLECT_S = 4
 
 @dataclasses.dataclass
 class ChurnModel:
-    """``pipeline`` ends with the forest, or is the preprocessing alone when ``forests`` names the saved pieces."""
+    """``pipeline`` ends with the forest, or is the preprocessing alone when ``forests`` names the saved pieces, or ``trees`` the
+    table of trees over bins between ``cuts``."""
     pipeline: PipelineModel
     num_cols: list[str]
     cat_cols: list[str]
@@ -72,6 +82,8 @@ class ChurnModel:
     id_col: str
     metrics: dict
     forests: list[str] = dataclasses.field(default_factory=list)
+    trees: str = ""
+    cuts: list[list[float]] = dataclasses.field(default_factory=list)
 
 
 def _sql_literal(v) -> str:
@@ -134,13 +146,13 @@ def train_forest(df: DataFrame, num_cols: list[str], cat_cols: list[str], label_
             # hundreds of trees make a few rows much work: no fewer partitions than cores
             cores = df.sparkSession.sparkContext.defaultParallelism
             train_w = train_w.repartition(max(cores, n_train // TRAIN_ROWS))
-            fitted, forests = pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double"))), []
+            grown = {"pipeline": pipe.fit(train_w.withColumn(label_col, F.col(label_col).cast("double")))}
         else:
             # a row's draws depend on its place: rows are dealt and sorted by their values
             train_w = (train_w.repartition(_piece_parts(n_train), id_col)
                        .sortWithinPartitions(id_col, label_col, *num_cols, *cat_cols))
-            fitted, forests = _fit_pieces(pipe, train_w.withColumn(label_col, F.col(label_col).cast("double")), label_col, n_train)
-        model = ChurnModel(fitted, num_cols, cat_cols, label_col, id_col, {"n_train": n_train}, forests)
+            grown = _fit_parts(pipe, train_w.withColumn(label_col, F.col(label_col).cast("double")), label_col, n_train)
+        model = ChurnModel(num_cols=num_cols, cat_cols=cat_cols, label_col=label_col, id_col=id_col, metrics={"n_train": n_train}, **grown)
         scored = score(model, test)
         auc = cm.roc_auc(scored, label_col).first()["roc_auc"]
         f1 = cm.f1_at_half(scored, label_col).first()["f1"]
@@ -206,28 +218,44 @@ def _letting_go(spark, width: int):
             thread.join()
 
 
-def _fit_pieces(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int) -> tuple[PipelineModel, list[str]]:
-    """The fitted preprocessing, and the folders of the forest's pieces.
+def _fit_parts(pipe: Pipeline, train: DataFrame, label_col: str, n_train: int) -> dict:
+    """The fitted preprocessing, and the trees: one table of all, or the folders of the forest's pieces."""
+    *stages, last = pipe.getStages()
+    prepared = Pipeline(stages=stages).fit(train)
+    # a checkpoint keeps rows and partitions as dealt, however many cores read it
+    with materialized(prepared.transform(train).select("features", label_col, last.getWeightCol())) as rows:
+        if last.getNumTrees() >= TASK_TREES:
+            width = rows.first()["features"].size
+            labels = {r[0] for r in rows.select(label_col).distinct().collect()}
+            if n_train * (width + 9) <= TASK_BYTES and labels == {0.0, 1.0}:
+                trees, cuts = forest.grown(_unboxed(rows), label_col, width, last.getNumTrees(), last.getMaxDepth(), last.getSeed())
+                return {"pipeline": prepared, "trees": trees, "cuts": cuts}
+        return {"pipeline": prepared, "forests": _fit_pieces(last, rows, n_train)}
+
+
+def _unboxed(rows: DataFrame) -> DataFrame:
+    """The features as ``_x``: array<double>."""
+    return rows.withColumn("_x", vector_to_array("features")).drop("features")
+
+
+def _fit_pieces(last: RandomForestClassifier, rows: DataFrame, n_train: int) -> list[str]:
+    """The folders of the forest's pieces.
 
     As many pieces are fitted side by side as the driver may hold, each over a few partitions: every partition of a fit
     fills statistics for all nodes, and at depth there are more nodes than rows in them.
     """
-    spark = train.sparkSession
-    *stages, forest = pipe.getStages()
-    prepared = Pipeline(stages=stages).fit(train)
-    base, trees = new_folder(spark), _pieces(forest.getNumTrees(), n_train)
+    spark = rows.sparkSession
+    base, trees = new_folder(spark), _pieces(last.getNumTrees(), n_train)
     width = _at_once(spark, n_train, trees[0])
 
     def fit(i: int) -> str:
-        piece = forest.copy({forest.numTrees: trees[i], forest.seed: forest.getSeed() + i})
+        piece = last.copy({last.numTrees: trees[i], last.seed: last.getSeed() + i})
         piece.fit(rows).write().save(f"{base}/{i}")
         _let_go(spark, width)
         return f"{base}/{i}"
 
-    # a checkpoint keeps rows and partitions as dealt, however many cores read it
-    with (materialized(prepared.transform(train).select("features", label_col, forest.getWeightCol())) as rows,
-          _letting_go(spark, width)):
-        return prepared, _together(spark, width, fit, list(range(len(trees))))
+    with _letting_go(spark, width):
+        return _together(spark, width, fit, list(range(len(trees))))
 
 
 def _votes(spark, base: DataFrame, forests: list[str]) -> tuple[DataFrame, int]:
@@ -247,18 +275,27 @@ def _with_probability(model: ChurnModel, df: DataFrame, cols: list[str]) -> Data
     and the votes are added up exactly, so their order does not matter. These passes run when this is called.
     """
     prepared = model.pipeline.transform(df)
-    if not model.forests:
+    if not model.forests and not model.trees:
         return prepared.select(*cols, vector_to_array("probability")[1].alias("churn_probability"))
     spark, n_train = df.sparkSession, model.metrics["n_train"]
-    base = written(prepared.select(F.monotonically_increasing_id().alias("_row"), *cols, "features"))
-    width = _at_once(spark, n_train, max(1, TREE_ROWS // n_train))
+    kept = prepared.select(F.monotonically_increasing_id().alias("_row"), *cols, "features")
     waves, trees = [], 0
-    with _letting_go(spark, width):
-        for at in range(0, len(model.forests), width):
-            votes, n = _votes(spark, base, model.forests[at:at + width])
+    if model.trees:
+        base, table = written(forest.with_bins(_unboxed(kept), model.cuts)), spark.read.parquet(model.trees)
+        parts = max(2 * spark.sparkContext.defaultParallelism, base.count() // WALK_TASK_ROWS)
+        for wave in forest.waves(table):
+            votes, n = forest.wave_votes(base, table, wave, parts)
             waves.append(votes)
             trees += n
-            _let_go(spark, width)
+    else:
+        base = written(kept)
+        width = _at_once(spark, n_train, max(1, TREE_ROWS // n_train))
+        with _letting_go(spark, width):
+            for at in range(0, len(model.forests), width):
+                votes, n = _votes(spark, base, model.forests[at:at + width])
+                waves.append(votes)
+                trees += n
+                _let_go(spark, width)
     total = (reduce(DataFrame.unionByName, waves).groupBy("_row")
              .agg((F.sum(F.col("_votes").cast("decimal(38,18)")).cast("double") / trees).alias("churn_probability")))
     return base.select("_row", *cols).join(total, "_row").drop("_row")
@@ -337,7 +374,7 @@ def retrain_on_filter(df: DataFrame, filters: dict[str, list[str]], **train_kw)
 # ---- model versions --------------------------------------------------------------------------
 # Versions live under one base path on the shared filesystem (any Hadoop URI):
 # ``current/`` (what scoring loads) and ``original/`` (the first model, restorable).
-# Metadata is a one-row JSON written by Spark next to each pipeline. A forest in pieces is kept once
+# Metadata is a one-row JSON written by Spark next to each pipeline. A forest in pieces, or a table of trees, is kept once
 # below ``forests/`` and named in the metadata of the versions that use it.
 
 def _exists(spark, path: str) -> bool:
@@ -349,7 +386,8 @@ def _exists(spark, path: str) -> bool:
 def _write_meta(spark, model: ChurnModel, path: str) -> None:
     import json
     meta = json.dumps({"num_cols": model.num_cols, "cat_cols": model.cat_cols, "label_col": model.label_col,
-                       "id_col": model.id_col, "metrics": model.metrics, "forests": model.forests})
+                       "id_col": model.id_col, "metrics": model.metrics, "forests": model.forests, "trees": model.trees,
+                       "cuts": model.cuts})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(path + "/_pulse_meta")
 
 
@@ -357,7 +395,7 @@ def save_model(model: ChurnModel, base_path: str) -> str:
     """Save as ``current``; the first save is also kept as ``original``."""
     spark = _active_spark()
     cur, orig = f"{base_path}/current", f"{base_path}/original"
-    model = dataclasses.replace(model, forests=_keep_pieces(model.forests, f"{base_path}/forests"))
+    model = _kept(model, f"{base_path}/forests")
     model.pipeline.write().overwrite().save(cur)
     _write_meta(spark, model, cur)
     if not _exists(spark, orig):
@@ -376,21 +414,30 @@ def _keep_pieces(forests: list[str], base: str) -> list[str]:
     return [f"{version}/{i}" for i in range(len(forests))]
 
 
+def _kept(model: ChurnModel, base: str) -> ChurnModel:
+    """The model with its pieces or trees named as they are kept below ``base``, copied there unless they are already."""
+    trees = model.trees.removeprefix(base + "/")
+    if trees and trees == model.trees:
+        trees = uuid.uuid4().hex
+        _active_spark().read.parquet(model.trees).write.parquet(f"{base}/{trees}")
+    return dataclasses.replace(model, forests=_keep_pieces(model.forests, base), trees=trees)
+
+
 def load_model(base_path: str, version: str = "current") -> ChurnModel:
     import json
     spark = _active_spark()
     d = f"{base_path}/{version}"
     meta = json.loads(spark.read.text(d + "/_pulse_meta").first()["value"])
     return ChurnModel(PipelineModel.load(d), meta["num_cols"], meta["cat_cols"], meta["label_col"],
-                      meta["id_col"], meta["metrics"], [f"{base_path}/forests/{f}" for f in meta.get("forests", [])])
+                      meta["id_col"], meta["metrics"], [f"{base_path}/forests/{f}" for f in meta.get("forests", [])],
+                      f"{base_path}/forests/{meta['trees']}" if meta.get("trees") else "", meta.get("cuts", []))
 
 
 def restore_original(base_path: str) -> ChurnModel:
     """Make the original model current again."""
     m = load_model(base_path, "original")
     m.pipeline.write().overwrite().save(f"{base_path}/current")
-    kept = dataclasses.replace(m, forests=_keep_pieces(m.forests, f"{base_path}/forests"))
-    _write_meta(_active_spark(), kept, f"{base_path}/current")
+    _write_meta(_active_spark(), _kept(m, f"{base_path}/forests"), f"{base_path}/current")
     return m
 
 
